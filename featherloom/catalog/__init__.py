@@ -1,6 +1,9 @@
 """Registered queries by family. Importing this package fills the registry."""
 
 from featherloom.catalog import (  # noqa: F401
+    columns,
+    encoding,
     evaluation,
+    splits,
 )
 from featherloom.catalog.registry import CHECKS, QUERIES, TABLES  # noqa: F401

@@ -81,12 +81,15 @@ def rule_vote(df: DataFrame, model: str, keys: Sequence[str], label: str) -> Dat
     """Two or more ``unknown`` give ``silence`` if any model said so, else ``unknown``; otherwise
     the majority decides."""
     keys = list(keys)
-    flags = df.groupBy(*keys).agg(
-        F.count_if(F.col(label) == "unknown").alias("unknown"),
-        F.count_if(F.col(label) == "silence").alias("silence"))
+    votes = df.groupBy(*keys, label).agg(
+        F.count(F.lit(1)).alias("n"), F.min(model).alias("first"))
+    best = F.min(F.struct((-F.col("n")).alias("neg"), "first", F.col(label).alias("label")))
+    said = lambda what: F.coalesce(F.max(F.when(F.col(label) == what, F.col("n"))), F.lit(0))
     final = F.when((F.col("unknown") >= 2) & (F.col("silence") > 0), "silence") \
-        .when(F.col("unknown") >= 2, "unknown").otherwise(F.col("label"))
-    return majority_vote(df, model, keys, label).join(flags, keys).select(*keys, final.alias("label"))
+        .when(F.col("unknown") >= 2, "unknown").otherwise(F.col("b.label"))
+    return votes.groupBy(*keys).agg(
+        best.alias("b"), said("unknown").alias("unknown"), said("silence").alias("silence"),
+    ).select(*keys, final.alias("label"))
 
 
 def vote_signature(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:

@@ -5,5 +5,6 @@ from featherloom.catalog import (  # noqa: F401
     encoding,
     evaluation,
     splits,
+    text,
 )
 from featherloom.catalog.registry import CHECKS, QUERIES, TABLES  # noqa: F401

@@ -238,9 +238,9 @@ def topic_sql(rank: int, aliases) -> str:
 
 @query("str_20_topic_ranges", f"""
 with found as ({' union all '.join(topic_sql(i, a) for i, a in enumerate(TOPICS))}),
-placed as (select doc_id, text, rank, topic, instr(text, topic) as at from found where topic is not null),
-begun as (select doc_id, length(text) as n, rank, topic, case when substr(text, at + length(topic), 1) = ':' then at - 1
-  else length(regexp_replace(substr(text, 1, at - 1), '[^,;.]*$', '')) end as b from placed)
+placed as (select doc_id, text, rank, topic, instr(text, topic) as pos from found where topic is not null),
+begun as (select doc_id, length(text) as n, rank, topic, case when substr(text, pos + length(topic), 1) = ':' then pos - 1
+  else length(regexp_replace(substr(text, 1, pos - 1), '[^,;.]*$', '')) end as b from placed)
 select doc_id, topic, b::INTEGER as begin, coalesce(lead(b) over (partition by doc_id order by b, rank), n)::INTEGER as end from begun""")
 def _(t):
     return t.documents.select("doc_id", F.inline(tr.topic_ranges("text", TOPICS)))
@@ -367,8 +367,10 @@ def _(t):
 
 WORD_GRAMS = """parts as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') as p from documents),
 grams as (select doc_id, unnest(list_concat(p, list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1]))) as term from parts)"""
-CHAR_GRAMS = """parts as (select doc_id, regexp_extract_all(regexp_replace(lower(text), '\\s\\s+', ' ', 'g'), '(?s).') as p from documents),
-grams as (select doc_id, unnest(list_transform(range(1, len(p) - n + 2), lambda i: array_to_string(p[i:i + n - 1], ''))) as term from parts cross join range(2, 4) r(n))"""
+CHAR_GRAMS = """parts as (select doc_id, unnest(p) as c, generate_subscripts(p, 1) as i from (
+  select doc_id, regexp_extract_all(regexp_replace(lower(text), '\\s\\s+', ' ', 'g'), '(?s).') as p from documents)),
+leads as (select doc_id, c, lead(c) over w as d, lead(c, 2) over w as e from parts window w as (partition by doc_id order by i)),
+grams as (select doc_id, c || d as term from leads where d is not null union all select doc_id, c || d || e from leads where e is not null)"""
 TOKEN_GRAMS = f"""toks as (select doc_id, unnest({tok(CHAR_GRAM)}) as w from documents),
 grams as (select doc_id, unnest(list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3))) as term from toks)"""
 

@@ -16,6 +16,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind an expression to a lambda variable, so that inner lambdas do not evaluate it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def apply_rules(text: Column | str, rules: Rules) -> Column:
     out = _col(text)
     for pattern, replacement in rules:
@@ -335,14 +340,21 @@ def _contains_any(x: Column, words: Sequence[str]) -> Column:
     return out
 
 
-def _section_span(pieces: Column, begin: Sequence[str], end: Sequence[str]) -> tuple[Column, Column]:
-    marked = F.transform(pieces, lambda x, i: F.struct(
+def _section_span(p: Column, begin: Sequence[str], end: Sequence[str],
+                  body: Callable[[Column, Column], Column]) -> Column:
+    """``body(start, stop)`` with the two marker positions (null if there is none)."""
+    places = F.transform(p, lambda x, i: F.struct(
         i.alias("i"), (_contains_any(x, begin) & (i > 0)).alias("b"), _contains_any(x, end).alias("e")))
-    index = lambda keep: F.transform(F.filter(marked, keep), lambda m: m["i"])
-    first = F.array_min(index(lambda m: m["b"]))
-    stop = F.array_min(index(lambda m: m["e"] & (m["i"] >= first)))
-    start = F.array_max(index(lambda m: m["b"] & (m["i"] <= stop)))
-    return start, stop
+    index = lambda xs: F.transform(xs, lambda m: m["i"])
+    return let(F.filter(places, lambda m: m["b"] | m["e"]), lambda marked: let(
+        F.array_min(index(F.filter(marked, lambda m: m["b"]))), lambda first: let(
+            F.array_min(index(F.filter(marked, lambda m: m["e"] & (m["i"] >= first)))), lambda stop: let(
+                F.array_max(index(F.filter(marked, lambda m: m["b"] & (m["i"] <= stop)))),
+                lambda start: body(start, stop)))))
+
+
+def _between(p: Column, start: Column, stop: Column) -> Column:
+    return F.array_join(F.slice(p, start + 2, F.greatest(stop - start - 1, F.lit(0))), "")
 
 
 def section(pieces: Column | str, begin: Sequence[str], end: Sequence[str]) -> Column:
@@ -350,22 +362,24 @@ def section(pieces: Column | str, begin: Sequence[str], end: Sequence[str]) -> C
 
     A marker in the very first piece does not begin a section; without an end the section is empty.
     """
-    p = _col(pieces)
-    start, stop = _section_span(p, begin, end)
-    return F.coalesce(F.array_join(F.slice(p, start + 2, F.greatest(stop - start - 1, F.lit(0))), ""), F.lit(""))
+    return let(_col(pieces), lambda p: _section_span(
+        p, begin, end, lambda start, stop: F.coalesce(_between(p, start, stop), F.lit(""))))
 
 
 def department(pieces: Column | str) -> Column:
     """The department named in an assessment or discharge form, without numerals and ward words."""
-    p = _col(pieces)
-    start, stop = _section_span(p, DEPARTMENT_BEGIN, DEPARTMENT_END)
     behind = lambda x: F.get(F.split(x, DEPARTMENT_BEGIN[0]), F.lit(1))
-    same = F.get(F.split(behind(F.replace(F.get(p, start), F.lit("："), F.lit(""))), DEPARTMENT_END[0]), F.lit(0))
-    named = F.when(start == stop, same) \
-        .when(start + 1 == stop, behind(F.replace(F.get(p, start), F.lit(":"), F.lit("")))) \
-        .otherwise(F.array_join(F.slice(p, start + 2, F.greatest(stop - start - 1, F.lit(0))), ""))
-    is_form = F.exists(p, lambda x: x.isin(*DEPARTMENT_FORMS))
-    return F.when(is_form, F.coalesce(F.trim(F.regexp_replace(named, DEPARTMENT_NOISE, "")), F.lit(""))).otherwise("")
+    bare = lambda p, start, colon: behind(F.replace(F.get(p, start), F.lit(colon), F.lit("")))
+
+    def named(p: Column, start: Column, stop: Column) -> Column:
+        return F.when(start == stop, F.get(F.split(bare(p, start, "："), DEPARTMENT_END[0]), F.lit(0))) \
+            .when(start + 1 == stop, bare(p, start, ":")).otherwise(_between(p, start, stop))
+
+    return let(_col(pieces), lambda p: F.when(
+        F.exists(p, lambda x: x.isin(*DEPARTMENT_FORMS)),
+        F.coalesce(F.trim(F.regexp_replace(
+            _section_span(p, DEPARTMENT_BEGIN, DEPARTMENT_END, lambda a, b: named(p, a, b)),
+            DEPARTMENT_NOISE, "")), F.lit(""))).otherwise(""))
 
 
 # -- topics, labels, facts ---------------------------------------------------------------------
@@ -392,10 +406,9 @@ def topic_ranges(text: Column | str, topics: Sequence[Sequence[str]]) -> Column:
             hit = F.when(at > 0, F.struct(begin.cast("int").alias("begin"), F.lit(rank).alias("rank"),
                                           F.lit(alias).alias("topic"))).otherwise(hit)
         hits.append(hit)
-    found = F.array_sort(F.array_compact(F.array(*hits)))
-    return F.transform(found, lambda x, i: F.struct(
+    return let(F.array_sort(F.array_compact(F.array(*hits))), lambda found: F.transform(found, lambda x, i: F.struct(
         x["topic"].alias("topic"), x["begin"].alias("begin"),
-        F.coalesce(F.get(found, i + 1)["begin"], F.length(t)).alias("end")))
+        F.coalesce(F.get(found, i + 1)["begin"], F.length(t)).alias("end"))))
 
 
 def rule_label(text: Column | str, confirm: Sequence[str], hit: Sequence[str], release: Sequence[str]) -> Column:
@@ -409,28 +422,22 @@ def rule_label(text: Column | str, confirm: Sequence[str], hit: Sequence[str], r
 SUFFIX_WORDS = ("病", "症", "后", "型", "期", "史", "程", "级", "性", "区", "周", "天", "方案", "分")
 TIME_WORDS = ("年", "余年", "年余", "月", "余月", "月余", "周", "余周", "周余", "天", "余天", "天余",
               "日", "余日", "日余", "小时", "分钟", "分", "次")
-INTEGER = r"^[-+]?[0-9]+$"
-
-
-def join_to_previous(words: Column | str, joined: Sequence[str], only_after: str | None = None) -> Column:
-    """Append listed words to the token before them, optionally only if it matches a pattern."""
-    def step(acc: Column, w: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        glue = w.isin(*joined) & (F.size(acc) > 0)
-        if only_after:
-            glue = glue & last.rlike(only_after)
-        return F.when(glue, F.concat(
-            F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(last, w)))) \
-            .otherwise(F.concat(acc, F.array(w)))
-    return F.aggregate(_col(words), F.array().cast("array<string>"), step)
+JOINER = "\x1f"   # unit separator: tokens do not contain it
 
 
 def join_suffix_words(words: Column | str) -> Column:
-    return join_to_previous(words, SUFFIX_WORDS)
+    """Append suffix words to the token before them. One linear pass over the joined tokens: the
+    separator in front of a listed word is removed."""
+    glued = F.regexp_replace(F.array_join(_col(words), JOINER),
+                             f"{JOINER}(?=(?:{'|'.join(SUFFIX_WORDS)})(?:{JOINER}|$))", "")
+    return F.split(glued, JOINER)
 
 
 def join_time_words(words: Column | str) -> Column:
-    return join_to_previous(words, TIME_WORDS, INTEGER)
+    """Append time words to the token before them if that token is an integer."""
+    glued = F.regexp_replace(F.array_join(_col(words), JOINER),
+                             f"(^|{JOINER})([-+]?[0-9]+){JOINER}({'|'.join(TIME_WORDS)})(?={JOINER}|$)", "$1$2$3")
+    return F.split(glued, JOINER)
 
 
 # fixed values: negation words of the clause rule

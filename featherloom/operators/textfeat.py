@@ -104,38 +104,39 @@ def word_list(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(t), F.lit(WORD_TOKEN), F.lit(0))
 
 
-def char_list(text: Column | str) -> Column:
-    """Characters of the lower-cased text with blank runs as one blank."""
-    t = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.regexp_replace(F.lower(t), r"\s\s+", " "), ""), lambda c: c != "")
-
+def n_grams(text: Column | str, analyzer: str, n: int) -> Column:
+    """All n-grams of a text. A look-ahead captures the gram while the match consumes one unit, so
+    the work is linear in the text, however long it is.
 
-def _grams(parts: Column, n: Column, joiner: str) -> Column:
-    starts = F.sequence(F.lit(1), F.size(parts) - n + 1)
-    return F.when(F.size(parts) >= n, F.transform(starts, lambda i: F.array_join(F.slice(parts, i, n), joiner)))
+    ``word``: runs of two or more word characters, joined by a blank. ``char``: characters of the
+    lower-cased text with blank runs as one blank. ``token_char``: characters inside each
+    blank-separated token (for ``#word#`` padded text).
+    """
+    t = F.col(text) if isinstance(text, str) else text
+    if analyzer == "word":
+        if n == 1:
+            return word_list(t)
+        source = F.array_join(word_list(t), " ")
+        pattern = rf"(?=([^ ]+(?: [^ ]+){{{n - 1}}}))[^ ]+ ?"
+    elif analyzer == "char":
+        source = F.regexp_replace(F.lower(t), r"\s\s+", " ")
+        pattern = rf"(?s)(?=(.{{{n}}}))."
+    elif analyzer == "token_char":
+        source, pattern = t, rf"(?=(\S{{{n}}}))\S"
+    else:
+        raise ValueError(f"unknown analyzer {analyzer!r}")
+    return F.regexp_extract_all(source, F.lit(pattern), F.lit(1))
 
 
 def term_counts(df: DataFrame, key: str, text: str, analyzer: str = "word", n: tuple[int, int] = (1, 1)) -> DataFrame:
-    """(key, term, tf). Analyzers: ``word``, ``char``, and ``token_char`` (n-grams inside each
-    blank-separated token, for ``#word#`` padded text).
+    """(key, term, tf) for all n-gram lengths in the closed range ``n``.
 
     The text is shuffled once by key, before the n-grams multiply it; the counts then need no
     further exchange.
     """
     spread = df.select(key, text).repartition(key)
-    if analyzer == "token_char":
-        parts = spread.select(key, F.explode(tokens(text)).alias("_t")).select(
-            key, F.filter(F.split("_t", ""), lambda c: c != "").alias("_p"))
-        joiner = ""
-    elif analyzer == "char":
-        parts, joiner = spread.select(key, char_list(text).alias("_p")), ""
-    elif analyzer == "word":
-        parts, joiner = spread.select(key, word_list(text).alias("_p")), " "
-    else:
-        raise ValueError(f"unknown analyzer {analyzer!r}")
-    sized = parts.withColumn("_n", F.explode(F.sequence(F.lit(n[0]), F.lit(n[1]))))
-    grams = sized.select(key, F.explode(_grams(F.col("_p"), F.col("_n"), joiner)).alias("term"))
-    return grams.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    grams = F.concat(*[n_grams(text, analyzer, k) for k in range(n[0], n[1] + 1)])
+    return spread.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 @dataclass(frozen=True)

@@ -4,6 +4,7 @@ from featherloom.catalog import (  # noqa: F401
     columns,
     encoding,
     evaluation,
+    flows,
     records,
     splits,
     text,

@@ -219,7 +219,7 @@ with s as (select distinct trim(unnest(string_split(text, '.'))) as s from bench
 select s from s where s <> '' and exists (select 1 from documents d where contains(d.text, s.s))""")
 def _(t):
     pieces = t.benchmark.select(F.explode(F.split("text", r"\.")).alias("s")).select(F.trim("s").alias("s"))
-    return match.contained_in_any(pieces, "s", t.documents, "text")
+    return match.contained_in_any(pieces, "s", t.documents, "doc_id", "text")
 
 
 UNIT_SQL = """cells as (select vec_id, label, unnest(embedding)::DOUBLE as x, unnest(range(64)) as pos from embeddings),
@@ -317,7 +317,8 @@ def _(t):
 
 
 @query("mlf_11_knn_probability", f"""with {WORD_TFIDF}, train as (select r.* from rows r where doc_id in (select doc_id from labels)), test as (select r.* from rows r where doc_id not in (select doc_id from labels)),
-s as (select a.doc_id, b.doc_id as other, round(sum(a.w * b.w), 9) as sim from test a join train b using (term) group by all),
+shared as (select a.doc_id, b.doc_id as other, round(sum(a.w * b.w), 9) as sim from test a join train b using (term) group by all),
+s as (select x.doc_id, y.other, coalesce(sim, 0) as sim from (select distinct doc_id from test) x cross join (select distinct doc_id as other from train) y left join shared using (doc_id, other)),
 k as (select *, row_number() over (partition by doc_id order by sim desc, other) as rn from s)
 select k.doc_id, round(avg(toxic), 9) as p from k join labels l on l.doc_id = other where rn <= 5 group by k.doc_id""")
 def _(t):

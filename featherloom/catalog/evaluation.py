@@ -287,3 +287,16 @@ select model, round(avg(case when truth = 1 then -0.472001959::DOUBLE * ln(p) el
 from x group by model""")
 def _(t):
     return evaluate.weighted_log_loss(order_scores(t), ["model"], "truth", "p", CLASS_WEIGHTS).withColumn("log_loss", r("log_loss"))
+
+
+@query("evl_6_gini_and_auc", f"""
+with {ORDER_SCORES}, ranked as (
+  select model, truth, row_number() over (partition by model order by p desc, id) as rk,
+         rank() over (partition by model order by p) + (count(*) over (partition by model, p) - 1) / 2.0 as av
+  from order_scores), s as (
+  select model, count(*)::DOUBLE as n, sum(truth)::DOUBLE as a, sum(truth * rk)::DOUBLE as ar, sum(truth * av)::DOUBLE as av from ranked group by model)
+select model, round(((n + 1) / 2 - ar / a) / ((n + 1) / 2 - (a + 1) / 2), 9) as gini, round((av - a * (a + 1) / 2) / (a * (n - a)), 9) as auc from s""")
+def _(t):
+    scores = order_scores(t)
+    gini = evaluate.normalized_gini(scores, ["model"], "truth", "p", "id")
+    return gini.join(evaluate.roc_auc(scores, ["model"], "truth", "p"), "model").select("model", r("gini").alias("gini"), r("auc").alias("auc"))

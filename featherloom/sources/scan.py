@@ -44,8 +44,7 @@ def scan_documents(spark: SparkSession, path: str, name_glob: str = "*",
 
     The id is by default the second ``_`` field of the file name.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True) \
-        .option("pathGlobFilter", name_glob).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name_glob)
     where = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return files.select(F.regexp_extract(where, id_pattern, 1).alias("id"), where.alias("path"), F.col("value").alias("content"))
 

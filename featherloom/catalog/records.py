@@ -9,7 +9,8 @@ from featherloom.catalog.registry import query
 from featherloom.catalog.text import WORD_TFIDF, tok
 from featherloom.functions import arrays, textrules as tr
 from featherloom.functions.hashing import key_hash
-from featherloom.operators import columns, match, records, textfeat, vectors
+from featherloom.operators import match, records, textfeat, vectors
+from featherloom.session import spread
 
 
 def _event_rows(t):
@@ -219,7 +220,7 @@ with s as (select distinct trim(unnest(string_split(text, '.'))) as s from bench
 select s from s where s <> '' and exists (select 1 from documents d where contains(d.text, s.s))""")
 def _(t):
     pieces = t.benchmark.select(F.explode(F.split("text", r"\.")).alias("s")).select(F.trim("s").alias("s"))
-    return match.contained_in_any(pieces, "s", t.documents, "doc_id", "text")
+    return match.contained_in_any(pieces, "s", spread(t.documents, "doc_id"), "doc_id", "text")
 
 
 UNIT_SQL = """cells as (select vec_id, label, unnest(embedding)::DOUBLE as x, unnest(range(64)) as pos from embeddings),
@@ -322,5 +323,5 @@ s as (select x.doc_id, y.other, coalesce(sim, 0) as sim from (select distinct do
 k as (select *, row_number() over (partition by doc_id order by sim desc, other) as rn from s)
 select k.doc_id, round(avg(toxic), 9) as p from k join labels l on l.doc_id = other where rn <= 5 group by k.doc_id""")
 def _(t):
-    model = textfeat.fit_tfidf(t.documents, "doc_id", "text", n=(1, 2), min_df=3, max_df=0.9, sublinear=True)
-    return vectors.knn_probability(model.transform(t.documents, "doc_id", "text"), "doc_id", t.labels, "toxic").withColumn("p", r("p"))
+    _, rows = textfeat.fit_transform_tfidf(t.documents, "doc_id", "text", n=(1, 2), min_df=3, max_df=0.9, sublinear=True)
+    return vectors.knn_probability(rows, "doc_id", t.labels, "toxic").withColumn("p", r("p"))

@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 from featherloom.catalog.common import r
 from featherloom.catalog.registry import query
 from featherloom.functions import textrules as tr
-from featherloom.functions.arrays import fit_length
-from featherloom.operators import encode, filters, textfeat
+from featherloom.operators import encode, textfeat
+from featherloom.session import spread
 
 STOPS = ["the", "of", "and", "und", "der", "les", "que"]
 
 
+def docs(t):
+    """The documents, spread over the cores if they sit in a few splits only."""
+    return spread(t.documents, "doc_id")
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -43,19 +48,19 @@ CLEAN = rx("lower(" + rx("text", tr.COMMENT_BEFORE_LOWER) + ")", tr.COMMENT_AFTE
 
 @query("str_1_clean_comment", f"select doc_id, {CLEAN} as text from documents")
 def _(t):
-    return t.documents.select("doc_id", tr.clean_comment("text").alias("text"))
+    return docs(t).select("doc_id", tr.clean_comment("text").alias("text"))
 
 
 @query("str_2_clean_question", f"""
 select doc_id, {rx(f"array_to_string(list_filter({tok('lower(text)')}, lambda w: w not in {in_list(STOPS)}), ' ')", tr.QUESTION_RULES)} as text from documents""")
 def _(t):
-    return t.documents.select("doc_id", tr.clean_question("text", STOPS).alias("text"))
+    return docs(t).select("doc_id", tr.clean_question("text", STOPS).alias("text"))
 
 
 @query("str_3_stop_words", f"""
 select doc_id, array_to_string(list_filter({tok('lower(text)')}, lambda w: w not in {in_list(STOPS)}), ' ') as text from documents""")
 def _(t):
-    return t.documents.select("doc_id", tr.remove_stop_words(F.lower("text"), STOPS).alias("text"))
+    return docs(t).select("doc_id", tr.remove_stop_words(F.lower("text"), STOPS).alias("text"))
 
 
 def squeezed(expr: str) -> str:
@@ -66,7 +71,7 @@ def squeezed(expr: str) -> str:
 
 @query("str_4_squeeze_letters", f"select doc_id, {squeezed('lower(text)')} as text from documents")
 def _(t):
-    return t.documents.select("doc_id", tr.squeeze_letters(F.lower("text")).alias("text"))
+    return docs(t).select("doc_id", tr.squeeze_letters(F.lower("text")).alias("text"))
 
 
 TOKEN_MAP = {"the": "THE", "can't": "can not", "und": "and", "thth": "th"}
@@ -75,7 +80,7 @@ MAP_SQL = "list_transform({0}, lambda w: case " + " ".join(f"when w = {quoted(k)
 
 @query("str_5_map_tokens", f"select doc_id, array_to_string({MAP_SQL.format(tok('lower(text)'))}, ' ') as text from documents")
 def _(t):
-    return t.documents.select("doc_id", tr.map_tokens(F.lower("text"), TOKEN_MAP).alias("text"))
+    return docs(t).select("doc_id", tr.map_tokens(F.lower("text"), TOKEN_MAP).alias("text"))
 
 
 @query("str_5_map_tokens_by_join", f"""
@@ -85,8 +90,8 @@ select d.doc_id, string_agg(coalesce(c, d.w), ' ' order by i) as text from d lef
 def _(t):
     table = t.benchmark.select("item_id", F.explode(tr.tokens(F.lower("text"))).alias("w")).groupBy("w").agg(
         F.concat(F.lit("B"), F.min("item_id").cast("string")).alias("c"))
-    docs = t.documents.select("doc_id", F.lower("text").alias("text"))
-    return textfeat.map_tokens_by_join(docs, "doc_id", "text", table, "w", "c")
+    lowered = docs(t).select("doc_id", F.lower("text").alias("text"))
+    return textfeat.map_tokens_by_join(lowered, "doc_id", "text", table, "w", "c")
 
 
 STARRED = "replace(replace(lower(text), 'th', 't*h'), 'sc', '*s*c')"
@@ -98,13 +103,13 @@ select doc_id, replace(array_to_string(list_transform({tok(STARRED)}, lambda w:
   when contains(w, '*') and replace(w, '*', '') in {in_list(KNOWN)} then replace(w, '*', '') else w end), ' '), '*', ' ') as text from documents""")
 def _(t):
     starred = F.replace(F.replace(F.lower("text"), F.lit("th"), F.lit("t*h")), F.lit("sc"), F.lit("*s*c"))
-    return t.documents.select("doc_id", tr.unmask_stars(starred, KNOWN, {"t*h": "masked"}).alias("text"))
+    return docs(t).select("doc_id", tr.unmask_stars(starred, KNOWN, {"t*h": "masked"}).alias("text"))
 
 
 @query("str_7_canonical_substring", """
 select doc_id, array_to_string(list_transform(string_split(lower(text), ' '), lambda w: case when contains(w, 'tion') then 'TION' when contains(w, 'th') then 'TH' else w end), ' ') as text from documents""")
 def _(t):
-    return t.documents.select("doc_id", tr.canonical_by_substring(F.lower("text"), [("tion", "TION"), ("th", "TH")]).alias("text"))
+    return docs(t).select("doc_id", tr.canonical_by_substring(F.lower("text"), [("tion", "TION"), ("th", "TH")]).alias("text"))
 
 
 @query("str_8_fill_empty", """
@@ -112,7 +117,7 @@ select doc_id, case when regexp_replace(x, '\\s+', '', 'g') = '' then 'NA' else
 from (select doc_id, regexp_replace(text, '[^0-9 ]', '', 'g') as x from documents)""")
 def _(t):
     x = F.regexp_replace("text", "[^0-9 ]", "")
-    return t.documents.select("doc_id", tr.fill_empty(x).alias("trimmed"), tr.fill_empty(x, strict=True).alias("strict"))
+    return docs(t).select("doc_id", tr.fill_empty(x).alias("trimmed"), tr.fill_empty(x, strict=True).alias("strict"))
 
 
 NO_STARS = f"replace(array_to_string({tok(CLEAN)}, ' '), '*', ' ')"
@@ -123,7 +128,7 @@ CHAINED = squeezed(f"array_to_string(list_filter({tok(NO_STARS)}, lambda w: w no
 select doc_id, case when trim(x) = '' then 'NA' else x end as text from (select doc_id, {CHAINED} as x from documents)""")
 def _(t):
     steps = [tr.clean_comment, lambda c: tr.unmask_stars(c, []), lambda c: tr.remove_stop_words(c, STOPS), tr.squeeze_letters, tr.fill_empty]
-    return t.documents.select("doc_id", tr.chain("text", steps).alias("text"))
+    return docs(t).select("doc_id", tr.chain("text", steps).alias("text"))
 
 
 @query("str_10_punctuation_and_signs", """
@@ -131,19 +136,19 @@ select doc_id, replace(replace(translate(replace(translate(text, ',.', '，。')
        replace(replace(replace(text, ' ', ''), 'Ca', '癌'), '子宫颈', '宫颈') as fixed from documents""")
 def _(t):
     wide = F.replace(F.translate("text", ",.", "，。"), F.lit("ion"), F.lit("(-)"))
-    return t.documents.select("doc_id", tr.chain(wide, [tr.ascii_punctuation, tr.sign_words]).alias("text"), tr.fix_terms("text").alias("fixed"))
+    return docs(t).select("doc_id", tr.chain(wide, [tr.ascii_punctuation, tr.sign_words]).alias("text"), tr.fix_terms("text").alias("fixed"))
 
 
 @query("str_11_number_prefix", """
 select doc_id, regexp_replace(text, '\\d*[.,]', '', 'g') as a, regexp_replace(text, '\\d*\\.', '', 'g') as b from documents""")
 def _(t):
-    return t.documents.select("doc_id", tr.drop_number_prefix("text").alias("a"), tr.drop_list_number("text").alias("b"))
+    return docs(t).select("doc_id", tr.drop_number_prefix("text").alias("a"), tr.drop_list_number("text").alias("b"))
 
 
 @query("str_12_after_marker", """
 select doc_id, case when contains(text, 'the ') then substr(text, instr(text, 'the ') + 4) else text end as text from documents""")
 def _(t):
-    return t.documents.select("doc_id", tr.after_marker("text", "the ").alias("text"))
+    return docs(t).select("doc_id", tr.after_marker("text", "the ").alias("text"))
 
 
 @query("str_13_clean_record", f"""
@@ -152,7 +157,7 @@ select doc_id, {rx("translate(replace(text, ' en ', '，一，(x) 5mg 次/分'),
 def _(t):
     x = F.replace("text", F.lit(" en "), F.lit("，一，(x) 5mg 次/分"))
     p = F.replace(F.replace("text", F.lit("th"), F.lit(",姓名x,")), F.lit("er"), F.lit(",年龄y,"))
-    return t.documents.select("doc_id", tr.clean_record(x).alias("text"), tr.drop_person_info(p).alias("person"))
+    return docs(t).select("doc_id", tr.clean_record(x).alias("text"), tr.drop_person_info(p).alias("person"))
 
 
 PREPARED = rx("translate(lower(text), chr(10) || chr(9) || chr(8) || chr(13), '    ')", tr.CHAR_GRAM_CONTRACTIONS)
@@ -163,7 +168,7 @@ CHAR_GRAM = f"'#' || replace({rx(WORDS, tr.CHAR_GRAM_TAIL[1:])}, ' ', '# #') ||
 
 @query("str_15_char_gram_text", f"select doc_id, {CHAR_GRAM} as text from documents")
 def _(t):
-    return t.documents.select("doc_id", tr.for_char_grams("text").alias("text"))
+    return docs(t).select("doc_id", tr.for_char_grams("text").alias("text"))
 
 
 @query("str_14_count_features", f"""
@@ -176,13 +181,13 @@ select doc_id, {', '.join(f"len(regexp_extract_all(text, {quoted(p)}))::INTEGER
 def _(t):
     made = tr.count_features("text", {"nb_th": "th"})
     made["clean_chars_ratio"] = r(made["clean_chars_ratio"])
-    return t.documents.select("doc_id", *[c.alias(n) for n, c in made.items()])
+    return docs(t).select("doc_id", *[c.alias(n) for n, c in made.items()])
 
 
 @query("str_16_substring_counts", """
 select doc_id, ((length(text) - length(replace(text, 'tion', ''))) / 4)::INTEGER as n_tion, ((length(text) - length(replace(text, 'und', ''))) / 3)::INTEGER as n_und from documents""")
 def _(t):
-    return t.documents.select("doc_id", *[c.alias(n) for n, c in tr.substring_counts("text", ["tion", "und"]).items()])
+    return docs(t).select("doc_id", *[c.alias(n) for n, c in tr.substring_counts("text", ["tion", "und"]).items()])
 
 
 @query("str_17_longest_sentence", """
@@ -243,7 +248,7 @@ begun as (select doc_id, length(text) as n, rank, topic, case when substr(text,
   else length(regexp_replace(substr(text, 1, pos - 1), '[^,;.]*$', '')) end as b from placed)
 select doc_id, topic, b::INTEGER as begin, coalesce(lead(b) over (partition by doc_id order by b, rank), n)::INTEGER as end from begun""")
 def _(t):
-    return t.documents.select("doc_id", F.inline(tr.topic_ranges("text", TOPICS)))
+    return docs(t).select("doc_id", F.inline(tr.topic_ranges("text", TOPICS)))
 
 
 @query("str_21_rule_label", """
@@ -263,7 +268,7 @@ select doc_id, ta as time_joined, sa as suffix_joined from (select doc_id, strin
 join (select doc_id, string_agg(x, '/' order by sn) as sa from b group by doc_id) using (doc_id)""")
 def _(t):
     swap = lambda w: F.when(w.isin("the", "und", "la"), "年").when(w.isin("of", "der", "de"), "5").when(w.isin("and", "is"), "病").otherwise(w)
-    x = t.documents.select("doc_id", F.transform(tr.tokens(F.lower("text")), swap).alias("x"))
+    x = docs(t).select("doc_id", F.transform(tr.tokens(F.lower("text")), swap).alias("x"))
     return x.select("doc_id", F.array_join(tr.join_time_words("x"), "/").alias("time_joined"), F.array_join(tr.join_suffix_words("x"), "/").alias("suffix_joined"))
 
 
@@ -275,7 +280,7 @@ with c as (select doc_id, unnest(x) as c, generate_subscripts(x, 1) - 1 as claus
 f as (select doc_id, clause, c, item from c cross join (values ('the'), ('tion'), ('chen')) v(item) where contains(c, item))
 select doc_id, clause::INTEGER as clause, item, {has_any('substr(c, 1, instr(c, item) - 1)', DENY)} as negated from f""")
 def _(t):
-    return t.documents.select("doc_id", F.inline(tr.clause_facts("text", ITEMS, DENY)))
+    return docs(t).select("doc_id", F.inline(tr.clause_facts("text", ITEMS, DENY)))
 
 
 @query("agg_23_fact_counters", f"""
@@ -283,7 +288,7 @@ with c as (select unnest(string_split_regex(text, '[,;.]')) as c from documents)
 f as (select item, {has_any('substr(c, 1, instr(c, item) - 1)', DENY)} as negated from c cross join (values ('the'), ('tion'), ('chen')) v(item) where contains(c, item))
 select item, count(*) as n, count(*) filter (not negated) as asserted from f group by item""")
 def _(t):
-    facts = t.documents.select(F.inline(tr.clause_facts("text", ITEMS, DENY)))
+    facts = docs(t).select(F.inline(tr.clause_facts("text", ITEMS, DENY)))
     return facts.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("negated")).alias("asserted"))
 
 
@@ -306,13 +311,13 @@ with w as (select unnest({tok('lower(text)')}) as word from documents)
 select word, count(*) as n from w where not regexp_matches(word, '^[-+]?[0-9]+$') and not contains(word, 'mm') and not contains(word, 'cm') and word not in {in_list(STOPS)}
 group by word having count(*) > 5""")
 def _(t):
-    return textfeat.word_frequency(t.documents, tr.tokens(F.lower("text")), 5, STOPS)
+    return textfeat.word_frequency(docs(t), tr.tokens(F.lower("text")), 5, STOPS)
 
 
 @query("agg_20_script_census", " union all ".join(f"""
 select '{s}' as script, sum(len(regexp_extract_all(text, '\\p{{{s}}}')))::BIGINT as chars, count(*) filter (regexp_matches(text, '\\p{{{s}}}')) as docs from documents""" for s in textfeat.SCRIPTS))
 def _(t):
-    return textfeat.script_census(t.documents, "text")
+    return textfeat.script_census(docs(t), "text")
 
 
 BAG = f"""words as (select doc_id, unnest({tok('lower(text)')}) as word from documents),
@@ -322,8 +327,8 @@ vocab as (select word, row_number() over (order by count(*) desc, word) as idx f
 @query("agg_24_bag_of_words", f"with {BAG} select doc_id, idx, count(*) as n from words join vocab using (word) group by all")
 def _(t):
     words = tr.tokens(F.lower("text"))
-    vocab = encode.frequency_codes(t.documents.select(F.explode(words).alias("word")), "word").where("n > 15")
-    return textfeat.bag_of_words(t.documents, "doc_id", words, vocab)
+    vocab = encode.frequency_codes(docs(t).select(F.explode(words).alias("word")), "word").where("n > 15")
+    return textfeat.bag_of_words(docs(t), "doc_id", words, vocab)
 
 
 IDX = f"""toks as (select doc_id, unnest(x) as word, generate_subscripts(x, 1) as i from (select doc_id,
@@ -336,8 +341,8 @@ seqs as (select doc_id, list(code order by i) as ids from toks join vocab using
 select doc_id, array_to_string(case when len(ids) >= 50 then ids[len(ids) - 49:] else list_concat(list_transform(range(0, 50 - len(ids)), lambda x: 0::BIGINT), ids) end, ' ') as ids from full_seqs""")
 def _(t):
     words = textfeat.index_tokens("text")
-    index = textfeat.fit_token_index(t.documents, words, cap=2000)
-    seqs = textfeat.id_sequences(t.documents, "doc_id", words, index, 50)
+    index = textfeat.fit_token_index(docs(t), words, cap=2000)
+    seqs = textfeat.id_sequences(docs(t), "doc_id", words, index, 50)
     return seqs.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
@@ -348,8 +353,8 @@ s as (select doc_id, list(code order by i)[:200] as ids from c join v using (c)
 select doc_id, list_sum(ids)::BIGINT as total, ids[1] as first_id, ids[len(ids)] as last_id from s""")
 def _(t):
     chars = textfeat.char_tokens("text")
-    index = textfeat.fit_token_index(t.documents, chars)
-    seqs = textfeat.id_sequences(t.documents, "doc_id", chars, index, 200, side="post")
+    index = textfeat.fit_token_index(docs(t), chars)
+    seqs = textfeat.id_sequences(docs(t), "doc_id", chars, index, 200, side="post")
     real = F.filter("ids", lambda x: x > 0)
     return seqs.select("doc_id", F.aggregate(real, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"),
                        F.get(real, F.lit(0)).alias("first_id"), F.get(real, F.size(real) - 1).alias("last_id"))
@@ -360,7 +365,7 @@ with c as (select doc_id, i, substr(lower(text), length(lower(text)) - i + 1, 1)
 a as (select unnest(regexp_extract_all({quoted(tr.ALPHABET)}, '.')) as c, unnest(range(1, {len(tr.ALPHABET) + 1})) as idx), m as (select c, max(idx) as idx from a group by c)
 select doc_id, string_agg((case when i <= n then coalesce(idx, 0) else 0 end)::VARCHAR, ' ' order by i) as ids from c left join m using (c) group by doc_id""")
 def _(t):
-    return t.documents.select("doc_id", F.array_join(tr.tail_char_ids("text", 64).cast("array<string>"), " ").alias("ids"))
+    return docs(t).select("doc_id", F.array_join(tr.tail_char_ids("text", 64).cast("array<string>"), " ").alias("ids"))
 
 
 # -- TF-IDF ------------------------------------------------------------------------------------
@@ -389,27 +394,27 @@ WORD_TFIDF = tfidf_sql(WORD_GRAMS, "(1 + ln(tf))", 3, 0.9)
 
 @query("mlf_1_tfidf_word", f"with {WORD_TFIDF} select doc_id, term, round(w, 6) as w from rows")
 def _(t):
-    model = textfeat.fit_tfidf(t.documents, "doc_id", "text", n=(1, 2), min_df=3, max_df=0.9, sublinear=True)
-    return model.transform(t.documents, "doc_id", "text").withColumn("w", r("w", 6))
+    _, rows = textfeat.fit_transform_tfidf(docs(t), "doc_id", "text", n=(1, 2), min_df=3, max_df=0.9, sublinear=True)
+    return rows.withColumn("w", r("w", 6))
 
 
 @query("mlf_1_tfidf_char", f"with {tfidf_sql(CHAR_GRAMS, 'tf', 2, 1.0, 2000)} select doc_id, term, round(w, 6) as w from rows")
 def _(t):
-    model = textfeat.fit_tfidf(t.documents, "doc_id", "text", analyzer="char", n=(2, 3), min_df=2, max_features=2000)
-    return model.transform(t.documents, "doc_id", "text").withColumn("w", r("w", 6))
+    _, rows = textfeat.fit_transform_tfidf(docs(t), "doc_id", "text", analyzer="char", n=(2, 3), min_df=2, max_features=2000)
+    return rows.withColumn("w", r("w", 6))
 
 
 @query("mlf_1_tfidf_token_char", f"with {tfidf_sql(TOKEN_GRAMS, '1.0::DOUBLE', 1, 1.0)} select doc_id, term, round(w, 6) as w from rows")
 def _(t):
-    docs = t.documents.select("doc_id", tr.for_char_grams("text").alias("text"))
-    model = textfeat.fit_tfidf(docs, "doc_id", "text", analyzer="token_char", n=(3, 3), binary=True)
-    return model.transform(docs, "doc_id", "text").withColumn("w", r("w", 6))
+    padded = docs(t).select("doc_id", tr.for_char_grams("text").alias("text"))
+    _, rows = textfeat.fit_transform_tfidf(padded, "doc_id", "text", analyzer="token_char", n=(3, 3), binary=True)
+    return rows.withColumn("w", r("w", 6))
 
 
 @query("srt_5_top_terms", f"""with {WORD_GRAMS}
 select term, count(*) as corpus_tf from grams group by term order by corpus_tf desc, term limit 1000""")
 def _(t):
-    counts = textfeat.term_counts(t.documents, "doc_id", "text", n=(1, 2))
+    counts = textfeat.term_counts(docs(t), "doc_id", "text", n=(1, 2))
     return textfeat.top_terms(counts.groupBy("term").agg(F.sum("tf").alias("corpus_tf")), 1000)
 
 
@@ -420,14 +425,12 @@ ratio as (select term, ln(((1 + coalesce(sum(w) filter (toxic = 1), 0)) / (1 + a
 
 @query("mlf_2_log_count_ratio", f"with {WORD_TFIDF}, {RATIO} select term, round(r, 6) + 0.0 as r from ratio")
 def _(t):
-    model = textfeat.fit_tfidf(t.documents, "doc_id", "text", n=(1, 2), min_df=3, max_df=0.9, sublinear=True)
-    rows = model.transform(t.documents, "doc_id", "text")
+    _, rows = textfeat.fit_transform_tfidf(docs(t), "doc_id", "text", n=(1, 2), min_df=3, max_df=0.9, sublinear=True)
     return textfeat.log_count_ratio(rows, t.labels, "doc_id", "toxic").withColumn("r", r("r", 6))
 
 
 @query("mlf_2_scaled_rows", f"with {WORD_TFIDF}, {RATIO} select doc_id, count(*) as n, round(sum(w * r), 5) + 0.0 as total from rows join ratio using (term) group by doc_id")
 def _(t):
-    model = textfeat.fit_tfidf(t.documents, "doc_id", "text", n=(1, 2), min_df=3, max_df=0.9, sublinear=True)
-    rows = model.transform(t.documents, "doc_id", "text")
+    _, rows = textfeat.fit_transform_tfidf(docs(t), "doc_id", "text", n=(1, 2), min_df=3, max_df=0.9, sublinear=True)
     scaled = textfeat.scale_by_ratio(rows, textfeat.log_count_ratio(rows, t.labels, "doc_id", "toxic"), "doc_id")
     return scaled.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), r(F.sum("w"), 5).alias("total"))

@@ -139,7 +139,7 @@ def clean_comment(text: Column | str) -> Column:
 
 def clean_question(text: Column | str, stop_words: Sequence[str] = ()) -> Column:
     """The long rule list over lower-cased, blank-normalised text; stop words are optional."""
-    words = F.filter(F.split(F.lower(_col(text)), r"\s+"), lambda w: w != "")
+    words = tokens(F.lower(_col(text)))
     if stop_words:
         words = without_words(words, stop_words)
     return apply_rules(F.array_join(words, " "), QUESTION_RULES)
@@ -147,7 +147,7 @@ def clean_question(text: Column | str, stop_words: Sequence[str] = ()) -> Column
 
 def tokens(text: Column | str) -> Column:
     """Non-empty blank-separated tokens."""
-    return F.filter(F.split(_col(text), r"\s+"), lambda w: w != "")
+    return F.regexp_extract_all(_col(text), F.lit(r"\S+"), F.lit(0))
 
 
 def without_words(words: Column, stop_words: Sequence[str]) -> Column:
@@ -242,7 +242,8 @@ def drop_person_info(text: Column | str) -> Column:
 def for_char_grams(text: Column | str) -> Column:
     """Lower case, contractions opened, punctuation and digits out, each word padded as ``#word#``."""
     spaced = F.translate(F.lower(_col(text)), "\n\t\b\r", "    ")
-    opened = apply_rules(spaced, CHAR_GRAM_CONTRACTIONS)
+    # every contraction holds an apostrophe, and most texts are spared the ten scans
+    opened = F.when(spaced.contains("'"), apply_rules(spaced, CHAR_GRAM_CONTRACTIONS)).otherwise(spaced)
     words = F.array_join(F.transform(F.split(F.regexp_replace(opened, r"^\s+|\s+$", ""), r"\s+"),
                                      lambda w: F.regexp_replace(w, *CHAR_GRAM_TAIL[0])), " ")
     clean = apply_rules(words, CHAR_GRAM_TAIL[1:])
@@ -280,6 +281,9 @@ RAW_COUNTS = {
     "has_emphasize_equal": r"={2}[^\n]+={2}",
     "has_emphasize_quotes": f"\"{{4}}{NOT_S}+\"{{4}}",
 }
+# text that a match must hold: a quick test before the costlier patterns
+REQUIRED = {"has_date_long": ":", "has_http": "http", "has_mail": "@", "has_emphasize_equal": "==",
+            "has_emphasize_quotes": '""""', "nb_mother": "mother", "nb_you": "ou", "nb_dk": "ick"}
 CLEAN_LENGTH_CAP = 99  # fixed value: the ratio divides by 1 + min(99, length)
 
 
@@ -287,7 +291,10 @@ def count_features(text: str, watched: Mapping[str, str] | None = None) -> dict[
     """Count columns of the raw text, and four of its char-gram form. ``watched`` adds patterns of
     the user's own (name to pattern)."""
     t = F.col(text)
-    out = {name: F.regexp_count(t, F.lit(p)) for name, p in {**RAW_COUNTS, **(watched or {})}.items()}
+    def count(name: str, pattern: str) -> Column:
+        n = F.regexp_count(t, F.lit(pattern))
+        return F.when(t.contains(REQUIRED[name]), n).otherwise(F.when(t.isNotNull(), 0)) if name in REQUIRED else n
+    out = {name: count(name, p) for name, p in {**RAW_COUNTS, **(watched or {})}.items()}
     out["raw_char_len"] = F.length(t)
     clean = for_char_grams(t)
     distinct = F.size(F.array_distinct(F.split(clean, "")))

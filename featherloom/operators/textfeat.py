@@ -16,6 +16,7 @@ from featherloom.functions.textrules import W, tokens
 from featherloom.operators.columns import with_row
 from featherloom.operators.encode import frequency_codes
 from featherloom.operators.filters import keep_words
+from featherloom.session import durable
 
 # fixed values: Unicode scripts counted by the census
 SCRIPTS = (
@@ -28,10 +29,17 @@ SCRIPTS = (
 
 
 def script_census(df: DataFrame, text: str, scripts: Sequence[str] = SCRIPTS) -> DataFrame:
-    """Characters and documents per Unicode script: one aggregate over one pass of the texts."""
-    counted = df.select(*[F.regexp_count(text, F.lit(rf"\p{{Is{s}}}")).alias(s) for s in scripts])
-    row = counted.agg(*[F.sum(F.col(s).cast("long")).alias(f"c_{s}") for s in scripts],
-                      *[F.count_if(F.col(s) > 0).alias(f"d_{s}") for s in scripts])
+    """Characters and documents per Unicode script.
+
+    The script patterns only see distinct characters: those of the corpus with their counts, and the
+    character set of each document.
+    """
+    in_script = lambda c, s: F.col(c).rlike(rf"\p{{Is{s}}}")
+    chars = df.select(F.explode(F.split(text, "")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    totals = chars.agg(*[F.coalesce(F.sum(F.when(in_script("c", s), F.col("n"))), F.lit(0)).alias(f"c_{s}") for s in scripts])
+    sets = df.select(F.array_join(F.array_distinct(F.split(text, "")), "").alias("d"))
+    docs = sets.agg(*[F.count_if(in_script("d", s)).alias(f"d_{s}") for s in scripts])
+    row = totals.crossJoin(F.broadcast(docs))  # one row each
     return row.select(F.inline(F.array(*[F.struct(
         F.lit(s).alias("script"), F.col(f"c_{s}").alias("chars"), F.col(f"d_{s}").alias("docs")) for s in scripts])))
 
@@ -174,6 +182,14 @@ def fit_tfidf(df: DataFrame, key: str, text: str, *, analyzer: str = "word", n:
     return TfidfModel(kept.select("term", "df", "corpus_tf", idf.alias("idf")), analyzer, n, sublinear, binary)
 
 
+def fit_transform_tfidf(df: DataFrame, key: str, text: str, *, analyzer: str = "word", n: tuple[int, int] = (1, 1),
+                        **options) -> tuple[TfidfModel, DataFrame]:
+    """Fit and transform the same rows. The counts are written once, since both steps read them."""
+    counts = durable(term_counts(df, key, text, analyzer, n))
+    model = fit_tfidf(df, key, text, analyzer=analyzer, n=n, counts=counts, **options)
+    return model, model.transform(df, key, text, counts=counts)
+
+
 def top_terms(terms: DataFrame, k: int) -> DataFrame:
     """The k terms with the highest corpus frequency (ties by term): a top-k, not a full sort."""
     return terms.orderBy(F.col("corpus_tf").desc(), F.col("term")).limit(k)

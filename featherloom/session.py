@@ -54,3 +54,13 @@ def durable(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan of few splits over all cores before expensive work per row.
+
+    Only a scan with fewer partitions than the cluster has cores is moved, and such a scan is small;
+    a large one already has enough splits and passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -46,12 +46,13 @@ def _(t):
     return _nested(t).select("key", _flat("emr").alias("emr"), _flat_nested("lis").alias("lis"))
 
 
-@query("jon_1_admissions_left_join", f"""with {NESTED}, adm as (select c_custkey::VARCHAR || '+' || d as key, c_custkey from customer cross join (select distinct strftime(ts, '%Y%m%d') as d from events))
-select c_custkey, key, emr, lis from adm left join nested using (key)""")
+@query("jon_1_admissions_left_join", f"""with {NESTED}, adm as (select event_id, user_id::VARCHAR || '+' || strftime(ts + to_days((event_id % 4)::INTEGER), '%Y%m%d') as key from events)
+select event_id, key, emr, lis from adm left join nested using (key)""")
 def _(t):
-    days = t.events.select(F.date_format("ts", "yyyyMMdd").alias("d")).distinct()
-    adm = t.customer.select("c_custkey").join(days).select("c_custkey", F.concat_ws("+", F.col("c_custkey").cast("string"), "d").alias("key"))
-    return records.left_join(adm, _nested(t), ["key"]).select("c_custkey", "key", _flat("emr").alias("emr"), _flat_nested("lis").alias("lis"))
+    # every event opens an admission up to three days later, so that some have no records
+    day = F.date_format(F.col("ts") + F.make_dt_interval((F.col("event_id") % 4).cast("int")), "yyyyMMdd")
+    adm = t.events.select("event_id", F.concat_ws("+", F.col("user_id").cast("string"), day).alias("key"))
+    return records.left_join(adm, _nested(t), ["key"]).select("event_id", "key", _flat("emr").alias("emr"), _flat_nested("lis").alias("lis"))
 
 
 @query("agg_11_nested_by_date", """

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from featherloom.functions.hashing import HASH_RANGE, key_hash
 from featherloom.operators.columns import with_row
 from featherloom.operators.ranking import exact_medians, ordered_prefix
+from featherloom.session import broadcast_if_small
 
 # fixed values: a column is one-hot encoded if 1 < distinct values < 100
 MIN_CATEGORIES, MAX_CATEGORIES = 1, 100
@@ -132,9 +133,8 @@ def first_seen_codes(df: DataFrame, col: str, order: str, start: int = 0) -> Dat
 
 
 def apply_codes(df: DataFrame, codes: DataFrame, col: str, out: str, unseen: int | None = None) -> DataFrame:
-    """Attach codes; values without one get ``unseen``. The code table is as large as the
-    vocabulary, so the join strategy is left to Catalyst and AQE."""
-    table = codes.select(col, F.col("code").alias(out))
+    """Attach codes; values without one get ``unseen``."""
+    table = broadcast_if_small(codes.select(col, F.col("code").alias(out)))
     joined = df.join(table, col, "left")
     return joined if unseen is None else joined.withColumn(out, F.coalesce(out, F.lit(unseen)))
 
@@ -146,6 +146,7 @@ def sparse_rows(df: DataFrame, key: str, label: str, fields: Sequence[str]) -> D
     distinct = long.select("field", "value").distinct()
     codes = ordered_prefix(distinct, [], [F.col("field"), F.col("value")], row_number="_rn").select(
         "field", "value", (F.col("_rn") - 1).alias("code"))
+    codes = broadcast_if_small(codes)
     item = F.concat_ws(":", F.col("field").cast("string"), F.col("code").cast("string"), F.lit("1"))
     return (
         long.join(codes, ["field", "value"])

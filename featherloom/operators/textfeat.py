@@ -9,14 +9,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from featherloom.functions.arrays import fit_length
 from featherloom.functions.textrules import W, tokens
 from featherloom.operators.columns import with_row
 from featherloom.operators.encode import frequency_codes
 from featherloom.operators.filters import keep_words
-from featherloom.session import durable
+from featherloom.session import broadcast_if_small, durable
 
 # fixed values: Unicode scripts counted by the census
 SCRIPTS = (
@@ -53,7 +53,8 @@ def word_frequency(df: DataFrame, words: Column, threshold: int, stop_words: Seq
 def bag_of_words(df: DataFrame, key: str, words: Column, vocabulary: DataFrame) -> DataFrame:
     """(key, idx, n) for the words of a vocabulary table (word, code)."""
     counts = df.select(key, F.explode(words).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(vocabulary.select("word", F.col("code").alias("idx")), "word").select(key, "idx", "n")
+    listed = broadcast_if_small(vocabulary.select("word", F.col("code").alias("idx")))
+    return counts.join(listed, "word").select(key, "idx", "n")
 
 
 def bag_map(bag: DataFrame, key: str) -> DataFrame:
@@ -64,7 +65,7 @@ def bag_map(bag: DataFrame, key: str) -> DataFrame:
 def map_tokens_by_join(df: DataFrame, key: str, text: str, table: DataFrame, word: str, canonical: str) -> DataFrame:
     """Replace tokens through a table of any size, keeping their order."""
     placed = df.select(key, F.posexplode(tokens(text)).alias("pos", "_w"))
-    names = table.select(F.col(word).alias("_w"), F.col(canonical).alias("_c"))
+    names = broadcast_if_small(table.select(F.col(word).alias("_w"), F.col(canonical).alias("_c")))
     mapped = placed.join(names, "_w", "left").select(key, "pos", F.coalesce("_c", "_w").alias("w"))
     joined = mapped.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("xs")).select(
         key, F.array_join(F.transform("xs", lambda x: x["w"]), " ").alias("mapped"))
@@ -95,7 +96,7 @@ def fit_token_index(df: DataFrame, words: Column, cap: int | None = None) -> Dat
 def id_sequences(df: DataFrame, key: str, words: Column, index: DataFrame, length: int, side: str = "pre") -> DataFrame:
     """Token ids in order, unknown words dropped, padded and cut to ``length``."""
     placed = df.select(key, F.posexplode(words).alias("pos", "word"))
-    known = placed.join(index.select("word", "code"), "word")
+    known = placed.join(broadcast_if_small(index.select("word", "code")), "word")
     listed = known.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "code"))).alias("xs"))
     ids = F.coalesce(F.transform("xs", lambda x: x["code"]), F.array().cast("array<bigint>"))
     return df.select(key).join(listed, key, "left").select(
@@ -158,14 +159,15 @@ class TfidfModel:
     binary: bool
 
     def transform(self, df: DataFrame, key: str, text: str, counts: DataFrame | None = None) -> DataFrame:
-        """(key, term, w) with L2-normalised rows. The vocabulary is as large as the data makes it,
-        so its join is left to Catalyst and AQE, which also splits frequent terms."""
+        """(key, term, w) with L2-normalised rows. The vocabulary is broadcast only if it was counted
+        to be small; the norm is a window over one document's terms."""
         counts = counts if counts is not None else term_counts(df, key, text, self.analyzer, self.n)
         tf = F.lit(1.0) if self.binary else F.col("tf").cast("double")
         tf = 1 + F.ln(tf) if self.sublinear else tf
-        raw = counts.join(self.vocabulary.select("term", "idf"), "term").select(key, "term", (tf * F.col("idf")).alias("_w"))
-        norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-        return raw.join(norms, key).select(key, "term", (F.col("_w") / F.col("_norm")).alias("w"))
+        vocabulary = broadcast_if_small(self.vocabulary.select("term", "idf"))
+        raw = counts.join(vocabulary, "term").select(key, "term", (tf * F.col("idf")).alias("_w"))
+        row_norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
+        return raw.select(key, "term", (F.col("_w") / row_norm).alias("w"))
 
 
 def fit_tfidf(df: DataFrame, key: str, text: str, *, analyzer: str = "word", n: tuple[int, int] = (1, 1),
@@ -179,7 +181,8 @@ def fit_tfidf(df: DataFrame, key: str, text: str, *, analyzer: str = "word", n:
     if max_features is not None:
         kept = top_terms(kept, max_features)
     idf = F.ln((1 + F.col("_docs")) / (1 + F.col("df"))) + 1
-    return TfidfModel(kept.select("term", "df", "corpus_tf", idf.alias("idf")), analyzer, n, sublinear, binary)
+    vocabulary = durable(kept.select("term", "df", "corpus_tf", idf.alias("idf")))  # read by every transform
+    return TfidfModel(vocabulary, analyzer, n, sublinear, binary)
 
 
 def fit_transform_tfidf(df: DataFrame, key: str, text: str, *, analyzer: str = "word", n: tuple[int, int] = (1, 1),
@@ -206,7 +209,8 @@ def log_count_ratio(rows: DataFrame, labels: DataFrame, key: str, label: str) ->
 
 
 def scale_by_ratio(rows: DataFrame, ratio: DataFrame, key: str) -> DataFrame:
-    return rows.join(ratio, "term").select(key, "term", (F.col("w") * F.col("r")).alias("w"))
+    known = broadcast_if_small(durable(ratio))
+    return rows.join(known, "term").select(key, "term", (F.col("w") * F.col("r")).alias("w"))
 
 
 def group_terms(terms: DataFrame, key: str, term: str, categories: DataFrame, norms: DataFrame,

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(app: str = "featherloom", cores: str | int = "*", shuffle_partitions: int = 8,
@@ -56,6 +56,19 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+BROADCAST_ROWS = 500_000   # narrow dictionary rows: some tens of megabytes
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a dictionary for broadcast only after counting that it is small.
+
+    A frequent word then never gathers in one shuffle partition. A larger dictionary is returned
+    as it is: the join goes by shuffle and AQE splits the partitions of frequent words. Give it a
+    frame that is cheap to count (already written, or limited by construction).
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread a scan of few splits over all cores before expensive work per row.
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from featherloom.catalog.common import (LABEL_SCORES, MODELS, ORDER_SCORES, ORDER_VOTES, label_scores,
                                         order_scores, order_votes, r)
 from featherloom.catalog.registry import query
+from featherloom.catalog.text import CLEAN
+from featherloom.functions.textrules import clean_comment
 from featherloom.operators import ensemble, evaluate
 
 
@@ -109,14 +111,14 @@ def _(t):
 
 
 @query("evl_3_bad_cases", f"""
-with {LABEL_SCORES}
-select s.model, s.label_name, s.id, case when s.truth = 1 then 'fn' else 'fp' end as kind, s.p, d.text
-from label_scores s join documents d on s.id = d.doc_id
+with {LABEL_SCORES}, cleaned as (select doc_id, text, {CLEAN} as clean from documents)
+select s.model, s.label_name, s.id, case when s.truth = 1 then 'fn' else 'fp' end as kind, s.p, d.text, d.clean
+from label_scores s join cleaned d on s.id = d.doc_id
 where (s.truth = 1 and s.p < 0.5) or (s.truth = 0 and s.p > 0.5)""")
 def _(t):
-    docs = t.documents.select(F.col("doc_id").alias("id"), "text")
+    docs = t.documents.select(F.col("doc_id").alias("id"), "text", clean_comment("text").alias("clean"))
     return evaluate.bad_cases(label_scores(t), "truth", "p").join(docs, "id") \
-        .select("model", "label_name", "id", "kind", "p", "text")
+        .select("model", "label_name", "id", "kind", "p", "text", "clean")
 
 
 @query("evl_4_best_f1", f"""

@@ -132,9 +132,12 @@ PERSON_RULES: Rules = (
 # -- cleaning steps ----------------------------------------------------------------------------
 
 
-def clean_comment(text: Column | str) -> Column:
-    """Allowed characters only, digits to blanks, lower case, contractions, spaced punctuation."""
-    return apply_rules(F.lower(apply_rules(text, COMMENT_BEFORE_LOWER)), COMMENT_AFTER_LOWER)
+def clean_comment(text: Column | str, before: Rules = COMMENT_BEFORE_LOWER, after: Rules = COMMENT_AFTER_LOWER) -> Column:
+    """Allowed characters only, digits to blanks, lower case, contractions, spaced punctuation.
+
+    Other variants of the cleaning are other rule lists ``before`` and ``after`` lower-casing.
+    """
+    return apply_rules(F.lower(apply_rules(text, before)), after)
 
 
 def clean_question(text: Column | str, stop_words: Sequence[str] = ()) -> Column:

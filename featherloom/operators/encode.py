@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from featherloom.functions.hashing import HASH_RANGE, key_hash
 from featherloom.operators.columns import with_row
 from featherloom.operators.ranking import exact_medians, ordered_prefix
-from featherloom.session import broadcast_if_small
+from featherloom.session import broadcast_if_small, durable
 
 # fixed values: a column is one-hot encoded if 1 < distinct values < 100
 MIN_CATEGORIES, MAX_CATEGORIES = 1, 100
@@ -184,13 +184,15 @@ def oof_target_encode(df: DataFrame, col: str, target: str, fold: str, *, min_le
                       noise_key: str | None = None) -> DataFrame:
     """Each row is encoded with statistics of the other folds only.
 
-    One aggregate by (value, fold) serves all folds: the total of a value minus its own fold. Values
-    with a null or seen in no other fold get the prior of the other folds.
+    One aggregate by (value, fold) serves all folds: the total of a value minus its own fold. It is
+    written once, so the rows are read twice in all, and where it is small it is broadcast: the rows
+    are then not shuffled. Values with a null or seen in no other fold get the prior of the other
+    folds.
     """
     out = out or f"{col}_enc"
     y = F.col(target).cast("double")
-    cells = df.groupBy(col, fold).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(y).alias("s"))
-    # both windows run over aggregated cells: folds per value, and values x folds summed per fold
+    cells = durable(df.groupBy(col, fold).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(y).alias("s")))
+    # the window runs over aggregated cells: one row per fold of a value
     by_value = Window.partitionBy(col)
     per_fold = cells.groupBy(fold).agg(F.sum("n").alias("fn"), F.sum("s").alias("fs"))
     everything = per_fold.agg(F.sum("fn").alias("an"), F.sum("fs").alias("as"))
@@ -203,6 +205,7 @@ def oof_target_encode(df: DataFrame, col: str, target: str, fold: str, *, min_le
         F.col(col).alias("_v"), F.col(fold).alias("_f"),
         F.when(F.col(col).isNull(), F.col("prior")).otherwise(
             _smoothed(F.col("n"), F.col("s"), F.col("prior"), min_leaf, smoothing)).alias(out))
+    table = broadcast_if_small(table)
     joined = df.join(table, F.col(col).eqNullSafe(F.col("_v")) & (F.col(fold) == F.col("_f"))).drop("_v", "_f")
     if noise:
         if noise_key is None:

@@ -8,26 +8,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from featherloom.operators.evaluate import model_pairs
 from featherloom.operators.ranking import ordered_prefix
+from featherloom.session import broadcast_if_small
 
 
 def rank_average(df: DataFrame, model: str, key: str, score: str) -> DataFrame:
     """Mean over models of ``(rank - 1) / (n - 1)``; equal scores are ordered by key."""
-    ranked = ordered_prefix(df, [model], [F.col(score), F.col(key)])
-    sizes = df.groupBy(model).agg(F.count(F.lit(1)).alias("n"))
-    return (
-        ranked.join(sizes, model)
-        .groupBy(key).agg(F.avg((F.col("row_num") - 1) / F.nullif(F.col("n") - 1, F.lit(0))).alias("score"))
-    )
+    ranked = ordered_prefix(df.select(model, key, score), [model], [F.col(score), F.col(key)], size="n")
+    return ranked.groupBy(key).agg(
+        F.avg((F.col("row_num") - 1) / F.nullif(F.col("n") - 1, F.lit(0))).alias("score"))
 
 
 def tied_rank(df: DataFrame, model: str, score: str, out: str = "rank") -> DataFrame:
     """Average rank of equal scores divided by n, per model, from counts of distinct scores."""
     counted = df.groupBy(model, score).agg(F.count(F.lit(1)).alias("c"))
     ranked = ordered_prefix(counted, [model], [F.col(score)], row_number=None, sums={"upto": "c"})
-    sizes = counted.groupBy(model).agg(F.sum("c").alias("n"))
-    table = ranked.join(sizes, model).select(
-        model, score, ((F.col("upto") - (F.col("c") - 1) / 2) / F.col("n")).alias(out))
-    return df.join(table, [model, score])
+    table = ranked.select(model, score, ((F.col("upto") - (F.col("c") - 1) / 2) / F.col("upto_total")).alias(out))
+    return df.join(broadcast_if_small(table), [model, score])
 
 
 def mean_by_key(df: DataFrame, keys: Sequence[str], score: str, out: str = "score") -> DataFrame:

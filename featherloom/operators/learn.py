@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from featherloom.operators.ensemble import logit_mean as mean_in_logit_space, mean_by_key
 from featherloom.operators.evaluate import GiniEvaluator, roc_auc
 from featherloom.operators.textfeat import n_grams
 from featherloom.session import durable
@@ -41,8 +42,9 @@ def positive_score(predicted: DataFrame) -> Column:
 
 
 def oof(train: DataFrame, estimator: Estimator, key: str, label: str, k: int, fold: str = "fold",
-        test: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Out-of-fold predictions (key, label, fold, p), and for ``test`` the mean over the fold models.
+        test: DataFrame | None = None, logit_mean: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Out-of-fold predictions (key, label, fold, p), and for ``test`` the mean over the fold models
+    (of the probabilities, or in logit space).
 
     The estimator needs its label column set to ``label``. The features are cut from their lineage
     once, because every fold reads them again.
@@ -57,8 +59,10 @@ def oof(train: DataFrame, estimator: Estimator, key: str, label: str, k: int, fo
             scored = model.transform(test)
             test_parts.append(scored.select(key, positive_score(scored).alias("p")))
     union = lambda parts: reduce(DataFrame.unionByName, parts)
-    mean = union(test_parts).groupBy(key).agg(F.avg("p").alias("p")) if test is not None else None
-    return union(valid_parts), mean
+    if test is None:
+        return union(valid_parts), None
+    average = mean_in_logit_space if logit_mean else mean_by_key
+    return union(valid_parts), average(union(test_parts), [key], "p").withColumnRenamed("score", "p")
 
 
 def oof_per_label(features: DataFrame, key: str, labels: Sequence[str], k: int, fold: str = "fold",

@@ -23,9 +23,11 @@ SLICE = "_slice"
 def ordered_prefix(df: DataFrame, group: Sequence[str], order: Sequence[Column], *,
                    row_number: str | None = "row_num",
                    sums: Mapping[str, str | Column] | None = None,
-                   slices: int | None = None) -> DataFrame:
+                   size: str | None = None, slices: int | None = None) -> DataFrame:
     """Add a row number and inclusive running sums over ``order`` within ``group``.
 
+    ``size`` names a column for the number of rows of the group; every sum ``x`` also gets its group
+    total as ``x_total``. Both come from the slice totals, without another pass.
     ``order`` should be total (end with a unique key) when ``row_number`` is wanted. Group columns
     must be non-null. The slice id is only stable once written, so the sliced rows are checkpointed.
     """
@@ -44,9 +46,12 @@ def ordered_prefix(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     )
     before = Window.partitionBy(*group).orderBy(SLICE).rowsBetween(
         Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group)  # one row per slice
     offsets = totals.select(
         *group, SLICE,
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_off_rows"),
+        *([F.sum("_rows").over(whole).alias(size)] if size else []),
+        *[F.sum(f"_tot_{name}").over(whole).alias(f"{name}_total") for name in sums],
         *[F.coalesce(F.sum(f"_tot_{name}").over(before), F.lit(0)).alias(f"_off_{name}")
           for name in sums],
     )
@@ -98,15 +103,10 @@ def exact_medians(df: DataFrame, cols: Sequence[str], prefix: str = "median_") -
     )
     ordered = ordered_prefix(counted, ["name"], [F.col("value")], row_number=None,
                              sums={"upto": "n"})
-    total = ordered.groupBy("name").agg(F.sum("n").alias("total"))
     first = F.col("upto") - F.col("n") + 1
     covers = lambda pos: (first <= pos) & (pos <= F.col("upto"))
-    low = F.floor((F.col("total") + 1) / 2)
-    high = F.floor((F.col("total") + 2) / 2)
-    middle = (
-        ordered.join(F.broadcast(total), "name")
-        .where(covers(low) | covers(high))
-        .groupBy("name").agg(F.avg("value").alias("median"))
-    )
+    low = F.floor((F.col("upto_total") + 1) / 2)
+    high = F.floor((F.col("upto_total") + 2) / 2)
+    middle = ordered.where(covers(low) | covers(high)).groupBy("name").agg(F.avg("value").alias("median"))
     return middle.groupBy().agg(
         *[F.max(F.when(F.col("name") == c, F.col("median"))).alias(f"{prefix}{c}") for c in cols])

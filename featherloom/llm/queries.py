@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from featherloom.llm import mixing, pii
+from featherloom.llm import bpe, mixing, pii
 from featherloom.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
 
 
@@ -23,3 +24,12 @@ def op10(spark, folder):
     base_spans = F.filter("pii", lambda s: s["kind"].isin(base))
     return found.select("doc_id", *[of(k).alias(f"n_{k}") for k in base],
                         F.sha2(pii.spans_text(base_spans), 256).alias("base_sha256"), pii.spans_text(F.col("pii")).alias("spans"))
+
+
+@query("op7_bpe")
+def op7(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    coder = bpe.Tokenizer(spark, public_tokenizers.path("word_bpe_49k.json")).fit(docs)
+    coded = coder.encode(docs).select("doc_id", "n_tokens", "ids")
+    return coder.decode(coded).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -5,10 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from featherloom.llm import bpe, mixing, pii
+from featherloom.llm import bpe, minhash, mixing, pii
 from featherloom.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
 
 
+@query("op1_minhash_near_dedup")
+def op1(spark, folder):
+    rows = minhash.near_duplicates(table(spark, folder, "documents"), k=3, threshold=(85, 100), bands=24, rows=6)
+    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 @query("op2_mix_sources")
 def op2(spark, folder):
     units = mixing.mix_units(table(spark, folder, "documents"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from featherloom.llm import bpe, minhash, mixing, pii
+from featherloom.llm import bpe, cells, minhash, mixing, onebit, pii
 from featherloom.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
 
 
@@ -39,3 +39,14 @@ def op7(spark, folder):
     coded = coder.encode(docs).select("doc_id", "n_tokens", "ids")
     return coder.decode(coded).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op6_embedding_near_dedup")
+def op6(spark, folder):
+    return cells.near_vectors(table(spark, folder, "embeddings")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+@query("op9_nearest_neighbours")
+def op9(spark, folder):
+    rows = table(spark, folder, "embeddings")
+    return onebit.nearest(rows, rows.where(F.col("vec_id") % 50 == 0))

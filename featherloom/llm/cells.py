@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from featherloom.llm.common import drop_written, written
-from featherloom.llm.components import connected_components
+from featherloom.llm.components import block_forest, connected_components
 from featherloom.llm.vectors import BLOCK_BYTES, by_dim, matrix, unit, usable, usable_rows
 
 SAMPLE = 20_000          # vectors that centres are fitted on, at most
@@ -54,24 +54,6 @@ def _places(x: np.ndarray, centres: np.ndarray, threshold: float, reach: float):
     return home, np.nonzero(top[:, None] - sims <= slack * gap[home] + 1e-9)
 
 
-def _forest(links: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
-    """Edges (node, smallest node of its part) of the two-sided graph of one pair of blocks."""
-    label_x, label_y = xs.copy(), ys.copy()
-    top = np.iinfo(np.int64).max
-    r, c = np.nonzero(links)
-    while True:
-        lx, ly = np.full(len(xs), top), np.full(len(ys), top)
-        np.minimum.at(lx, r, label_y[c])
-        lx = np.minimum(lx, label_x)
-        np.minimum.at(ly, c, lx[r])
-        ly = np.minimum(ly, label_y)
-        if (lx == label_x).all() and (ly == label_y).all():
-            break
-        label_x, label_y = lx, ly
-    out = np.concatenate([np.stack([xs, label_x], 1), np.stack([ys, label_y], 1)])
-    return out[out[:, 0] != out[:, 1]]
-
-
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, reach: float = 5.0) -> DataFrame:
     """(vec_id, n_links, component_id), one row for each row of ``rows``; links have cosine ``threshold`` or more, in doubles."""
     digest = F.struct(F.xxhash64("v").alias("a"), F.xxhash64("v", F.lit(1)).alias("b"))
@@ -129,7 +111,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector: str = "embeddi
                 at = np.flatnonzero(count)
                 if not len(at):
                     continue
-                tree = _forest(links, xs, ys)
+                tree = block_forest(links, xs, ys)
                 node, other, n_ = (np.concatenate(p) for p in ((xs[at], tree[:, 0]), (xs[at], tree[:, 1]), (count[at].astype(np.int64), np.zeros(len(tree), np.int64))))
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(other, pa.int64()), pa.array(n_, pa.int64())], ["u", "v", "n"])
 

@@ -48,7 +48,7 @@ def split_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """Memo of 64-bit word hashes, emptied when it holds ``bound`` words."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 200_000):
         super().__init__()
         self.bound = bound
 

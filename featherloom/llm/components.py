@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from featherloom.llm.common import drop_written, written
@@ -42,3 +43,21 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     # all edges now go from a node to the least of its component
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def block_forest(links: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """Edges (node, smallest node of its part) of the two-sided graph of one pair of blocks."""
+    label_x, label_y = xs.copy(), ys.copy()
+    top = np.iinfo(np.int64).max
+    r, c = np.nonzero(links)
+    while True:
+        lx, ly = np.full(len(xs), top), np.full(len(ys), top)
+        np.minimum.at(lx, r, label_y[c])
+        lx = np.minimum(lx, label_x)
+        np.minimum.at(ly, c, lx[r])
+        ly = np.minimum(ly, label_y)
+        if (lx == label_x).all() and (ly == label_y).all():
+            break
+        label_x, label_y = lx, ly
+    out = np.concatenate([np.stack([xs, label_x], 1), np.stack([ys, label_y], 1)])
+    return out[out[:, 0] != out[:, 1]]

@@ -4,8 +4,9 @@ A document's set is its distinct k-word shingles, as 64-bit fingerprints. Docume
 so a group of exact copies costs one row a band. Documents that share a band meet in a bucket, split further by set size (sets
 of similarity s differ in size by s at most). In a bucket nothing is paired with everything: each member is compared with one
 member drawn for that bucket, the confirmed links make components, and only members that are still in different components
-of a bucket are compared directly. So a group of near copies costs about one pair a member, and no link that
-the bands show is left out.
+of a bucket are compared directly: in small buckets as pairs, in larger ones block by block, as exact products in which
+pairs are never rows. So a group of near copies costs about one pair a member, a family just under the
+threshold gives next to none, and no link that the bands show is left out.
 
 Cases: null, empty and blank texts have no set and link with nothing. A text with fewer words than a shingle is one shingle.
 Rows with equal ids are one document as to links. Repeated rows come back as often as they stand. No rows give no rows;
@@ -22,9 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from featherloom.llm.common import WordHashes, drop_written, mix64, written
-from featherloom.llm.components import connected_components
+from featherloom.llm.components import block_forest, connected_components
 
 ROWS = 128
+SMALL = 16       # members up to which a bucket's open pairs are listed at once
+BLOCK, BLOCK_TOKENS = 192, 400_000      # members, and shingles, that a block of a larger bucket holds
 
 
 def shingle_set(words: list[bytes], memo: WordHashes, k: int) -> np.ndarray:
@@ -98,51 +101,95 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n bigint, key binary, bands array<bigint>, sig binary")
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(key, shingles) of (doc_id, text): the whole set, 8 bytes a shingle."""
+def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, shingles): the whole sets of the nodes (node, key), 8 bytes a shingle, read again from the texts of (doc_id, text)."""
 
     def run(batches):
         memo = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
-                sets = [shingle_set(_words(t), memo, k).tobytes() for t in batch.column("text").slice(at, ROWS).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], ["key", "shingles"])
+                part = batch.slice(at, ROWS)
+                sets = [shingle_set(_words(t), memo, k).tobytes() for t in part.column("text").to_pylist()]
+                same = pa.array([xxhash.xxh3_128_digest(x) == y for x, y in zip(sets, part.column("key").to_pylist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").filter(same), pa.array(sets, pa.binary()).filter(same)], ["node", "shingles"])
+
+    wanted = nodes.select(F.col("node").alias("doc_id"), "key")
+    return docs.join(wanted, "doc_id").select("doc_id", "key", "text").mapInArrow(run, "node bigint, shingles binary").dropDuplicates(["node"])
+
 
-    return docs.mapInArrow(run, "key binary, shingles binary")
+def _lean(t: float, minima_: int) -> float:
+    """The share of equal minima that a pair of similarity ``t`` falls under once in 300,000 times."""
+    return t - 4.5 * math.sqrt(t * (1 - t) / minima_)
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (u, v) among the candidate pairs (a, b): first by signature, then by the full sets."""
-    lean = num / den - 0.2                                   # five standard errors and more under the threshold
+    t = num / den
 
     def alike(batches):
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array((x == y).mean(axis=1) >= lean)) for c in ("a", "b", "key_a", "key_b")],
-                                                 ["a", "b", "key_a", "key_b"])
+                keep = pa.array((x == y).mean(axis=1) >= _lean(t, x.shape[1]))
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
-    left = nodes.select(F.col("node").alias("a"), F.col("key").alias("key_a"), F.col("sig").alias("sig_a"))
-    right = nodes.select(F.col("node").alias("b"), F.col("key").alias("key_b"), F.col("sig").alias("sig_b"))
-    near = written(pairs.join(left, "a").join(right, "b").select("a", "b", "key_a", "key_b", "sig_a", "sig_b")
-                   .mapInArrow(alike, "a bigint, b bigint, key_a binary, key_b binary"), "minhash-near")
-    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(shingle_sets(docs.join(ids, "doc_id"), k).dropDuplicates(["key"]), "minhash-sets")
+    left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
+    right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
+    near = written(pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(alike, "a bigint, b bigint"), "minhash-near")
 
     def linked(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["u", "v"])
+            for at in range(0, batch.num_rows, ROWS):
+                part, keep = batch.slice(at, ROWS), []
+                for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(den * both >= num * (len(x) + len(y) - both))
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["u", "v"])
+
+    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return written(near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(linked, "u bigint, v bigint"), "minhash-edges")
+
+
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets in ``x`` with all in ``y``, as one matrix product over the tokens that both sides hold."""
+    tokens, at = np.unique(np.concatenate(x + y), return_inverse=True)
+    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in x + y])
+    left = row < len(x)
+    both = (np.bincount(at[left], minlength=len(tokens)) > 0) & (np.bincount(at[~left], minlength=len(tokens)) > 0)
+    place, use = np.cumsum(both) - 1, both[at]
+    m = np.zeros((len(x) + len(y), int(both.sum())), np.float32)
+    m[row[use], place[at[use]]] = 1
+    return m[: len(x)] @ m[len(x) :].T
+
+
+def _links_in_blocks(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (u, v) between components within large buckets.
+
+    Members are packed with their full sets into blocks; a task compares two blocks of one bucket exactly and gives a spanning
+    forest of their links, so that a family just under the threshold makes no rows of its pairs. ``rows`` are (bucket, node, comp, parts).
+    """
+    blocks = written(rows.join(sets, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).groupBy("bucket", "part")
+                     .agg(F.collect_list(F.struct("node", "comp", "shingles")).alias("m")), "minhash-blocks")
 
-    x = sets.select(F.col("key").alias("key_a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("key").alias("key_b"), F.col("shingles").alias("y"))
-    edges = written(near.join(x, "key_a").join(y, "key_b").select("a", "b", "x", "y").mapInArrow(linked, "u bigint, v bigint"), "minhash-edges")
-    drop_written(sets, near)
-    return edges
+    def compare(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sides = []
+                for c in ("x", "y"):
+                    m = batch.column(c)[i].values
+                    sides.append((np.asarray(m.field("node")), np.asarray(m.field("comp")), [np.frombuffer(b, np.uint64) for b in m.field("shingles").to_pylist()]))
+                (xs, xc, xt), (ys, yc, yt) = sides
+                size_x, size_y = (np.array([len(t) for t in side]) for side in (xt, yt))
+                both = shared_counts(xt, yt).astype(np.int64)
+                links = (den * both >= num * (size_x[:, None] + size_y[None, :] - both)) & (xc[:, None] != yc[None, :])
+                tree = block_forest(links, xs, ys)
+                yield pa.RecordBatch.from_arrays([pa.array(tree[:, 0], pa.int64()), pa.array(tree[:, 1], pa.int64())], ["u", "v"])
+
+    x = blocks.select("bucket", F.col("part").alias("px"), F.col("m").alias("x"))
+    y = blocks.select("bucket", F.col("part").alias("py"), F.col("m").alias("y"))
+    return x.join(y, "bucket").where("px <= py").select("x", "y").mapInArrow(compare, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, threshold: tuple[int, int] = (80, 100),
@@ -181,14 +228,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
         return now.join(mixed, "bucket")
 
-    tried = written(stars(members, 0), "minhash-pairs")
-    edges = _confirm(tried, nodes, base, k, num, den)
+    wanted = nodes.join(members.select("node").distinct(), "node").select("node", "key")
+    sets = written(shingle_sets(base, wanted, k), "minhash-sets")
+    edges = _confirm(written(stars(members, 0), "minhash-pairs"), nodes, sets, num, den)
     comps = written(connected_components(edges), "minhash-comps")
-    rest = written(open_members(comps), "minhash-open")
-    other = rest.select("bucket", F.col("node").alias("node_b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-    cross = (rest.join(other, "bucket").where(F.col("node") < F.col("node_b")).where(F.col("comp") != F.col("comp_b")).where(fits)
-             .select(*ends).distinct().join(tried, ["a", "b"], "left_anti"))
-    more = _confirm(written(cross, "minhash-cross"), nodes, base, k, num, den)
+    rest = open_members(comps)
+    count = F.count(F.lit(1))
+    parts = F.greatest(F.ceil(count / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS))
+    rest = written(rest.join(rest.groupBy("bucket").agg(parts.alias("parts"), (count > SMALL).alias("large")), "bucket"), "minhash-open")
+    small = rest.where("not large").select("bucket", "node", "n", "comp")
+    other = small.select("bucket", F.col("node").alias("node_b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
+    cross = (small.join(other, "bucket").where(F.col("node") < F.col("node_b")).where(F.col("comp") != F.col("comp_b")).where(fits).select(*ends).distinct())
+    more = _confirm(written(cross, "minhash-cross"), nodes, sets, num, den).unionByName(
+        written(_links_in_blocks(rest.where("large").select("bucket", "node", "comp", "parts"), sets, num, den).distinct(), "minhash-blockwise"))
     comps = connected_components(edges.unionByName(more))
     by_key = written(with_component(nodes.select("key", "node"), comps).select("key", "comp"), "minhash-classes")
     return sig.select("doc_id", "n", "key").join(by_key, "key", "left").select(

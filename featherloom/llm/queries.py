@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from featherloom.llm import bpe, cells, minhash, mixing, onebit, pii
+from featherloom.llm import bpe, cells, minhash, mixing, onebit, pii, toxicity
 from featherloom.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
 
 
@@ -50,3 +50,8 @@ def op6(spark, folder):
 def op9(spark, folder):
     rows = table(spark, folder, "embeddings")
     return onebit.nearest(rows, rows.where(F.col("vec_id") % 50 == 0))
+
+
+@query("op3_toxicity")
+def op3(spark, folder):
+    return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels").select("doc_id", "toxic"))

@@ -28,7 +28,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-LEXICON_WORDS = 60_000      # words of the lexicon at most; others are merged when met
+from featherloom.llm.common import drop_written, written
+
+LEXICON_WORDS = 120_000     # words of the lexicon at most; others are merged when met
+SHORT = 48                  # symbols up to which merging scans instead of keeping a heap
 LEXICON_LEAST = 3           # occurrences that make a word frequent
 LEXICON_BYTES = 64          # longer words are left to merging
 MEMO_WORDS = 300_000        # a worker's memo is emptied at this size
@@ -83,6 +86,8 @@ class Merger:
         sym: list[str | None] = [self.letters[b] for b in piece.encode("utf-8", "surrogatepass")]
         sym[-1] += self.suffix
         n = len(sym)
+        if n <= SHORT:
+            return self._merge_short(sym)
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         heap = [(r, i, sym[i], sym[i + 1]) for i in range(n - 1) if (r := self.rank.get((sym[i], sym[i + 1]))) is not None]
         heapq.heapify(heap)
@@ -100,6 +105,20 @@ class Merger:
                     heapq.heappush(heap, (r, a, sym[a], sym[b]))
         return [self.vocab[s] for s in sym if s is not None]
 
+    def _merge_short(self, sym: list[str]) -> list[int]:
+        """The same by scanning: for a dozen symbols the least of a list is quicker than a heap."""
+        rank, none = self.rank.get, len(self.rank)
+        ranks = [rank(pair, none) for pair in zip(sym, sym[1:])]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            sym[i : i + 2] = [sym[i] + sym[i + 1]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((sym[i], sym[i + 1]), none)
+            if i:
+                ranks[i - 1] = rank((sym[i - 1], sym[i]), none)
+        return [self.vocab[s] for s in sym]
+
 
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     """The automaton of ``words`` (word to ids) as one block of bytes.
@@ -229,7 +248,7 @@ class Tokenizer:
             merger, seen = Merger(model.value), Counter()
 
             def out():
-                rows = list(seen.items())
+                rows = [(p, c) for p, c in seen.items() if len(p) <= LEXICON_BYTES]
                 for at in range(0, len(rows), 20_000):
                     part = rows[at : at + 20_000]
                     yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.string()), pa.array([c for _, c in part], pa.int64())], ["piece", "n"])
@@ -238,7 +257,8 @@ class Tokenizer:
             for batch in batches:
                 for _, _, texts in _texts(batch, "text"):
                     for t in texts:
-                        seen.update(p for p in merger.pieces(t) if len(p) <= LEXICON_BYTES) if t else None
+                        if t:
+                            seen.update(merger.pieces(t))
                     if len(seen) > MEMO_WORDS:
                         yield from out()
             yield from out()
@@ -247,8 +267,21 @@ class Tokenizer:
         return only.mapInArrow(count, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
 
     def fit(self, docs: DataFrame, text: str = "text", words: int = LEXICON_WORDS) -> "Tokenizer":
-        """Compile the at most ``words`` most frequent pieces; the driver holds only these."""
-        rows = self.count_pieces(docs, text).where(F.col("n") >= LEXICON_LEAST).orderBy(F.desc("n"), "piece").limit(words).collect()
+        """Compile the at most ``words`` most frequent pieces; the driver holds only these.
+
+        Counts are cut at a power of 2 ** (1 / 16), found from how many pieces lie between two such powers, so that no more than
+        ``words`` rows are ever collected from any number of tasks.
+        """
+        step = F.floor(F.log2("n") * 16)
+        counts = written(self.count_pieces(docs, text).where(F.col("n") >= LEXICON_LEAST), "bpe-counts")
+        cut, total = None, 0
+        for row in counts.groupBy(step.alias("s")).count().orderBy(F.desc("s")).collect():      # 16 rows for each doubling
+            total += row["count"]
+            if total > words:
+                break
+            cut = row["s"]
+        rows = counts.where(step >= cut).select("piece").collect() if cut is not None else []
+        drop_written(counts)
         merger = Merger(self.spec)
         blob = compile_lexicon({w: merger.merge(r["piece"]) for r in rows if 0 < len(w := r["piece"].encode()) <= LEXICON_BYTES and r["piece"] not in merger.special})
         path = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), f"lexicon-{uuid.uuid4().hex}.bin")

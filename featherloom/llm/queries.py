@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from featherloom.llm import bpe, cells, minhash, mixing, onebit, pii, toxicity
+from featherloom.llm import bpe, cells, html, minhash, mixing, onebit, pii, toxicity
 from featherloom.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
 
 
@@ -55,3 +55,9 @@ def op9(spark, folder):
 @query("op3_toxicity")
 def op3(spark, folder):
     return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels").select("doc_id", "toxic"))
+
+
+@query("op8_html_main_text")
+def op8(spark, folder):
+    pages = html.extract_main_text(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

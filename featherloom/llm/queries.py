@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from featherloom.llm import bpe, cells, html, minhash, mixing, onebit, pii, toxicity
+from featherloom.llm import bpe, cells, html, minhash, mixing, onebit, pii, substring, toxicity
 from featherloom.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
 
 
@@ -61,3 +61,8 @@ def op3(spark, folder):
 def op8(spark, folder):
     pages = html.extract_main_text(table(spark, folder, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op5_substring_dedup")
+def op5(spark, folder):
+    return substring.remove_repeats(table(spark, folder, "documents")).drop("kept")

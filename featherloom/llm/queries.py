@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from featherloom.llm import bpe, cells, html, minhash, mixing, onebit, pii, substring, toxicity
+from featherloom.llm import bpe, cells, html, minhash, mixing, onebit, order, pii, substring, toxicity
 from featherloom.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
+from featherloom.session import scratch_path
 
 
 @query("op1_minhash_near_dedup")
@@ -66,3 +67,12 @@ def op8(spark, folder):
 @query("op5_substring_dedup")
 def op5(spark, folder):
     return substring.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
+@query("op4_token_shards")
+def op4(spark, folder):
+    ranks = order.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    path = scratch_path(spark, "token-shards")
+    order.write_shards(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, path)
+    rows = order.read_shards(spark, path)
+    return rows.select("slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))

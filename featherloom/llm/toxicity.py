@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from featherloom.llm.common import written
 
@@ -110,13 +111,17 @@ def _labelled(labels: DataFrame) -> DataFrame:
             .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted), one row for each row of ``docs``; labels are (doc_id, toxic)."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.7, carry: bool = False) -> DataFrame:
+    """(doc_id, held_out, score, predicted), one row for each row of ``docs``; labels are (doc_id, toxic).
+
+    With ``carry`` the whole input row comes along as a struct ``row``.
+    """
     spark = docs.sparkSession
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"),
+                       (F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(None).cast("boolean")).alias("row"))
     known = written(_labelled(labels).where(~held_out(F.col("doc_id"))), "toxic-labels")
     n_all, n_toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    out = [F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out")]
+    out = [F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out")] + [F.col("row")] * carry
     if not n_toxic:
         return base.select(*out, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     shards = max(1, min(SHARDS, n_toxic // PER_SHARD))
@@ -158,9 +163,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 got = [float(w[memo.of(t)].sum(dtype=np.float64)) + offset for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(got, pa.float64())], ["doc_id", "g"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(got, pa.float64())], ["doc_id", "row", "g"])
 
-    scored = written(base.mapInArrow(sums, "doc_id bigint, g double"), "toxic-sums")
+    scored = written(base.mapInArrow(sums, StructType([*base.drop("text").schema.fields, StructField("g", DoubleType())])), "toxic-sums")
     bins = (scored.join(known, "doc_id").groupBy(F.round(F.least(F.greatest("g", F.lit(-40.0)), F.lit(40.0)), 2).alias("g"), "toxic").count().collect())
     slope, shift = _calibrate(np.array([r["g"] for r in bins]), np.array([r["toxic"] for r in bins]), np.array([r["count"] for r in bins], float))
     score = 1 / (1 + F.exp(-(F.col("g") * slope + shift)))

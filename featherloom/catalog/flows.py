@@ -51,7 +51,7 @@ def _(t):
 def _(t):
     path = scratch_path(t.spark, "docs")
     x = t.documents.select("lang", "source", F.regexp_replace("text", r"[\r\n]", " ").alias("value"))
-    x.write.option("maxRecordsPerFile", 200).partitionBy("lang", "source").text(path)
+    x.write.partitionBy("lang", "source").text(path)
     found = scan.scan_documents(t.spark, path, "part-*", r"source=([^/]*)/")
     return found.groupBy("id").agg(F.sum(F.regexp_count("content", F.lit(r"\n"))).cast("long").alias("docs"))
 
@@ -156,7 +156,7 @@ def _(t):
 def _(t):
     batch = _flow_input(t)
     chunked = scratch_path(t.spark, "chunks")
-    batch.repartition(4).write.parquet(chunked)
+    batch.write.option("maxRecordsPerFile", max(1, batch.count() // 3)).parquet(chunked)
     stream = chunks.read_chunks(t.spark, chunked, batch.schema)
     out = chunks.run_flow_on_stream(stream, fit_flow(batch, FLOW), scratch_path(t.spark, "sink"), scratch_path(t.spark, "progress"))
     return out.withColumn("price_plus", r("price_plus", 4))
@@ -167,7 +167,7 @@ select 'event_type' as name, event_type as value, count(*) as n from events grou
 def _(t):
     events = t.events.select("event_type", "user_id")
     chunked = scratch_path(t.spark, "chunks")
-    events.repartition(4).write.parquet(chunked)
+    events.write.option("maxRecordsPerFile", max(1, events.count() // 3)).parquet(chunked)
     return chunks.count_values_on_stream(chunks.read_chunks(t.spark, chunked, events.schema, 2), ["event_type", "user_id"], scratch_path(t.spark, "progress"))
 
 

@@ -25,42 +25,36 @@ EVENT_ROWS = """event_rows as (select user_id::VARCHAR || '+' || strftime(ts, '%
     case when event_type in ('error', 'signup') then 'EMR' else 'LIS' end as kind, case when event_type in ('error', 'signup') then '' else event_type end as category,
     'k' || (props::JSON ->> 'k') as item, value, event_id from events),
   lasts as (select key, kind, category, item, arg_max(value, event_id)::VARCHAR as value from event_rows group by all)"""
-NESTED = f"""{EVENT_ROWS}, inners as (select key, kind, category, string_agg(item || '=' || value, ',' order by item) as m from lasts group by all),
-  nested as (select key, coalesce(max(m) filter (kind = 'EMR'), '') as emr, coalesce(string_agg(category || '(' || m || ')', ';' order by category) filter (kind = 'LIS'), '') as lis from inners group by key)"""
+NESTED = f"""{EVENT_ROWS}, nested as (select key, kind, category, string_agg(item || '=' || value, ',' order by item) as items from lasts group by all)"""
 
 
 def _flat(m):
     return F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
 
 
-def _flat_nested(m):
-    return F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("("), _flat(e["value"]), F.lit(")"))), ";")
-
-
 def _nested(t):
     return records.nested_records(_event_rows(t), "key", "kind", "category", "item", "value", F.col("event_id"))
 
 
-@query("agg_10_nested_records", f"with {NESTED} select key, emr, lis from nested")
+@query("agg_10_nested_records", f"with {NESTED} select key, kind, category, items from nested")
 def _(t):
-    return _nested(t).select("key", _flat("emr").alias("emr"), _flat_nested("lis").alias("lis"))
+    return _nested(t).withColumn("items", _flat("items"))
 
 
 @query("jon_1_admissions_left_join", f"""with {NESTED}, adm as (select event_id, user_id::VARCHAR || '+' || strftime(ts + to_days((event_id % 4)::INTEGER), '%Y%m%d') as key from events)
-select event_id, key, emr, lis from adm left join nested using (key)""")
+select event_id, key, kind, category, items from adm left join nested using (key)""")
 def _(t):
     # every event opens an admission up to three days later, so that some have no records
     day = F.date_format(F.col("ts") + F.make_dt_interval((F.col("event_id") % 4).cast("int")), "yyyyMMdd")
     adm = t.events.select("event_id", F.concat_ws("+", F.col("user_id").cast("string"), day).alias("key"))
-    return records.left_join(adm, _nested(t), ["key"]).select("event_id", "key", _flat("emr").alias("emr"), _flat_nested("lis").alias("lis"))
+    return records.left_join(adm, _nested(t), ["key"]).withColumn("items", _flat("items"))
 
 
 @query("agg_11_nested_by_date", """
-with inners as (select o_custkey, strftime(o_orderdate, '%Y%m%d') as d, string_agg(o_orderkey::VARCHAR || '=' || o_orderstatus, ',' order by o_orderkey::VARCHAR) as m from orders group by all)
-select o_custkey, string_agg(d || '(' || m || ')', ';' order by d) as info from inners group by o_custkey""")
+select o_custkey, strftime(o_orderdate, '%Y%m%d') as d, string_agg(o_orderkey::VARCHAR || '=' || o_orderstatus, ',' order by o_orderkey::VARCHAR) as cases from orders group by all""")
 def _(t):
     x = t.orders.select("o_custkey", F.date_format("o_orderdate", "yyyyMMdd").alias("d"), F.col("o_orderkey").cast("string").alias("case"), "o_orderstatus")
-    return records.nested_by_date(x, "o_custkey", "d", "case", "o_orderstatus", F.col("case")).select("o_custkey", _flat_nested("info").alias("info"))
+    return records.nested_by_date(x, "o_custkey", "d", "case", "o_orderstatus", F.col("case")).withColumn("cases", _flat("cases"))
 
 
 @query("agg_12_totals_report", """
@@ -83,7 +77,7 @@ select conv_id, coalesce(string_agg(text, '' order by turn) filter (role = 'syst
        coalesce(string_agg(text, '' order by turn) filter (role = 'user'), '') as role_user,
        coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '') as role_assistant from conversations group by conv_id""")
 def _(t):
-    return records.pivot_sections(t.conversations, "conv_id", "role", "turn", "text", ["system", "user", "assistant"]).drop("part")
+    return records.pivot_sections(t.conversations, "conv_id", "role", "turn", "text", ["system", "user", "assistant"])
 
 
 @query("win_8_control_break", "select user_id, event_type, count(*) as rows, round(sum(value), 4) as total, min(value) as low, max(value) as high from events group by all")

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from featherloom.session import ship_package
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -31,7 +33,12 @@ def query(name: str, sql: str | None = None):
     def register(plan):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = lambda spark, folder: plan(Tables(spark, folder))
+
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
+            return plan(Tables(spark, folder))
+
+        QUERIES[name] = run
         if sql is not None:
             CHECKS[name] = sql
         return plan

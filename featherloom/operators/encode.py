@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from featherloom.functions.hashing import HASH_RANGE, key_hash
 from featherloom.operators.columns import with_row
 from featherloom.operators.ranking import exact_medians, ordered_prefix
-from featherloom.session import broadcast_if_small, durable
+from featherloom.session import durable
 
 # fixed values: a column is one-hot encoded if 1 < distinct values < 100
 MIN_CATEGORIES, MAX_CATEGORIES = 1, 100
@@ -88,17 +88,20 @@ def one_hot(df: DataFrame, categories: Mapping[str, Sequence[str]], joiner: str
         (text(c) == F.lit(v)).cast("float").alias(f"{c}{joiner}{v}") for c in categories for v in categories[c]])
 
 
-def fit_frequent_one_hot(train: DataFrame, test: DataFrame, cols: Sequence[str], min_ones: int = 50,
-                         max_columns: int = 5000) -> dict[str, list[str]]:
-    """Categories with at least ``min_ones`` rows in train and test together. A null is in no
-    category. More than ``max_columns`` kept categories is an error, not a silent cut."""
+def frequent_values(train: DataFrame, test: DataFrame, cols: Sequence[str], min_ones: int = 50) -> DataFrame:
+    """(name, value, n): values with at least ``min_ones`` rows in train and test together; a null is no value.
+
+    Long form, for any number of values: join it to an unpivoted row for sparse indicator columns.
+    """
     both = train.select(*cols).unionByName(test.select(*cols))
-    kept = value_counts(both, cols).where((F.col("n") >= min_ones) & (F.col("value") != NAN_TEXT))
-    rows = kept.select("name", "value").limit(max_columns + 1).collect()
-    if len(rows) > max_columns:
-        raise ValueError(f"more than {max_columns} categories; use dense codes instead of one-hot")
+    long = both.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "name", "value").where("value is not null")
+    return long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_ones)
+
+
+def fit_frequent_one_hot(train: DataFrame, test: DataFrame, cols: Sequence[str], min_ones: int = 50) -> dict[str, list[str]]:
+    """The values of ``frequent_values`` by column, for columns of few values: each becomes a column of the result."""
     out: dict[str, list[str]] = {}
-    for row in rows:
+    for row in frequent_values(train, test, cols, min_ones).select("name", "value").collect():
         out.setdefault(row["name"], []).append(row["value"])
     return {c: sorted(out.get(c, [])) for c in cols}
 
@@ -134,7 +137,7 @@ def first_seen_codes(df: DataFrame, col: str, order: str, start: int = 0) -> Dat
 
 def apply_codes(df: DataFrame, codes: DataFrame, col: str, out: str, unseen: int | None = None) -> DataFrame:
     """Attach codes; values without one get ``unseen``."""
-    table = broadcast_if_small(codes.select(col, F.col("code").alias(out)))
+    table = codes.select(col, F.col("code").alias(out))
     joined = df.join(table, col, "left")
     return joined if unseen is None else joined.withColumn(out, F.coalesce(out, F.lit(unseen)))
 
@@ -146,7 +149,6 @@ def sparse_rows(df: DataFrame, key: str, label: str, fields: Sequence[str]) -> D
     distinct = long.select("field", "value").distinct()
     codes = ordered_prefix(distinct, [], [F.col("field"), F.col("value")], row_number="_rn").select(
         "field", "value", (F.col("_rn") - 1).alias("code"))
-    codes = broadcast_if_small(codes)
     item = F.concat_ws(":", F.col("field").cast("string"), F.col("code").cast("string"), F.lit("1"))
     return (
         long.join(codes, ["field", "value"])
@@ -185,8 +187,8 @@ def oof_target_encode(df: DataFrame, col: str, target: str, fold: str, *, min_le
     """Each row is encoded with statistics of the other folds only.
 
     One aggregate by (value, fold) serves all folds: the total of a value minus its own fold. It is
-    written once, so the rows are read twice in all, and where it is small it is broadcast: the rows
-    are then not shuffled. Values with a null or seen in no other fold get the prior of the other
+    written once, so the rows are read twice in all; the join is left to the adaptive planner, which
+    knows the table's bytes. Values with a null or seen in no other fold get the prior of the other
     folds.
     """
     out = out or f"{col}_enc"
@@ -205,7 +207,6 @@ def oof_target_encode(df: DataFrame, col: str, target: str, fold: str, *, min_le
         F.col(col).alias("_v"), F.col(fold).alias("_f"),
         F.when(F.col(col).isNull(), F.col("prior")).otherwise(
             _smoothed(F.col("n"), F.col("s"), F.col("prior"), min_leaf, smoothing)).alias(out))
-    table = broadcast_if_small(table)
     joined = df.join(table, F.col(col).eqNullSafe(F.col("_v")) & (F.col(fold) == F.col("_f"))).drop("_v", "_f")
     if noise:
         if noise_key is None:

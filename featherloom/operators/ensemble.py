@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from featherloom.operators.evaluate import model_pairs
 from featherloom.operators.ranking import ordered_prefix
-from featherloom.session import broadcast_if_small
+from featherloom.operators.relations import null_safe
 
 
 def rank_average(df: DataFrame, model: str, key: str, score: str) -> DataFrame:
@@ -23,7 +23,7 @@ def tied_rank(df: DataFrame, model: str, score: str, out: str = "rank") -> DataF
     counted = df.groupBy(model, score).agg(F.count(F.lit(1)).alias("c"))
     ranked = ordered_prefix(counted, [model], [F.col(score)], row_number=None, sums={"upto": "c"})
     table = ranked.select(model, score, ((F.col("upto") - (F.col("c") - 1) / 2) / F.col("upto_total")).alias(out))
-    return df.join(broadcast_if_small(table), [model, score])
+    return null_safe(df, table, [model, score])
 
 
 def mean_by_key(df: DataFrame, keys: Sequence[str], score: str, out: str = "score") -> DataFrame:

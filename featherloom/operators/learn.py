@@ -20,14 +20,14 @@ from featherloom.session import durable
 
 
 def assemble(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """(keep..., features vector)."""
-    vec = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+    """(keep..., features vector). A null or NaN feature is an error: impute first, so that no row is lost."""
+    vec = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
     return vec.transform(df).select(*keep, "features")
 
 
 def text_features(df: DataFrame, key: str, text: str, keep: Sequence[str] = (), max_n: int = 2, min_df: int = 3,
-                  max_features: int = 1 << 18) -> DataFrame:
-    """(key, keep..., features): L2-normalised TF-IDF of word n-grams as sparse vectors."""
+                  *, max_features: int) -> DataFrame:
+    """(key, keep..., features): L2-normalised TF-IDF of word n-grams as sparse vectors; the ``max_features`` most frequent terms."""
     grams = df.select(key, *keep, F.concat(*[n_grams(text, "word", n) for n in range(1, max_n + 1)]).alias("grams"))
     stages = [CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=max_features, minDF=min_df),
               IDF(inputCol="tf", outputCol="tfidf"), Normalizer(inputCol="tfidf", outputCol="features")]

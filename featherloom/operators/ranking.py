@@ -15,7 +15,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from featherloom.session import durable, shuffle_width
+from featherloom.operators.relations import null_safe
+from featherloom.session import durable, slices_of
 
 SLICE = "_slice"
 
@@ -28,12 +29,12 @@ def ordered_prefix(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 
     ``size`` names a column for the number of rows of the group; every sum ``x`` also gets its group
     total as ``x_total``. Both come from the slice totals, without another pass.
-    ``order`` should be total (end with a unique key) when ``row_number`` is wanted. Group columns
-    must be non-null. The slice id is only stable once written, so the sliced rows are checkpointed.
+    ``order`` should be total (end with a unique key) when ``row_number`` is wanted. A null group is
+    a group of its own. The slice id is only stable once written, so the sliced rows are checkpointed.
     """
     sums = dict(sums or {})
     group = list(group)
-    slices = slices or shuffle_width(df.sparkSession)
+    slices = slices or slices_of(df)
     for name, source in sums.items():
         df = df.withColumn(f"_in_{name}", F.col(source) if isinstance(source, str) else source)
     laid = durable(
@@ -57,7 +58,7 @@ def ordered_prefix(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     )
     inside = Window.partitionBy(*group, SLICE).orderBy(*order)
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = laid.join(offsets, [*group, SLICE])
+    out = null_safe(laid, offsets, [*group, SLICE])
     if row_number:
         out = out.withColumn(row_number, F.row_number().over(inside) + F.col("_off_rows"))
     for name in sums:
@@ -69,10 +70,10 @@ def hashed_rank(df: DataFrame, group: Sequence[str], hash_col: str, tie: Sequenc
                 hash_range: int, rank_name: str = "rank", slices: int | None = None) -> DataFrame:
     """Row number (from 0) within ``group`` in the order of a uniform hash in [0, hash_range).
 
-    Group columns must be non-null.
+    A null group is a group of its own.
     """
     group = list(group)
-    slices = slices or 4 * shuffle_width(df.sparkSession)
+    slices = slices or 4 * slices_of(df)
     sliced = df.withColumn(
         SLICE, F.floor(F.col(hash_col).cast("double") * slices / hash_range).cast("int"))
     before = Window.partitionBy(*group).orderBy(SLICE).rowsBetween(
@@ -83,7 +84,7 @@ def hashed_rank(df: DataFrame, group: Sequence[str], hash_col: str, tie: Sequenc
     )
     inside = Window.partitionBy(*group, SLICE).orderBy(hash_col, *tie)
     return (
-        sliced.join(offsets, [*group, SLICE])
+        null_safe(sliced, offsets, [*group, SLICE])
         .withColumn(rank_name, F.row_number().over(inside) - 1 + F.col("_off"))
         .drop(SLICE, "_off")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from featherloom.functions.hashing import HASH_RANGE, key_hash
 from featherloom.operators.ranking import hashed_rank
+from featherloom.operators.relations import null_safe
 
 
 def oversample(df: DataFrame, positive: Column, extra: int, out: str = "copy") -> DataFrame:
@@ -35,9 +36,9 @@ def quota_fill(df: DataFrame, group: list[str], label: str, wanted: Column, key:
     base = df.where(wanted)
     sizes = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_size")).withColumn(
         "_quota", F.ceil(F.col("_size") * pct / 100).cast("long"))
-    ranked = lambda rows: hashed_rank(
+    ranked = lambda rows: null_safe(hashed_rank(
         rows.withColumn("_h", key_hash(F.lit(seed), F.col(key))), group, "_h", [key],
-        hash_range=HASH_RANGE, rank_name="_rank").join(sizes, group)
+        hash_range=HASH_RANGE, rank_name="_rank"), sizes, group)
     unknown = ranked(df.where(~wanted)).withColumn(
         "variant", F.floor(F.col("_rank") / F.col("_quota")).cast("long")).where(F.col("variant") < variants)
     silence = ranked(base).where(F.col("_rank") < F.col("_quota"))

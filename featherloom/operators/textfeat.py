@@ -16,7 +16,8 @@ from featherloom.functions.textrules import W, tokens
 from featherloom.operators.columns import with_row
 from featherloom.operators.encode import frequency_codes
 from featherloom.operators.filters import keep_words
-from featherloom.session import broadcast_if_small, durable
+from featherloom.operators.relations import one_per_key
+from featherloom.session import durable
 
 # fixed values: Unicode scripts counted by the census
 SCRIPTS = (
@@ -53,7 +54,7 @@ def word_frequency(df: DataFrame, words: Column, threshold: int, stop_words: Seq
 def bag_of_words(df: DataFrame, key: str, words: Column, vocabulary: DataFrame) -> DataFrame:
     """(key, idx, n) for the words of a vocabulary table (word, code)."""
     counts = df.select(key, F.explode(words).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-    listed = broadcast_if_small(vocabulary.select("word", F.col("code").alias("idx")))
+    listed = vocabulary.select("word", F.col("code").alias("idx"))
     return counts.join(listed, "word").select(key, "idx", "n")
 
 
@@ -63,13 +64,14 @@ def bag_map(bag: DataFrame, key: str) -> DataFrame:
 
 
 def map_tokens_by_join(df: DataFrame, key: str, text: str, table: DataFrame, word: str, canonical: str) -> DataFrame:
-    """Replace tokens through a table of any size, keeping their order."""
+    """Replace tokens through a table of any size, keeping their order; a null text stays null. Of a word listed twice the
+    smaller replacement counts."""
     placed = df.select(key, F.posexplode(tokens(text)).alias("pos", "_w"))
-    names = broadcast_if_small(table.select(F.col(word).alias("_w"), F.col(canonical).alias("_c")))
+    names = one_per_key(table.select(F.col(word).alias("_w"), F.col(canonical).alias("_c")), ["_w"], "_c")
     mapped = placed.join(names, "_w", "left").select(key, "pos", F.coalesce("_c", "_w").alias("w"))
     joined = mapped.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("xs")).select(
         key, F.array_join(F.transform("xs", lambda x: x["w"]), " ").alias("mapped"))
-    return df.select(key).join(joined, key, "left").select(key, F.coalesce("mapped", F.lit("")).alias(text))
+    return df.select(key, text).join(joined, key, "left").select(key, F.when(F.col(text).isNotNull(), F.coalesce("mapped", F.lit(""))).alias(text))
 
 
 # fixed value: characters that separate tokens; ! and ? stay part of the text
@@ -96,7 +98,7 @@ def fit_token_index(df: DataFrame, words: Column, cap: int | None = None) -> Dat
 def id_sequences(df: DataFrame, key: str, words: Column, index: DataFrame, length: int, side: str = "pre") -> DataFrame:
     """Token ids in order, unknown words dropped, padded and cut to ``length``."""
     placed = df.select(key, F.posexplode(words).alias("pos", "word"))
-    known = placed.join(broadcast_if_small(index.select("word", "code")), "word")
+    known = placed.join(index.select("word", "code"), "word")
     listed = known.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "code"))).alias("xs"))
     ids = F.coalesce(F.transform("xs", lambda x: x["code"]), F.array().cast("array<bigint>"))
     return df.select(key).join(listed, key, "left").select(
@@ -159,12 +161,12 @@ class TfidfModel:
     binary: bool
 
     def transform(self, df: DataFrame, key: str, text: str, counts: DataFrame | None = None) -> DataFrame:
-        """(key, term, w) with L2-normalised rows. The vocabulary is broadcast only if it was counted
-        to be small; the norm is a window over one document's terms."""
+        """(key, term, w) with L2-normalised rows. The join with the vocabulary is left to the adaptive
+        planner; the norm is a window over one document's terms."""
         counts = counts if counts is not None else term_counts(df, key, text, self.analyzer, self.n)
         tf = F.lit(1.0) if self.binary else F.col("tf").cast("double")
         tf = 1 + F.ln(tf) if self.sublinear else tf
-        vocabulary = broadcast_if_small(self.vocabulary.select("term", "idf"))
+        vocabulary = self.vocabulary.select("term", "idf")
         raw = counts.join(vocabulary, "term").select(key, "term", (tf * F.col("idf")).alias("_w"))
         row_norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
         return raw.select(key, "term", (F.col("_w") / row_norm).alias("w"))
@@ -209,8 +211,7 @@ def log_count_ratio(rows: DataFrame, labels: DataFrame, key: str, label: str) ->
 
 
 def scale_by_ratio(rows: DataFrame, ratio: DataFrame, key: str) -> DataFrame:
-    known = broadcast_if_small(durable(ratio))
-    return rows.join(known, "term").select(key, "term", (F.col("w") * F.col("r")).alias("w"))
+    return rows.join(ratio, "term").select(key, "term", (F.col("w") * F.col("r")).alias("w"))
 
 
 def group_terms(terms: DataFrame, key: str, term: str, categories: DataFrame, norms: DataFrame,
@@ -218,8 +219,8 @@ def group_terms(terms: DataFrame, key: str, term: str, categories: DataFrame, no
     """(key, norm, terms): the terms of a record by normalised category; ``unknown`` otherwise."""
     return (
         terms.select(key, F.col(term).alias("term")).distinct()
-        .join(categories.select(F.col("word").alias("term"), "category"), "term", "left")
-        .join(norms.select("category", "norm"), "category", "left")
+        .join(one_per_key(categories.select(F.col("word").alias("term"), "category"), ["term"], "category"), "term", "left")
+        .join(one_per_key(norms, ["category"], "norm"), "category", "left")
         .groupBy(key, F.coalesce("norm", F.lit(unknown)).alias("norm"))  # one record's distinct terms
         .agg(F.array_sort(F.collect_list("term")).alias("terms"))
     )

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "featherloom", cores: str | int = "*", shuffle_partitions: int = 8,
@@ -28,19 +29,27 @@ def build_session(app: str = "featherloom", cores: str | int = "*", shuffle_part
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints and intermediate tables.
+    """The folder for checkpoints and intermediate tables, which all executors see.
 
-    The cluster names it in ``spark.checkpoint.dir``; a temporary folder is used only where that
-    setting is absent, which is the single-machine case.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, only a local master may use a temporary folder of
+    this machine; on a cluster it is an error, as each executor would write to a disk of its own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not is_local(context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="featherloom-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
     return named
 
 
+def is_local(master: str) -> bool:
+    """Whether a master runs everything in one process (``local-cluster`` does not)."""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder for one written table."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
@@ -52,28 +61,44 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def input_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a frame's size; reads nothing."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-BROADCAST_ROWS = 500_000   # narrow dictionary rows: some tens of megabytes
+SLICE_BYTES = 128 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a dictionary for broadcast only after counting that it is small.
-
-    A frequent word then never gathers in one shuffle partition. A larger dictionary is returned
-    as it is: the join goes by shuffle and AQE splits the partitions of frequent words. Give it a
-    frame that is cheap to count (already written, or limited by construction).
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def slices_of(df: DataFrame) -> int:
+    """Slices for a global order: no fewer than shuffle partitions, and more as the input grows."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(1_000_000, -(-input_bytes(df) // SLICE_BYTES)))
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread a scan of few splits over all cores before expensive work per row.
 
-    Only a scan with fewer partitions than the cluster has cores is moved, and such a scan is small;
-    a large one already has enough splits and passes through without a shuffle.
+    Only an input of less than a split per core is moved, and such an input is small; a large one already has enough splits and
+    passes through without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if input_bytes(df) < cores * SLICE_BYTES // 4 else df
+
+
+_SHIPPED: dict[str, str] = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the workers of a session, wherever they were started; once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="featherloom-"), "featherloom.zip")   # Spark sends it on to the executors
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(home):
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.join("featherloom", os.path.relpath(os.path.join(folder, f), home)))
+    context.addPyFile(path)
+    _SHIPPED[context.applicationId] = path

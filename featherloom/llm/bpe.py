@@ -223,6 +223,19 @@ class Memo(dict):
         return got
 
 
+_MEMOS: dict[str | None, Memo] = {}
+
+
+def _worker_memo(model, lexicon: str | None) -> Memo:
+    """The memo of a lexicon, which a worker keeps from task to task; one at a time."""
+    if lexicon is None:
+        return Memo(Merger(model.value), None)
+    if lexicon not in _MEMOS:
+        _MEMOS.clear()
+        _MEMOS[lexicon] = Memo(Merger(model.value), Lexicon(SparkFiles.get(lexicon)))
+    return _MEMOS[lexicon]
+
+
 def _texts(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, int, list]]:
     for at in range(0, batch.num_rows, ROWS):
         n = min(ROWS, batch.num_rows - at)
@@ -296,8 +309,8 @@ class Tokenizer:
         model, lexicon = self.model, self.lexicon
 
         def run(batches):
-            merger = Merger(model.value)
-            memo = Memo(merger, Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
+            memo = _worker_memo(model, lexicon)
+            merger = memo.merger
             for batch in batches:
                 for at, n, texts in _texts(batch, text):
                     codes = [b"".join(map(memo.__getitem__, merger.pieces(t))) if t else b"" for t in texts]

@@ -22,7 +22,7 @@ from featherloom.llm.components import block_forest, connected_components
 from featherloom.llm.vectors import BLOCK_BYTES, by_dim, matrix, unit, usable, usable_rows
 
 SAMPLE = 20_000          # vectors that centres are fitted on, at most
-CELL = 2_000             # vectors a cell aims at
+CELL = 8_000             # vectors a cell aims at
 MOST_CELLS = 2_048       # centres stay this few, so that they can be broadcast; larger cells are cut into more blocks
 
 
@@ -54,7 +54,7 @@ def _places(x: np.ndarray, centres: np.ndarray, threshold: float, reach: float):
     return home, np.nonzero(top[:, None] - sims <= slack * gap[home] + 1e-9)
 
 
-def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, reach: float = 5.0) -> DataFrame:
+def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, reach: float = 4.0) -> DataFrame:
     """(vec_id, n_links, component_id), one row for each row of ``rows``; links have cosine ``threshold`` or more, in doubles."""
     digest = F.struct(F.xxhash64("v").alias("a"), F.xxhash64("v", F.lit(1)).alias("b"))
     keyed = usable_rows(rows, id_col, vector).where("vec_id is not null").select("vec_id", digest.alias("key"), "v")
@@ -99,7 +99,8 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector: str = "embeddi
 
     def compare(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
                 xs, ys, mult = (np.frombuffer(row[c], np.int64) for c in ("xs", "ys", "mult"))
                 x, y = (np.frombuffer(row[c], np.float64).reshape(-1, row["d"]) for c in ("x", "y"))
                 cos = x @ y.T

@@ -6,12 +6,12 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from featherloom.session import scratch_path
+from featherloom.session import scratch_path, ship_package
 
 #: Fixed by the contracts: a word is a longest run of anything but these separators.
 WORD = r"[^\x20\x09-\x0D]+"
 
-LABEL_DTYPE = np.uint64
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -19,14 +19,20 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")), F.lit(0)).cast("long")
 
 
-def written(df: DataFrame, name: str, width: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet under the shared folder and read it back.
 
-    The lineage ends at the files, which outlive any executor. ``width`` coalesces the write.
+    The lineage ends at the files, which outlive any executor. Python workers get their rows in batches of ``BATCH_BYTES``.
     """
     spark = df.sparkSession
+    ship_package(spark)
     path = scratch_path(spark, name)
-    (df.coalesce(width) if width else df).write.parquet(path)
+    before = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, str(BATCH_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before) if before is not None else spark.conf.unset(BATCH)
     back = spark.read.schema(df.schema).parquet(path)
     back.written_at = path
     return back
@@ -69,22 +75,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(28))
 
 
-def free_name(df: DataFrame, *wanted: str) -> list[str]:
-    """Column names not taken in ``df``, built from the wanted ones."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in wanted:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def base_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of the input cannot clash with internal ones."""
     return df.select(*[F.col(f"`{n}`").alias(n) for n in names])
-
-
-def input_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -108,6 +108,6 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector:
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
     pairs = index.crossJoin(asked.select(F.col("d").alias("qd"), F.col("ids").alias("qid"), F.col("raw").alias("q")))
-    found = pairs.mapInArrow(search, "query_id bigint, vec_id bigint, score double")
+    found = written(pairs.mapInArrow(search, "query_id bigint, vec_id bigint, score double"), "onebit-found")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

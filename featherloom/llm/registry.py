@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from featherloom.session import ship_package
+
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
 
@@ -12,7 +14,12 @@ def query(name: str, sql: str | None = None):
     def register(plan):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = plan
+
+        def run(spark, folder):
+            ship_package(spark)
+            return plan(spark, folder)
+
+        QUERIES[name] = run
         if sql is not None:
             CHECKS[name] = sql
         return plan

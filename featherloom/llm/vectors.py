@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-BLOCK_BYTES = 1 << 19      # of doubles in one packed block
+BLOCK_BYTES = 1 << 18      # of doubles in one packed block
 
 
 def usable(v: Column) -> Column:

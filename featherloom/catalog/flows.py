@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.sql import functions as F
 
-from featherloom.catalog.common import ORDER_SCORES, order_scores, r
+from featherloom.catalog.common import ORDER_SCORES, h27, order_scores, r
 from featherloom.catalog.registry import query
+from featherloom.catalog.text import tok
 from featherloom.functions import textrules as tr
 from featherloom.operators import evaluate, folds, learn, relations
 from featherloom.plans.flow import apply_column, fit_flow, run_flow
@@ -180,7 +181,7 @@ def _(t):
     return apply_column(t.part.select("p_partkey", "p_name"), "p_name", capital)
 
 
-# -- learning (checked by row counts) ----------------------------------------------------------
+# -- learning: what does not depend on the trainer is checked, scores by their range -------------
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 
@@ -196,43 +197,81 @@ def _ready(t):
     return learn.assemble(_learning_rows(t), FEATURES, ["id", "y", "fold"])
 
 
-@query("mlf_3_text_logistic")
+FOLD = f"({h27("'0|' || {0}::VARCHAR")} % 3)::INTEGER"
+LINES_SQL = f"""rows_ as (select o_orderkey as id, (o_orderstatus = 'F')::DOUBLE as y, {FOLD.format('o_orderkey')} as fold
+  from orders where o_orderkey in (select l_orderkey from lineitem))"""
+LABELLED_SQL = f"""labelled as (select doc_id, label_name, truth::INTEGER as truth, {FOLD.format('doc_id')} as fold
+  from (select doc_id, 'quality' as label_name, quality as truth from labels union all select doc_id, 'toxic', toxic from labels) join documents using (doc_id))"""
+
+
+def _in_range(p="p"):
+    return F.col(p).between(0, 1).alias("p_in_range")
+
+
+@query("mlf_3_text_logistic", f"with {LABELLED_SQL} select doc_id, label_name, truth, fold, true as p_in_range from labelled")
 def _(t):
     docs = t.documents.join(t.labels, "doc_id").withColumn("fold", folds.shuffled_fold("doc_id", 3))
     ready = learn.text_features(docs, "doc_id", "text", ["quality", "toxic", "fold"], max_features=20000)
-    return learn.oof_per_label(ready, "doc_id", ["quality", "toxic"], 3).withColumn("p", r("p", 6))
+    return learn.oof_per_label(ready, "doc_id", ["quality", "toxic"], 3).select("doc_id", "label_name", "truth", "fold", _in_range())
 
 
-@query("mlf_4_oof_gbt")
+@query("mlf_2_ratio_scaled_logistic", f"""with {LABELLED_SQL}
+select 'valid' as part, doc_id, label_name, fold, true as p_in_range from labelled
+union all select 'test', doc_id, n, null, true from documents cross join (values ('quality'), ('toxic')) v(n) where doc_id not in (select doc_id from labels)""")
+def _(t):
+    train = t.documents.join(t.labels, "doc_id").withColumn("fold", folds.shuffled_fold("doc_id", 3)).select("doc_id", "text", "quality", "toxic", "fold")
+    test = t.documents.join(t.labels, "doc_id", "left_anti").select("doc_id", "text")
+    valid, mean = learn.ratio_scaled_logistic(train, test, "doc_id", "text", ["quality", "toxic"], 3, min_df=3)
+    named = lambda part, df: df.select(F.lit(part).alias("part"), "doc_id", "label_name", F.col("fold") if part == "valid" else F.lit(None).cast("int").alias("fold"), _in_range())
+    return named("valid", valid).unionByName(named("test", mean))
+
+
+@query("mlf_4_oof_gbt", f"with {LINES_SQL} select id, y, fold, true as p_in_range from rows_")
 def _(t):
     est = GBTClassifier(labelCol="y", maxIter=3, maxDepth=3, seed=7)
-    return learn.oof(_ready(t), est, "id", "y", 3)[0].withColumn("p", r("p", 6))
+    return learn.oof(_ready(t), est, "id", "y", 3)[0].select("id", "y", "fold", _in_range())
 
 
-@query("mlf_5_stacked_models")
+@query("mlf_5_stacked_models", f"""with {LINES_SQL}
+select m as models, (select count(distinct y) from rows_) = 2 as auc_in_range from (values ('forest+logistic'), ('forest+svm'), ('logistic+svm'), ('forest+logistic+svm')) v(m)""")
 def _(t):
     base = learn.base_predictions(_ready(t), {
         "forest": RandomForestClassifier(labelCol="y", numTrees=5, maxDepth=4, seed=7),
         "logistic": LogisticRegression(labelCol="y", maxIter=10),
         "svm": LinearSVC(labelCol="y", maxIter=5),
     }, "id", "y", 3)
-    return learn.search_subsets(base, ["forest", "logistic", "svm"], "id", "y", 3).withColumn("auc", r("auc", 6))
+    return learn.search_subsets(base, ["forest", "logistic", "svm"], "id", "y", 3).select("models", F.col("auc").between(0, 1).alias("auc_in_range"))
 
 
-@query("mlf_6_tuned_logistic")
+@query("mlf_6_tuned_logistic", f"""with {LINES_SQL}
+select 'elasticNetParam=0.0, regParam=' || r as params, (select count(distinct y) from rows_) = 2 as gini_in_range from (values ('0.0'), ('0.1')) v(r)""")
 def _(t):
     est = LogisticRegression(labelCol="y", maxIter=10)
     model = learn.tune(_ready(t), est, {est.regParam: [0.0, 0.1], est.elasticNetParam: [0.0]}, "id", "y", 3)
-    return learn.tuning_report(model, t.spark)
+    return learn.tuning_report(model, t.spark).select("params", F.col("gini").between(-1, 1).alias("gini_in_range"))
+
+
+@query("mlf_6_random_search", f"""with {LINES_SQL}
+select count(*) as points, (select count(distinct y) from rows_) = 2 as gini_in_range from range(3)""")
+def _(t):
+    est = LogisticRegression(labelCol="y", maxIter=10)
+    model = learn.tune(_ready(t), est, {est.regParam: [0.0, 0.01, 0.1, 1.0], est.elasticNetParam: [0.0, 0.5]}, "id", "y", 3, draws=3)
+    report = learn.tuning_report(model, t.spark)
+    return report.agg(F.count_distinct("params").alias("points"), F.min(F.col("gini").between(-1, 1)).alias("gini_in_range"))
 
 
-@query("mlf_7_importance")
+@query("mlf_7_importance", f"""with {LINES_SQL}
+select f as feature, (select count(*) from rows_) > 0 as share_in_range, 1.0::DOUBLE as total from (values {", ".join(f"('{f}')" for f in FEATURES)}) v(f)""")
 def _(t):
     model = RandomForestClassifier(labelCol="y", numTrees=5, maxDepth=4, seed=7).fit(_ready(t))
-    return learn.importance_table(model, FEATURES, t.spark)
+    table = learn.importance_table(model, FEATURES, t.spark)
+    total = table.agg(r(F.sum("share"), 9).alias("total"))
+    return table.select("feature", F.col("share").between(0, 1).alias("share_in_range")).crossJoin(total)   # one row
 
 
-@query("mlf_8_word_vectors")
+@query("mlf_8_word_vectors", f"""
+with words as (select unnest({tok("lower(text)")}) as word from (select text from documents union all select text from conversations))
+select word from words group by word having count(*) >= 10""")
 def _(t):
     corpora = relations.stack({"documents": t.documents.select("text"), "conversations": t.conversations.select("text")})
     words = corpora.select(tr.tokens(F.lower("text")).alias("words"))

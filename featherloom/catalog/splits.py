@@ -151,6 +151,17 @@ def _(t):
     return sampling.quota_fill(x, ["g"], "lang", F.col("lang").isin("en", "de"), "doc_id", 10, variants=3)
 
 
+@query("set_6_disjoint_unknown", f"""
+with x as (select doc_id, source, lang in ('en', 'de') as wanted, case when {h27("'part|' || doc_id::VARCHAR")} < 26843545 then 'valid' else 'train' end as split from documents),
+q as (select split, ceil(count(*) * 10 / 100.0)::BIGINT as quota from x where wanted group by split),
+u as (select case when {h27("'words|' || source")} < 26843545 then 'valid' else 'train' end as split, source, doc_id, {h27("'unknown|' || doc_id::VARCHAR")} as h from x where not wanted),
+k as (select u.*, row_number() over (partition by split order by h, doc_id) as rk from u)
+select k.split, source, doc_id from k join q using (split) where rk <= quota""")
+def _(t):
+    x = t.documents.select("doc_id", "source", "lang").withColumn("split", F.when(key_hash(F.lit("part"), "doc_id") < 26843545, "valid").otherwise("train"))
+    return sampling.unknown_by_split(x, "split", "source", F.col("lang").isin("en", "de"), "doc_id", 10)
+
+
 @query("set_7_augment", f"""
 with x as (select vec_id, embedding as e, v, ({h27("vec_id::VARCHAR || '|' || v::VARCHAR")} % 64)::INTEGER as k from embeddings cross join range(0, 3) r(v)),
 y as (select vec_id, v::INTEGER as variant, unnest(range(1, 65)) as i, e, k from x)

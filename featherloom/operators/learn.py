@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations
@@ -10,12 +11,14 @@ from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, VectorAssembler, Word2Vec
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from featherloom.operators.ensemble import logit_mean as mean_in_logit_space, mean_by_key
 from featherloom.operators.evaluate import GiniEvaluator, roc_auc
-from featherloom.operators.textfeat import n_grams
+from featherloom.operators.encode import sorted_codes
+from featherloom.operators.textfeat import fit_transform_tfidf, log_count_ratio, n_grams
 from featherloom.session import durable
 
 
@@ -76,6 +79,44 @@ def oof_per_label(features: DataFrame, key: str, labels: Sequence[str], k: int,
     return reduce(DataFrame.unionByName, parts)
 
 
+def ratio_scaled_logistic(train: DataFrame, test: DataFrame, key: str, text: str, labels: Sequence[str], k: int, fold: str = "fold",
+                          reg: float = 0.1, **tfidf) -> tuple[DataFrame, DataFrame]:
+    """Naive-Bayes scaled logistic regression: (key, label_name, truth, fold, p) out of fold, and for ``test`` (key, label_name, p), the mean over folds.
+
+    The vocabulary is fitted on train and test together; for each label and fold the log-count ratio is fitted on the training
+    folds only and scales their rows, the held-out rows and the test rows.
+    """
+    both = train.select(key, text).unionByName(test.select(key, text))
+    model, rows = fit_transform_tfidf(both, key, text, **tfidf)
+    index = durable(sorted_codes(model.vocabulary.select("term"), "term"))
+    size = index.count()
+    rows = durable(rows.join(index, "term").select(key, "term", "code", "w"))
+    marks = durable(train.select(key, *labels, fold).withColumn("_train", F.lit(True)).unionByName(
+        test.select(key).withColumn("_train", F.lit(False)), allowMissingColumns=True))
+
+    def vectors(ratio: DataFrame) -> DataFrame:
+        """Every document, also one without a kept term, as a sparse vector of its scaled terms."""
+        scaled = rows.join(ratio, "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
+            F.col("code").cast("int").alias("i"), (F.col("w") * F.col("r")).alias("x")))).alias("_xs"))
+        packed = marks.join(scaled, key, "left").withColumn("_xs", F.coalesce("_xs", F.array().cast("array<struct<i:int,x:double>>")))
+        as_vector = F.udf(lambda xs: SparseVector(size, [e["i"] for e in xs], [e["x"] for e in xs]), VectorUDT())   # no built-in makes a sparse vector
+        return packed.withColumn("features", as_vector("_xs")).drop("_xs")
+
+    valid, tested = [], []
+    for label in labels:
+        for i in range(k):
+            inside = F.col("_train") & (F.col(fold) != i)
+            ratio = log_count_ratio(rows, marks.where(inside).select(key, label), key, label)
+            ready = durable(vectors(ratio))
+            fitted = LogisticRegression(featuresCol="features", labelCol=label, regParam=reg, maxIter=20).fit(ready.where(inside))
+            scored = fitted.transform(ready.where(~inside))
+            p = positive_score(scored).alias("p")
+            valid.append(scored.where("_train").select(key, F.lit(label).alias("label_name"), F.col(label).cast("int").alias("truth"), fold, p))
+            tested.append(scored.where("not _train").select(key, F.lit(label).alias("label_name"), p))
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    return union(valid), mean_by_key(union(tested), [key, "label_name"], "p", "p")
+
+
 def base_predictions(train: DataFrame, estimators: Mapping[str, Estimator], key: str, label: str, k: int,
                      fold: str = "fold") -> DataFrame:
     """Out-of-fold predictions of several models side by side: (key, label, fold, one column per model)."""
@@ -104,12 +145,19 @@ def search_subsets(base: DataFrame, models: Sequence[str], key: str, label: str,
 
 
 def tune(train: DataFrame, estimator: Estimator, grid: Mapping, key: str, label: str, k: int, fold: str = "fold",
-         parallelism: int = 2):
-    """Grid search on the given folds by the Gini score; returns the cross-validated model."""
+         parallelism: int = 2, draws: int | None = None, seed: int = 7):
+    """Search on the given folds by the Gini score; returns the cross-validated model.
+
+    The whole grid is tried, or with ``draws`` so many points of it, drawn by a seeded hash of their values without repeats.
+    """
     build = ParamGridBuilder()
     for param, values in grid.items():
         build = build.addGrid(param, values)
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=build.build(), numFolds=k, foldCol=fold,
+    points = build.build()
+    if draws is not None:
+        drawn = lambda point: hashlib.sha256(repr((seed, sorted((p.name, v) for p, v in point.items()))).encode()).digest()
+        points = sorted(points, key=drawn)[:draws]
+    cv = CrossValidator(estimator=estimator, estimatorParamMaps=points, numFolds=k, foldCol=fold,
                         parallelism=parallelism, evaluator=GiniEvaluator(labelCol=label, keyCol=key))
     return cv.fit(durable(train))
 

@@ -50,6 +50,25 @@ def quota_fill(df: DataFrame, group: list[str], label: str, wanted: Column, key:
     )
 
 
+def split_words(words: DataFrame, word: str, valid_share: float, split: str = "split", seed: str = "words") -> DataFrame:
+    """(word, split): every distinct word goes to ``train`` or ``valid`` by the hash of the word itself, so that no word is in both."""
+    part = F.when(key_hash(F.lit(seed), F.col(word)) < F.lit(int(HASH_RANGE * valid_share)), "valid").otherwise("train")
+    return words.where(F.col(word).isNotNull()).select(word).distinct().withColumn(split, part)
+
+
+def unknown_by_split(df: DataFrame, split: str, word: str, wanted: Column, key: str, pct: float, valid_share: float = 0.2,
+                     seed: str = "unknown") -> DataFrame:
+    """(split, word, key): for each split ``ceil(size * pct / 100)`` rows of unwanted words, whose words are disjoint between splits.
+
+    ``split`` is the part of the wanted rows; unwanted rows take the part of their word. Rows are drawn by hash order.
+    """
+    sizes = df.where(wanted).groupBy(split).agg(F.ceil(F.count(F.lit(1)) * pct / 100).cast("long").alias("_quota"))
+    parts = split_words(df.where(~wanted), word, valid_share, split="_part")
+    unknown = df.where(~wanted).join(parts, word).select(F.col("_part").alias(split), word, key)
+    ranked = hashed_rank(unknown.withColumn("_h", key_hash(F.lit(seed), F.col(key))), [split], "_h", [key], hash_range=HASH_RANGE, rank_name="_rank")
+    return null_safe(ranked, sizes, [split]).where(F.col("_rank") < F.col("_quota")).select(split, word, key)
+
+
 def symmetric_pairs(df: DataFrame, left: str, right: str, out: str = "swapped") -> DataFrame:
     """Each pair in both orders, in one pass."""
     both = F.array(F.struct(F.col(left).alias("a"), F.col(right).alias("b"), F.lit(0).alias("s")),

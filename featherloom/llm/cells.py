@@ -103,16 +103,17 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector: str = "embeddi
                 row = {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
                 xs, ys, mult = (np.frombuffer(row[c], np.int64) for c in ("xs", "ys", "mult"))
                 x, y = (np.frombuffer(row[c], np.float64).reshape(-1, row["d"]) for c in ("x", "y"))
-                cos = x @ y.T
-                # a product over blocks may round otherwise than a sum over one row: near the threshold the sum decides
-                r, c = np.nonzero(np.abs(cos - threshold) < 1e-9)
-                cos[r, c] = (x[r] * y[c]).sum(axis=1)
-                links = (cos >= threshold) & (xs[:, None] != ys[None, :])
-                count = links.astype(np.float64) @ mult
-                at = np.flatnonzero(count)
-                if not len(at):
+                # single precision finds what may be a link, a double sum over the pair's components decides
+                r, c = np.nonzero(x.astype(np.float32) @ y.astype(np.float32).T >= threshold - 1e-4)
+                ok = xs[r] != ys[c]
+                r, c = r[ok], c[ok]
+                ok = np.concatenate([(x[r[lo : lo + 8192]] * y[c[lo : lo + 8192]]).sum(axis=1) for lo in range(0, len(r), 8192)] or [np.empty(0)]) >= threshold
+                r, c = r[ok], c[ok]
+                if not len(r):
                     continue
-                tree = block_forest(links, xs, ys)
+                count = np.bincount(r, mult[c], len(xs))
+                at = np.flatnonzero(count)
+                tree = block_forest(r, c, xs, ys)
                 node, other, n_ = (np.concatenate(p) for p in ((xs[at], tree[:, 0]), (xs[at], tree[:, 1]), (count[at].astype(np.int64), np.zeros(len(tree), np.int64))))
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(other, pa.int64()), pa.array(n_, pa.int64())], ["u", "v", "n"])
 

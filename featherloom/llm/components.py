@@ -45,17 +45,13 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def block_forest(links: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
-    """Edges (node, smallest node of its part) of the two-sided graph of one pair of blocks."""
+def block_forest(r: np.ndarray, c: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """Edges (node, smallest node of its part) of the two-sided graph of one pair of blocks, whose links are xs[r] - ys[c]."""
     label_x, label_y = xs.copy(), ys.copy()
-    top = np.iinfo(np.int64).max
-    r, c = np.nonzero(links)
     while True:
-        lx, ly = np.full(len(xs), top), np.full(len(ys), top)
+        lx, ly = label_x.copy(), label_y.copy()
         np.minimum.at(lx, r, label_y[c])
-        lx = np.minimum(lx, label_x)
         np.minimum.at(ly, c, lx[r])
-        ly = np.minimum(ly, label_y)
         if (lx == label_x).all() and (ly == label_y).all():
             break
         label_x, label_y = lx, ly

@@ -184,7 +184,7 @@ def _links_in_blocks(rows: DataFrame, sets: DataFrame, num: int, den: int) -> Da
                 size_x, size_y = (np.array([len(t) for t in side]) for side in (xt, yt))
                 both = shared_counts(xt, yt).astype(np.int64)
                 links = (den * both >= num * (size_x[:, None] + size_y[None, :] - both)) & (xc[:, None] != yc[None, :])
-                tree = block_forest(links, xs, ys)
+                tree = block_forest(*np.nonzero(links), xs, ys)
                 yield pa.RecordBatch.from_arrays([pa.array(tree[:, 0], pa.int64()), pa.array(tree[:, 1], pa.int64())], ["u", "v"])
 
     x = blocks.select("bucket", F.col("part").alias("px"), F.col("m").alias("x"))

@@ -58,7 +58,7 @@ def test_block_forest_spans_the_links():
     xs, ys = np.arange(40), np.arange(30, 80)
     links = rng.random((40, 50)) < 0.03
     want = components_of([(int(xs[i]), int(ys[j])) for i, j in zip(*np.nonzero(links)) if xs[i] != ys[j]])
-    got = components_of([tuple(map(int, e)) for e in components.block_forest(links, xs, ys)])
+    got = components_of([tuple(map(int, e)) for e in components.block_forest(*np.nonzero(links), xs, ys)])
     assert got == want
 
 

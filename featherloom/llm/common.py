@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -19,6 +21,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")), F.lit(0)).cast("long")
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs started inside give Python workers their rows in batches of at most ``BATCH_BYTES``."""
+    before = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before) if before is not None else spark.conf.unset(BATCH)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet under the shared folder and read it back.
 
@@ -27,12 +40,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     ship_package(spark)
     path = scratch_path(spark, name)
-    before = spark.conf.get(BATCH, None)
-    spark.conf.set(BATCH, str(BATCH_BYTES))
-    try:
+    with small_batches(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH, before) if before is not None else spark.conf.unset(BATCH)
     back = spark.read.schema(df.schema).parquet(path)
     back.written_at = path
     return back

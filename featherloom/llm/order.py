@@ -1,7 +1,7 @@
 """Token ids in training order: every sequence gets a slot by a keyed permutation, and slots become fixed-stride binary shards.
 
-Texts are encoded once and cut into sequences, which are written as a table; a sequence's number is its place in that table (file
-offset and row). A Feistel network over the next even number of bits, walked until it falls below the count, turns numbers into
+Texts are encoded once and cut into sequences, which are written as a table; a sequence's number is its place in that table (the
+rows of the tasks before, and its row). A Feistel network over the next even number of bits, walked until it falls below the count, turns numbers into
 slots one to one. Shard ``s`` holds slots ``s * per_shard`` and on, each in ``stride`` bytes, so slot ``t`` is at byte ``(t % per_shard) *
 stride`` of shard ``t // per_shard``: a reader starts at any slot and goes on in order. Range partitions by shard write the shards.
 
@@ -17,12 +17,13 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from featherloom.llm.common import drop_written
+from featherloom.llm.common import drop_written, small_batches
 from featherloom.session import scratch_path
 
 ROWS = 128
+PARTITION_BYTES = 32 << 20     # of shards that one task writes
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -78,28 +79,31 @@ def _kind(vocabulary: int) -> str:
     return "<u2" if vocabulary < 1 << 16 else "<u4"
 
 
-def write_shards(docs: DataFrame, ranks: dict[bytes, int], pattern: str, path: str, length: int = 512, per_shard: int = 2048, key: int = 1,
+def write_shards(docs: DataFrame, ranks: dict[bytes, int], pattern: str, path: str, length: int = 512, per_shard: int = 512, key: int = 1,
                  id_col: str = "doc_id", text: str = "text") -> int:
     """Write the shards as Parquet rows (shard, first_slot, count, stride, payload, doc_ids, parts, sizes), in order of shard; gives the number of slots."""
     spark = docs.sparkSession
     kind, end = _kind(len(ranks)), len(ranks)
     stride = length * np.dtype(kind).itemsize
     table = scratch_path(spark, "order-sequences")
-    sequences(docs, ranks, pattern, length, id_col, text).write.option("compression", "zstd").parquet(table)
+    with small_batches(spark):
+        sequences(docs, ranks, pattern, length, id_col, text).write.option("compression", "zstd").parquet(table)
     rows = spark.read.schema("doc_id bigint, part int, n_tokens int, ids binary").parquet(table)
-    numbered = rows.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    files = numbered.groupBy("file").count()
-    offsets = files.withColumn("offset", F.sum("count").over(Window.orderBy("file")) - F.col("count")).select("file", "offset")
-    total = files.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    task = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
+    numbered = rows.select(task.alias("task"), F.col("_metadata.row_index").alias("row"), "doc_id", "part", "n_tokens", "ids")
+    counts = {r["task"]: r["count"] for r in numbered.groupBy("task").count().collect()}     # a number for each task of one write
+    sizes = np.zeros(max(counts, default=0) + 1, np.int64)
+    sizes[list(counts)] = list(counts.values())
+    total = int(sizes.sum())
+    offsets = spark.sparkContext.broadcast(np.cumsum(sizes) - sizes)
 
     def place(batches):
         for batch in batches:
-            slot = feistel(np.asarray(batch.column("number")), total, key)
+            slot = feistel(offsets.value[np.asarray(batch.column("task"))] + np.asarray(batch.column("row")), total, key)
             names = ["doc_id", "part", "n_tokens", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot)] + [batch.column(n) for n in names], ["shard", "slot", *names])
 
-    placed = (numbered.join(offsets, "file").select((F.col("offset") + F.col("row")).alias("number"), "doc_id", "part", "n_tokens", "ids")
-              .mapInArrow(place, "shard bigint, slot bigint, doc_id bigint, part int, n_tokens int, ids binary"))
+    placed = numbered.mapInArrow(place, "shard bigint, slot bigint, doc_id bigint, part int, n_tokens int, ids binary")
 
     def pack(batches):
         held: list[tuple] = []
@@ -123,10 +127,11 @@ def write_shards(docs: DataFrame, ranks: dict[bytes, int], pattern: str, path: s
         if held:
             yield from out()
 
-    parts = max(1, -(-total // per_shard // 16))
-    (placed.repartitionByRange(parts, "shard").sortWithinPartitions("slot")
-     .mapInArrow(pack, "shard bigint, first_slot bigint, count int, stride int, payload binary, doc_ids array<bigint>, parts array<int>, sizes array<int>")
-     .write.option("compression", "zstd").parquet(path))
+    parts = max(1, -(-total * stride // PARTITION_BYTES))
+    packed = (placed.repartitionByRange(parts, "shard").sortWithinPartitions("slot")
+              .mapInArrow(pack, "shard bigint, first_slot bigint, count int, stride int, payload binary, doc_ids array<bigint>, parts array<int>, sizes array<int>"))
+    with small_batches(spark):
+        packed.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     rows.written_at = table
     drop_written(rows)
     return total

@@ -241,6 +241,19 @@ def _(t):
     return vectors.nearest(t.embeddings, "vec_id", "embedding", 10).withColumn("score", r("score", 6))
 
 
+@query("mlf_9_pruned_neighbours", f"""with coarse as (select vec_id, unnest(embedding)::DOUBLE as x, unnest(range(64)) as pos from embeddings),
+a as (select vec_id, pos, x / sqrt(sum(x * x) over (partition by vec_id)) as w from coarse), c8 as (select vec_id, pos, floor(x * 16) / 16 as x from coarse),
+b as (select vec_id, pos, x / sqrt(sum(x * x) over (partition by vec_id)) as w from c8),
+sims as (select a.vec_id as left_id, b.vec_id as right_id, round(sum(a.w * b.w), 9) as score from a join b on a.pos = b.pos group by all),
+near as (select *, row_number() over (partition by left_id order by score desc, right_id) as rn from sims where score >= 0.9)
+select left_id, right_id, round(score, 6) + 0.0 as score from near where rn <= 3""")
+def _(t):
+    left = t.embeddings.select(F.col("vec_id").alias("id"), vectors.unit("embedding").alias("vec"))
+    coarse = F.transform("embedding", lambda x: (F.floor(x.cast("double") * 16) / 16).cast("double"))
+    right = t.embeddings.select(F.col("vec_id").alias("id"), vectors.unit(coarse).alias("vec"))
+    return vectors.pruned_matches(left, right, 3, 0.9, 64).withColumn("score", r("score", 6))
+
+
 def _vocabulary(t):
     cats = t.embeddings.where("label < 6").join(t.labels.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi").select(
         F.col("vec_id").cast("string").alias("word"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"))
@@ -313,10 +326,11 @@ def _(t):
 
 
 @query("mlf_11_knn_probability", f"""with {WORD_TFIDF}, train as (select r.* from rows r where doc_id in (select doc_id from labels)), test as (select r.* from rows r where doc_id not in (select doc_id from labels)),
+train_ids as (select doc_id as other from documents where doc_id in (select doc_id from labels)), test_ids as (select doc_id from documents where doc_id not in (select doc_id from labels)),
 shared as (select a.doc_id, b.doc_id as other, round(sum(a.w * b.w), 9) as sim from test a join train b using (term) group by all),
-s as (select x.doc_id, y.other, coalesce(sim, 0) as sim from (select distinct doc_id from test) x cross join (select distinct doc_id as other from train) y left join shared using (doc_id, other)),
+s as (select x.doc_id, y.other, coalesce(sim, 0) as sim from test_ids x cross join train_ids y left join shared using (doc_id, other)),
 k as (select *, row_number() over (partition by doc_id order by sim desc, other) as rn from s)
 select k.doc_id, round(avg(toxic), 9) as p from k join labels l on l.doc_id = other where rn <= 5 group by k.doc_id""")
 def _(t):
     _, rows = textfeat.fit_transform_tfidf(t.documents, "doc_id", "text", n=(1, 2), min_df=3, max_df=0.9, sublinear=True)
-    return vectors.knn_probability(rows, "doc_id", t.labels, "toxic").withColumn("p", r("p"))
+    return vectors.knn_probability(rows, "doc_id", t.documents, t.labels, "toxic").withColumn("p", r("p"))

@@ -90,24 +90,27 @@ def hashed_rank(df: DataFrame, group: Sequence[str], hash_col: str, tie: Sequenc
     )
 
 
+BRACKET, ACCURACY = 0.001, 10_000     # the sketch's rank error, 1 / ACCURACY, is well inside the bracket
+
+
 def exact_medians(df: DataFrame, cols: Sequence[str], prefix: str = "median_") -> DataFrame:
     """One row of exact medians (nulls skipped; the mean of the middle two on even counts).
 
-    All columns share one pass: values are counted first, so each distinct value is ordered once,
-    and no task holds a whole column.
+    One pass sketches two values around each median; a second one counts what lies below them and keeps only what lies between,
+    where the exact rank is found. So some thousandths of the values are shuffled and ordered, not whole columns.
     """
     cols = list(cols)
-    counted = (
-        df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-        .unpivot([], cols, "name", "value").where("value is not null")
-        .groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
-    )
-    ordered = ordered_prefix(counted, ["name"], [F.col("value")], row_number=None,
-                             sums={"upto": "n"})
-    first = F.col("upto") - F.col("n") + 1
-    covers = lambda pos: (first <= pos) & (pos <= F.col("upto"))
-    low = F.floor((F.col("upto_total") + 1) / 2)
-    high = F.floor((F.col("upto_total") + 2) / 2)
-    middle = ordered.where(covers(low) | covers(high)).groupBy("name").agg(F.avg("value").alias("median"))
+    base = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    around = base.agg(*[F.percentile_approx(c, [0.5 - BRACKET, 0.5 + BRACKET], ACCURACY).alias(f"_around_{c}") for c in cols])
+    cell = lambda c: F.struct(F.lit(c).alias("name"), F.col(c).alias("value"), F.get(f"_around_{c}", F.lit(0)).alias("lo"), F.get(f"_around_{c}", F.lit(1)).alias("hi"))
+    long = (base.crossJoin(F.broadcast(around))     # one row
+            .select(F.inline(F.array(*[cell(c) for c in cols]))).where("value is not null"))
+    sizes = long.groupBy("name").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("value") < F.col("lo")).alias("below"))
+    counted = long.where(F.col("value").between(F.col("lo"), F.col("hi"))).groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+    ordered = ordered_prefix(counted, ["name"], [F.col("value")], row_number=None, sums={"upto": "n"}).join(sizes, "name")
+    last = F.col("below") + F.col("upto")
+    covers = lambda pos: (last - F.col("n") < pos) & (pos <= last)
+    middle = ordered.where(covers(F.floor((F.col("all") + 1) / 2)) | covers(F.floor((F.col("all") + 2) / 2))) \
+        .groupBy("name").agg(F.avg("value").alias("median"))
     return middle.groupBy().agg(
         *[F.max(F.when(F.col("name") == c, F.col("median"))).alias(f"{prefix}{c}") for c in cols])

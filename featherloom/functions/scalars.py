@@ -192,7 +192,3 @@ def repair(c: Column | str, digits: Mapping[str, str], bad: Sequence[str]) -> Co
     for key, value in reversed(list(digits.items())):
         out = F.when(x.contains(key), F.lit(value)).otherwise(out)
     return out
-
-
-def sentinel_to_null(c: Column | str, sentinel=-1) -> Column:
-    return F.nullif(_col(c), F.lit(sentinel))

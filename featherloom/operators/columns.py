@@ -28,12 +28,6 @@ def drop_columns(df: DataFrame, cols: Sequence[str] = (), prefix: str | None = N
     return df.drop(*cols, *extra)
 
 
-def columns_by_role(df: DataFrame, fragments: Sequence[str], exclude: Sequence[str] = ()) -> list[str]:
-    """Columns whose name holds one of the fragments and none of the excluded ones."""
-    return [c for c in df.columns
-            if any(f in c for f in fragments) and not any(f in c for f in exclude)]
-
-
 def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
     """Attach a one-row frame of statistics to every row (one row: always safe to broadcast)."""
     return df.crossJoin(F.broadcast(row))
@@ -167,14 +161,6 @@ def weight_report(df: DataFrame, weights: Mapping[str, float]) -> DataFrame:
     return means.select(F.inline(listed)).orderBy(F.abs("weight").desc(), "feature")
 
 
-def nested_json(df: DataFrame, key: str, fields: Mapping[str, Mapping[str, str]], out: str = "json") -> DataFrame:
-    """Flat columns to nested JSON text ``{name: {val, rank}}``, keys in sorted order."""
-    def struct_of(parts: Mapping[str, str]) -> Column:
-        return F.struct(*[F.col(parts[k]).cast("string").alias(k) for k in sorted(parts)])
-    body = F.struct(*[struct_of(fields[k]).alias(k) for k in sorted(fields)])
-    return df.select(key, F.to_json(body).alias(out))
-
-
 def keyed_json(df: DataFrame, key: str, names: str, values: str, renames: Mapping[str, tuple[str, str]],
                out: str = "json", sep: str = ",") -> DataFrame:
     """``names`` and ``values`` are parallel separated lists; rename each through the table into

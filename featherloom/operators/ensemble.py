@@ -122,8 +122,3 @@ def argmax_long(df: DataFrame, keys: Sequence[str], label: str, prob: str) -> Da
     return df.groupBy(*keys).agg(
         F.min(F.struct((-F.col(prob)).alias("neg"), F.col(label).alias("label"))).alias("b")
     ).select(*keys, F.col("b.label").alias("label"), (-F.col("b.neg")).alias("prob"))
-
-
-def mean_prob_argmax(df: DataFrame, keys: Sequence[str], label: str, prob: str) -> DataFrame:
-    """Average the probabilities of all runs per class, then take the best class."""
-    return argmax_long(mean_by_key(df, [*keys, label], prob, "p"), keys, label, "p")

@@ -77,12 +77,6 @@ def confusion_wide(df: DataFrame, truth: str, pred: str, classes: Sequence) -> D
         *[F.count_if(F.col(pred) == F.lit(c)).alias(f"pred_{c}") for c in classes])
 
 
-def threshold_confusion(df: DataFrame, truth: str, score: str, threshold: float = 0.5) -> DataFrame:
-    t, p = F.col(truth) == 1, F.col(score) > threshold
-    return df.agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"),
-                  F.count_if(t & ~p).alias("fn"), F.count_if(~t & ~p).alias("tn"))
-
-
 def bad_cases(df: DataFrame, truth: str, score: str) -> DataFrame:
     """False negatives (truth 1, score < 0.5) and false positives (truth 0, score > 0.5)."""
     kind = F.when((F.col(truth) == 1) & (F.col(score) < 0.5), "fn") \

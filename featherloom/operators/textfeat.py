@@ -58,11 +58,6 @@ def bag_of_words(df: DataFrame, key: str, words: Column, vocabulary: DataFrame)
     return counts.join(listed, "word").select(key, "idx", "n")
 
 
-def bag_map(bag: DataFrame, key: str) -> DataFrame:
-    """One sparse map ``idx -> n`` per document (as large as the document's distinct words)."""
-    return bag.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("idx", "n")))).alias("bag"))
-
-
 def map_tokens_by_join(df: DataFrame, key: str, text: str, table: DataFrame, word: str, canonical: str) -> DataFrame:
     """Replace tokens through a table of any size, keeping their order; a null text stays null. Of a word listed twice the
     smaller replacement counts."""

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from featherloom.functions import arrays, dates, scalars, textrules as tr
-from featherloom.operators import columns, encode, ensemble, evaluate, filters, folds, match, records, vectors
+from featherloom import session
+from featherloom.operators import columns, encode, ensemble, evaluate, filters, folds, learn, match, ranking, records, sampling, textfeat, vectors
 from featherloom.plans.flow import fit_flow
 from featherloom.sources import scan
 
@@ -77,10 +78,11 @@ def test_mode_tie_takes_smallest(spark):
     assert [r["v"] for r in encode.impute(df, modes=["v"]).collect()] == ["b", "a", "a"]
 
 
-def test_one_hot_too_many_columns_is_an_error(spark):
-    df = spark.range(200).selectExpr("cast(id as string) v")
-    with pytest.raises(ValueError):
-        encode.fit_frequent_one_hot(df, df, ["v"], min_ones=1, max_columns=100)
+def test_frequent_values_have_no_limit(spark):
+    df = spark.range(200).selectExpr("cast(id as string) v", "cast(null as string) w")
+    assert encode.frequent_values(df, df, ["v", "w"], min_ones=1).count() == 200
+    text = spark.createDataFrame([("nan",), (None,)], "v string")
+    assert encode.fit_frequent_one_hot(text, text, ["v"], min_ones=1) == {"v": ["nan"]}
 
 
 def test_auc_and_gini_edges(spark):
@@ -176,8 +178,105 @@ def test_arrays(spark):
 def test_nested_records_last_value_wins(spark):
     rows = [("p1", "EMR", None, "bp", "1", 1), ("p1", "EMR", None, "bp", "2", 2), ("p1", "LIS", "c", "k", "9", 3)]
     df = spark.createDataFrame(rows, "key string, kind string, category string, item string, value string, seq int")
-    row = records.nested_records(df, "key", "kind", "category", "item", "value", F.col("seq")).first()
-    assert row["emr"] == {"bp": "2"} and row["lis"] == {"c": {"k": "9"}} and row["part"] == 0
+    got = {(r["kind"], r["category"]): r["items"] for r in records.nested_records(df, "key", "kind", "category", "item", "value", F.col("seq")).collect()}
+    assert got == {("EMR", ""): {"bp": "2"}, ("LIS", "c"): {"k": "9"}}
+
+
+def test_size_does_not_change_the_grain(spark):
+    many = spark.range(5000).select(F.lit("p1").alias("key"), F.lit("LIS").alias("kind"), F.lit("c").alias("category"), F.concat(F.lit("k"), "id").alias("item"),
+                                    F.lit("1").alias("value"), F.col("id").alias("seq"))
+    events = records.nested_records(many, "key", "kind", "category", "item", "value", F.col("seq"))
+    admissions = spark.createDataFrame([(1, "p1"), (2, "p2")], "event_id int, key string")
+    assert records.left_join(admissions, events, ["key"]).count() == 2
+    sparse = spark.createDataFrame([("a", "x", 5, "one "), ("a", "x", 1_000_005, "two")], "key string, kind string, seq int, text string")
+    assert [tuple(r) for r in records.pivot_sections(sparse, "key", "kind", "seq", "text", ["x", "y"]).collect()] == [("a", "one two", "")]
+
+
+def test_null_groups_are_groups(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, None)], "id bigint, label string")
+    assert {r["id"] for r in folds.stratified_folds(df, "label", "id", 2).collect()} == {1, 2, 3, 4}
+    scores = spark.createDataFrame([(None, 1, 0.5), (None, 2, 0.1), ("m", 1, None)], "model string, id bigint, p double")
+    assert ensemble.tied_rank(scores, "model", "p").count() == 3
+    numbered = ranking.ordered_prefix(df, ["label"], [F.col("id")], sums={"s": "id"}).collect()
+    assert {(r["id"], r["row_num"], r["s"]) for r in numbered} == {(1, 1, 1), (2, 1, 2), (3, 2, 4), (4, 2, 6)}
+
+
+def test_repeated_dictionary_keys_do_not_multiply(spark):
+    words = spark.createDataFrame([(1, "a b"), (2, None)], "id int, text string")
+    table = spark.createDataFrame([("a", "Y"), ("a", "X")], "w string, c string")
+    assert {r["id"]: r["text"] for r in textfeat.map_tokens_by_join(words, "id", "text", table, "w", "c").collect()} == {1: "X b", 2: None}
+    keys = spark.createDataFrame([("a",), ("z",)], "w string")
+    assert {tuple(r) for r in records.lookup_or_default(keys, "w", table, "c", "none").collect()} == {("a", "X"), ("z", "none")}
+    near = spark.createDataFrame([("q", "a", 0.9)], "word string, neighbour string, sim double")
+    votes = match.vote_category(near, table.toDF("word", "category")).collect()
+    assert [(r["category"], r["weight"]) for r in votes] == [("X", 0.9)]
+
+
+def test_medians_of_ties_nulls_and_even_counts(spark):
+    df = spark.range(2001).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 7).alias("a"), (F.col("id") * 1.5).alias("b"),
+                                  F.when(F.col("id") < 4, F.col("id")).alias("c"), F.lit(None).cast("int").alias("d"))
+    row = ranking.exact_medians(df, ["a", "b", "c", "d"]).first()
+    import statistics
+    assert row["median_a"] == statistics.median([i % 7 for i in range(2001) if i % 3]) and row["median_b"] == 1500 and row["median_c"] == 1.5 and row["median_d"] is None
+
+
+def test_storage_must_be_shared_on_a_cluster():
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Session())
+    assert session.is_local("local[4]") and not session.is_local("local-cluster[2,1,1024]")
+
+
+def test_words_stand_in_one_split_only(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 40).cast("string").alias("w"), F.when(F.col("id") % 10 < 3, "valid").otherwise("train").alias("part"),
+                                  (F.col("id") % 4 == 0).alias("wanted"))
+    got = sampling.unknown_by_split(df, "part", "w", F.col("wanted"), "id", 10)
+    assert got.count() and got.groupBy("w").agg(F.count_distinct("part").alias("n")).where("n > 1").count() == 0
+
+
+def test_missing_features_are_an_error(spark):
+    with pytest.raises(Exception):
+        learn.assemble(spark.createDataFrame([(1, None), (2, 1.0)], "id int, x double"), ["x"], ["id"]).collect()
+
+
+def test_pruned_matches_equal_the_exact_ones_above_the_bound(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((200, 16))
+    y = x + 0.1 * rng.standard_normal(x.shape)
+    frame = lambda m: spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(m / np.linalg.norm(m, axis=1, keepdims=True))], "id bigint, vec array<double>")
+    left, right = frame(x), frame(y)
+    exact = {tuple(r) for r in vectors.top_matches(left, right, 2, block_rows=64).where("score >= 0.9").collect()}
+    pruned = {tuple(r) for r in vectors.pruned_matches(left, right, 2, 0.9, 16).collect()}
+    assert pruned <= exact and len(pruned) >= 0.99 * len(exact)
+
+
+def test_documents_without_terms_get_a_probability(spark):
+    rows = spark.createDataFrame([(1, "a", 1.0), (2, "b", 1.0), (4, "a", 1.0)], "id bigint, term string, w double")
+    docs = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5)], "id bigint")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "id bigint, y int")
+    got = {r["id"]: r["p"] for r in vectors.knn_probability(rows, "id", docs, labels, "y", k=1, block_docs=2).collect()}
+    assert got == {4: 1.0, 5: 1.0}
+
+
+def test_a_letter_in_every_document_makes_no_pairs(spark):
+    corpus = spark.range(300).select("id", F.concat(F.lit("the letter a in "), "id").alias("c"))
+    texts = spark.createDataFrame([("a",), ("zz",)], "t string")
+    assert [r["t"] for r in match.contained_in_any(texts, "t", corpus, "id", "c").collect()] == ["a"]
 
 
 def test_csv_sentinel(spark, tmp_path):

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from featherloom.llm.common import WordHashes, drop_written, mix64, written
+from featherloom.llm.common import WordHashes, mix64, written
 from featherloom.llm.components import block_forest, connected_components
 
 ROWS = 128

@@ -9,8 +9,24 @@ from featherloom.llm import bpe, cells, html, minhash, mixing, onebit, order, pi
 from featherloom.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
 from featherloom.session import scratch_path
 
-
-@query("op1_minhash_near_dedup")
+WORDS_SQL = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+REACH_SQL = """both_ways as (select x as me, y as other from links union all select y, x from links),
+reach as (select id, id as c from ids union select r.id, b.other from reach r join both_ways b on b.me = r.c),
+comp as (select id, min(c) as component_id from reach group by id)"""
+
+
+@query("op1_minhash_near_dedup", f"""
+with recursive w as (select doc_id, {WORDS_SQL.format(f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')")} as ws from documents),
+sh as (select distinct doc_id, s from (
+  select doc_id, array_to_string(ws[i:i + 2], ' ') as s from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w where len(ws) >= 3)
+  union all select doc_id, array_to_string(ws, ' ') from w where len(ws) in (1, 2))),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b using (s) where a.doc_id < b.doc_id group by all),
+links as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 85 * (nx.n + ny.n - c)),
+ids as (select doc_id as id from documents), {REACH_SQL}
+select d.doc_id, coalesce(n.n, 0)::BIGINT as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d join comp on comp.id = d.doc_id left join n on n.doc_id = d.doc_id""")
 def op1(spark, folder):
     rows = minhash.near_duplicates(table(spark, folder, "documents"), k=3, threshold=(85, 100), bands=24, rows=6)
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -42,7 +58,12 @@ def op7(spark, folder):
                                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-@query("op6_embedding_near_dedup")
+@query("op6_embedding_near_dedup", f"""
+with recursive cells as (select vec_id, unnest(embedding)::DOUBLE as x, unnest(range(len(embedding))) as pos from embeddings),
+u as (select vec_id, pos, x / sqrt(sum(x * x) over (partition by vec_id)) as x from cells),
+links as (select a.vec_id as x, b.vec_id as y from u a join u b on a.pos = b.pos and a.vec_id < b.vec_id group by all having sum(a.x * b.x) >= 0.9),
+ids as (select vec_id as id from embeddings), {REACH_SQL}
+select id as vec_id, (select count(*) from both_ways where me = id)::BIGINT as n_links, component_id, id = component_id as kept from comp""")
 def op6(spark, folder):
     return cells.near_vectors(table(spark, folder, "embeddings")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
@@ -64,7 +85,15 @@ def op8(spark, folder):
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-@query("op5_substring_dedup")
+@query("op5_substring_dedup", f"""
+with w as (select doc_id, {WORDS_SQL.format("coalesce(text, '')")} as ws from documents),
+win as (select doc_id, i, array_to_string(ws[i:i + 34], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 33)) as i from w where len(ws) >= 35)),
+twice as (select k from win group by k having count(*) > 1),
+gone as (select distinct doc_id, p from (select doc_id, unnest(range(i, i + 35)) as p from win join twice using (k))),
+each as (select doc_id, unnest(ws) as x, generate_subscripts(ws, 1) as p from w),
+kept as (select doc_id, string_agg(x, ' ' order by p) as t, count(*) as n from each anti join gone using (doc_id, p) group by doc_id)
+select w.doc_id, len(ws)::BIGINT as n_words, (len(ws) - coalesce(n, 0))::BIGINT as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from w left join kept using (doc_id)""")
 def op5(spark, folder):
     return substring.remove_repeats(table(spark, folder, "documents")).drop("kept")
 

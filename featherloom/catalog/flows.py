@@ -10,7 +10,7 @@ from featherloom.catalog.common import ORDER_SCORES, h27, order_scores, r
 from featherloom.catalog.registry import query
 from featherloom.catalog.text import tok
 from featherloom.functions import textrules as tr
-from featherloom.operators import evaluate, folds, learn, relations
+from featherloom.operators import folds, learn, relations
 from featherloom.plans.flow import apply_column, fit_flow, run_flow
 from featherloom.session import scratch_path
 from featherloom.sources import scan, sinks

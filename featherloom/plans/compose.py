@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
-
 from pyspark.sql import DataFrame
 
 Step = tuple[Callable[..., DataFrame], Mapping]

@@ -22,6 +22,7 @@ HEADLINE = (
     "win_1_rank_average", "win_3_normalized_gini", "win_4_roc_auc", "win_5_stratified_folds", "win_6_frequency_codes",
     "win_7_grouped_fold", "set_4_oversample", "set_6_quota_fill", "evl_4_best_f1", "ens_3_geometric_mean",
     "ens_4_majority_vote", "jon_11_common_neighbours", "jon_13_model_agreement", "mlf_1_tfidf_word", "mlf_9_nearest_words",
+    "jon_6_contained_in_any", "mlf_11_knn_probability", "agg_22_cascade_report", "mlf_4_oof_gbt", "mlf_9_pruned_neighbours",
     "str_1_clean_comment", "str_14_count_features", "str_20_topic_ranges", "src_10_sparse_rows", "arr_10_mean_word_vectors",
 )
 

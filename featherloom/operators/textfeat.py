@@ -17,7 +17,7 @@ from featherloom.operators.columns import with_row
 from featherloom.operators.encode import frequency_codes
 from featherloom.operators.filters import keep_words
 from featherloom.operators.relations import one_per_key
-from featherloom.session import durable
+from featherloom.session import durable, stored
 
 # fixed values: Unicode scripts counted by the census
 SCRIPTS = (
@@ -185,7 +185,7 @@ def fit_tfidf(df: DataFrame, key: str, text: str, *, analyzer: str = "word", n:
 def fit_transform_tfidf(df: DataFrame, key: str, text: str, *, analyzer: str = "word", n: tuple[int, int] = (1, 1),
                         **options) -> tuple[TfidfModel, DataFrame]:
     """Fit and transform the same rows. The counts are written once, since both steps read them."""
-    counts = durable(term_counts(df, key, text, analyzer, n))
+    counts = stored(term_counts(df, key, text, analyzer, n), "term-counts")
     model = fit_tfidf(df, key, text, analyzer=analyzer, n=n, counts=counts, **options)
     return model, model.transform(df, key, text, counts=counts)
 

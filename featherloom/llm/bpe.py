@@ -34,7 +34,7 @@ LEXICON_WORDS = 120_000     # words of the lexicon at most; others are merged wh
 SHORT = 48                  # symbols up to which merging scans instead of keeping a heap
 LEXICON_LEAST = 3           # occurrences that make a word frequent
 LEXICON_BYTES = 64          # longer words are left to merging
-MEMO_WORDS = 300_000        # a worker's memo is emptied at this size
+MEMO_WORDS = 200_000        # a worker's memo is emptied at this size
 ROWS = 200
 
 

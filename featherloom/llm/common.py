@@ -5,7 +5,7 @@ from __future__ import annotations
 from contextlib import contextmanager
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from featherloom.session import scratch_path, ship_package
@@ -60,21 +60,59 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-class WordHashes(dict):
-    """Memo of 64-bit word hashes, emptied when it holds ``bound`` words."""
-
-    def __init__(self, bound: int = 200_000):
-        super().__init__()
-        self.bound = bound
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+SEPARATOR = np.zeros(256, bool)
+SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+WORD_BASE = 0xC2B2AE3D27D4EB4F
+ODD = np.uint64(0x9E3779B97F4A7C15)
+CHUNK = 1 << 18
+
+
+class WordHasher:
+    """64-bit hashes of the words of UTF-8 texts, computed on whole chunks of bytes; no word becomes a Python object."""
+
+    def __init__(self, lower: bool = False):
+        self.lower, self.powers = lower, np.ones(1, np.uint64)
+
+    def of(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, start) of each word of the texts data[bounds[i]:bounds[i + 1]], in order."""
+        word = ~SEPARATOR[data]
+        first = word.copy()
+        first[1:] &= ~word[:-1]
+        heads = bounds[:-1][bounds[:-1] < len(data)]
+        first[heads] = word[heads]
+        at = np.flatnonzero(word)
+        start = np.flatnonzero(first)
+        if not len(start):
+            return np.empty(0, np.uint64), start
+        rank = np.cumsum(word)[start] - 1
+        size = np.diff(rank, append=len(at))
+        if size.max() > len(self.powers):
+            self.powers = np.full(1 << int(size.max()).bit_length(), WORD_BASE, np.uint64)
+            self.powers[0] = 1
+            self.powers = np.multiply.accumulate(self.powers)
+        letters = (LOWER[data] if self.lower else data)[at].astype(np.uint64) + np.uint64(1)
+        letters *= self.powers[np.arange(len(at)) - np.repeat(rank, size)]
+        with np.errstate(over="ignore"):
+            return mix64(np.add.reduceat(letters, rank) + size.astype(np.uint64) * ODD), start
+
+    def one(self, data: bytes) -> np.ndarray:
+        return self.of(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]
+
+    def each(self, texts: pa.Array):
+        """The word hashes of each text of an Arrow array, null as empty."""
+        offsets = np.frombuffer(texts.buffers()[1], np.int32 if pa.types.is_string(texts.type) else np.int64)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, "right")) - 1)
+            hi = min(hi, len(texts))
+            h, start = self.of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            cut = np.searchsorted(start, offsets[lo : hi + 1] - offsets[lo])
+            for i in range(hi - lo):
+                yield h[cut[i] : cut[i + 1]]
+            lo = hi
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

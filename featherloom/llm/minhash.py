@@ -22,25 +22,24 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from featherloom.llm.common import WordHashes, mix64, written
+from featherloom.llm.common import ODD, WordHasher, mix64, written
 from featherloom.llm.components import block_forest, connected_components
 
 ROWS = 128
 SMALL = 16       # members up to which a bucket's open pairs are listed at once
-BLOCK, BLOCK_TOKENS = 192, 400_000      # members, and shingles, that a block of a larger bucket holds
+BLOCK, BLOCK_TOKENS = 192, 200_000      # members, and shingles, that a block of a larger bucket holds
+SLICE = 4096     # tokens of the matrices that two blocks are multiplied by
 
 
-def shingle_set(words: list[bytes], memo: WordHashes, k: int) -> np.ndarray:
-    """Sorted fingerprints of the distinct k-word shingles."""
-    if not words:
+def shingle_set(h: np.ndarray, k: int) -> np.ndarray:
+    """Sorted fingerprints of the distinct k-word shingles of a text given by its word hashes."""
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = memo.of(words)
-    if len(h) < k:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    out = np.zeros(len(h) - k + 1, np.uint64)
+    width = min(k, len(h))     # fewer words than a shingle: all of them, told apart by their number
+    out = np.full(len(h) - width + 1, width, np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(k):
-            out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
+        for i in range(width):
+            out = mix64(out * ODD + h[i : len(h) - width + 1 + i])
     return np.unique(out)
 
 
@@ -65,27 +64,23 @@ def minima(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []     # bytes.lower changes A-Z only
-
-
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, n, key, bands, sig) of (doc_id, text): set size, 128-bit digest of the set, band hashes, 16 bits of each minimum."""
 
     def run(batches):
         a, b = hash_family(bands * rows)
-        memo = WordHashes()
+        hasher = WordHasher(lower=True)      # A-Z only; other letters stay
         salt = np.arange(bands, dtype=np.uint64)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                sets = [shingle_set(_words(t), memo, k) for t in part.column("text").to_pylist()]
+                sets = [shingle_set(h, k) for h in hasher.each(part.column("text"))]
                 full = [s for s in sets if len(s)]
                 mins = minima(full, a, b) if full else np.empty((0, bands * rows), np.uint64)
                 with np.errstate(over="ignore"):
                     joint = np.zeros((len(full), bands), np.uint64) + salt
                     for r in range(rows):
-                        joint = mix64(joint * np.uint64(0x9E3779B97F4A7C15) + mins[:, r::rows])
+                        joint = mix64(joint * ODD + mins[:, r::rows])
                 short = (mins >> np.uint64(48)).astype("<u2")
                 it = iter(range(len(full)))
                 cols = [[], [], []]
@@ -105,11 +100,11 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(node, shingles): the whole sets of the nodes (node, key), 8 bytes a shingle, read again from the texts of (doc_id, text)."""
 
     def run(batches):
-        memo = WordHashes()
+        hasher = WordHasher(lower=True)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                sets = [shingle_set(_words(t), memo, k).tobytes() for t in part.column("text").to_pylist()]
+                sets = [shingle_set(h, k).tobytes() for h in hasher.each(part.column("text"))]
                 same = pa.array([xxhash.xxh3_128_digest(x) == y for x, y in zip(sets, part.column("key").to_pylist(), strict=True)])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").filter(same), pa.array(sets, pa.binary()).filter(same)], ["node", "shingles"])
 
@@ -153,15 +148,22 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den:
 
 
 def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets in ``x`` with all in ``y``, as one matrix product over the tokens that both sides hold."""
+    """Sizes of the intersections of all sets in ``x`` with all in ``y``, as matrix products over slices of the tokens that both sides hold."""
     tokens, at = np.unique(np.concatenate(x + y), return_inverse=True)
     row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in x + y])
     left = row < len(x)
     both = (np.bincount(at[left], minlength=len(tokens)) > 0) & (np.bincount(at[~left], minlength=len(tokens)) > 0)
-    place, use = np.cumsum(both) - 1, both[at]
-    m = np.zeros((len(x) + len(y), int(both.sum())), np.float32)
-    m[row[use], place[at[use]]] = 1
-    return m[: len(x)] @ m[len(x) :].T
+    use = both[at]
+    row, column = row[use], (np.cumsum(both) - 1)[at[use]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(x), len(y)))
+    for lo in range(0, int(both.sum()), SLICE):
+        a, b = np.searchsorted(column, (lo, lo + SLICE))
+        m = np.zeros((len(x) + len(y), SLICE), np.float32)
+        m[row[a:b], column[a:b] - lo] = 1
+        out += m[: len(x)] @ m[len(x) :].T
+    return out
 
 
 def _links_in_blocks(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:

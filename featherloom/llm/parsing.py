@@ -10,9 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from featherloom.llm.common import mix64
+from featherloom.llm.common import ODD, mix64
 
-ODD = np.uint64(0x9E3779B97F4A7C15)
 BASE, BASE2 = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 FAR = 1 << 40
 

@@ -18,32 +18,33 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from featherloom.llm.common import WordHashes, drop_written, split_words, written
+from featherloom.llm.common import WordHasher, drop_written, split_words, written
 from featherloom.llm.parsing import BASE2, Powers, Windows
 
 ROWS = 64
 
 
 def _tools():
-    return WordHashes(), (Powers(), Powers(BASE2))
+    return WordHasher(), (Powers(), Powers(BASE2))
 
 
 def _survey(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, n, sha, anchors): word count, sha256 of the words, the anchors of all windows (twice what may stand twice)."""
 
     def run(batches):
-        memo, powers = _tools()
+        hasher, powers = _tools()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part, cols = batch.slice(at, ROWS), [[], [], []]
                 for t in part.column("text").to_pylist():
                     words = split_words(t)
+                    plain = b" ".join(words)
                     cols[0].append(len(words))
-                    cols[1].append(hashlib.sha256(b" ".join(words)).digest())
+                    cols[1].append(hashlib.sha256(plain).digest())
                     if len(words) < window:
                         cols[2].append(np.empty(0, np.int64))
                         continue
-                    w = Windows(memo.of(words), window, powers)
+                    w = Windows(hasher.one(plain), window, powers)
                     found = np.unique(w.anchor)
                     cols[2].append(np.concatenate([found, np.intersect1d(found, w.twice, assume_unique=True)]).view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.list_(pa.int64()))],
@@ -56,13 +57,13 @@ def _candidates(docs: DataFrame, window: int) -> DataFrame:
     """(anchor, doc_id, at, names): windows of (doc_id, text, hits) whose anchor is among the hits, neighbours of one anchor in a row."""
 
     def run(batches):
-        memo, powers = _tools()
+        hasher, powers = _tools()
         for batch in batches:
             for i in range(batch.num_rows):
                 words = split_words(batch.column("text")[i].as_py())
                 if len(words) < window:
                     continue
-                w = Windows(memo.of(words), window, powers)
+                w = Windows(hasher.one(b" ".join(words)), window, powers)
                 hits = np.asarray(batch.column("hits")[i].values).astype(np.int64).view(np.uint64)
                 at = np.flatnonzero(np.isin(w.anchor, hits))
                 if not len(at):

@@ -48,7 +48,7 @@ def word_features(word: str) -> list[int]:
 class Features(dict):
     """Memo of a word's buckets; with ``keep`` only those whose weight is not zero."""
 
-    def __init__(self, keep: np.ndarray | None = None, bound: int = 300_000):
+    def __init__(self, keep: np.ndarray | None = None, bound: int = 100_000):
         super().__init__()
         self.keep, self.bound = keep, bound
 

@@ -46,8 +46,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the digest of what they decode to."""
     coder = Tokenizer(spark, public_tokenizers.path("word_bpe_49k.json")).fit(docs)
-    coded = coder.encode(docs.select("doc_id", "lang", "source", "text")).drop("text")
-    return coder.decode(coded).select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"),
+    return coder.encode(docs.select("doc_id", "lang", "source", "text"), decoded="decoded").select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"),
                                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -57,6 +57,7 @@ class Merger:
         self.letters = byte_letters()
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         self.tokens: dict[int, str] = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.names = [self.tokens.get(i, "") for i in range(max(self.tokens) + 1)]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.find = regex.compile(split["pattern"]["Regex"]).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
@@ -105,6 +106,10 @@ class Merger:
                     heapq.heappush(heap, (r, a, sym[a], sym[b]))
         return [self.vocab[s] for s in sym if s is not None]
 
+    def decode(self, codes: bytes | None) -> str:
+        """Token strings joined by a blank, as a tokenizer file without a decoder asks."""
+        return " ".join(map(self.names.__getitem__, np.frombuffer(codes, "<u4").tolist())) if codes else ""
+
     def _merge_short(self, sym: list[str]) -> list[int]:
         """The same by scanning: for a dozen symbols the least of a list is quicker than a heap."""
         rank, none = self.rank.get, len(self.rank)
@@ -304,9 +309,13 @@ class Tokenizer:
         self.lexicon = os.path.basename(path)
         return self
 
-    def encode(self, docs: DataFrame, text: str = "text", ids: str = "ids", count: str = "n_tokens") -> DataFrame:
-        """Add ``ids`` (little-endian unsigned 32-bit integers, as binary) and ``count``; columns of these names are replaced."""
+    def encode(self, docs: DataFrame, text: str = "text", ids: str = "ids", count: str = "n_tokens", decoded: str | None = None) -> DataFrame:
+        """Add ``ids`` (little-endian unsigned 32-bit integers, as binary) and ``count``; columns of these names are replaced.
+
+        With ``decoded`` the ids are decoded again in the same pass, into a column of that name.
+        """
         model, lexicon = self.model, self.lexicon
+        new = {ids: BinaryType(), count: LongType()} | ({decoded: StringType()} if decoded else {})
 
         def run(batches):
             memo = _worker_memo(model, lexicon)
@@ -314,21 +323,22 @@ class Tokenizer:
             for batch in batches:
                 for at, n, texts in _texts(batch, text):
                     codes = [b"".join(map(memo.__getitem__, merger.pieces(t))) if t else b"" for t in texts]
-                    yield _with(batch.slice(at, n), {ids: pa.array(codes, pa.binary()), count: pa.array([len(c) // 4 for c in codes], pa.int64())})
+                    out = {ids: pa.array(codes, pa.binary()), count: pa.array([len(c) // 4 for c in codes], pa.int64())}
+                    if decoded:
+                        out[decoded] = pa.array(map(merger.decode, codes), pa.string())
+                    yield _with(batch.slice(at, n), out)
 
-        return docs.mapInArrow(run, _schema(docs, {ids: BinaryType(), count: LongType()}))
+        return docs.mapInArrow(run, _schema(docs, new))
 
     def decode(self, rows: DataFrame, ids: str = "ids", into: str = "decoded") -> DataFrame:
-        """Add the text of ``ids``: token strings joined by a blank, as a tokenizer file without a decoder asks; null gives an empty text."""
+        """Add the text of ``ids``; null gives an empty text."""
         model = self.model
 
         def run(batches):
-            tokens = Merger(model.value).tokens
-            names = [tokens.get(i) for i in range(max(tokens) + 1)]
+            merger = Merger(model.value)
             for batch in batches:
                 for at, n, codes in _texts(batch, ids):
-                    out = [" ".join(map(names.__getitem__, np.frombuffer(c, "<u4").tolist())) if c else "" for c in codes]
-                    yield _with(batch.slice(at, n), {into: pa.array(out, pa.string())})
+                    yield _with(batch.slice(at, n), {into: pa.array(map(merger.decode, codes), pa.string())})
 
         return rows.mapInArrow(run, _schema(rows, {into: StringType()}))
 

@@ -53,8 +53,7 @@ def op10(spark, folder):
 def op7(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     coder = bpe.Tokenizer(spark, public_tokenizers.path("word_bpe_49k.json")).fit(docs)
-    coded = coder.encode(docs).select("doc_id", "n_tokens", "ids")
-    return coder.decode(coded).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+    return coder.encode(docs, decoded="decoded").select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

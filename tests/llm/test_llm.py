@@ -316,6 +316,7 @@ def test_bpe_equals_the_library(spark):
     docs = docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])
     coder = bpe.Tokenizer(spark, path).fit(docs, words=20)
     assert coder.lexicon
+    assert {(r["doc_id"], r["decoded"]) for r in coder.encode(docs, decoded="decoded").collect()} == {(r["doc_id"], r["decoded"]) for r in coder.decode(coder.encode(docs)).collect()}
     for r in coder.decode(coder.encode(docs)).collect():
         ids = ref.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
         assert np.frombuffer(r["ids"], "<u4").tolist() == ids and r["n_tokens"] == len(ids)

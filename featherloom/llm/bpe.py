@@ -28,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from featherloom.llm.common import drop_written, written
+from featherloom.llm.common import drop_written, release, written
 
 LEXICON_WORDS = 120_000     # words of the lexicon at most; others are merged when met
 SHORT = 48                  # symbols up to which merging scans instead of keeping a heap
@@ -280,6 +280,7 @@ class Tokenizer:
                     if len(seen) > MEMO_WORDS:
                         yield from out()
             yield from out()
+            release()
 
         only = docs.select(F.col(f"`{text}`").alias("text"))
         return only.mapInArrow(count, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
@@ -327,6 +328,7 @@ class Tokenizer:
                     if decoded:
                         out[decoded] = pa.array(map(merger.decode, codes), pa.string())
                     yield _with(batch.slice(at, n), out)
+            release()
 
         return docs.mapInArrow(run, _schema(docs, new))
 

@@ -13,7 +13,7 @@ from featherloom.session import scratch_path, ship_package
 #: Fixed by the contracts: a word is a longest run of anything but these separators.
 WORD = r"[^\x20\x09-\x0D]+"
 
-BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -122,6 +122,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(28))
 
 
+def release() -> None:
+    """At the end of a task: give the pages that Arrow holds for later batches back, as a worker may idle for long."""
+    pa.default_memory_pool().release_unused()
+
+
 def base_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of the input cannot clash with internal ones."""
     return df.select(*[F.col(f"`{n}`").alias(n) for n in names])

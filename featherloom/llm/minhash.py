@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from featherloom.llm.common import ODD, WordHasher, mix64, written
+from featherloom.llm.common import ODD, WordHasher, mix64, release, written
 from featherloom.llm.components import block_forest, connected_components
 
 ROWS = 128
@@ -92,6 +92,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cols[0], pa.binary()),
                      pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.binary())], ["doc_id", "n", "key", "bands", "sig"])
+        release()
 
     return docs.mapInArrow(run, "doc_id bigint, n bigint, key binary, bands array<bigint>, sig binary")
 

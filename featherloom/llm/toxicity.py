@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from featherloom.llm.common import written
+from featherloom.llm.common import release, small_batches, written
 
 POSITIVE, UNLABELLED = 12_000, 24_000
 SHARDS, PER_SHARD = 6, 700      # classifiers at most, and the positive rows that one needs
@@ -137,6 +137,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         for batch in batches:
             got = [np.array(memo.of(t), np.uint32).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("positive"), pa.array(got, pa.binary())], ["doc_id", "positive", "f"])
+        release()
 
     rows = (base.join(F.broadcast(chosen), "doc_id").select("doc_id", "positive", "text").mapInArrow(extract, "doc_id bigint, positive boolean, f binary")
             .withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards))))
@@ -149,7 +150,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         return pa.table({"buckets": pa.array([buckets[on].tolist()], pa.list_(pa.int64())), "weights": pa.array([w[on].tolist()], pa.list_(pa.float64())),
                          "offset": pa.array([b], pa.float64())})
 
-    fits = rows.groupBy("shard").applyInArrow(train, "buckets array<bigint>, weights array<double>, offset double").collect()
+    with small_batches(spark):
+        fits = rows.groupBy("shard").applyInArrow(train, "buckets array<bigint>, weights array<double>, offset double").collect()
     weights, offset = np.zeros(1 << BITS), 0.0
     for fit in fits:
         weights[fit["buckets"]] += np.array(fit["weights"]) / len(fits)
@@ -164,6 +166,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 part = batch.slice(at, 256)
                 got = [float(w[memo.of(t)].sum(dtype=np.float64)) + offset for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(got, pa.float64())], ["doc_id", "row", "g"])
+        release()
 
     scored = written(base.mapInArrow(sums, StructType([*base.drop("text").schema.fields, StructField("g", DoubleType())])), "toxic-sums")
     bins = (scored.join(known, "doc_id").groupBy(F.round(F.least(F.greatest("g", F.lit(-40.0)), F.lit(40.0)), 2).alias("g"), "toxic").count().collect())

@@ -79,8 +79,8 @@ def test_blocked_neighbours_equal_one_block(spark):
     rows = [(d, f"t{t}", float(abs(rng.normal()))) for d in range(60) for t in rng.choice(30, 6, replace=False)]
     df = spark.createDataFrame(rows, "doc bigint, term string, w double")
     labels = spark.createDataFrame([(d, d % 2) for d in range(0, 60, 2)], "doc bigint, y int")
-    one = sorted(map(tuple, vectors.knn_probability(df, "doc", labels, "y").collect()))
-    many = sorted(map(tuple, vectors.knn_probability(df, "doc", labels, "y", block_docs=7).collect()))
+    one = sorted(map(tuple, vectors.knn_probability(df, "doc", df, labels, "y").collect()))
+    many = sorted(map(tuple, vectors.knn_probability(df, "doc", df, labels, "y", block_docs=7).collect()))
     assert one == many and len(one) == 30
 
 
@@ -95,10 +95,10 @@ def test_common_neighbours_with_a_hub(spark):
     assert sorted(map(tuple, match.common_neighbours(df, "a", "b").collect())) == want
 
 
-def test_contained_texts_by_shuffle(spark, monkeypatch):
+def test_contained_texts_with_a_full_filter(spark):
     texts = spark.createDataFrame([(f"needle number {i}",) for i in range(30)], "t string")
     corpus = spark.createDataFrame([(i, f"hay needle number {i * 3} hay") for i in range(10)], "id int, c string")
     want = {r["t"] for r in match.contained_in_any(texts, "t", corpus, "id", "c").collect()}
-    monkeypatch.setattr(match, "BROADCAST_TEXTS", 0)
-    assert {r["t"] for r in match.contained_in_any(texts, "t", corpus, "id", "c").collect()} == want
+    full = match.contained_in_any(texts, "t", corpus, "id", "c", filter_bits=8)      # everything passes: only the amount of work changes
+    assert {r["t"] for r in full.collect()} == want
     assert "needle number 27" in want and "needle number 1" in want  # 1 is part of 12, 15, 18

@@ -39,7 +39,31 @@ def op2(spark, folder):
     return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-@query("op10_find_pii")
+PII_SQL = r"""with t as (select doc_id, coalesce(text, '') as s from documents),
+kinds(kind, ord, pat) as (values ('email', 1, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), ('ip', 2, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+  ('card', 3, '[0-9]([ -]?[0-9])+'), ('phone', 4, '\+[0-9][ ().0-9-]+[0-9]'), ('iban', 5, '\b[A-Z]{2}[0-9]{2}( ?[A-Z0-9]){11,30}\b'),
+  ('ssn', 6, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b')),
+cut as (select doc_id, kind, ord, string_split_regex(s, pat) as ps, regexp_extract_all(s, pat) as fs from t cross join kinds where regexp_matches(s, pat)),
+m as (select doc_id, kind, ord, ps, fs, unnest(fs) as f, generate_subscripts(fs, 1) as i from cut),
+p as (select doc_id, kind, ord, f, ps[i] as before, regexp_replace(f, '[^0-9]', '', 'g') as d, replace(f, ' ', '') as b,
+  (list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(fs[1:i - 1], lambda x: length(x))), 0))::BIGINT as st from m),
+ok as (select doc_id, kind, ord, st, st + length(f) as en from p where case kind
+  when 'ip' then len(list_filter(string_split(f, '.'), lambda x: not regexp_matches(x, '^0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$'))) = 0
+  when 'card' then length(d) between 13 and 19 and list_sum(list_transform(range(1, length(d) + 1), lambda j: case when j % 2 = 1 then substr(reverse(d), j, 1)::INTEGER
+      else 2 * substr(reverse(d), j, 1)::INTEGER - case when substr(reverse(d), j, 1)::INTEGER > 4 then 9 else 0 end end)) % 10 = 0
+  when 'phone' then length(d) between 9 and 15
+  when 'iban' then length(b) between 15 and 34 and list_reduce(list_prepend(0, list_transform(string_split(substr(b, 5) || substr(b, 1, 4), ''),
+      lambda c: case when c between '0' and '9' then ascii(c) - 48 else ascii(c) - 55 end)), lambda a, x: case when x > 9 then (a * 100 + x) % 97 else (a * 10 + x) % 97 end) = 1
+  when 'ssn' then regexp_matches(lower(right(before, 40)), '(^|[^a-z])(ssn|social|security|tax)([^a-z]|$)') and not regexp_matches(f, '^(000|666|9)|-00-|-0000$')
+  else true end),
+g as (select doc_id, count(*) filter (kind = 'email') as n_email, count(*) filter (kind = 'ip') as n_ip, count(*) filter (kind = 'card') as n_card,
+  count(*) filter (kind = 'phone') as n_phone, string_agg(kind || ':' || st || ':' || en, ',' order by ord, st) filter (ord <= 4) as base,
+  string_agg(kind || ':' || st || ':' || en, ',' order by ord, st) as spans from ok group by doc_id)
+select t.doc_id, coalesce(n_email, 0)::BIGINT as n_email, coalesce(n_ip, 0)::BIGINT as n_ip, coalesce(n_card, 0)::BIGINT as n_card, coalesce(n_phone, 0)::BIGINT as n_phone,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from t left join g using (doc_id)"""
+
+
+@query("op10_find_pii", PII_SQL)
 def op10(spark, folder):
     found = pii.find_pii(table(spark, folder, "documents").select("doc_id", "text"))
     base = [k.name for k in pii.BASE]

@@ -94,6 +94,18 @@ def _(t):
     return out.select("l_orderkey", "l_linenumber", "fold", r("enc").alias("enc"))
 
 
+@query("agg_7_fold_mean_encode", f"""with {LABELLED_SQL}, tr as (select * from labelled where l_linenumber > 1), te as (select * from labelled where l_linenumber = 1),
+pri as (select f.fold, avg(l.y) as prior from (select distinct fold from tr) f join tr l on l.fold <> f.fold group by f.fold),
+cells as (select o_custkey as v, fold, count(*) as n, sum(y) as s from tr group by all), tot as (select v, sum(n) as n, sum(s) as s from cells group by v),
+grid as (select tot.v, prior, (tot.n - coalesce(c.n, 0))::DOUBLE as n, (tot.s - coalesce(c.s, 0))::DOUBLE as s from tot cross join pri p left join cells c on c.v = tot.v and c.fold = p.fold),
+enc as (select v, avg(case when n = 0 then prior else prior * (1 - 1 / (1 + exp(-(n - 20) / 10::DOUBLE))) + s / n / (1 + exp(-(n - 20) / 10::DOUBLE)) end) as enc from grid group by v)
+select l_orderkey, l_linenumber, round(coalesce(enc, (select avg(prior) from pri)), 9) as enc from te left join enc on o_custkey = v""")
+def _(t):
+    rows = _labelled(t)
+    out = encode.fold_mean_encode(rows.where("l_linenumber > 1"), rows.where("l_linenumber = 1"), "o_custkey", "y", "fold", min_leaf=20, smoothing=10, out="enc")
+    return out.select("l_orderkey", "l_linenumber", r("enc").alias("enc"))
+
+
 @query("agg_7_target_encode_auc", f"""with {LABELLED_SQL}, {_encoded_sql('priority', 200, 10)},
 ranks as (select fold, y, rank() over (partition by fold order by enc) + (count(*) over (partition by fold, enc) - 1) / 2.0 as rk from encoded)
 select fold, round((sum(rk) filter (y = 1) - sum(y) * (sum(y) + 1) / 2.0)::DOUBLE / (sum(y) * (count(*) - sum(y)))::DOUBLE, 9) as auc from ranks group by fold""")

@@ -404,6 +404,15 @@ def _(t):
     return rows.withColumn("w", r("w", 6))
 
 
+@query("mlf_1_vectoriser_union", f"""
+select doc_id, 'word:' || term as term, round(w, 6) as w from (with {WORD_TFIDF} select * from rows)
+union all select doc_id, 'char:' || term, round(w, 6) from (with {tfidf_sql(CHAR_GRAMS, 'tf', 2, 1.0, 2000)} select * from rows)""")
+def _(t):
+    _, words = textfeat.fit_transform_tfidf(docs(t), "doc_id", "text", n=(1, 2), min_df=3, max_df=0.9, sublinear=True)
+    _, chars = textfeat.fit_transform_tfidf(docs(t), "doc_id", "text", analyzer="char", n=(2, 3), min_df=2, max_features=2000)
+    return textfeat.union_terms({"word": words, "char": chars}, "doc_id").withColumn("w", r("w", 6))
+
+
 @query("mlf_1_tfidf_token_char", f"with {tfidf_sql(TOKEN_GRAMS, '1.0::DOUBLE', 1, 1.0)} select doc_id, term, round(w, 6) as w from rows")
 def _(t):
     padded = docs(t).select("doc_id", tr.for_char_grams("text").alias("text"))

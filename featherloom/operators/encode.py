@@ -217,6 +217,26 @@ def oof_target_encode(df: DataFrame, col: str, target: str, fold: str, *, min_le
     return joined
 
 
+def fold_mean_encode(train: DataFrame, test: DataFrame, col: str, target: str, fold: str, *, min_leaf: float = 200, smoothing: float = 10,
+                     out: str | None = None) -> DataFrame:
+    """The test rows under the mean of the fold tables of ``oof_target_encode``; unseen and null values get the mean prior.
+
+    A value meets every fold once (folds are few), so the grid is as long as the distinct values times the folds.
+    """
+    out = out or f"{col}_enc"
+    cells = durable(train.groupBy(col, fold).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(target).cast("double")).alias("s")))
+    per_fold = cells.groupBy(fold).agg(F.sum("n").alias("fn"), F.sum("s").alias("fs"))
+    priors = with_row(per_fold, per_fold.agg(F.sum("fn").alias("an"), F.sum("fs").alias("as"))).select(
+        F.col(fold).alias("_f"), ((F.col("as") - F.col("fs")) / F.nullif(F.col("an") - F.col("fn"), F.lit(0.0))).alias("prior"))
+    listed = cells.where(F.col(col).isNotNull()).groupBy(col).agg(
+        F.sum("n").alias("_n"), F.sum("s").alias("_s"), F.map_from_entries(F.collect_list(F.struct(F.col(fold), F.struct("n", "s")))).alias("_own"))
+    own = lambda x: F.coalesce(F.try_element_at("_own", F.col("_f"))[x], F.lit(0.0))
+    grid = listed.crossJoin(F.broadcast(priors))    # a row for each fold
+    table = grid.groupBy(col).agg(F.avg(_smoothed(F.col("_n") - own("n"), F.col("_s") - own("s"), F.col("prior"), min_leaf, smoothing)).alias("_enc"))
+    joined = test.join(table, col, "left")
+    return with_row(joined, priors.agg(F.avg("prior").alias("_prior"))).withColumn(out, F.coalesce("_enc", "_prior")).select(*test.columns, out)
+
+
 # -- imputation --------------------------------------------------------------------------------
 
 def most_frequent(df: DataFrame, cols: Sequence[str], prefix: str = "mode_") -> DataFrame:

@@ -6,7 +6,8 @@ by document key serves the counts and the row norms.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -190,6 +191,12 @@ def fit_transform_tfidf(df: DataFrame, key: str, text: str, *, analyzer: str = "
     return model, model.transform(df, key, text, counts=counts)
 
 
+def union_terms(parts: Mapping[str, DataFrame], key: str) -> DataFrame:
+    """Several vectorisers as one feature set: (key, term, w) of all parts, each term under its part's name."""
+    named = [rows.select(key, F.concat(F.lit(f"{name}:"), "term").alias("term"), "w") for name, rows in parts.items()]
+    return reduce(DataFrame.unionByName, named)
+
+
 def top_terms(terms: DataFrame, k: int) -> DataFrame:
     """The k terms with the highest corpus frequency (ties by term): a top-k, not a full sort."""
     return terms.orderBy(F.col("corpus_tf").desc(), F.col("term")).limit(k)

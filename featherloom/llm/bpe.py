@@ -34,7 +34,7 @@ LEXICON_WORDS = 120_000     # words of the lexicon at most; others are merged wh
 SHORT = 48                  # symbols up to which merging scans instead of keeping a heap
 LEXICON_LEAST = 3           # occurrences that make a word frequent
 LEXICON_BYTES = 64          # longer words are left to merging
-MEMO_WORDS = 200_000        # a worker's memo is emptied at this size
+MEMO_WORDS = 500_000        # a worker's memo holds so many pieces
 ROWS = 200
 
 
@@ -212,18 +212,16 @@ class Lexicon:
 
 
 class Memo(dict):
-    """Ids of a piece as bytes: from the lexicon, else merged; emptied at a fixed size."""
+    """Ids of a piece as bytes: from the lexicon, else merged; of fixed size."""
 
     def __init__(self, merger: Merger, lexicon: Lexicon | None):
         super().__init__()
         self.merger, self.lexicon = merger, lexicon
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
         ids = self.lexicon.get(piece.encode("utf-8", "surrogatepass")) if self.lexicon else None
         got = np.array(self.merger.merge(piece) if ids is None else ids, "<u4").tobytes()
-        if len(piece) <= LEXICON_BYTES:
+        if len(piece) <= LEXICON_BYTES and len(self) < MEMO_WORDS:      # frequent pieces come early and stay
             self[piece] = got
         return got
 

@@ -1,11 +1,10 @@
 """Near-duplicate vectors: spherical k-means puts vectors into cells, blocked cosine products compare within cells.
 
 Equal vectors are one node with a multiplicity. A node lives in the cell of its nearest centre and also visits every cell in
-which a linked vector may live: if x.c_home - x.c_j is small against the distance of the two centres. For a pair at the threshold
-the part of y orthogonal to x has length sqrt(1 - t * t); its component along c_home - c_j is that length over sqrt(dim - 1) in
-size, so ``reach`` of these standard sizes are allowed (the certain bound, sqrt(2 - 2t), where that is less). Each ordered pair
-is met once, in the cell where its second vector lives, so counts add up. Cells of any size are cut into blocks; a task holds
-two blocks.
+which a linked vector may live: if x.c_home - x.c_j is small against the distance of the two centres. That is certain: y lives in j, so
+y.(c_home - c_j) <= 0, and x - (x.y)y is no longer than sqrt(1 - t * t), so x.(c_home - c_j) is at most that times the distance.
+Each ordered pair is met once, in the cell where its second vector lives, so counts add up. Cells of any size are cut into
+blocks; a task holds two blocks.
 
 Cases: vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of different length
 neither. Rows with equal vectors link with each other. No rows give no rows; other columns are not read.
@@ -43,18 +42,18 @@ def fit_centres(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.nda
     return centres
 
 
-def _places(x: np.ndarray, centres: np.ndarray, threshold: float, reach: float):
+def _places(x: np.ndarray, centres: np.ndarray, threshold: float):
     """Home cell of each row, and (row, cell) of all visits, the home among them."""
     sims = x @ centres.T
     home = sims.argmax(axis=1)
     gap = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
-    dim = x.shape[1]
-    slack = min(reach * np.sqrt(1 - threshold**2) / (threshold * np.sqrt(max(dim - 1, 1))), np.sqrt(2 - 2 * threshold))
+    # a negative x.y turns the sign of y's part, so then only |x - y| bounds
+    slack = np.sqrt(max(1 - threshold**2, 0)) if threshold >= 0 else np.sqrt(2 - 2 * threshold)
     top = sims[np.arange(len(x)), home]
-    return home, np.nonzero(top[:, None] - sims <= slack * gap[home] + 1e-9)
+    return home, np.nonzero(top[:, None] - sims <= slack * gap[home] + 1e-7)     # gap errs by 2e-8 where centres meet
 
 
-def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, reach: float = 4.0) -> DataFrame:
+def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id), one row for each row of ``rows``; links have cosine ``threshold`` or more, in doubles."""
     digest = F.struct(F.xxhash64("v").alias("a"), F.xxhash64("v", F.lit(1)).alias("b"))
     keyed = usable_rows(rows, id_col, vector).where("vec_id is not null").select("vec_id", digest.alias("key"), "v")
@@ -72,7 +71,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector: str = "embeddi
             for d, at, x in by_dim(batch):
                 x = unit(x)
                 if d == held.value.shape[1]:
-                    home, (r, c) = _places(x, held.value, threshold, reach)
+                    home, (r, c) = _places(x, held.value, threshold)
                 else:
                     home, r, c = np.zeros(len(x), int), np.arange(len(x)), np.zeros(len(x), int)
                 r, c, lives = np.concatenate([np.arange(len(x)), r]), np.concatenate([home, c]), np.arange(len(x) + len(r)) < len(x)

@@ -286,6 +286,17 @@ def test_near_vectors_match_brute_force(spark, monkeypatch):
     assert cells.near_vectors(df.where("false")).count() == 0
 
 
+def test_near_vectors_of_low_rank_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(cells, "CELL", 25)
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((1500, 4)) @ rng.standard_normal((4, 64)) + 0.05 * rng.standard_normal((1500, 64))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = u @ u.T >= 0.9
+    want = components_of([(int(a), int(b)) for a, b in zip(*np.nonzero(links)) if a < b])
+    got = cells.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(i, links[i].sum() - 1, want.get(i, i)) for i in range(len(x))]
+
+
 def test_nearest_recall_and_scores(spark):
     x, df = vectors(spark)
     got = onebit.nearest(df, df.where(F.col("vec_id") % 10 == 0)).collect()

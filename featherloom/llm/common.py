@@ -21,6 +21,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")), F.lit(0)).cast("long")
 
 
+def text_digest(text: Column) -> Column:
+    """128 bits of a text, null for null: with the id, what tells rows apart where ids repeat or are null."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 @contextmanager
 def small_batches(spark: SparkSession):
     """Jobs started inside give Python workers their rows in batches of at most ``BATCH_BYTES``."""

@@ -9,8 +9,9 @@ pairs are never rows. So a group of near copies costs about one pair a member, a
 threshold gives next to none, and no link that the bands show is left out.
 
 Cases: null, empty and blank texts have no set and link with nothing. A text with fewer words than a shingle is one shingle.
-Rows with equal ids are one document as to links. Repeated rows come back as often as they stand. No rows give no rows;
-extra columns are not read.
+Links are between sets, whatever the ids: an id that stands with two texts may be in two components, and rows of null id link
+like others. A component is named by its smallest id, null where it has none. Repeated rows come back as often as they stand.
+No rows give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from featherloom.llm.common import ODD, WordHasher, mix64, release, written
+from featherloom.llm.common import ODD, WordHasher, mix64, release, text_digest, written
 from featherloom.llm.components import block_forest, connected_components
 
 ROWS = 128
@@ -65,7 +66,7 @@ def minima(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n, key, bands, sig) of (doc_id, text): set size, 128-bit digest of the set, band hashes, 16 bits of each minimum."""
+    """(doc_id, digest, n, key, bands, sig) of (doc_id, digest, text): set size, 128-bit digest of the set, band hashes, 16 bits of each minimum."""
 
     def run(batches):
         a, b = hash_family(bands * rows)
@@ -90,15 +91,15 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     cols[1].append(None if i is None else joint[i].view(np.int64))
                     cols[2].append(None if i is None else short[i].tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cols[0], pa.binary()),
-                     pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.binary())], ["doc_id", "n", "key", "bands", "sig"])
+                    [part.column("doc_id"), part.column("digest"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cols[0], pa.binary()),
+                     pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.binary())], ["doc_id", "digest", "n", "key", "bands", "sig"])
         release()
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, key binary, bands array<bigint>, sig binary")
+    return docs.mapInArrow(run, "doc_id bigint, digest binary, n bigint, key binary, bands array<bigint>, sig binary")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, shingles): the whole sets of the nodes (node, key), 8 bytes a shingle, read again from the texts of (doc_id, text)."""
+    """(node, shingles): the whole sets of the nodes (node, key, row), 8 bytes a shingle, read again from the texts of (doc_id, digest, text)."""
 
     def run(batches):
         hasher = WordHasher(lower=True)
@@ -107,10 +108,11 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 part = batch.slice(at, ROWS)
                 sets = [shingle_set(h, k).tobytes() for h in hasher.each(part.column("text"))]
                 same = pa.array([xxhash.xxh3_128_digest(x) == y for x, y in zip(sets, part.column("key").to_pylist(), strict=True)])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").filter(same), pa.array(sets, pa.binary()).filter(same)], ["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("node").filter(same), pa.array(sets, pa.binary()).filter(same)], ["node", "shingles"])
 
-    wanted = nodes.select(F.col("node").alias("doc_id"), "key")
-    return docs.join(wanted, "doc_id").select("doc_id", "key", "text").mapInArrow(run, "node bigint, shingles binary").dropDuplicates(["node"])
+    wanted = nodes.select("node", "key", F.col("row.doc_id").alias("id_"), F.col("row.digest").alias("digest_"))
+    same_row = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("digest") == F.col("digest_"))
+    return docs.join(wanted, same_row).select("node", "key", "text").mapInArrow(run, "node bigint, shingles binary").dropDuplicates(["node"])
 
 
 def _lean(t: float, minima_: int) -> float:
@@ -197,17 +199,25 @@ def _links_in_blocks(rows: DataFrame, sets: DataFrame, num: int, den: int) -> Da
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, threshold: tuple[int, int] = (80, 100),
                     bands: int = 32, rows: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row for each row of ``docs``.
+    """(doc_id, n_shingles, component_id), one row for each row of ``docs``."""
+    return duplicate_classes(docs, id_col, text, k, threshold, bands, rows).select("doc_id", "n_shingles", "component_id")
+
+
+def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, threshold: tuple[int, int] = (80, 100),
+                      bands: int = 32, rows: int = 5) -> DataFrame:
+    """(doc_id, digest, n_shingles, class, component_id), one row for each row of ``docs``; ``class`` numbers the component within this call, null without a set.
 
     Pairs with intersection * threshold[1] >= union * threshold[0] are linked. A pair of similarity s shares a band with
     probability 1 - (1 - s ** rows) ** bands: at 0.8 with the defaults all but 3 in a million.
     """
     num, den = threshold
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_digest(F.col(f"`{text}`")).alias("digest"), F.col(f"`{text}`").alias("text"))
     sig = written(signatures(base, k, bands, rows), "minhash-sig")
-    nodes = written(sig.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"),
-                                                                 F.first("bands").alias("bands"), F.first("sig").alias("sig")), "minhash-nodes")
-    in_bands = nodes.where("node is not null").select("node", "n", F.explode("bands").alias("bucket"))
+    # a node is a set; its number is fixed by the written table, and one of its rows stands for it when the text is read again
+    nodes = written(sig.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "digest")).alias("row"), F.first("n").alias("n"),
+                                                                 F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+                    .withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
+    in_bands = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
     step = F.lit(-math.log(num / den) * 1.01)
     size_class = F.floor(F.log("n") / step)
@@ -231,7 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
         return now.join(mixed, "bucket")
 
-    wanted = nodes.join(members.select("node").distinct(), "node").select("node", "key")
+    wanted = nodes.join(members.select("node").distinct(), "node").select("node", "key", "row")
     sets = written(shingle_sets(base, wanted, k), "minhash-sets")
     edges = _confirm(written(stars(members, 0), "minhash-pairs"), nodes, sets, num, den)
     comps = written(connected_components(edges), "minhash-comps")
@@ -245,6 +255,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     more = _confirm(written(cross, "minhash-cross"), nodes, sets, num, den).unionByName(
         written(_links_in_blocks(rest.where("large").select("bucket", "node", "comp", "parts"), sets, num, den).distinct(), "minhash-blockwise"))
     comps = connected_components(edges.unionByName(more))
-    by_key = written(with_component(nodes.select("key", "node"), comps).select("key", "comp"), "minhash-classes")
-    return sig.select("doc_id", "n", "key").join(by_key, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+    named = written(with_component(nodes.select("key", "node", "least"), comps).select("key", "comp", "least"), "minhash-named")
+    by_key = written(named.join(named.groupBy("comp").agg(F.min("least").alias("component_id")), "comp"), "minhash-classes").drop("least")
+    return sig.select("doc_id", "digest", "n", "key").join(by_key, "key", "left").select(
+        "doc_id", "digest", F.col("n").alias("n_shingles"), F.col("comp").alias("class"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -102,6 +102,21 @@ def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_ids_with_two_texts(spark):
+    long = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(1, long("p"), "s"), (5, long("p") + " end", "s"), (5, long("q"), "s"), (9, long("q") + " end", "s"), (None, long("r"), "s"), (12, long("r") + " end", "s"),
+            (None, long("t"), "s"), (None, long("t") + " end", "s")]
+    rows += [(20 + i, f"{long('u')} {i}", "s") for i in range(6)] + [(20 + i, f"{long('v')} {i}", "s") for i in range(6)]
+    want = [1, 1, 5, 5, 12, 12, None, None] + [20] * 12
+    got = minhash.duplicate_classes(docs_of(spark, rows)).collect()
+    key = lambda i, t: (i, hashlib.md5(t.encode()).digest())
+    found = {(r["doc_id"], bytes(r["digest"])): r for r in got}
+    assert len(got) == len(found) == len(rows)
+    assert [found[key(i, t)]["component_id"] for i, t, _ in rows] == want
+    classes = [found[key(i, t)]["class"] for i, t, _ in rows]
+    assert [len(set(classes[a:b])) for a, b in ((0, 2), (2, 4), (4, 6), (6, 8), (8, 14), (14, 20))] == [1] * 6 and len(set(classes)) == 6
+
+
 def test_shared_counts():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(12)]

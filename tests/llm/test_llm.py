@@ -477,6 +477,16 @@ def test_pipeline_stages(spark):
     assert len(c.STAGES) == 5
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline as c
+
+    long = lambda x: " ".join(f"{x}{i}" for i in range(40))
+    rows = [(1, long("p"), "s"), (5, long("p"), "s"), (5, long("q"), "s"), (9, long("q") + " end", "s"), (None, long("r"), "s"), (12, long("r"), "s"), (30, long("w"), "s"),
+            (None, long("t"), "s"), (None, long("t"), "u"), (7, long("v"), "s"), (7, long("v"), "s"), (7, long("v"), None), (8, None, "s"), (8, None, "s"), (None, " ", "s")]
+    got = [(r["doc_id"], (r["text"] or " ").split(" ")[0]) for r in c.drop_near_duplicates(spark, docs_of(spark, rows), FOLDER).collect()]
+    assert collections.Counter(got) == collections.Counter([(1, "p0"), (5, "q0"), (12, "r0"), (None, "t0"), (7, "v0"), (30, "w0"), (8, ""), (8, ""), (None, "")])
+
+
 def test_pipeline_edges(spark):
     import corpus_pipeline as c
 

@@ -273,6 +273,15 @@ def test_repeats_match_brute_force(spark):
     assert substring.remove_repeats(docs_of(spark, [])).count() == 0
 
 
+def test_repeats_of_null_and_repeated_ids(spark):
+    run = lambda c, n=50: " ".join(f"{c}{i}" for i in range(n))
+    texts = [(1, f"{run('a')} {run('k', 9)}"), (None, f"x {run('a')}"), (5, f"{run('b')} {run('l', 9)}"), (5, f"{run('b')} {run('m', 12)}"), (5, run("c", 70)), (None, run("d", 80)), (None, run("d", 80))]
+    want = [(1, 59, 50), (None, 51, 50), (5, 59, 50), (5, 62, 50), (5, 70, 0), (None, 80, 80), (None, 80, 80)]
+    left = [run("k", 9), "x", run("l", 9), run("m", 12), run("c", 70), "", ""]
+    got = substring.remove_repeats(docs_of(spark, [(i, t, "s") for i, t in texts])).drop("kept").collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter((*w, hashlib.sha256(k.encode()).hexdigest()) for w, k in zip(want, left, strict=True))
+
+
 # -- vectors
 
 def vectors(spark, n=500):

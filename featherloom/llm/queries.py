@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from featherloom.llm import bpe, cells, html, minhash, mixing, onebit, order, pii, substring, toxicity
+from featherloom.llm import bpe, cells, exact, html, merkle, minhash, mixing, onebit, order, pii, substring, toxicity
 from featherloom.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
 from featherloom.session import scratch_path
 
@@ -128,3 +128,47 @@ def op4(spark, folder):
     order.write_shards(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, path)
     rows = order.read_shards(spark, path)
     return rows.select("slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+
+
+@query("op11_exact_dedup", r"""
+with t as (select doc_id, length(coalesce(text, '')) as points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as bare from documents),
+g as (select doc_id, bare, first_value(doc_id) over (partition by bare order by points desc, doc_id) as keep_id, count(*) over (partition by bare) as group_size from t)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(bare) as text_sha256 from g""")
+def op11(spark, folder):
+    return exact.exact_duplicates(table(spark, folder, "documents"), digests=True).withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
+
+
+def _manifest_sql() -> str:
+    """Levels of both trees as a chain of tables, enough for 16 ** 7 leaves a source and as many sources; a level over a lone node changes nothing."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    crc = """(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, i: xor(c >> 1, (c & 1) * 3988292384))))"""
+    parts = [f"""with base as (select *, {leaf("text")} as leaf, case when xor({crc}, 4294967295) % 5 = 0 then {leaf(f"translate(text, '{UPPER}', '{UPPER.lower()}')")} else {leaf("text")} end as claim from documents),
+placed as (select *, dense_rank() over (order by source nulls first) - 1 as tree, row_number() over (partition by source order by doc_id) - 1 as pos, doc_id as k from base),
+c0 as (select k, tree, pos as idx, claim as cur, '' as proof from placed), n0 as (select tree, pos as idx, leaf as h from placed)"""]
+
+    def climb(cur, nodes, tag):
+        for i in range(7):
+            parts.append(f"""r{tag}{i} as (select tree, idx // 16 as run, string_agg(h, '' order by idx) as s, count(*) as c, any_value(m) as m from (select *, count(*) over (partition by tree) as m from {nodes}) group by all),
+n{tag}{i} as (select tree, run as idx, case when m = 1 then s else sha256(s) end as h from r{tag}{i}),
+c{tag}{i} as (select k, x.tree, run as idx, case when m = 1 then cur else sha256(s[:(idx % 16) * 64] || cur || s[(idx % 16) * 64 + 65:]) end as cur,
+  case when m = 1 then proof else proof || s[:(idx % 16) * 64] || s[(idx % 16) * 64 + 65:] end as proof from {cur} x join r{tag}{i} y on x.tree = y.tree and idx // 16 = run)""")
+            cur, nodes = f"c{tag}{i}", f"n{tag}{i}"
+        return cur, nodes
+
+    cur, subroots = climb("c0", "n0", "a")
+    parts.append(f"t0 as (select -1 as tree, tree as idx, h from {subroots}), d0 as (select k, -1 as tree, tree as idx, cur, proof from {cur})")
+    cur, root = climb("d0", "t0", "b")
+    return ", ".join(parts) + f"""
+select doc_id, leaf, s.h as subroot, r.h as root, sha256(proof) as proof_sha256, cur as folded_root, cur = r.h as verified
+from placed p join {subroots} s using (tree) cross join {root} r join {cur} x on x.k = p.k"""
+
+
+@query("op13_merkle_manifest", _manifest_sql())
+def op13(spark, folder):
+    docs = table(spark, folder, "documents")
+    lower = F.translate("text", UPPER, UPPER.lower())
+    fields = lambda text: [F.col(c) for c in merkle.FIELDS[:-1]] + [text]
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.merkle_proofs(docs, F.when(chosen, merkle.leaf_hash(*fields(lower))).otherwise(merkle.leaf_hash(*fields(F.col("text")))))

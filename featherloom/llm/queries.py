@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from featherloom.llm import bpe, cells, exact, html, merkle, minhash, mixing, onebit, order, pii, substring, toxicity
+from featherloom.llm import bpe, cells, exact, html, merkle, minhash, mixing, onebit, order, phrases, pii, substring, toxicity
 from featherloom.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
 from featherloom.session import scratch_path
 
@@ -172,3 +172,25 @@ def op13(spark, folder):
     fields = lambda text: [F.col(c) for c in merkle.FIELDS[:-1]] + [text]
     chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return merkle.merkle_proofs(docs, F.when(chosen, merkle.leaf_hash(*fields(lower))).otherwise(merkle.leaf_hash(*fields(F.col("text")))))
+
+
+@query("op12_phrase_collocations", f"""
+with p as (select lang, row_number() over () as id, pc from (select coalesce(lang, 'und') as lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[.,;:!?\\x0A-\\x0D]')) as pc from documents)),
+w as (select lang, regexp_extract_all(pc, '[^\\x20\\x09]+') as ws from p),
+g as (select lang, k, array_to_string(ws[i:i + k - 1], ' ') as phrase from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i from w, (values (1), (2), (3), (4)) v(k) where len(ws) >= k)),
+f as (select lang, k, phrase, count(*) as f from g group by all),
+tot as (select lang, sum(f)::BIGINT as n from f where k = 1 group by lang),
+cand as (select lang, k, phrase, f as a, string_split(phrase, ' ') as ws from f where k >= 2 and f >= 30),
+inner_ as (select lang, unnest(list_transform(range(1, k - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) as phrase, a
+  from cand, (values (2), (3)) v(m) where m < k),
+cover as (select lang, phrase, max(a) as most from inner_ group by all),
+cut as (select c.lang, c.phrase, c.a, j, array_to_string(ws[1:j], ' ') as x, array_to_string(ws[j + 1:], ' ') as y
+  from (select *, unnest(range(1, k)) as j from cand) c left join cover v on v.lang = c.lang and v.phrase = c.phrase where v.most is null or 100::HUGEINT * v.most < 80::HUGEINT * c.a),
+sc as (select cut.lang, cut.phrase, a, j, fx.f as l, fy.f as r, (2000000::HUGEINT * a // (fx.f::HUGEINT + fy.f))::BIGINT as score
+  from cut join f fx on fx.lang = cut.lang and fx.phrase = x join f fy on fy.lang = cut.lang and fy.phrase = y),
+low as (select * from sc qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from low)
+select lang, rank, phrase, a, l, r, n, score from ranked join tot using (lang) where rank <= 2000""")
+def op12(spark, folder):
+    return phrases.mine_phrases(table(spark, folder, "documents"))

@@ -1,11 +1,11 @@
 """Phrase collocations by stripes: each prefix of words keys an associative counter of the words that follow it.
 
-A stripe holds, beside the following words, one counter ``OTHER`` for occurrences whose next word is missing or cannot matter, so
-its sum is the prefix's frequency, its entries are the frequencies of the prefix's extensions, and its largest
-entry says whether an extension subsumes it. Tasks count stripes of the empty prefix, of words, then of pairs and triples; stripes of a
-prefix are merged entry by entry. Between the scans a bitmap of bounded size keeps what is frequent: a phrase's parts are at least as frequent as it
-is, so nothing frequent is lost, and what passes by accident is counted and dropped. Very frequent prefixes (there can be few) are cut
-into parts by the following word.
+Entries of a prefix's stripe are the frequencies of its extensions; the entry for its own last word, in the stripe of the prefix that is
+one word shorter, is its total; its largest entry says whether an extension subsumes it. Stripes of the empty prefix count words; then
+follow stripes of words, of pairs and of triples. Tasks count in numpy, on numbers that they give to the words they meet, and write a stripe
+as one string; stripes of a prefix are merged entry by entry. Between the scans a bitmap of bounded size keeps what is frequent:
+a phrase's parts are at least as frequent as it is, so nothing frequent is lost, and what passes by accident is counted and dropped. Very frequent
+prefixes (there can be few) are cut into parts by the following word.
 
 Cases: a null language is ``und``; null, empty and wordless texts add nothing; repeated rows count each time. Extra columns are
 left alone. No rows give no rows. Counts are exact; scores are computed with decimals of 38 digits.
@@ -14,7 +14,6 @@ left alone. No rows give no rows. Counts are exact; scores are computed with dec
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +26,8 @@ from featherloom.llm.bits import bitmap_of, bitmap_size, in_bitmap
 from featherloom.llm.common import drop_written, mix64, release, written
 
 LONGEST = 4
-OTHER = None             # entry of a stripe for whatever follows that needs no name
-ENTRIES = 300_000        # entries that a task holds before it passes its stripes on
+TOKENS = 3_000_000       # words that a task counts before it passes its stripes on
+WORDS = 1 << 20          # different words until then
 CHUNK = 1 << 19          # bytes of text in hand at a time
 HOT = 4096               # words with at least 1 / HOT of all occurrences are hot, so there are at most HOT
 CUTS = 64                # parts of a stripe whose prefix has hot words only
@@ -38,85 +37,83 @@ PARTS = 64               # parts in which a language's best are found
 #: Fixed by the contract: A-Z become a-z, the tab a space, piece ends (. , ; : ! ? and LF, VT, FF, CR) one sign.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
 TOKEN = re.compile(rb"[^ \n]+|\n")
-STRIPE = "lang string, prefix string, part int, nexts array<string>, counts array<bigint>"
+STRIPE = "lang string, prefix string, part int, stripe string"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+NEXT, CUT = 26, 6        # bits of a key for the following word's number and for the part
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, 0 for the end of a piece; forgotten when there are too many."""
+class _Words(dict):
+    """Numbers of words as they are met, 0 for the end of a piece, with their hashes."""
+
+    def __init__(self):
+        super().__init__({b"\n": 0})
+        self.names, self.hashes = [b""], [0]
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > ENTRIES:
-            self.clear()
-        value = self[word] = 0 if word == b"\n" else xxhash.xxh64_intdigest(word) | 1
-        return value
+        number = self[word] = len(self.names)
+        self.names.append(word)
+        self.hashes.append(xxhash.xxh64_intdigest(word))
+        return number
 
 
-def _pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _join_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix64(left * MULTIPLIER + right)
 
 
-def _slots(hashes: np.ndarray, lang: str, size: int) -> np.ndarray:
-    """Slots of a language's words or pairs."""
-    return _pair_hash(hashes, np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass")))) & np.uint64(size - 1)
-
-
-class _Filter:
-    """What may be frequent: words, and pairs once they are known."""
-
-    def __init__(self, words: np.ndarray | None = None, pairs: np.ndarray | None = None):
-        self.words, self.pairs = words, pairs
-
-    def keep(self, hashes: np.ndarray, lang: str) -> tuple[np.ndarray, np.ndarray]:
-        """Flags of words, and flags of pairs by their first word."""
-        word = hashes != 0
-        if self.words is not None:
-            word &= in_bitmap(self.words, _slots(hashes, lang, len(self.words) * 8))
-        pair = word[:-1] & word[1:]
-        if self.pairs is not None:
-            at = np.flatnonzero(pair)
-            pair[at] = in_bitmap(self.pairs, _slots(_pair_hash(hashes[at], hashes[at + 1]), lang, len(self.pairs) * 8))
-        return word, pair
-
-
-def _occurrences(tokens: list[bytes], word: np.ndarray, pair: np.ndarray, size: int) -> Iterator[tuple]:
-    """(prefix words…, next word or OTHER) of every occurrence of a kept prefix of ``size`` words."""
-    if size == 0:
-        yield from ((tokens[i],) for i in np.flatnonzero(word).tolist())
-        return
-    n = len(tokens)
-    held = word.copy() if size == 1 else np.append(pair, False)
-    for j in range(1, size - 1):
-        held[: n - j] &= np.append(pair, False)[j:]
-        held[n - j :] = False
-    last = np.append(pair, False)
-    goes_on = np.zeros(n, bool)                       # the pair of the prefix's last word and the next one is kept
-    goes_on[: n - size + 1] = last[size - 1 :]
-    at = np.flatnonzero(held)
-    on = at[goes_on[at]].tolist()
-    off = at[~goes_on[at]].tolist()
-    yield from zip(*(map(tokens.__getitem__, [i + j for i in on]) for j in range(size + 1)))
-    yield from ((*prefix, OTHER) for prefix in zip(*(map(tokens.__getitem__, [i + j for i in off]) for j in range(size))))
-
-
-def _stripes(counts: Counter, hot: frozenset) -> Iterator[tuple]:
-    """(lang, prefix, part, nexts, counts) of counted (lang, (word…, next))."""
-    striped: dict[tuple, tuple[list, list]] = {}
-    for (lang, words), n in counts.items():
-        prefix, following = words[:-1], words[-1]
-        cut = 0
-        if all(w in hot for w in prefix):
-            cut = xxhash.xxh32_intdigest(following or b"") % CUTS
-        names, numbers = striped.setdefault((lang, prefix, cut), ([], []))
-        names.append(following)
-        numbers.append(n)
-    for (lang, prefix, cut), (names, numbers) in striped.items():
-        yield lang, b" ".join(prefix), cut, names, numbers
+class Filter:
+    """Bitmaps of the words, pairs and triples that may be frequent, as far as they are known."""
+
+    def __init__(self, *bitmaps: np.ndarray):
+        self.bitmaps = bitmaps
+
+    @staticmethod
+    def slots(hashes: np.ndarray, lang: str, size: int) -> np.ndarray:
+        """Slots of a language's phrases."""
+        return _join_hash(hashes, np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass")))) & np.uint64(size - 1)
+
+    def starts(self, words: np.ndarray, hashes: np.ndarray, lang: str, size: int) -> np.ndarray:
+        """Where a run of size + 1 words starts, of which every part that a bitmap knows may be frequent."""
+        at, joined = np.flatnonzero(words), None
+        for k in range(size + 1):          # runs of k + 1 words, from those of k words
+            if k:
+                here = np.zeros(len(words) + 1, bool)
+                here[at] = True
+                on = here[at + 1]
+                joined = _join_hash(joined[on], hashes[at[on] + k])
+                at = at[on]
+            else:
+                joined = hashes[at]
+            if k < len(self.bitmaps):
+                may = in_bitmap(self.bitmaps[k], self.slots(joined, lang, len(self.bitmaps[k]) * 8))
+                at, joined = at[may], joined[may]
+        return at
+
+
+def stripes_of(words: np.ndarray, at: np.ndarray, names: pa.Array, hashes: np.ndarray, hot: np.ndarray, lang: str, size: int) -> pa.RecordBatch:
+    """Stripes of the prefixes of ``size`` words that start at the places ``at``; an entry is a word, and its count after a colon unless it is 1."""
+    code, all_hot = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+    for j in range(size):
+        mine = words[at + j]
+        all_hot &= hot[mine]
+        code = np.unique(code << NEXT | mine, return_inverse=True)[1] if j else mine
+    following = words[at + size]
+    part = np.where(all_hot, (hashes[following] % np.uint64(CUTS)).astype(np.int64), 0)
+    key, first, n = np.unique((code << CUT | part) << NEXT | following, return_index=True, return_counts=True)
+    group = key >> NEXT
+    head = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(key) else np.empty(0, np.int64)
+    entries, many = names.take(pa.array(following[first])), np.flatnonzero(n > 1)
+    counted = pc.binary_join_element_wise(entries.take(pa.array(many)), pc.cast(pa.array(n[many]), pa.string()), ":")
+    entries = pc.replace_with_mask(entries, pa.array(n > 1), counted)
+    starts = at[first[head]]
+    prefix = [names.take(pa.array(words[starts + j])) for j in range(size)]
+    prefix = pc.binary_join_element_wise(*prefix, " ") if size else pa.array([""] * len(head), pa.string())
+    stripe = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(head, len(key)), pa.int32()), entries), ",")
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(head), pa.string()), prefix, pa.array(group[head] & (CUTS - 1), pa.int32()), stripe], ["lang", "prefix", "part", "stripe"])
 
 
 def _texts(batches) -> Iterator[tuple[str, bytes]]:
-    """(lang, folded text) chunks; texts of a language are joined by piece ends."""
+    """(lang, folded text) chunks that end with a piece; texts of a language are joined by piece ends."""
     for batch in batches:
         held: dict[str, list] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -125,84 +122,94 @@ def _texts(batches) -> Iterator[tuple[str, bytes]]:
                 mine.append(text.translate(FOLD))
                 mine[0] += len(text)
                 if mine[0] > CHUNK:
-                    yield lang, b"\n".join(mine[1:])
+                    yield lang, b"\n".join(mine[1:]) + b"\n"
                     held[lang] = [0]
         for lang, mine in held.items():
-            yield lang, b"\n".join(mine[1:])
+            yield lang, b"\n".join(mine[1:]) + b"\n"
 
 
-def count_stripes(docs: DataFrame, sizes: tuple[int, ...], passed=None, hot: frozenset = frozenset(), name: str = "phrases") -> DataFrame:
-    """Merged stripes of prefixes of the given sizes over rows (lang, text as binary): (lang, prefix, total, nexts, counts).
+def count_stripes(docs: DataFrame, size: int, passed=None, hot: frozenset = frozenset(), name: str = "phrases") -> DataFrame:
+    """Merged stripes of the prefixes of ``size`` words over rows (lang, text as binary): (lang, prefix, total, nexts, counts).
 
-    ``passed`` is a broadcast filter. A cut stripe gives a row for each part; their totals add up.
+    ``passed`` is a broadcast ``Filter``. A cut stripe gives a row for each part; ``total`` is the sum of all its entries.
     """
 
     def count(batches):
-        def out(counts):
-            columns = list(zip(*_stripes(counts, hot))) or [()] * 5
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()))
-            whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["lang", "prefix", "part", "nexts", "counts"])
-            for at in range(0, whole.num_rows, 20_000):
-                yield whole.slice(at, 20_000)
-
-        counts, keep, hashes = Counter(), passed.value if passed is not None else _Filter(), _Hashes()
+        keep = passed.value if passed is not None else Filter()
+
+        def out():
+            names, hashes = pa.array(ids.names, pa.binary()).cast(pa.string()), np.array(ids.hashes, np.uint64)
+            warm = np.array([w in hot for w in ids.names])
+            for lang, arrays in seen.items():
+                words = np.concatenate(arrays)
+                batch = stripes_of(words, keep.starts(words, hashes[words], lang, size), names, hashes, warm, lang, size)
+                for at in range(0, batch.num_rows, 20_000):
+                    yield batch.slice(at, 20_000)
+
+        ids, seen, held = _Words(), {}, 0
         for lang, text in _texts(batches):
             tokens = TOKEN.findall(text)
-            word, pair = keep.keep(np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens)), lang)
-            for size in sizes:
-                mine = Counter(_occurrences(tokens, word, pair, size))
-                for words, n in mine.items():
-                    counts[lang, words] += n
-            if len(counts) > ENTRIES:
-                yield from out(counts)
-                counts = Counter()
-        yield from out(counts)
+            seen.setdefault(lang, []).append(np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens)))
+            held += len(tokens)
+            if held > TOKENS or len(ids) > WORDS:
+                yield from out()
+                ids, seen, held = _Words(), {}, 0
+        yield from out()
         release()
 
-    counted = docs.mapInArrow(count, STRIPE)
     key = ["lang", "prefix", "part"]
-    dealt = counted.repartition(*[F.col(k) for k in key]).sortWithinPartitions(*key)
+    dealt = docs.mapInArrow(count, STRIPE).withColumn("key", F.xxhash64(*key))
+    dealt = dealt.repartition("key").sortWithinPartitions("key")
     return written(dealt.mapInArrow(merge_stripes, "lang string, prefix string, total bigint, nexts array<string>, counts array<bigint>"), name)
 
 
 def merge_stripes(batches, least: int = 30) -> Iterator[pa.RecordBatch]:
-    """Add up stripes of equal keys, which follow each other; entries under ``least`` only stay in the total.
+    """Add up the stripes of each prefix; rows of one ``key`` follow each other. Entries under ``least`` only stay in the total.
 
-    At most one batch and one stripe without repeats are held.
+    At most one batch and the stripes of one key, without repeats, are held.
     """
-    key = ["lang", "prefix", "part"]
+    key = ["key", "lang", "prefix", "part"]
 
     def flat(batch: pa.RecordBatch) -> pa.Table:
-        row = pc.list_parent_indices(batch.column("nexts"))
-        return pa.table([pc.take(batch.column(k), row) for k in key] + [pc.list_flatten(batch.column("nexts")), pc.list_flatten(batch.column("counts"))], [*key, "next", "n"])
+        entries = pc.split_pattern(batch.column("stripe"), ",")
+        row, entry = pc.list_parent_indices(entries), pc.split_pattern(pc.list_flatten(entries), ":")
+        many = pc.equal(pc.list_value_length(entry), 2)
+        n = pc.replace_with_mask(pa.array(np.ones(len(entry), np.int64)), many, pc.cast(pc.list_element(entry.filter(many), 1), pa.int64()))
+        return pa.table([pc.take(batch.column(k), row) for k in key] + [pc.list_element(entry, 0), n], [*key, "next", "n"])
 
     def added(t: pa.Table) -> pa.Table:
-        return t.group_by([*key, "next"]).aggregate([("n", "sum")]).rename_columns([*key, "next", "n"])
+        return t.group_by([*key, "next"], use_threads=False).aggregate([("n", "sum")]).rename_columns([*key, "next", "n"])
 
     def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
         if not t.num_rows:
             return
-        t = t.sort_by([(k, "ascending") for k in key]).combine_chunks()
-        cols = [t.column(k).combine_chunks() for k in key]
-        new = np.ones(t.num_rows, bool)
+        codes = t.group_by(key, use_threads=False).aggregate([("n", "sum")])
+        frequent = t.filter(pc.greater_equal(t.column("n"), least))
+        if codes.num_rows == 0:
+            return
+        # stripes without a frequent entry only matter for their total, which only the empty prefix needs
+        both = pa.concat_tables([frequent.select([*key, "next", "n"]), pa.table([*(codes.column(k) for k in key), pa.nulls(codes.num_rows, pa.string()), codes.column("n_sum")], [*key, "next", "n"])
+                                 .filter(pc.or_(pc.equal(codes.column("prefix"), ""), pc.is_in(codes.column("key"), value_set=frequent.column("key").combine_chunks())))])
+        both = both.sort_by([(k, "ascending") for k in key])
+        if not both.num_rows:
+            return
+        cols = [both.column(k).combine_chunks() for k in key]
+        new = np.ones(both.num_rows, bool)
         new[1:] = np.logical_or.reduce([pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in cols])
         head = np.flatnonzero(new)
-        n, following = t.column("n").to_numpy(), t.column("next").combine_chunks()
-        keep = following.is_valid().to_numpy(zero_copy_only=False) & (n >= least)
+        n, following = both.column("n").to_numpy(), both.column("next").combine_chunks()
+        keep = following.is_valid().to_numpy(zero_copy_only=False)
         ends = pa.array(np.append(0, np.cumsum(np.add.reduceat(keep, head, dtype=np.int64))), pa.int32())
-        flags = pa.array(keep)
-        yield pa.RecordBatch.from_arrays([c.take(pa.array(head)) for c in cols[:2]] + [
-            pa.array(np.add.reduceat(n, head)), pa.ListArray.from_arrays(ends, following.filter(flags)), pa.ListArray.from_arrays(ends, pa.array(n[keep]))],
-            ["lang", "prefix", "total", "nexts", "counts"])
+        yield pa.RecordBatch.from_arrays([cols[1].take(pa.array(head)), cols[2].take(pa.array(head)), pa.array(np.add.reduceat(np.where(keep, 0, n), head)),
+                                          pa.ListArray.from_arrays(ends, following.filter(pa.array(keep))), pa.ListArray.from_arrays(ends, pa.array(n[keep]))],
+                                         ["lang", "prefix", "total", "nexts", "counts"])
 
     held = None
     for batch in batches:
         if not batch.num_rows:
             continue
         now = added(flat(batch) if held is None else pa.concat_tables([held, flat(batch)]))
-        same = pa.array([True] * now.num_rows)
-        for k in key:        # the last key may go on in the next batch
-            same = pc.and_(same, pc.equal(now.column(k), batch.column(k)[-1]))
+        same = pc.equal(now.column("key"), batch.column("key")[-1])      # the last key may go on in the next batch
         held = now.filter(same)
         yield from out(now.filter(pc.invert(same)))
     if held is not None:
@@ -211,16 +218,17 @@ def merge_stripes(batches, least: int = 30) -> Iterator[pa.RecordBatch]:
 
 
 def _bitmap(spark, entries: DataFrame, most: int):
-    """Bitmap of frequent words, or of pairs, from rows (lang, phrase)."""
+    """Bitmap of frequent words, pairs or triples from rows (lang, phrase)."""
     size = bitmap_size(entries.count(), most)
 
     def place(batches):
-        hashes = _Hashes()
         for batch in batches:
             slots = []
             for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = np.array([hashes[w] for w in phrase.encode("utf-8", "surrogatepass").split(b" ")], np.uint64)
-                slots.append(int(_slots(words if len(words) == 1 else _pair_hash(words[:1], words[1:]), lang, size)[0]))
+                first, *more = [np.array([xxhash.xxh64_intdigest(w)], np.uint64) for w in phrase.encode("utf-8", "surrogatepass").split(b" ")]
+                for word in more:
+                    first = _join_hash(first, word)
+                slots.append(int(Filter.slots(first, lang, size)[0]))
             yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64())], ["slot"])
 
     return bitmap_of(entries.select("lang", "phrase").mapInArrow(place, "slot bigint"), size)
@@ -245,20 +253,23 @@ def mine_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     """
     spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").cast("binary").alias("text"))
-    known = lambda words=None, pairs=None: spark.sparkContext.broadcast(_Filter(words, pairs))
+    known = lambda *bitmaps: spark.sparkContext.broadcast(Filter(*bitmaps))
 
-    empty = count_stripes(base, (0,), name="phrases-words")                       # stripes of the empty prefix: word counts
+    empty = count_stripes(base, 0, name="phrases-words")                       # stripes of the empty prefix: word counts
     sizes = empty.groupBy("lang").agg(F.sum("total").alias("n"))
     words = _entries(empty).where(F.col("n") >= least)
     everything = sizes.agg(F.sum("n")).first()[0] or 0
     hot = frozenset(r["phrase"].encode("utf-8", "surrogatepass") for r in words.where(F.col("n") * HOT >= everything).select("phrase").distinct().collect())   # HOT rows at most
-    frequent = _bitmap(spark, words, most_slots)
-    singles = count_stripes(base, (1,), known(frequent), hot, "phrases-pairs")
-    pairs = _bitmap(spark, _entries(singles), most_slots)
-    longer = count_stripes(base, (2, 3), known(frequent, pairs), hot, "phrases-longer")
-
-    found = written(_entries(empty).unionByName(_entries(singles)).unionByName(_entries(longer)).where(F.col("n") >= least), "phrases-found")
-    drop_written(singles, longer)
+    found, frequent = [empty], [_bitmap(spark, words, most_slots)]
+    for size in range(1, LONGEST):
+        found.append(count_stripes(base, size, known(*frequent), hot, f"phrases-after{size}"))
+        if size < LONGEST - 1:
+            frequent.append(_bitmap(spark, _entries(found[-1]), most_slots))
+    entries = _entries(found[0])
+    for more in found[1:]:
+        entries = entries.unionByName(_entries(more))
+    found, made = written(entries.where(F.col("n") >= least), "phrases-found"), found
+    drop_written(*made[1:])
     pieces = F.split("phrase", " ")
     candidates = found.where("prefix <> ''").withColumn("words", pieces)
     # subsumption: the largest entry of a phrase's own stripe, and of the stripes that extend it to the left

@@ -13,7 +13,6 @@ left alone. No rows give no rows. Counts are exact; scores are computed with dec
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +25,7 @@ from featherloom.llm.bits import bitmap_of, bitmap_size, in_bitmap
 from featherloom.llm.common import drop_written, mix64, release, written
 
 LONGEST = 4
-TOKENS = 3_000_000       # words that a task counts before it passes its stripes on
-WORDS = 1 << 20          # different words until then
-CHUNK = 1 << 19          # bytes of text in hand at a time
+TEXT = 16 << 20          # bytes of text that a task counts before it passes its stripes on
 HOT = 4096               # words with at least 1 / HOT of all occurrences are hot, so there are at most HOT
 CUTS = 64                # parts of a stripe whose prefix has hot words only
 MOST_SLOTS = 1 << 28     # 32 MB
@@ -36,24 +33,24 @@ PARTS = 64               # parts in which a language's best are found
 
 #: Fixed by the contract: A-Z become a-z, the tab a space, piece ends (. , ; : ! ? and LF, VT, FF, CR) one sign.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
-TOKEN = re.compile(rb"[^ \n]+|\n")
 STRIPE = "lang string, prefix string, part int, stripe string"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 NEXT, CUT = 26, 6        # bits of a key for the following word's number and for the part
 
 
-class _Words(dict):
-    """Numbers of words as they are met, 0 for the end of a piece, with their hashes."""
-
-    def __init__(self):
-        super().__init__({b"\n": 0})
-        self.names, self.hashes = [b""], [0]
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.names)
-        self.names.append(word)
-        self.hashes.append(xxhash.xxh64_intdigest(word))
-        return number
+def numbered(text: bytes) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words of a folded text as numbers, 0 for the end of a piece, with the name and the hash of each number."""
+    cut = pc.list_flatten(pc.split_pattern(pa.array([text.replace(b"\n", b" \n ")], pa.large_binary()), b" "))
+    coded = cut.dictionary_encode()
+    names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    number = np.arange(1, len(names) + 1)
+    for i, word in enumerate(names):
+        if word == b"\n":
+            number[i] = 0
+        elif not word:
+            number[i] = -1
+    words = number[at]
+    return words[words >= 0], pa.array([b"", *names], pa.binary()).cast(pa.string()), np.array([0, *map(xxhash.xxh64_intdigest, names)], np.uint64)
 
 
 def _join_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -112,22 +109,6 @@ def stripes_of(words: np.ndarray, at: np.ndarray, names: pa.Array, hashes: np.nd
     return pa.RecordBatch.from_arrays([pa.array([lang] * len(head), pa.string()), prefix, pa.array(group[head] & (CUTS - 1), pa.int32()), stripe], ["lang", "prefix", "part", "stripe"])
 
 
-def _texts(batches) -> Iterator[tuple[str, bytes]]:
-    """(lang, folded text) chunks that end with a piece; texts of a language are joined by piece ends."""
-    for batch in batches:
-        held: dict[str, list] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if text:
-                mine = held.setdefault(lang, [0])
-                mine.append(text.translate(FOLD))
-                mine[0] += len(text)
-                if mine[0] > CHUNK:
-                    yield lang, b"\n".join(mine[1:]) + b"\n"
-                    held[lang] = [0]
-        for lang, mine in held.items():
-            yield lang, b"\n".join(mine[1:]) + b"\n"
-
-
 def count_stripes(docs: DataFrame, size: int, passed=None, hot: frozenset = frozenset(), name: str = "phrases") -> DataFrame:
     """Merged stripes of the prefixes of ``size`` words over rows (lang, text as binary): (lang, prefix, total, nexts, counts).
 
@@ -138,22 +119,22 @@ def count_stripes(docs: DataFrame, size: int, passed=None, hot: frozenset = froz
         keep = passed.value if passed is not None else Filter()
 
         def out():
-            names, hashes = pa.array(ids.names, pa.binary()).cast(pa.string()), np.array(ids.hashes, np.uint64)
-            warm = np.array([w in hot for w in ids.names])
-            for lang, arrays in seen.items():
-                words = np.concatenate(arrays)
+            for lang, texts in held.items():
+                words, names, hashes = numbered(b"".join(texts))
+                warm = pc.is_in(names, value_set=pa.array(sorted(hot), pa.string())).to_numpy(zero_copy_only=False)
                 batch = stripes_of(words, keep.starts(words, hashes[words], lang, size), names, hashes, warm, lang, size)
                 for at in range(0, batch.num_rows, 20_000):
                     yield batch.slice(at, 20_000)
 
-        ids, seen, held = _Words(), {}, 0
-        for lang, text in _texts(batches):
-            tokens = TOKEN.findall(text)
-            seen.setdefault(lang, []).append(np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens)))
-            held += len(tokens)
-            if held > TOKENS or len(ids) > WORDS:
-                yield from out()
-                ids, seen, held = _Words(), {}, 0
+        held, total = {}, 0
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if text:
+                    held.setdefault(lang, []).append(text.translate(FOLD) + b"\n")
+                    total += len(text)
+                if total > TEXT:
+                    yield from out()
+                    held, total = {}, 0
         yield from out()
         release()
 
@@ -259,7 +240,7 @@ def mine_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     sizes = empty.groupBy("lang").agg(F.sum("total").alias("n"))
     words = _entries(empty).where(F.col("n") >= least)
     everything = sizes.agg(F.sum("n")).first()[0] or 0
-    hot = frozenset(r["phrase"].encode("utf-8", "surrogatepass") for r in words.where(F.col("n") * HOT >= everything).select("phrase").distinct().collect())   # HOT rows at most
+    hot = frozenset(r["phrase"] for r in words.where(F.col("n") * HOT >= everything).select("phrase").distinct().collect())   # HOT rows at most
     found, frequent = [empty], [_bitmap(spark, words, most_slots)]
     for size in range(1, LONGEST):
         found.append(count_stripes(base, size, known(*frequent), hot, f"phrases-after{size}"))

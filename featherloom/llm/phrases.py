@@ -222,6 +222,10 @@ def _entries(stripes: DataFrame) -> DataFrame:
     return one.select("lang", "prefix", phrase.alias("phrase"), F.col("e.counts").alias("n"))
 
 
+#: floor(scale * a / (l + r)) in decimals, as products pass 64 bits.
+SCORE = "cast({scale} as decimal(18,0)) * cast(a as decimal(20,0)) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))"
+
+
 def _exact(col: Column | str) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast("decimal(38,0)")
 
@@ -263,7 +267,7 @@ def mine_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least:
                        F.array_join(F.slice("words", F.col("k") + 1, F.lit(LONGEST)), " ").alias("rest"))
     part = lambda of, n: found.select(F.col("lang"), F.col("phrase").alias(of), F.col("n").alias(n))
     scored = cuts.join(part("first", "l"), ["lang", "first"]).join(part("rest", "r"), ["lang", "rest"])
-    scored = scored.withColumn("score", F.expr(f"cast({scale} as decimal(38,0)) * cast(a as decimal(20,0)) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))"))
+    scored = scored.withColumn("score", F.expr(SCORE.format(scale=scale)))
     lowest = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("low")).select("lang", "phrase", "a", "low.l", "low.r", "low.score")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     within = Window.partitionBy("lang", "part").orderBy(*order)

@@ -9,7 +9,7 @@ from featherloom.catalog.registry import query
 from featherloom.catalog.text import WORD_TFIDF, tok
 from featherloom.functions import arrays, textrules as tr
 from featherloom.functions.hashing import key_hash
-from featherloom.operators import match, records, textfeat, vectors
+from featherloom.operators import match, postings, records, textfeat, vectors
 from featherloom.session import spread
 
 
@@ -333,4 +333,4 @@ k as (select *, row_number() over (partition by doc_id order by sim desc, other)
 select k.doc_id, round(avg(toxic), 9) as p from k join labels l on l.doc_id = other where rn <= 5 group by k.doc_id""")
 def _(t):
     _, rows = textfeat.fit_transform_tfidf(t.documents, "doc_id", "text", n=(1, 2), min_df=3, max_df=0.9, sublinear=True)
-    return vectors.knn_probability(rows, "doc_id", t.documents, t.labels, "toxic").withColumn("p", r("p"))
+    return postings.knn_probability(rows, "doc_id", t.documents, t.labels, "toxic").withColumn("p", r("p"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from featherloom.functions import arrays, dates, scalars, textrules as tr
 from featherloom import session
-from featherloom.operators import columns, encode, ensemble, evaluate, filters, folds, learn, match, ranking, records, sampling, textfeat, vectors
+from featherloom.operators import columns, encode, ensemble, evaluate, filters, folds, learn, match, postings, ranking, records, sampling, textfeat, vectors
 from featherloom.plans.flow import fit_flow
 from featherloom.sources import scan
 
@@ -269,7 +269,7 @@ def test_documents_without_terms_get_a_probability(spark):
     rows = spark.createDataFrame([(1, "a", 1.0), (2, "b", 1.0), (4, "a", 1.0)], "id bigint, term string, w double")
     docs = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5)], "id bigint")
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "id bigint, y int")
-    got = {r["id"]: r["p"] for r in vectors.knn_probability(rows, "id", docs, labels, "y", k=1, block_docs=2).collect()}
+    got = {r["id"]: r["p"] for r in postings.knn_probability(rows, "id", docs, labels, "y", k=1, block_docs=2, chunk_docs=1).collect()}
     assert got == {4: 1.0, 5: 1.0}
 
 

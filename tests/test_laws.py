@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import Window, functions as F
 
 from featherloom.functions.hashing import HASH_RANGE, key_hash
-from featherloom.operators import ensemble, evaluate, folds, match, ranking, records, vectors
+from featherloom.operators import ensemble, evaluate, folds, match, postings, ranking, records, vectors
 
 
 def hot(spark, n=3000):
@@ -79,8 +79,8 @@ def test_blocked_neighbours_equal_one_block(spark):
     rows = [(d, f"t{t}", float(abs(rng.normal()))) for d in range(60) for t in rng.choice(30, 6, replace=False)]
     df = spark.createDataFrame(rows, "doc bigint, term string, w double")
     labels = spark.createDataFrame([(d, d % 2) for d in range(0, 60, 2)], "doc bigint, y int")
-    one = sorted(map(tuple, vectors.knn_probability(df, "doc", df, labels, "y").collect()))
-    many = sorted(map(tuple, vectors.knn_probability(df, "doc", df, labels, "y", block_docs=7).collect()))
+    one = sorted(map(tuple, postings.knn_probability(df, "doc", df, labels, "y").collect()))
+    many = sorted(map(tuple, postings.knn_probability(df, "doc", df, labels, "y", block_docs=7, chunk_docs=5).collect()))
     assert one == many and len(one) == 30
 
 

@@ -9,7 +9,7 @@ from featherloom.catalog.registry import query
 from featherloom.catalog.text import WORD_TFIDF, tok
 from featherloom.functions import arrays, textrules as tr
 from featherloom.functions.hashing import key_hash
-from featherloom.operators import match, postings, records, textfeat, vectors
+from featherloom.operators import match, pivots, postings, records, textfeat, vectors
 from featherloom.session import spread
 
 
@@ -238,7 +238,7 @@ near as (select *, row_number() over (partition by left_id order by score desc,
 
 @query("mlf_9_nearest_words", f"with {NEAREST_SQL} select left_id, right_id, round(score, 6) + 0.0 as score from near where rn <= 10")
 def _(t):
-    return vectors.nearest(t.embeddings, "vec_id", "embedding", 10).withColumn("score", r("score", 6))
+    return pivots.nearest_rows(t.embeddings, "vec_id", "embedding", 10).withColumn("score", r("score", 6))
 
 
 @query("mlf_9_pruned_neighbours", f"""with coarse as (select vec_id, unnest(embedding)::DOUBLE as x, unnest(range(64)) as pos from embeddings),
@@ -257,7 +257,7 @@ def _(t):
 def _vocabulary(t):
     cats = t.embeddings.where("label < 6").join(t.labels.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi").select(
         F.col("vec_id").cast("string").alias("word"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"))
-    near = vectors.nearest(t.embeddings, "vec_id", "embedding", 10).select(
+    near = pivots.nearest_rows(t.embeddings, "vec_id", "embedding", 10).select(
         F.col("left_id").cast("string").alias("word"), F.col("right_id").cast("string").alias("neighbour"), F.col("score").alias("sim"))
     word = F.concat((F.col("l_partkey")).cast("string"), F.when(F.col("l_linenumber") == 1, "s").otherwise(""))
     return cats, near, t.lineitem.select(word.alias("word"))

@@ -9,7 +9,7 @@ from featherloom.catalog.registry import query
 from featherloom.catalog.text import WORD_TFIDF, tok
 from featherloom.functions import arrays, textrules as tr
 from featherloom.functions.hashing import key_hash
-from featherloom.operators import match, pivots, postings, records, textfeat, vectors
+from featherloom.operators import match, parts, pivots, postings, records, textfeat, vectors
 from featherloom.session import spread
 
 
@@ -227,9 +227,8 @@ s as (select a.vec_id as left_id, b.vec_id as right_id, round(sum(a.u * b.u * (c
   from units a join units b on a.pos = b.pos where a.label < 8 and b.label >= 8 group by all)
 select left_id, arg_max(right_id, (score, -right_id)) as right_id, round(max(score), 6) + 0.0 as score from s group by left_id""")
 def _(t):
-    left = t.embeddings.where("label < 8").select(F.col("vec_id").alias("id"), vectors.weighted_parts("embedding", [(1, 32, 0.6), (33, 32, 0.3)]).alias("vec"))
-    right = t.embeddings.where("label >= 8").select(F.col("vec_id").alias("id"), vectors.weighted_parts("embedding", [(1, 32, 1.0), (33, 32, 1.0)]).alias("vec"))
-    return vectors.top_matches(left, right, 1).withColumn("score", r("score", 6))
+    found = parts.best_by_parts(t.embeddings.where("label < 8"), t.embeddings.where("label >= 8"), "vec_id", "embedding", [(1, 32, 0.6), (33, 32, 0.3)])
+    return found.withColumn("score", r("score", 6))
 
 
 NEAREST_SQL = f"""{UNIT_SQL}, sims as (select a.vec_id as left_id, b.vec_id as right_id, round(sum(a.w * b.w), 9) as score from units a join units b on a.pos = b.pos where a.vec_id <> b.vec_id group by all),

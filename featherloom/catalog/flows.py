@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.sql import functions as F
 
 from featherloom.catalog.common import ORDER_SCORES, h27, order_scores, r
 from featherloom.catalog.registry import query
-from featherloom.catalog.text import tok
+from featherloom.catalog.text import WORD_TFIDF, tok
 from featherloom.functions import textrules as tr
-from featherloom.operators import folds, learn, relations
+from featherloom.functions.hashing import key_hash
+from featherloom.operators import boost, folds, learn, linear, relations, textfeat
 from featherloom.plans.flow import apply_column, fit_flow, run_flow
 from featherloom.session import scratch_path
 from featherloom.sources import scan, sinks
@@ -181,14 +182,14 @@ def _(t):
     return apply_column(t.part.select("p_partkey", "p_name"), "p_name", capital)
 
 
-# -- learning: what does not depend on the trainer is checked, scores by their range -------------
+# -- learning: fixed steps on exact sums, so that SQL takes the same steps -----------------------
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 
 
 def _learning_rows(t):
     """One row per order with summed line features, the label, and a fold."""
-    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(*[F.sum(c).cast("double").alias(c) for c in FEATURES])
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(*[F.round(F.sum(F.col(c).cast("double")), 4).alias(c) for c in FEATURES])
     orders = t.orders.select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").cast("double").alias("y"))
     return lines.join(orders, "id").withColumn("fold", folds.shuffled_fold("id", 3))
 
@@ -204,32 +205,104 @@ LABELLED_SQL = f"""labelled as (select doc_id, label_name, truth::INTEGER as tru
   from (select doc_id, 'quality' as label_name, quality as truth from labels union all select doc_id, 'toxic', toxic from labels) join documents using (doc_id))"""
 
 
-def _in_range(p="p"):
-    return F.col(p).between(0, 1).alias("p_in_range")
+STEPS = 8
+DOCUMENT_TASKS = [(name, fold) for name in ("quality", "toxic") for fold in range(3)]
 
 
-@query("mlf_3_text_logistic", f"with {LABELLED_SQL} select doc_id, label_name, truth, fold, true as p_in_range from labelled")
+def _steps_sql(models: list[tuple], steps: int, rate: float, scaled: bool = False) -> str:
+    """Fixed steps of accelerated gradient descent over cells (id, term, w) and targets (id, label_name, fold, y), as a chain of tables.
+
+    ``models`` are (m, label, fold, penalty); ``scaled`` multiplies cells by ratio (m, term, r). The last tables are w{steps} and b{steps}.
+    """
+    x = "(select m, id, term, cells.w * r as w from cells join ratio using (term))" if scaled else "(select m, id, term, w from cells cross join models)"
+    out = [f"models(m, label_name, fold, pen) as (values {', '.join(f"({m}, '{l}', {f}, {c}::DOUBLE)" for m, l, f, c in models)})",
+           "seen as materialized (select m, id, y::DOUBLE as y from targets t join models using (label_name) where t.fold <> models.fold)", "sizes_ as (select m, count(*) as n from seen group by m)",
+           f"x as materialized (select * from {x})",
+           "w0 as (select m, term, 0.0::DOUBLE as w, 0.0::DOUBLE as prev from models cross join (select distinct term from cells))", "b0 as (select m, 0.0::DOUBLE as w, 0.0::DOUBLE as prev from models)"]
+    for k in range(steps):
+        push = f"{k}::DOUBLE / {k + 3}"
+        out.append(f"""a{k} as materialized (select m, term, w, w + {push} * (w - prev) as a from w{k}), d{k} as materialized (select m, w, w + {push} * (w - prev) as a from b{k}),
+r{k} as materialized (select m, id, 1 / (1 + exp(-(coalesce(z, 0) + a))) - y as r from seen left join (select m, id, sum(x.w * a) as z from x join a{k} using (m, term) group by all) using (m, id) join d{k} using (m)),
+w{k + 1} as materialized (select m, term, a - (1 / (1 / {rate}::DOUBLE + pen)) * (coalesce(g, 0) / n + pen * a) as w, a{k}.w as prev from a{k} join sizes_ using (m) join models using (m)
+  left join (select m, term, sum(x.w * r) as g from x join r{k} using (m, id) group by all) using (m, term)),
+b{k + 1} as materialized (select m, a - (1 / (1 / {rate}::DOUBLE + pen)) * (g / n) as w, d{k}.w as prev from d{k} join sizes_ using (m) join models using (m) join (select m, sum(r) as g from r{k} group by m) using (m))""")
+    out.append(f"scores as (select m, id, 1 / (1 + exp(-(coalesce(z, 0) + b{steps}.w))) as p from (select id from everyone) cross join b{steps} left join (select m, id, sum(x.w * v.w) as z from x join w{steps} v using (m, term) group by all) using (m, id))")
+    return ", ".join(out)
+
+
+TARGETS_SQL = """targets as (select doc_id as id, label_name, fold, truth as y from labelled)"""
+TEXT_STEPS = f"""{WORD_TFIDF}, {LABELLED_SQL}, everyone as (select distinct doc_id as id from labelled), {TARGETS_SQL},
+kept as (select term from rows where doc_id in (select id from everyone) group by term order by count(*) desc, term limit 20000),
+cells as (select doc_id as id, term, w from rows join kept using (term) where doc_id in (select id from everyone)),
+{_steps_sql([(m, name, fold, 0.001) for m, (name, fold) in enumerate(DOCUMENT_TASKS)], STEPS, 2.0)}"""
+
+
+def _text_rows(t):
+    return textfeat.fit_transform_tfidf(t.documents, "doc_id", "text", n=(1, 2), min_df=3, max_df=0.9, sublinear=True)[1]
+
+
+def _labelled(t):
+    return t.documents.select("doc_id").join(t.labels, "doc_id").withColumn("fold", folds.shuffled_fold("doc_id", 3))
+
+
+@query("mlf_3_text_logistic", f"with {TEXT_STEPS} select doc_id, label_name, truth, l.fold, round(p, 7) as p from labelled l join models using (label_name, fold) join scores on scores.m = models.m and id = doc_id")
 def _(t):
-    docs = t.documents.join(t.labels, "doc_id").withColumn("fold", folds.shuffled_fold("doc_id", 3))
-    ready = learn.text_features(docs, "doc_id", "text", ["quality", "toxic", "fold"], max_features=20000)
-    return learn.oof_per_label(ready, "doc_id", ["quality", "toxic"], 3).select("doc_id", "label_name", "truth", "fold", _in_range())
+    scored = linear.oof_logistic(_text_rows(t), _labelled(t), "doc_id", ["quality", "toxic"], 3, penalties=[0.001], steps=STEPS)
+    return scored.select("doc_id", "label_name", "truth", "fold", r("p", 7).alias("p"))
 
 
-@query("mlf_2_ratio_scaled_logistic", f"""with {LABELLED_SQL}
-select 'valid' as part, doc_id, label_name, fold, true as p_in_range from labelled
-union all select 'test', doc_id, n, null, true from documents cross join (values ('quality'), ('toxic')) v(n) where doc_id not in (select doc_id from labels)""")
+RATIO_STEPS = f"""{WORD_TFIDF}, {LABELLED_SQL}, everyone as (select doc_id as id from documents), {TARGETS_SQL},
+kept as (select term from rows group by term order by count(*) desc, term limit 20000), cells as (select doc_id as id, term, w from rows join kept using (term)),
+tasks_(m, label_name, f) as (values {', '.join(f"({m}, '{name}', {fold})" for m, (name, fold) in enumerate(DOCUMENT_TASKS))}),
+ysize as (select m, count(*) filter (y = 1) as np, count(*) filter (y <> 1) as nn from targets join tasks_ using (label_name) where fold <> f group by m),
+ysums as (select m, term, sum(case when y = 1 then w else 0.0 end) as p, sum(case when y <> 1 then w else 0.0 end) as q from targets join tasks_ using (label_name) join cells using (id) where fold <> f group by all),
+ratio as materialized (select m, term, ln(((1 + coalesce(p, 0)) / (1 + np)) / ((1 + coalesce(q, 0)) / (1 + nn))) as r from ysize cross join kept left join ysums using (m, term)),
+{_steps_sql([(m, name, fold, 0.001) for m, (name, fold) in enumerate(DOCUMENT_TASKS)], STEPS, 0.5, scaled=True)}"""
+
+
+@query("mlf_2_ratio_scaled_logistic", f"""with {RATIO_STEPS}
+select 'valid' as part, doc_id, label_name, l.fold, round(p, 7) as p from labelled l join models using (label_name, fold) join scores on scores.m = models.m and id = doc_id
+union all select 'test', id, label_name, null, round(avg(p), 7) from scores join models using (m) where id not in (select doc_id from labels) group by all""")
 def _(t):
-    train = t.documents.join(t.labels, "doc_id").withColumn("fold", folds.shuffled_fold("doc_id", 3)).select("doc_id", "text", "quality", "toxic", "fold")
-    test = t.documents.join(t.labels, "doc_id", "left_anti").select("doc_id", "text")
-    valid, mean = learn.ratio_scaled_logistic(train, test, "doc_id", "text", ["quality", "toxic"], 3, min_df=3)
-    named = lambda part, df: df.select(F.lit(part).alias("part"), "doc_id", "label_name", F.col("fold") if part == "valid" else F.lit(None).cast("int").alias("fold"), _in_range())
+    test = t.documents.select("doc_id").join(t.labels, "doc_id", "left_anti")
+    valid, mean = linear.ratio_scaled_logistic(_text_rows(t), _labelled(t), test, "doc_id", ["quality", "toxic"], 3, steps=STEPS)
+    named = lambda part, df: df.select(F.lit(part).alias("part"), "doc_id", "label_name", F.col("fold") if part == "valid" else F.lit(None).cast("int").alias("fold"), r("p", 7).alias("p"))
     return named("valid", valid).unionByName(named("test", mean))
 
 
-@query("mlf_4_oof_gbt", f"with {LINES_SQL} select id, y, fold, true as p_in_range from rows_")
+ROUNDS, DEPTH, BINS, GRAIN = 3, 2, 16, 1 << 20
+FEATURES_SQL = f"""feats as (select id, y, fold, {", ".join(FEATURES)} from (select o_orderkey as id, (o_orderstatus = 'F')::DOUBLE as y, {FOLD.format('o_orderkey')} as fold from orders)
+  join (select l_orderkey as id, {", ".join(f"round(sum({c}::DOUBLE), 4) as {c}" for c in FEATURES)} from lineitem group by 1) using (id))"""
+
+
+def _boost_sql() -> str:
+    """The boosting steps as a chain of tables; s{r} holds the margins before round r, best{r}_{level} the splits, leaf{r} the values."""
+    b = [f"b{i}" for i in range(len(FEATURES))]
+    bins = ", ".join(f"least(floor(({c} - lo{i}) / (hi{i} - lo{i}) * {BINS}.0::DOUBLE), {BINS - 1})::INTEGER as b{i}" for i, c in enumerate(FEATURES))
+    out = [FEATURES_SQL, f"ends as (select {', '.join(f'min({c}) as lo{i}, max({c}) as hi{i}' for i, c in enumerate(FEATURES))} from feats)",
+           f"binned as (select id, y, fold, {bins} from feats cross join ends)", "s0 as materialized (select m, binned.*, 0.0::DOUBLE as f from binned cross join (values (0), (1), (2)) v(m))"]
+    for r in range(ROUNDS):
+        out.append(f"n{r}_0 as (select *, 0 as node, round((p - y) * {GRAIN}.0::DOUBLE)::BIGINT as g, round(p * (1 - p) * {GRAIN}.0::DOUBLE)::BIGINT as h from (select *, 1 / (1 + exp(-f)) as p from s{r}))")
+        for d in range(DEPTH):
+            part = lambda g, h: f"({g})::DOUBLE * ({g})::DOUBLE / (({h})::DOUBLE + {GRAIN}.0::DOUBLE)"
+            out.append(f"""h{r}_{d} as (select m, node, feature, bin, sum(g)::BIGINT as g, sum(h)::BIGINT as h, count(*) as n
+  from (select m, node, g, h, unnest(range({len(b)})) as feature, unnest([{", ".join(b)}]) as bin from n{r}_{d} where fold <> m) group by all),
+c{r}_{d} as (select m, node, feature, bin, {", ".join(f"(sum({x}) over (partition by m, node, feature order by bin))::BIGINT as {x}l, (sum({x}) over (partition by m, node, feature))::BIGINT as {x}" for x in "ghn")} from h{r}_{d}),
+best{r}_{d} as materialized (select m, node, feature, bin as last_left from (select *, {part("gl", "hl")} + {part("g - gl", "h - hl")} - {part("g", "h")} as gain from c{r}_{d})
+  where nl < n and gain > 0 qualify row_number() over (partition by m, node order by gain desc, feature, bin) = 1),
+n{r}_{d + 1} as materialized (select x.* replace (node * 2 + case when [{", ".join(b)}][feature + 1] > last_left then 1 else 0 end as node) from n{r}_{d} x left join best{r}_{d} using (m, node))""")
+        out.append(f"""leaf{r} as materialized (select m, node, -0.3::DOUBLE * sum(g)::DOUBLE / (sum(h)::DOUBLE + {GRAIN}.0::DOUBLE) as v from n{r}_{DEPTH} where fold <> m group by all),
+s{r + 1} as materialized (select m, id, y, fold, {", ".join(b)}, f + coalesce(v, 0.0) as f from n{r}_{DEPTH} left join leaf{r} using (m, node))""")
+    return ", ".join(out)
+
+
+def _boosted(t):
+    return boost.fit_boosted(_learning_rows(t), "id", "y", FEATURES, "fold", 3, rounds=ROUNDS, depth=DEPTH, bins=BINS)
+
+
+@query("mlf_4_oof_gbt", f"with {_boost_sql()} select id, y, fold, round(1 / (1 + exp(-f)), 9) as p from s{ROUNDS} where m = fold")
 def _(t):
-    est = GBTClassifier(labelCol="y", maxIter=3, maxDepth=3, seed=7)
-    return learn.oof(_ready(t), est, "id", "y", 3)[0].select("id", "y", "fold", _in_range())
+    return _boosted(t)[1].withColumn("p", r("p"))
 
 
 @query("mlf_5_stacked_models", f"""with {LINES_SQL}
@@ -243,30 +316,62 @@ def _(t):
     return learn.search_subsets(base, ["forest", "logistic", "svm"], "id", "y", 3).select("models", F.col("auc").between(0, 1).alias("auc_in_range"))
 
 
-@query("mlf_6_tuned_logistic", f"""with {LINES_SQL}
-select 'elasticNetParam=0.0, regParam=' || r as params, (select count(distinct y) from rows_) = 2 as gini_in_range from (values ('0.0'), ('0.1')) v(r)""")
-def _(t):
-    est = LogisticRegression(labelCol="y", maxIter=10)
-    model = learn.tune(_ready(t), est, {est.regParam: [0.0, 0.1], est.elasticNetParam: [0.0]}, "id", "y", 3)
-    return learn.tuning_report(model, t.spark).select("params", F.col("gini").between(-1, 1).alias("gini_in_range"))
+PENALTIES = [0.0, 0.001, 0.01, 0.1, 1.0, 10.0]
 
 
-@query("mlf_6_random_search", f"""with {LINES_SQL}
-select count(*) as points, (select count(distinct y) from rows_) = 2 as gini_in_range from range(3)""")
+def _grid_sql(penalties: list[float]) -> str:
+    stats = ", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as s_{c}" for c in FEATURES)
+    cells = " union all ".join(f"select id, '{c}' as term, coalesce(({c} - m_{c}) / nullif(s_{c}, 0), 0) / 2.0::DOUBLE as w from feats cross join stats" for c in FEATURES)
+    models = [(i * 3 + fold, "y", fold, c) for i, c in enumerate(penalties) for fold in range(3)]
+    return f"""{FEATURES_SQL}, stats as (select {stats} from feats), cells as materialized ({cells}), everyone as (select id from feats), targets as (select id, 'y' as label_name, fold, y from feats),
+{_steps_sql(models, STEPS, 2.0)},
+own as (select pen as penalty, fold, y, round(p, 9) as p from scores join models using (m) join (select id, fold as own_fold, y from feats) using (id) where fold = own_fold),
+ranked as (select penalty, fold, y, rank() over (partition by penalty, fold order by p) + (count(*) over (partition by penalty, fold, p) - 1) / 2.0::DOUBLE as rk from own),
+auc as (select penalty, fold, (sum(rk) filter (y = 1) - count(*) filter (y = 1) * (count(*) filter (y = 1) + 1) / 2.0::DOUBLE) / (count(*) filter (y = 1) * count(*) filter (y = 0)) as auc from ranked group by all)
+select penalty, round(avg(2 * auc - 1), 7) as gini from auc group by penalty"""
+
+
+def _grid(t, **options):
+    """Standardised features as rows (id, term, w), searched over penalties."""
+    feats = _learning_rows(t)
+    stats = feats.agg(*[F.avg(c).alias(f"m_{c}") for c in FEATURES], *[F.stddev_pop(c).alias(f"s_{c}") for c in FEATURES])
+    scaled = lambda c: F.coalesce((F.col(c) - F.col(f"m_{c}")) / F.nullif(F.col(f"s_{c}"), F.lit(0.0)), F.lit(0.0)) / 2.0
+    wide = feats.crossJoin(F.broadcast(stats)).select("id", *[scaled(c).alias(c) for c in FEATURES])      # one row of statistics
+    return linear.search_logistic(wide.unpivot(["id"], FEATURES, "term", "w"), feats, "id", "y", 3, penalties=PENALTIES, steps=STEPS, **options).withColumn("gini", r("gini", 7))
+
+
+@query("mlf_6_tuned_logistic", f"with {_grid_sql(PENALTIES)}")
 def _(t):
-    est = LogisticRegression(labelCol="y", maxIter=10)
-    model = learn.tune(_ready(t), est, {est.regParam: [0.0, 0.01, 0.1, 1.0], est.elasticNetParam: [0.0, 0.5]}, "id", "y", 3, draws=3)
-    report = learn.tuning_report(model, t.spark)
-    return report.agg(F.count_distinct("params").alias("points"), F.min(F.col("gini").between(-1, 1)).alias("gini_in_range"))
+    return _grid(t)
 
 
-@query("mlf_7_importance", f"""with {LINES_SQL}
-select f as feature, (select count(*) from rows_) > 0 as share_in_range, 1.0::DOUBLE as total from (values {", ".join(f"('{f}')" for f in FEATURES)}) v(f)""")
+@query("mlf_6_random_search", f"with {_grid_sql(linear.drawn(PENALTIES, 3, 7))}")
+def _(t):
+    return _grid(t, draws=3)
+
+
+def _permuted_sql() -> str:
+    """Rows with one feature's bins dealt anew within the fold (variant -1: none), taken through the trees of their fold's model."""
+    b = [f"b{i}" for i in range(len(FEATURES))]
+    dealt = ", ".join(f"case when variant = {i} then o.{c} else x.{c} end as {c}" for i, c in enumerate(b))
+    out = [f"""placed as (select *, row_number() over (partition by fold order by id) as at, row_number() over (partition by fold order by {h27("'deal|' || id::VARCHAR")}, id) as other from binned),
+w0 as (select variant, x.id, x.y, x.fold, {dealt}, 0.0::DOUBLE as f from placed x join placed o on x.fold = o.fold and x.at = o.other cross join (select unnest(range(-1, {len(b)})) as variant))"""]
+    for k in range(ROUNDS):
+        now = f"(select *, 0 as node from w{k})"
+        for d in range(DEPTH):
+            now = f"(select x.* replace (x.node * 2 + case when [{', '.join(b)}][feature + 1] > last_left then 1 else 0 end as node) from {now} x left join best{k}_{d} z on z.m = x.fold and z.node = x.node)"
+        out.append(f"w{k + 1} as (select variant, id, y, fold, {', '.join(b)}, f + coalesce(v, 0.0) as f from {now} x left join leaf{k} z on z.m = x.fold and z.node = x.node)")
+    return ", ".join(out)
+
+
+@query("mlf_7_importance", f"""with {_boost_sql()}, {_permuted_sql()},
+losses as (select variant, avg(-ln(case when y = 1 then p else 1 - p end)) as loss from (select *, 1 / (1 + exp(-f)) as p from w{ROUNDS}) group by variant),
+rises as (select variant, round(loss - (select loss from losses where variant = -1), 9) as loss from losses where variant >= 0)
+select ([{", ".join(f"'{f}'" for f in FEATURES)}])[variant + 1] as feature, loss, round(greatest(loss, 0) / sum(greatest(loss, 0)) over (), 6) as share from rises""")
 def _(t):
-    model = RandomForestClassifier(labelCol="y", numTrees=5, maxDepth=4, seed=7).fit(_ready(t))
-    table = learn.importance_table(model, FEATURES, t.spark)
-    total = table.agg(r(F.sum("share"), 9).alias("total"))
-    return table.select("feature", F.col("share").between(0, 1).alias("share_in_range")).crossJoin(total)   # one row
+    made, _ = _boosted(t)
+    found = boost.permutation_importance(made, _learning_rows(t), "id", "y", "fold", key_hash(F.lit("deal"), F.col("id")))
+    return found.withColumn("share", r("share", 6))
 
 
 @query("mlf_8_word_vectors", f"""

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import pandas as pd
-from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.sql import functions as F
 
 from featherloom.catalog.common import ORDER_SCORES, h27, order_scores, r
@@ -194,10 +195,6 @@ def _learning_rows(t):
     return lines.join(orders, "id").withColumn("fold", folds.shuffled_fold("id", 3))
 
 
-def _ready(t):
-    return learn.assemble(_learning_rows(t), FEATURES, ["id", "y", "fold"])
-
-
 FOLD = f"({h27("'0|' || {0}::VARCHAR")} % 3)::INTEGER"
 LINES_SQL = f"""rows_ as (select o_orderkey as id, (o_orderstatus = 'F')::DOUBLE as y, {FOLD.format('o_orderkey')} as fold
   from orders where o_orderkey in (select l_orderkey from lineitem))"""
@@ -305,25 +302,18 @@ def _(t):
     return _boosted(t)[1].withColumn("p", r("p"))
 
 
-@query("mlf_5_stacked_models", f"""with {LINES_SQL}
-select m as models, (select count(distinct y) from rows_) = 2 as auc_in_range from (values ('forest+logistic'), ('forest+svm'), ('logistic+svm'), ('forest+logistic+svm')) v(m)""")
-def _(t):
-    base = learn.base_predictions(_ready(t), {
-        "forest": RandomForestClassifier(labelCol="y", numTrees=5, maxDepth=4, seed=7),
-        "logistic": LogisticRegression(labelCol="y", maxIter=10),
-        "svm": LinearSVC(labelCol="y", maxIter=5),
-    }, "id", "y", 3)
-    return learn.search_subsets(base, ["forest", "logistic", "svm"], "id", "y", 3).select("models", F.col("auc").between(0, 1).alias("auc_in_range"))
-
-
 PENALTIES = [0.0, 0.001, 0.01, 0.1, 1.0, 10.0]
 
 
-def _grid_sql(penalties: list[float]) -> str:
+def _dense_cells_sql() -> str:
     stats = ", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as s_{c}" for c in FEATURES)
     cells = " union all ".join(f"select id, '{c}' as term, coalesce(({c} - m_{c}) / nullif(s_{c}, 0), 0) / 2.0::DOUBLE as w from feats cross join stats" for c in FEATURES)
+    return f"stats as (select {stats} from feats), cells as materialized ({cells}), everyone as (select id from feats), targets as (select id, 'y' as label_name, fold, y from feats)"
+
+
+def _grid_sql(penalties: list[float]) -> str:
     models = [(i * 3 + fold, "y", fold, c) for i, c in enumerate(penalties) for fold in range(3)]
-    return f"""{FEATURES_SQL}, stats as (select {stats} from feats), cells as materialized ({cells}), everyone as (select id from feats), targets as (select id, 'y' as label_name, fold, y from feats),
+    return f"""{FEATURES_SQL}, {_dense_cells_sql()},
 {_steps_sql(models, STEPS, 2.0)},
 own as (select pen as penalty, fold, y, round(p, 9) as p from scores join models using (m) join (select id, fold as own_fold, y from feats) using (id) where fold = own_fold),
 ranked as (select penalty, fold, y, rank() over (partition by penalty, fold order by p) + (count(*) over (partition by penalty, fold, p) - 1) / 2.0::DOUBLE as rk from own),
@@ -331,13 +321,17 @@ auc as (select penalty, fold, (sum(rk) filter (y = 1) - count(*) filter (y = 1)
 select penalty, round(avg(2 * auc - 1), 7) as gini from auc group by penalty"""
 
 
-def _grid(t, **options):
-    """Standardised features as rows (id, term, w), searched over penalties."""
+def _dense_rows(t):
+    """Standardised features as rows (id, term, w), and the rows themselves."""
     feats = _learning_rows(t)
     stats = feats.agg(*[F.avg(c).alias(f"m_{c}") for c in FEATURES], *[F.stddev_pop(c).alias(f"s_{c}") for c in FEATURES])
     scaled = lambda c: F.coalesce((F.col(c) - F.col(f"m_{c}")) / F.nullif(F.col(f"s_{c}"), F.lit(0.0)), F.lit(0.0)) / 2.0
     wide = feats.crossJoin(F.broadcast(stats)).select("id", *[scaled(c).alias(c) for c in FEATURES])      # one row of statistics
-    return linear.search_logistic(wide.unpivot(["id"], FEATURES, "term", "w"), feats, "id", "y", 3, penalties=PENALTIES, steps=STEPS, **options).withColumn("gini", r("gini", 7))
+    return wide.unpivot(["id"], FEATURES, "term", "w"), feats
+
+
+def _grid(t, **options):
+    return linear.search_logistic(*_dense_rows(t), "id", "y", 3, penalties=PENALTIES, steps=STEPS, **options).withColumn("gini", r("gini", 7))
 
 
 @query("mlf_6_tuned_logistic", f"with {_grid_sql(PENALTIES)}")
@@ -350,6 +344,50 @@ def _(t):
     return _grid(t, draws=3)
 
 
+BASE = ("boosted", "logistic", "shrunk")
+RIDGE = 1.0
+
+
+def _stack_sql() -> str:
+    """Sums of products by fold, then elimination for every subset and fold, row by row of the system."""
+    col = {"boosted": "boosted", "logistic": "logistic", "shrunk": "shrunk"}
+    names = ["1.0::DOUBLE", *col.values(), "y"]
+    n = len(names)
+    out = [f"gram as materialized (select fold as f, {', '.join(f'sum({names[i]} * {names[j]}) as g{i}_{j}' for i in range(n) for j in range(i, n))} from base group by fold)",
+           f"others as materialized (select k, {', '.join(f'sum(g{i}_{j}) as g{i}_{j}' for i in range(n) for j in range(i, n))} from gram join (values (0), (1), (2)) v(k) on f <> k group by k)"]
+    parts = []
+    for chosen in [c for size in range(2, len(BASE) + 1) for c in combinations(range(len(BASE)), size)]:
+        at = [0, *[c + 1 for c in chosen]]
+        tag, d = "".join(map(str, chosen)), len(at)
+        g = lambda i, j: f"g{min(i, j)}_{max(i, j)}"
+        now = ", ".join([f"{g(i, j)}{f' + {RIDGE}::DOUBLE' if i == j and i else ' + 1e-9::DOUBLE' if i == j else ''} as a{x}_{y}" for x, i in enumerate(at) for y, j in enumerate(at)] + [f"{g(i, n - 1)} as r{x}" for x, i in enumerate(at)])
+        out.append(f"e{tag}_0 as (select k, {now} from others)")
+        for i in range(d):
+            low = lambda x, c: f"{c}{x} - a{x.split('_')[0]}_{i} / a{i}_{i} * {c}{i}{x[len(x.split('_')[0]):]}" if int(x.split("_")[0]) > i else f"{c}{x}"
+            cols = [f"{low(f'{x}_{y}', 'a')} as a{x}_{y}" for x in range(d) for y in range(d)] + [f"{low(str(x), 'r')} as r{x}" for x in range(d)]
+            out.append(f"e{tag}_{i + 1} as materialized (select k, {', '.join(cols)} from e{tag}_{i})")
+        back = f"e{tag}_{d}"
+        for i in reversed(range(d)):
+            rest = "".join(f" - a{i}_{j} * x{j}" for j in range(i + 1, d))
+            back = f"(select *, (r{i}{rest}) / a{i}_{i} as x{i} from {back})"
+        score = " + ".join(["x0", *[f"x{i + 1} * {BASE[c]}" for i, c in enumerate(chosen)]])
+        parts.append(f"select '{'+'.join(BASE[c] for c in chosen)}' as models, y, round({score}, 9) as p from base join {back} on k = fold")
+    return ", ".join(out) + f""", stacked as ({' union all '.join(parts)}),
+ranked as (select models, y, rank() over (partition by models order by p) + (count(*) over (partition by models, p) - 1) / 2.0::DOUBLE as rk from stacked)
+select models, round((sum(rk) filter (y = 1) - count(*) filter (y = 1) * (count(*) filter (y = 1) + 1) / 2.0::DOUBLE) / (count(*) filter (y = 1) * count(*) filter (y = 0)), 7) as auc from ranked group by models"""
+
+
+@query("mlf_5_stacked_models", f"""with {_boost_sql()}, {_dense_cells_sql()}, {_steps_sql([(i * 3 + fold, "y", fold, c) for i, c in enumerate((0.001, 1.0)) for fold in range(3)], STEPS, 2.0)},
+base as materialized (select s.id, s.y, s.fold, 1 / (1 + exp(-s.f)) as boosted, u.p as logistic, v.p as shrunk from s{ROUNDS} s join scores u on u.id = s.id and u.m = s.fold join scores v on v.id = s.id and v.m = 3 + s.fold where s.m = s.fold),
+{_stack_sql()}""")
+def _(t):
+    boosted = _boosted(t)[1].select("id", "y", "fold", F.col("p").alias("boosted"))
+    cells, feats = _dense_rows(t)
+    linear_ones = linear.oof_logistic(cells, feats, "id", ["y"], 3, penalties=[0.001, 1.0], steps=STEPS)
+    wide = linear_ones.groupBy("id").agg(*[F.max(F.when(F.col("penalty") == c, F.col("p"))).alias(name) for name, c in (("logistic", 0.001), ("shrunk", 1.0))])
+    return learn.search_subsets(boosted.join(wide, "id"), list(BASE), "y", 3, ridge=RIDGE).select("models", r("auc", 7).alias("auc"))
+
+
 def _permuted_sql() -> str:
     """Rows with one feature's bins dealt anew within the fold (variant -1: none), taken through the trees of their fold's model."""
     b = [f"b{i}" for i in range(len(FEATURES))]

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from featherloom.operators.ensemble import logit_mean as mean_in_logit_space, mean_by_key
 from featherloom.operators.evaluate import GiniEvaluator, roc_auc
 from featherloom.operators.textfeat import n_grams
-from featherloom.session import durable
+from featherloom.session import durable, stored
 
 
 def assemble(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -75,22 +75,63 @@ def base_predictions(train: DataFrame, estimators: Mapping[str, Estimator], key:
         *[F.max(F.when(F.col("model") == name, F.col("p"))).alias(name) for name in estimators])
 
 
-def stack_models(base: DataFrame, models: Sequence[str], key: str, label: str, k: int, fold: str = "fold") -> DataFrame:
-    """Second level: a logistic stacker over the base columns, itself out of fold."""
-    ready = assemble(base, models, [key, label, fold])
-    return oof(ready, LogisticRegression(labelCol=label, maxIter=20), key, label, k, fold)[0]
+def fold_grams(base: DataFrame, models: Sequence[str], label: str, fold: str) -> dict[int, list[list[float]]]:
+    """For each fold the sums of products of (1, models..., label): all that least squares needs, from one aggregate."""
+    cols = [F.lit(1.0), *[F.col(m).cast("double") for m in models], F.col(label).cast("double")]
+    n = len(cols)
+    cells = [F.sum(cols[i] * cols[j]).alias(f"g{i}_{j}") for i in range(n) for j in range(i, n)]
+    rows = base.groupBy(fold).agg(*cells).collect()       # a row for each fold
+    return {r[fold]: [[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)] for r in rows}
 
 
-def search_subsets(base: DataFrame, models: Sequence[str], key: str, label: str, k: int, fold: str = "fold",
-                   smallest: int = 2) -> DataFrame:
-    """AUC of the stacker for every subset of at least ``smallest`` base models: (models, auc)."""
-    base = durable(base)
-    scored = []
+def solve_positive(a: list[list[float]], b: list[float]) -> list[float]:
+    """Solution of a positive definite system by elimination in the given order."""
+    n = len(b)
+    a, b = [list(r) for r in a], list(b)
+    for i in range(n):
+        for j in range(i + 1, n):
+            f = a[j][i] / a[i][i]
+            a[j] = [x - f * y for x, y in zip(a[j], a[i], strict=True)]
+            b[j] -= f * b[i]
+    x = [0.0] * n
+    for i in reversed(range(n)):
+        x[i] = (b[i] - sum(a[i][j] * x[j] for j in range(i + 1, n))) / a[i][i]
+    return x
+
+
+def stack_weights(grams: dict[int, list[list[float]]], chosen: Sequence[int], k: int, ridge: float) -> list[list[float]]:
+    """For each of the k folds (intercept, weights of the chosen columns) of ridge regression on all other folds.
+
+    Every subset is solved from the same sums; the intercept is not penalised but for what keeps it defined without rows.
+    """
+    out = []
+    at = [0, *chosen]
+    for fold in range(k):
+        others = [g for f, g in grams.items() if f != fold]
+        total = lambda i, j: sum((g[i][j] for g in others), 0.0)  # noqa: E731, B023
+        a = [[total(i, j) + (ridge if i == j and i else 1e-9 if i == j else 0.0) for j in at] for i in at]
+        out.append(solve_positive(a, [total(i, -1) for i in at]))
+    return out
+
+
+def search_subsets(base: DataFrame, models: Sequence[str], label: str, k: int, fold: str = "fold", smallest: int = 2, ridge: float = 1.0) -> DataFrame:
+    """AUC, out of fold, of a ridge stacker for every subset of at least ``smallest`` base models: (models, auc).
+
+    One scan gives the sums by fold for all subsets and folds, a second one scores every row by all stackers.
+    """
+    base = stored(base, "base")
+    grams = fold_grams(base, models, label, fold)
+    scores = []
     for size in range(smallest, len(models) + 1):
-        for chosen in combinations(models, size):
-            out = stack_models(base, chosen, key, label, k, fold)
-            scored.append(out.select(F.lit("+".join(chosen)).alias("models"), F.col(label).cast("int").alias("truth"), "p"))
-    return roc_auc(reduce(DataFrame.unionByName, scored), ["models"], "truth", "p")
+        for chosen in combinations(range(len(models)), size):
+            weights = stack_weights(grams, [c + 1 for c in chosen], k, ridge)
+            here = lambda i: F.get(F.lit([w[i] for w in weights]), F.col(fold).cast("int"))  # noqa: E731, B023
+            total = here(0)
+            for i, c in enumerate(chosen):
+                total = total + here(i + 1) * F.col(models[c])
+            scores.append(F.struct(F.lit("+".join(models[c] for c in chosen)).alias("models"), F.round(total, 9).alias("p")))
+    long = base.select(F.col(label).cast("int").alias("truth"), F.explode(F.array(*scores)).alias("e")).select("truth", "e.*")
+    return roc_auc(long, ["models"], "truth", "p")
 
 
 def tune(train: DataFrame, estimator: Estimator, grid: Mapping, key: str, label: str, k: int, fold: str = "fold",

@@ -206,3 +206,13 @@ def test_missing_nodes_are_the_least_union():
     assert merkle.missing_nodes(0, 299, 300) == [] and merkle.missing_nodes(0, 0, 1) == []
     assert merkle.missing_nodes(0, 15, 33) == [(1, 1), (1, 2)]
     assert merkle.missing_nodes(1, 14, 17) == [(0, 0), (0, 15), (1, 1)]
+
+
+def test_a_match_of_very_many_labels_ends_no_task(spark):
+    from featherloom.llm import pii
+
+    text = "mail a@b" + ".c" * 200_000 + " 1" + ".1" * 400 + " +1" + "-1" * 20_000
+    docs = frame(spark, [(1, text, "en", "s", 1)])
+    spans = pii.find_pii(docs).first()["pii"]
+    assert [(s["kind"], s["start"], s["end"]) for s in spans if s["kind"] == "email"] == [("email", 5, 8 + 400_000)]
+    assert pii.mask_pii(docs).first()["text"].startswith("mail [EMAIL] ")

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from featherloom.catalog.common import ORDER_SCORES, h27, order_scores, r
 from featherloom.catalog.registry import query
 from featherloom.catalog.text import WORD_TFIDF, tok
-from featherloom.functions import textrules as tr
+from featherloom.functions import arrays, textrules as tr
 from featherloom.functions.hashing import key_hash
-from featherloom.operators import boost, folds, learn, linear, relations, textfeat
+from featherloom.operators import boost, cbow, folds, learn, linear, relations, textfeat
 from featherloom.plans.flow import apply_column, fit_flow, run_flow
 from featherloom.session import scratch_path
 from featherloom.sources import scan, sinks
@@ -414,8 +414,8 @@ def _(t):
 
 @query("mlf_8_word_vectors", f"""
 with words as (select unnest({tok("lower(text)")}) as word from (select text from documents union all select text from conversations))
-select word from words group by word having count(*) >= 10""")
+select word, count(*) as n, 16 as dims, 1.0::DOUBLE as norm from words group by word having count(*) >= 10""")
 def _(t):
     corpora = relations.stack({"documents": t.documents.select("text"), "conversations": t.conversations.select("text")})
-    words = corpora.select(tr.tokens(F.lower("text")).alias("words"))
-    return learn.fit_word_vectors(words, "words", size=16).getVectors().select("word")
+    vecs = cbow.fit_cbow(corpora.select(tr.tokens(F.lower("text")).alias("words")), "words", size=16, rounds=2)
+    return vecs.select("word", F.col("count").alias("n"), F.size("vec").alias("dims"), r(arrays.norm("vec"), 6).alias("norm"))

@@ -9,7 +9,7 @@ from itertools import combinations
 
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, VectorAssembler, Word2Vec
+from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -174,9 +174,3 @@ def correlation_report(df: DataFrame, watched: str, cols: Sequence[str], k: int
     top = lambda order: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order, "name"))  # one row per column
     side = lambda name, order: long.withColumn("position", top(order)).where(F.col("position") <= k).withColumn("side", F.lit(name))
     return side("top", F.col("corr").desc()).unionByName(side("bottom", F.col("corr"))).select("side", "position", "name", "corr")
-
-
-def fit_word_vectors(sentences: DataFrame, words: str, size: int = 64, window: int = 2, min_count: int = 10, seed: int = 7):
-    """Skip-gram word vectors (spark.ml has no CBOW form)."""
-    est = Word2Vec(inputCol=words, outputCol="vec", vectorSize=size, windowSize=window, minCount=min_count, seed=seed, maxIter=1)
-    return est.fit(sentences)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from featherloom.catalog.common import r
 from featherloom.catalog.registry import query
-from featherloom.functions import textrules as tr
+from featherloom.functions import dictionaries, textrules as tr
 from featherloom.operators import encode, textfeat
 from featherloom.session import spread
 
@@ -103,13 +103,13 @@ select doc_id, replace(array_to_string(list_transform({tok(STARRED)}, lambda w:
   when contains(w, '*') and replace(w, '*', '') in {in_list(KNOWN)} then replace(w, '*', '') else w end), ' '), '*', ' ') as text from documents""")
 def _(t):
     starred = F.replace(F.replace(F.lower("text"), F.lit("th"), F.lit("t*h")), F.lit("sc"), F.lit("*s*c"))
-    return docs(t).select("doc_id", tr.unmask_stars(starred, KNOWN, {"t*h": "masked"}).alias("text"))
+    return docs(t).select("doc_id", dictionaries.unmask_stars(t.spark, starred, KNOWN, {"t*h": "masked"}).alias("text"))
 
 
 @query("str_7_canonical_substring", """
 select doc_id, array_to_string(list_transform(string_split(lower(text), ' '), lambda w: case when contains(w, 'tion') then 'TION' when contains(w, 'th') then 'TH' else w end), ' ') as text from documents""")
 def _(t):
-    return docs(t).select("doc_id", tr.canonical_by_substring(F.lower("text"), [("tion", "TION"), ("th", "TH")]).alias("text"))
+    return docs(t).select("doc_id", dictionaries.canonical_by_substring(t.spark, F.lower("text"), [("tion", "TION"), ("th", "TH")]).alias("text"))
 
 
 @query("str_8_fill_empty", """
@@ -187,7 +187,8 @@ def _(t):
 @query("str_16_substring_counts", """
 select doc_id, ((length(text) - length(replace(text, 'tion', ''))) / 4)::INTEGER as n_tion, ((length(text) - length(replace(text, 'und', ''))) / 3)::INTEGER as n_und from documents""")
 def _(t):
-    return docs(t).select("doc_id", *[c.alias(n) for n, c in tr.substring_counts("text", ["tion", "und"]).items()])
+    counted = docs(t).select("doc_id", dictionaries.part_counts(t.spark, "text", ["tion", "und"]).alias("counts"))
+    return counted.select("doc_id", *[dictionaries.count_of(F.col("counts"), p).alias(f"n_{p}") for p in ("tion", "und")])
 
 
 @query("str_17_longest_sentence", """

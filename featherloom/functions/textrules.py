@@ -174,7 +174,7 @@ def map_tokens(text: Column | str, table: Mapping[str, str]) -> Column:
 
 
 def unmask_stars(text: Column | str, known: Sequence[str], masked: Mapping[str, str] | None = None) -> Column:
-    """Drop ``*`` inside a word if the rest is known, map masked forms, and blank all other stars."""
+    """Drop ``*`` inside a word if the rest is known, map masked forms, and blank all other stars. Short lists; long ones: ``dictionaries``."""
     def fix(w: Column) -> Column:
         bare = F.replace(w, F.lit("*"), F.lit(""))
         out = F.when(w.contains("*") & bare.isin(*known), bare).otherwise(w)
@@ -185,7 +185,7 @@ def unmask_stars(text: Column | str, known: Sequence[str], masked: Mapping[str,
 
 
 def canonical_by_substring(text: Column | str, table: Sequence[tuple[str, str]]) -> Column:
-    """A token that contains a listed text becomes its canonical word; the first entry wins."""
+    """A token that contains a listed text becomes its canonical word; the first entry wins. Short lists; long ones: ``dictionaries``."""
     def fix(w: Column) -> Column:
         out = w
         for part, word in reversed(list(table)):
@@ -309,7 +309,9 @@ def count_features(text: str, watched: Mapping[str, str] | None = None) -> dict[
 
 
 def substring_counts(text: str, parts: Sequence[str]) -> dict[str, Column]:
-    return {f"n_{p}": F.regexp_count(F.col(text), F.lit(p)) for p in parts}
+    """Occurrences of each part, as a text and not as a pattern, without overlap (for many parts use ``dictionaries.part_counts``)."""
+    t = F.col(text)
+    return {f"n_{p}": ((F.length(t) - F.length(F.replace(t, F.lit(p), F.lit("")))) / len(p)).cast("int") for p in parts}
 
 
 def longest_sentence(text: Column | str) -> Column:

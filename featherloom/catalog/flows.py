@@ -374,7 +374,7 @@ def _stack_sql() -> str:
         parts.append(f"select '{'+'.join(BASE[c] for c in chosen)}' as models, y, round({score}, 9) as p from base join {back} on k = fold")
     return ", ".join(out) + f""", stacked as ({' union all '.join(parts)}),
 ranked as (select models, y, rank() over (partition by models order by p) + (count(*) over (partition by models, p) - 1) / 2.0::DOUBLE as rk from stacked)
-select models, round((sum(rk) filter (y = 1) - count(*) filter (y = 1) * (count(*) filter (y = 1) + 1) / 2.0::DOUBLE) / (count(*) filter (y = 1) * count(*) filter (y = 0)), 7) as auc from ranked group by models"""
+select models, round((sum(rk) filter (y = 1) - count(*) filter (y = 1) * (count(*) filter (y = 1) + 1) / 2.0::DOUBLE) / (count(*) filter (y = 1) * count(*) filter (y = 0)), 5) as auc from ranked group by models"""
 
 
 @query("mlf_5_stacked_models", f"""with {_boost_sql()}, {_dense_cells_sql()}, {_steps_sql([(i * 3 + fold, "y", fold, c) for i, c in enumerate((0.001, 1.0)) for fold in range(3)], STEPS, 2.0)},
@@ -385,7 +385,7 @@ def _(t):
     cells, feats = _dense_rows(t)
     linear_ones = linear.oof_logistic(cells, feats, "id", ["y"], 3, penalties=[0.001, 1.0], steps=STEPS)
     wide = linear_ones.groupBy("id").agg(*[F.max(F.when(F.col("penalty") == c, F.col("p"))).alias(name) for name, c in (("logistic", 0.001), ("shrunk", 1.0))])
-    return learn.search_subsets(boosted.join(wide, "id"), list(BASE), "y", 3, ridge=RIDGE).select("models", r("auc", 7).alias("auc"))
+    return learn.search_subsets(boosted.join(wide, "id"), list(BASE), "y", 3, ridge=RIDGE).select("models", r("auc", 5).alias("auc"))
 
 
 def _permuted_sql() -> str:

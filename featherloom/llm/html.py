@@ -5,17 +5,19 @@ article or not; the field scores a label by ancestor and text features and by th
 on labelled pages (laid out by ``labelled_pages`` from a seed: layouts with and without semantic tags), and decodes with Viterbi.
 Training sees a fixed, small number of pages on the driver; all pages are decoded in Spark tasks, each on its own.
 
-Cases: null or empty html gives the empty text. Unclosed and stray tags are borne as browsers do; scripts, styles, comments
-and templates are never text. Pages of any length are read whole. Repeated rows each get their row; other columns are kept.
+Cases: null or empty html gives the empty text. Unclosed and stray tags are borne as browsers do; scripts, styles, comments,
+templates, frames, text areas and selections are never text; formulas and drawings are inline text, noscript and xmp are blocks. Pages of any length are read whole. Repeated rows each get their row; other columns are kept.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,20 +28,33 @@ from featherloom.llm.bpe import _schema, _with
 ROWS = 64
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "select", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "template", "textarea", "iframe", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "mark",
-          "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "mark", "math",
+          "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "svg", "time", "tt", "u", "var", "wbr"}
+FOREIGN = {"math", "svg"}      # all tags inside these are inline
 #: An opening tag on the left ends an open one on the right.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header",
           "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
 
+class Path:
+    """An open tag below its parent's path. Blocks share paths, so that a page needs memory for its tags, however deep."""
+
+    __slots__ = ("leaf", "new", "parent")
+
+    def __init__(self, parent: "Path | None", new: tuple[str, ...], leaf: str):
+        self.parent, self.new, self.leaf = parent, new, leaf      # features that no tag above has; the innermost block tag
+
+
+ROOT = Path(None, ("any",), "-")
+
+
 class Block:
     __slots__ = ("linked", "path", "text")
 
-    def __init__(self, text: str, path: tuple[str, ...], linked: int):
+    def __init__(self, text: str, path: Path, linked: int):
         self.text, self.path, self.linked = text, path, linked
 
 
@@ -51,33 +66,47 @@ def _name(tag: str, attributes: str) -> str:
     return " ".join([tag, *sorted(words)])
 
 
+@functools.lru_cache(4096)
+def _tag_features(name: str) -> tuple[str, ...]:
+    """Features of a tag with its words."""
+    tag, *words = name.split(" ")
+    return (() if tag in INLINE and tag != "a" else (f"tag {tag}",)) + tuple(f"word {w}" for w in words)
+
+
 def leaf_blocks(html: str) -> list[Block]:
     """Leaf blocks in page order, without empty ones. Character references are decoded, white space becomes one blank."""
     out: list[Block] = []
     tags: list[str] = []
-    names: list[str] = []
+    count: Counter[str] = Counter()       # open tags by name
+    paths: list[Path] = [ROOT]
+    above: list[tuple[str, ...]] = []      # features of each open tag
+    seen: Counter[str] = Counter()
     parts: list[str] = []
-    links = linked = 0
+    linked = foreign = 0
 
     def text(upto: str) -> None:
         nonlocal linked
         if upto:
             t = entities.unescape(upto) if "&" in upto else upto
             parts.append(t)
-            linked += len(t) if links else 0
+            linked += len(t) if count["a"] else 0
 
     def flush() -> None:
         nonlocal linked
         whole = " ".join("".join(parts).split())
         if whole:
-            out.append(Block(whole, tuple(names), linked))
+            out.append(Block(whole, paths[-1], linked))
         parts.clear()
         linked = 0
 
     def close(n: int) -> None:
-        nonlocal links
-        links -= tags[n:].count("a")
-        del tags[n:], names[n:]
+        nonlocal foreign
+        while len(tags) > n:
+            tag = tags.pop()
+            count[tag] -= 1
+            foreign -= tag in FOREIGN
+            seen.subtract(above.pop())
+            paths.pop()
 
     at = 0
     while m := TOKEN.search(html, at):
@@ -86,47 +115,61 @@ def leaf_blocks(html: str) -> list[Block]:
         if m[2] is None:
             continue
         tag = m[2].lower()
+        inline, edge = tag in INLINE, len(tags)
+        if foreign and not inline:
+            edge = next(i for i, t in enumerate(tags) if t in FOREIGN)
+            # a block, or the end of one around, leaves a formula or drawing that was not closed
+            if (count[tag] and tag not in tags[edge:]) if m[1] else tag in ENDS_P:
+                close(edge)
+            else:
+                inline = True
         if m[1]:
-            if tag not in INLINE:
+            if not inline:
                 flush()
-            if tag in tags:
-                last = len(tags) - 1 - tags[::-1].index(tag)
+            if count[tag]:
+                last = next(i for i in range(len(tags) - 1, -1, -1) if tags[i] == tag)
                 # a closing inline tag does not reach out of its block
-                if tag not in INLINE or all(t in INLINE for t in tags[last:]):
+                if not inline or last >= edge or all(t in INLINE for t in tags[last:]):
                     close(last)
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             at = end.end() if end else len(html)
-            if tag not in INLINE:
-                parts.append(" ")
+            parts.append(" ")
+            continue
+        if tag == "xmp":       # a block of plain characters: neither tags nor references are read in it
+            flush()
+            end = re.compile(r"</xmp\s*>", re.I).search(html, at)
+            parts.append(html[at : end.start()] if end else html[at:])
+            flush()
+            at = end.end() if end else len(html)
             continue
         if tag == "br":
             parts.append(" ")
-        if tag not in INLINE:
+        if not inline:
             flush()
-            if tag in ENDS_P and "p" in tags:
+            if count["p"] and tag in ENDS_P:
                 close(tags.index("p"))
             while tags and tags[-1] in ENDS.get(tag, ()):
                 close(len(tags) - 1)
         if tag not in VOID and not m[3].endswith("/"):
             tags.append(tag)
-            names.append(_name(tag, m[3]))
-            links += tag == "a"
+            count[tag] += 1
+            foreign += tag in FOREIGN
+            features = _tag_features(_name(tag, m[3]))
+            paths.append(Path(paths[-1], tuple(f for f in features if not seen[f]), paths[-1].leaf if tag in INLINE else tag))
+            above.append(features)
+            seen.update(features)
     text(html[at:])
     flush()
     return out
 
 
-def path_features(path: tuple[str, ...]) -> list[str]:
-    found = {"any"}
-    for name in path:
-        tag, *words = name.split(" ")
-        if tag not in INLINE or tag == "a":
-            found.add(f"tag {tag}")
-        found.update(f"word {w}" for w in words)
-    blocks = [n.split(" ")[0] for n in path if n.split(" ")[0] not in INLINE]
-    found.add(f"leaf {blocks[-1] if blocks else '-'}")
+def path_features(path: Path) -> list[str]:
+    found, at = [f"leaf {path.leaf}"], path
+    while at is not None:
+        found.extend(at.new)
+        at = at.parent
     return sorted(found)
 
 
@@ -150,20 +193,24 @@ class Field:
         self.w: dict[str, list[float]] = {}
         self.step = [[0.0, 0.0], [0.0, 0.0]]
         self.start = [0.0, 0.0]
-        self.memo: dict[tuple[str, ...], tuple[float, float]] = {}
 
     def scores(self, blocks: list[Block]) -> list[tuple[float, float]]:
-        out = []
+        out: list[tuple[float, float]] = []
+        known: dict[Path, tuple[float, float]] = {}      # running sums down the paths of the page
         for b in blocks:
-            if (base := self.memo.get(b.path)) is None:
-                if len(self.memo) > 50_000:
-                    self.memo.clear()
-                base = self.memo[b.path] = self._sum(path_features(b.path))
-            more = self._sum(text_features(b))
+            open_, at = [], b.path
+            while at is not None and at not in known:
+                open_.append(at)
+                at = at.parent
+            base = known[at] if at is not None else (0.0, 0.0)
+            for at in reversed(open_):
+                more = self._sum(at.new)
+                base = known[at] = (base[0] + more[0], base[1] + more[1])
+            more = self._sum([f"leaf {b.path.leaf}", *text_features(b)])
             out.append((base[0] + more[0], base[1] + more[1]))
         return out
 
-    def _sum(self, features: list[str]) -> tuple[float, float]:
+    def _sum(self, features: Sequence[str]) -> tuple[float, float]:
         got = [w for f in features if (w := self.w.get(f))]
         return sum(w[0] for w in got), sum(w[1] for w in got)
 
@@ -196,7 +243,6 @@ class Field:
             for blocks, gold in pages:
                 if not blocks:
                     continue
-                self.memo.clear()
                 node, pair = self._marginals(self.scores(blocks))
                 for k, (b, y) in enumerate(zip(blocks, gold, strict=True)):
                     for f in path_features(b.path) + text_features(b):
@@ -209,7 +255,6 @@ class Field:
                             move(("step", i), self.step[i], j, (gold[k - 1] == i and gold[k] == j) - pair[k - 1][i][j])
                 for i in (0, 1):
                     move("start", self.start, i, (gold[0] == i) - node[0][i])
-        self.memo.clear()
         return self
 
     def _marginals(self, s):
@@ -238,17 +283,17 @@ class Field:
         return [x[0] / total, x[1] / total]
 
 
-# Parts of the training pages: (opening tag, closing tag) of holders, by what they hold.
+# Parts of the training pages: tags of holders, outer ones first, by what they hold; a question mark is a word that no other page has.
 HOLDERS = {
     "article": ["article", "main", "main|article", "div class='content'", "div class='post body'", "div id='story'", "section class='entry content'", "div class='article text'",
-                "div role='main'"],
+                "div role='main'", "div class='?'", "div class='?'", "div class='?'|div class='?'", "div", "section", "div class='wrap'|div class='?'"],
     "header": ["header", "div class='header'", "div id='masthead'", "header class='site top'"],
     "menu": ["nav", "div class='menu'", "ul class='nav navigation'", "div id='navbar'", "div class='breadcrumb'", "nav class='menu'", "div class='pagination'", "div class='tags'"],
     "advert": ["div class='ad'", "div class='advert banner'", "aside class='ads'", "div id='sponsored'", "div class='promo'", "section class='advertisement'", "ins class='adsbygoogle'"],
     "sidebar": ["aside", "div class='sidebar'", "div id='side'", "aside class='widget related'", "section class='related'", "div class='recommended'"],
-    "notice": ["div class='notice'", "div class='cookie banner'", "div id='consent'", "div class='alert'", "section class='newsletter subscribe'", "div class='popup modal'", "div role='alert'"],
+    "notice": ["div class='notice'", "div class='cookie banner'", "div id='consent'", "div class='alert'", "section class='newsletter subscribe'", "div class='popup modal'", "div role='alert'", "noscript"],
     "form": ["form", "form class='search'", "form id='login'", "div class='form'|form"],
-    "comments": ["section class='comments'", "div id='comments'", "ol class='comment list'", "div class='comment'", "div class='discussion responses'"],
+    "comments": ["section class='comments'", "div id='comments'", "ol class='comment list'", "div class='comment'", "div class='discussion responses'", "div id='disqus thread'"],
     "footer": ["footer", "div class='footer'", "div id='foot'|footer", "div class='copyright'"],
 }
 
@@ -266,7 +311,7 @@ def labelled_pages(count: int = 260, seed: int = 5) -> list[tuple[list[Block], l
         return words(lo, hi, rng.choice([".", ".", ".", "!", "?", "", " ...", "%"]))
 
     def held(kind: str, inner: str) -> str:
-        tags = rng.choice(HOLDERS[kind]).split("|")
+        tags = [t.replace("?", words(1, 1).lower()) for t in rng.choice(HOLDERS[kind]).split("|")]
         return "".join(f"<{t}>" for t in tags) + inner + "".join(f"</{t.split()[0]}>" for t in reversed(tags))
 
     def link() -> str:
@@ -287,8 +332,11 @@ def labelled_pages(count: int = 260, seed: int = 5) -> list[tuple[list[Block], l
                 out.append(f"<h2>{mark}{words(1, 5)}</h2>")
             elif kind < 0.92:
                 out.append(f"<p>{body} <a href='/y'>{words(1, 3)}</a> {words(1, 6, '.')}</p>")
-            elif kind < 0.96:
+            elif kind < 0.95:
                 out.append(f"<div>{body}</div>")
+            elif kind < 0.98:
+                listing = rng.choice(["pre", "xmp"])
+                out.append(f"<noscript><p>{body}</p></noscript>" if rng.random() < 0.5 else f"<{listing}>{mark}{words(2, 12)}</{listing}>")
             else:
                 out.append(f"<table><tr><td>{mark}{words(1, 4)}</td><td>{mark}{words(1, 2)}</td></tr></table>")
             if rng.random() < 0.08:

@@ -69,16 +69,20 @@ SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-WORD_BASE = 0xC2B2AE3D27D4EB4F
+FACTOR_SEED = 0xC2B2AE3D
 ODD = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 1 << 18
 
 
 class WordHasher:
-    """64-bit hashes of the words of UTF-8 texts, computed on whole chunks of bytes; no word becomes a Python object."""
+    """64-bit hashes of the words of UTF-8 texts, computed on whole chunks of bytes; no word becomes a Python object.
+
+    A word's letters are multiplied by drawn odd factors, one for each place, and summed: over the draw of the factors, any two
+    words meet with a probability of 2 ** -56 at most. (Powers of one base would be the same for certain pairs of words whatever the base.)
+    """
 
     def __init__(self, lower: bool = False):
-        self.lower, self.powers = lower, np.ones(1, np.uint64)
+        self.lower, self.factors = lower, np.empty(0, np.uint64)
 
     def of(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hash, start) of each word of the texts data[bounds[i]:bounds[i + 1]], in order."""
@@ -93,12 +97,10 @@ class WordHasher:
             return np.empty(0, np.uint64), start
         rank = np.cumsum(word)[start] - 1
         size = np.diff(rank, append=len(at))
-        if size.max() > len(self.powers):
-            self.powers = np.full(1 << int(size.max()).bit_length(), WORD_BASE, np.uint64)
-            self.powers[0] = 1
-            self.powers = np.multiply.accumulate(self.powers)
+        if size.max() > len(self.factors):     # one stream: longer draws begin like shorter ones
+            self.factors = np.random.PCG64(FACTOR_SEED).random_raw(1 << int(size.max()).bit_length()) | np.uint64(1)
         letters = (LOWER[data] if self.lower else data)[at].astype(np.uint64) + np.uint64(1)
-        letters *= self.powers[np.arange(len(at)) - np.repeat(rank, size)]
+        letters *= self.factors[np.arange(len(at)) - np.repeat(rank, size)]
         with np.errstate(over="ignore"):
             return mix64(np.add.reduceat(letters, rank) + size.astype(np.uint64) * ODD), start
 

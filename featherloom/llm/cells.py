@@ -55,7 +55,8 @@ def _places(x: np.ndarray, centres: np.ndarray, threshold: float):
 
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id), one row for each row of ``rows``; links have cosine ``threshold`` or more, in doubles."""
-    digest = F.struct(F.xxhash64("v").alias("a"), F.xxhash64("v", F.lit(1)).alias("b"))
+    # the second hash starts from another seed; with the number behind the vector it would follow from the first
+    digest = F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"))
     keyed = usable_rows(rows, id_col, vector).where("vec_id is not null").select("vec_id", digest.alias("key"), "v")
     nodes = written(keyed.groupBy("key").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("m"), F.first("v").alias("v")), "cells-nodes")
     shape = nodes.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()

@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from featherloom.llm.common import drop_written, written
 
+SALTS = 32      # tasks that the neighbours of one node are dealt to
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link every neighbour to the smallest one: the larger neighbours (large star) or the smaller ones and the node itself."""
     turned = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
     near = edges.unionByName(turned) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = near.join(least, "u")
+    joined = with_least(near)
     if large:
         pairs = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -21,6 +22,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return pairs.where(F.col("u") != F.col("v")).distinct()
 
 
+def with_least(near: DataFrame) -> DataFrame:
+    """(u, v, m): each row (u, v) with the least of u and its neighbours, a node's neighbours being dealt to several tasks.
+
+    The minimum is taken by (node, part), then by node, and handed back to the parts that the node has.
+    """
+    dealt = near.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    parts = dealt.groupBy("u", "part").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.least(F.min("m"), F.col("u")).alias("m"), F.collect_list("part").alias("parts"))
+    return dealt.join(least.select("u", "m", F.explode("parts").alias("part")), ["u", "part"]).select("u", "v", "m")
+
+
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     return tuple(row)
@@ -30,7 +42,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     """(node, component) for every node of an edge; the component is its smallest node.
 
     Edges are undirected, may repeat, and loops are ignored. Each round ends in a written table, so a lost executor costs one
-    round. Only a count and a checksum come to the driver.
+    round; the result is a written table too, for the caller to drop. Only a count and a checksum come to the driver.
     """
     now = written(edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u <> v").distinct(), "cc")
     mark, done = _mark(now), False
@@ -41,8 +53,10 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         new = _mark(after)
         done, mark, now = new == mark, new, after
     # all edges now go from a node to the least of its component
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = written(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "cc-out")
+    drop_written(now)
+    return out
 
 
 def block_forest(r: np.ndarray, c: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ same task. The index is a table of blocks (ids, codes, corrections, vectors); qu
 queries meets every block of the index.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without id; vectors of another
-length than the query's are no candidates. Rows of one id count once. With fewer than k candidates, all are returned. No
+length than the query's are no candidates. Rows of one id count once, with the largest cosine of any of them, on either side. With fewer than k candidates, all are returned. No
 rows give no rows.
 """
 
@@ -73,10 +73,10 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector:
     """(query_id, rank, vec_id, score): the k rows of largest cosine for each query, itself left out, ties to the smaller id."""
     ready = lambda df: usable_rows(df, id_col, vector).where("vec_id is not null")
     index = written(blocks(ready(rows), codes=True), "onebit-index")
-    asked = written(blocks(ready(queries).dropDuplicates(["vec_id"]), codes=False), "onebit-queries")
+    asked = written(blocks(ready(queries), codes=False), "onebit-queries")
 
     def search(batches):
-        best: dict[int, list[tuple[float, int]]] = {}
+        best: dict[int, dict[int, float]] = {}
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
@@ -89,20 +89,23 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector:
                 est, err = estimate(unit(q) @ rotation(d).T, codes, f)
                 low, high = est - bound * err, est + bound * err
                 norm_x, norm_q = (np.sqrt((m * m).sum(axis=1)) for m in (x, q))
+                single = len(np.unique(ids)) == len(ids)     # else the k best rows may be of fewer ids
                 for j, name in enumerate(qid.tolist()):
-                    got = best.setdefault(name, [])
+                    got = best.setdefault(name, {})
                     least = -np.inf
-                    if len(ids) > k:
+                    if single and len(ids) > k:
                         least = np.partition(low[j], len(ids) - k - 1)[len(ids) - k - 1]     # the query itself may be among them
                     if len(got) == k:
-                        least = max(least, -got[-1][0])
+                        least = max(least, min(got.values()))
                     at = np.flatnonzero((high[j] >= least) & (ids != name))
                     exact = (x[at] * q[j]).sum(axis=1) / (norm_x[at] * norm_q[j])
-                    if len(at) > 4 * k:
+                    if single and len(at) > 4 * k:
                         cut = np.partition(exact, len(at) - k)[len(at) - k]
                         at, exact = at[exact >= cut], exact[exact >= cut]
-                    best[name] = sorted(set(got) | set(zip((-exact).tolist(), ids[at].tolist(), strict=True)))[:k]
-        rows_ = [(name, v, -s) for name, found in best.items() for s, v in found]
+                    for s, v in zip(exact.tolist(), ids[at].tolist(), strict=True):
+                        got[v] = max(s, got.get(v, s))
+                    best[name] = dict(sorted(got.items(), key=lambda r: (-r[1], r[0]))[:k])
+        rows_ = [(name, v, s) for name, found in best.items() for v, s in found.items()]
         for lo in range(0, len(rows_), 10_000):
             part = rows_[lo : lo + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
@@ -110,4 +113,4 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector:
     pairs = index.crossJoin(asked.select(F.col("d").alias("qd"), F.col("ids").alias("qid"), F.col("raw").alias("q")))
     found = written(pairs.mapInArrow(search, "query_id bigint, vec_id bigint, score double"), "onebit-found")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

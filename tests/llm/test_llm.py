@@ -14,6 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Reference
 
+from featherloom.llm.common import WordHasher
 from featherloom.llm import bpe, cells, components, html, minhash, mixing, onebit, order, parsing, pii, queries, substring, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
@@ -53,6 +54,12 @@ def test_components_match_union_find(spark):
     assert got == want
 
 
+def test_least_neighbours_of_a_hot_node(spark):
+    edges = [(5, i) for i in range(6, 3000)] + [(5, 2), (7, 1), (9, 9)]
+    got = {(r["u"], r["v"]): r["m"] for r in components.with_least(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert got == {(u, v): {5: 2, 7: 1, 9: 9}[u] for u, v in edges}
+
+
 def test_block_forest_spans_the_links():
     rng = np.random.default_rng(0)
     xs, ys = np.arange(40), np.arange(30, 80)
@@ -236,6 +243,18 @@ def test_shards_give_every_sequence_back(spark, tmp_path):
 
 # -- substring deduplication
 
+def test_word_hashes_tell_thue_morse_words_apart(spark):
+    a = "a"
+    while len(a) < 4096:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    for n in (256, 512, 1024, 2048, 4096):
+        assert WordHasher().one(a[:n].encode())[0] != WordHasher().one(b[:n].encode())[0]
+    same = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{same} {a[:512]}", "s"), (2, f"{same} {b[:512]}", "s")]
+    assert [r["n_removed"] for r in substring.remove_repeats(docs_of(spark, rows)).collect()] == [0, 0]
+
+
 def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(1)
     powers = (parsing.Powers(), parsing.Powers(parsing.BASE2))
@@ -342,6 +361,28 @@ def test_nearest_recall_and_scores(spark):
 
 # -- BPE
 
+def test_nearest_of_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), rng.standard_normal(8).tolist()) for i in rng.integers(0, 60, 300)] + [(3, None)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in onebit.nearest(frame, frame.where("vec_id % 10 = 0")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    rows = rows[:-1]
+    assert set(got) == {i for i, _ in rows if i % 10 == 0}
+    for q, found in got.items():
+        best = {}
+        for i, x in rows:
+            for j, y in rows:
+                if i == q and j != q:
+                    c = float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y))
+                    best[j] = max(c, best.get(j, -2.0))
+        want = sorted(best.items(), key=lambda r: (-r[1], r[0]))[:5]
+        found.sort()
+        assert [(k + 1, v) for k, (v, _) in enumerate(want)] == [(k, v) for k, v, _ in found]
+        assert np.allclose([s for _, s in want], [s for _, _, s in found])
+
+
 def test_bpe_equals_the_library(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     ref = Reference.from_file(path)
@@ -422,6 +463,24 @@ def test_article_of_pages(spark, field):
     assert html.extract_main_text(rows.where("false"), field=field).count() == 0
 
 
+def test_article_keeps_formulas_listings_and_plain_holders(field):
+    text = "<p>The river rose slowly over the old mill and nobody knew why it had done so.</p><p>Later that week the water fell again, and people went home.</p>"
+    plain = "The river rose slowly over the old mill and nobody knew why it had done so.\nLater that week the water fell again, and people went home."
+    page = ("<article><p>We know <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds here.</p><noscript><p>A paragraph for readers without scripts, kept as it is.</p></noscript>"
+            "<xmp>if a &lt; <b> then</xmp><p>An <svg><text>axis</text></svg> label.<select><option>no</option></select></p><p>Open <math><mi>y</p><p>Next one here.</p></article>")
+    assert html.main_text(page, field) == ("We know x=2 holds here.\nA paragraph for readers without scripts, kept as it is.\nif a &lt; <b> then\n"
+                                           "An axis label.\nOpen y\nNext one here.")
+    menu, foot = "<nav><ul><li><a href=x>Home</a></li></ul></nav>", "<footer>&copy; x</footer>"
+    assert html.main_text(f"<body>{menu}<div class='wrap'><div class='xyz'>{text}</div></div>{foot}</body>", field) == plain
+    assert html.main_text(f"<body>{menu}<div class='zz'>{text}</div><div id='disqus_thread'><p>I like this very much, thanks.</p></div></body>", field) == plain
+
+
+def test_deep_pages_need_memory_for_their_tags_only(field):
+    blocks = html.leaf_blocks("<div>x" * 100_000)
+    assert len(blocks) == 100_000 and len(field.decode(blocks)) == 100_000
+    assert blocks[7].path is blocks[8].path.parent and html.path_features(blocks[-1].path) == ["any", "leaf div", "tag div"]
+
+
 def test_pages_of_the_table(spark):
     import html as entities
 

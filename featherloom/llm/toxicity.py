@@ -4,11 +4,12 @@ Confirmed toxic documents (P) and unlabelled ones (U) train linear numpy classif
 risk is pi * E_P[l(g, +1)] + max(0, E_U[l(g, -1)] - pi * E_P[l(g, -1)]) with logistic loss: U's negative risk, less what its
 hidden positives (a share pi) put into it, and never below zero; where it would fall below, it gives no step. Weights stay
 at zero or above and an L1 step keeps those of words without evidence at zero, so long clean texts gather no score. Each shard of the training rows gets a
-classifier of its own, all are averaged, and two numbers (slope and offset) turn the sum into a probability on the labelled
+classifier of its own, all are averaged, and two numbers (slope and offset) turn the sum into a probability on labelled
 rows of the learning part.
 
-Bounds (documented sampling of the fit): ``POSITIVE`` confirmed and ``UNLABELLED`` other documents, drawn by a hash of the id. Every
-document is scored from its whole text.
+Bounds (documented sampling of the fit): ``POSITIVE`` confirmed and ``UNLABELLED`` other documents for the classifiers and ``CALIBRATION`` labelled
+ones for slope and offset, drawn by a hash of the id; of rows of one id, one is learnt from. Every document is scored from its whole
+text, in the job that reads the result: nothing of the scored rows is written here, and Python gets the text alone.
 
 Cases: null and empty texts get the score of no feature. Null labels are no labels; an id labelled both ways is toxic. Without any
 toxic label all scores are 0. Rows without id are scored and never learnt from. Repeated rows each get their row.
@@ -16,15 +17,18 @@ toxic label all scores are 0. Rows without id are scored and never learnt from.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType
 
-from featherloom.llm.common import release, small_batches, written
+from featherloom.llm.common import drop_written, release, small_batches, written
 
 POSITIVE, UNLABELLED = 12_000, 24_000
+CALIBRATION = 30_000
 SHARDS, PER_SHARD = 6, 700      # classifiers at most, and the positive rows that one needs
 BITS = 18
 HEADS = (3, 4, 5, 6)      # lengths of word heads that are features of their own
@@ -117,13 +121,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     With ``carry`` the whole input row comes along as a struct ``row``.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"),
-                       (F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(None).cast("boolean")).alias("row"))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     known = written(_labelled(labels).where(~held_out(F.col("doc_id"))), "toxic-labels")
     n_all, n_toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    rows_of_result = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry else [text])]).alias("row"))
     out = [F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out")] + [F.col("row")] * carry
     if not n_toxic:
-        return base.select(*out, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return rows_of_result.select(*out, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     shards = max(1, min(SHARDS, n_toxic // PER_SHARD))
     prior = min(max(n_toxic / n_all, 1e-3), 0.5)
     draw = (F.xxhash64("doc_id", F.lit("toxicity")).bitwiseAND(F.lit((1 << 30) - 1))) / float(1 << 30)
@@ -140,7 +144,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         release()
 
     rows = (base.join(F.broadcast(chosen), "doc_id").select("doc_id", "positive", "text").mapInArrow(extract, "doc_id bigint, positive boolean, f binary")
-            .withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards))))
+            .groupBy("doc_id", "positive").agg(F.min("f").alias("f")).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards))))
 
     def train(key, table):
         order = np.argsort(np.asarray(table.column("doc_id")), kind="stable")     # the same sums whatever the order of arrival
@@ -158,21 +162,25 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         offset += fit["offset"] / len(fits)
     model = spark.sparkContext.broadcast(weights.astype(np.float32))    # 2 ** BITS numbers
 
-    def sums(batches):
+    @F.arrow_udf(DoubleType())
+    def sums(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w = model.value
         memo = Features(w != 0)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                got = [float(w[memo.of(t)].sum(dtype=np.float64)) + offset for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(got, pa.float64())], ["doc_id", "row", "g"])
+        for texts in batches:
+            got = []
+            for at in range(0, len(texts), 256):
+                got += [float(w[memo.of(t)].sum(dtype=np.float64)) + offset for t in texts.slice(at, 256).to_pylist()]
+            yield pa.array(got, pa.float64())
         release()
 
-    scored = written(base.mapInArrow(sums, StructType([*base.drop("text").schema.fields, StructField("g", DoubleType())])), "toxic-sums")
-    bins = (scored.join(known, "doc_id").groupBy(F.round(F.least(F.greatest("g", F.lit(-40.0)), F.lit(40.0)), 2).alias("g"), "toxic").count().collect())
+    sums = sums.asNondeterministic()      # so that the planner asks for each sum once
+    drawn = F.xxhash64("doc_id", F.lit("calibration")).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30) < CALIBRATION / n_all
+    some = written(base.join(F.broadcast(written(known.where(drawn), "toxic-some")), "doc_id").select("doc_id", "toxic", sums(F.col("text")).alias("g")), "toxic-sums")
+    bins = (some.groupBy("doc_id", "toxic").agg(F.min("g").alias("g")).groupBy(F.round(F.least(F.greatest("g", F.lit(-40.0)), F.lit(40.0)), 2).alias("g"), "toxic").count().collect())
     slope, shift = _calibrate(np.array([r["g"] for r in bins]), np.array([r["toxic"] for r in bins]), np.array([r["count"] for r in bins], float))
     score = 1 / (1 + F.exp(-(F.col("g") * slope + shift)))
-    return scored.select(*out, score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
+    drop_written(some, chosen, known)
+    return rows_of_result.withColumn("g", sums(F.col("row").getField(text))).select(*out, score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
 
 
 def _calibrate(g: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:

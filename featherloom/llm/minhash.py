@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from featherloom.llm.common import ODD, WordHasher, mix64, release, text_digest, written
-from featherloom.llm.components import block_forest, connected_components
+from featherloom.llm.bits import KeyFilter, KeyTest
+from featherloom.llm.common import ODD, WordHasher, drop_written, mix64, release, text_digest, written
+from featherloom.llm.components import SALTS, block_forest, connected_components
 
 ROWS = 128
 SMALL = 16       # members up to which a bucket's open pairs are listed at once
@@ -121,7 +122,7 @@ def _lean(t: float, minima_: int) -> float:
 
 
 def _confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges (u, v) among the candidate pairs (a, b): first by signature, then by the full sets."""
+    """Edges (u, v) among the candidate pairs (a, b), a written table that goes: first by signature, then by the full sets."""
     t = num / den
 
     def alike(batches):
@@ -147,7 +148,9 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den:
 
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return written(near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(linked, "u bigint, v bigint"), "minhash-edges")
+    edges = written(near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(linked, "u bigint, v bigint"), "minhash-edges")
+    drop_written(pairs, near)
+    return edges
 
 
 def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -170,7 +173,7 @@ def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 
 def _links_in_blocks(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges (u, v) between components within large buckets.
+    """Edges (u, v) between components within large buckets, as a written table.
 
     Members are packed with their full sets into blocks; a task compares two blocks of one bucket exactly and gives a spanning
     forest of their links, so that a family just under the threshold makes no rows of its pairs. ``rows`` are (bucket, node, comp, parts).
@@ -194,7 +197,9 @@ def _links_in_blocks(rows: DataFrame, sets: DataFrame, num: int, den: int) -> Da
 
     x = blocks.select("bucket", F.col("part").alias("px"), F.col("m").alias("x"))
     y = blocks.select("bucket", F.col("part").alias("py"), F.col("m").alias("y"))
-    return x.join(y, "bucket").where("px <= py").select("x", "y").mapInArrow(compare, "u bigint, v bigint")
+    edges = written(x.join(y, "bucket").where("px <= py").select("x", "y").mapInArrow(compare, "u bigint, v bigint").distinct(), "minhash-blockwise")
+    drop_written(blocks)
+    return edges
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, threshold: tuple[int, int] = (80, 100),
@@ -217,6 +222,8 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     nodes = written(sig.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "digest")).alias("row"), F.first("n").alias("n"),
                                                                  F.first("bands").alias("bands"), F.first("sig").alias("sig"))
                     .withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
+    every = written(sig.select("doc_id", "digest", "n", "key"), "minhash-rows")
+    drop_written(sig)
     in_bands = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
     step = F.lit(-math.log(num / den) * 1.01)
@@ -244,18 +251,60 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", "key", "row")
     sets = written(shingle_sets(base, wanted, k), "minhash-sets")
     edges = _confirm(written(stars(members, 0), "minhash-pairs"), nodes, sets, num, den)
-    comps = written(connected_components(edges), "minhash-comps")
+    comps = connected_components(edges)
     rest = open_members(comps)
     count = F.count(F.lit(1))
     parts = F.greatest(F.ceil(count / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS))
     rest = written(rest.join(rest.groupBy("bucket").agg(parts.alias("parts"), (count > SMALL).alias("large")), "bucket"), "minhash-open")
+    drop_written(members, comps)
     small = rest.where("not large").select("bucket", "node", "n", "comp")
     other = small.select("bucket", F.col("node").alias("node_b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
     cross = (small.join(other, "bucket").where(F.col("node") < F.col("node_b")).where(F.col("comp") != F.col("comp_b")).where(fits).select(*ends).distinct())
-    more = _confirm(written(cross, "minhash-cross"), nodes, sets, num, den).unionByName(
-        written(_links_in_blocks(rest.where("large").select("bucket", "node", "comp", "parts"), sets, num, den).distinct(), "minhash-blockwise"))
-    comps = connected_components(edges.unionByName(more))
+    across = _confirm(written(cross, "minhash-cross"), nodes, sets, num, den)
+    in_blocks = _links_in_blocks(rest.where("large").select("bucket", "node", "comp", "parts"), sets, num, den)
+    drop_written(rest, sets)
+    comps = connected_components(edges.unionByName(across).unionByName(in_blocks))
+    drop_written(edges, across, in_blocks)
     named = written(with_component(nodes.select("key", "node", "least"), comps).select("key", "comp", "least"), "minhash-named")
+    drop_written(nodes, comps)
     by_key = written(named.join(named.groupBy("comp").agg(F.min("least").alias("component_id")), "comp"), "minhash-classes").drop("least")
-    return sig.select("doc_id", "digest", "n", "key").join(by_key, "key", "left").select(
+    drop_written(named)
+    # rows without a set stay out of the join, where they would meet in one task
+    full = every.where("key is not null").join(by_key, "key", "left").select(
         "doc_id", "digest", F.col("n").alias("n_shingles"), F.col("comp").alias("class"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return full.unionByName(every.where("key is null").select("doc_id", "digest", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("class"),
+                                                              F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, threshold: tuple[int, int] = (80, 100), bands: int = 32, rows: int = 5) -> DataFrame:
+    """The rows of ``docs``, all columns, with one row of each class: that of smallest id. Rows without a set all stay.
+
+    Rows are told apart by id and text, so that each class keeps exactly one row where ids repeat or are null (null comes last);
+    of equal rows, the least of all columns. Texts are not shuffled: keys decide, and a scan leaves out what is gone.
+    """
+    keys = ["id__", "digest__"]
+    groups = written(duplicate_classes(docs, id_col, text, k, threshold, bands, rows).select(F.col("doc_id").alias("id__"), F.col("digest").alias("digest__"), "class"), "minhash-groups")
+    texts = written(groups.where("class is not null").groupBy("class", *keys).agg(F.count(F.lit(1)).alias("c"))
+                    .withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(SALTS))), "minhash-texts")
+    # the first of a class by (class, part), then by class, and handed back to its parts: a large class is dealt to many tasks
+    first = F.min(F.struct(F.col("id__").isNull().alias("no_id"), *keys)).alias("first")
+    parts = texts.groupBy("class", "part").agg(first, F.sum("c").alias("rows"))
+    whole = parts.groupBy("class").agg(F.min("first").alias("first"), F.sum("rows").alias("rows"), F.collect_list("part").alias("parts")).where("rows > 1")
+    ranked = texts.join(whole.select("class", "first", F.explode("parts").alias("part")), ["class", "part"])
+    stays = F.col("id__").eqNullSafe(F.col("first.id__")) & (F.col("digest__") == F.col("first.digest__"))
+    # all but single rows that stay: of equal rows that stay one is put back
+    gone = written(ranked.select(*keys, stays.alias("stays"), "c").where("not stays or c > 1").select(*keys, "stays"), "minhash-gone")
+    drop_written(texts)
+    told = KeyTest(gone, groups, keys)
+    drop_written(groups)
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id__"), text_digest(F.col(f"`{text}`")).alias("digest__"))
+    marked = told.mark(base, "gone__")
+    out = marked.where("gone__ = 0").select("row.*")
+    same = F.col("id__").eqNullSafe(F.col("gone_id")) & F.col("digest__").eqNullSafe(F.col("gone_digest"))
+    named = gone.select(F.col("id__").alias("gone_id"), F.col("digest__").alias("gone_digest"), "stays")
+    if told.open:
+        out = out.unionByName(marked.where("gone__ = -1").join(named, same, "left_anti").select("row.*"))
+    again = KeyFilter(gone.where("stays"), keys)
+    if again.count:
+        out = out.unionByName(again.mark(base, "back__").where("back__").join(named.where("stays"), same).groupBy("gone_id", "gone_digest").agg(F.min("row").alias("row")).select("row.*"))
+    return out

@@ -82,7 +82,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector: str = "embeddi
                                                       pa.array(ids[at[r[s]]], pa.int64()), pa.array(mult[at[r[s]]], pa.int64()),
                                                       pa.array([v.tobytes() for v in x[r[s]]], pa.binary())], ["d", "cell", "lives", "node", "m", "v"])
 
-    placed = written(nodes.select("node", "m", "v").mapInArrow(place, "d int, cell int, lives boolean, node bigint, m bigint, v binary"), "cells-placed")
+    placed = made = written(nodes.select("node", "m", "v").mapInArrow(place, "d int, cell int, lives boolean, node bigint, m bigint, v binary"), "cells-placed")
     per = F.greatest(F.lit(16), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("d"))))
     parts = placed.groupBy("d", "cell", "lives").count().select(F.col("d").alias("d_"), F.col("cell").alias("cell_"), F.col("lives").alias("lives_"),
                                                              F.ceil(F.col("count") / per).alias("parts"))
@@ -120,13 +120,16 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector: str = "embeddi
     y = blocks.where("lives").select("d", "cell", F.col("nodes").alias("ys"), "mult", F.col("vecs").alias("y"))
     x = blocks.where("not lives").select("d", "cell", F.col("nodes").alias("xs"), F.col("vecs").alias("x"))
     found = written(x.join(y, ["d", "cell"]).mapInArrow(compare, "u bigint, v bigint, n bigint"), "cells-links")
-    drop_written(blocks)
+    drop_written(blocks, made)
     counts = found.groupBy("u").agg(F.sum("n").alias("others")).withColumnRenamed("u", "node")
     comps = connected_components(found.where("u <> v").select("u", "v"))
     classes = written(nodes.select("key", "node", "m").join(counts, "node", "left").join(comps, "node", "left").select(
         "key", (F.coalesce("others", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "cells-classes")
+    drop_written(nodes, found, comps)
     v = F.col(f"`{vector}`").cast("array<double>")
     key = F.when(usable(F.col("v")) & F.col("vec_id").isNotNull(), digest)
     every = rows.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v")).select("vec_id", key.alias("key"))
-    return every.join(classes, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                                                    F.coalesce("component_id", "vec_id").alias("component_id"))
+    linked = every.where("key is not null").join(classes, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+                                                                                F.coalesce("component_id", "vec_id").alias("component_id"))
+    # vectors that take no part stay out of the join, where they would meet in one task
+    return linked.unionByName(every.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))

@@ -7,30 +7,34 @@ stay the same in sum. Leaves of some dozens of documents each leave one fraction
 until one per source is left, which is rounded to the nearer side. A source so misses its target by half a document.
 
 Cases: null text has 0 words and is taken 0 words; a null source is a source of its own, last in order; a null id is an id.
-Rows equal in id, source and size are one unit: all get the same copies. No rows give no rows. Coins hash ids, so reruns
-agree whatever the partitioning. Extra columns are left alone.
+Rows equal in id, source and size are numbered, and each has a coin of its own, so that sources of very many equal rows come as near their targets
+as others. No rows give no rows. Coins hash ids and numbers, so reruns agree whatever the partitioning. Extra columns are left alone.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from featherloom.llm.common import base_columns, word_count, written
+from featherloom.llm.bits import KeyFilter, KeyTest, same_key
+from featherloom.llm.common import base_columns, drop_written, text_digest, word_count, written
 from featherloom.llm.pii import let
+from featherloom.operators.ranking import ordered_prefix
 
 WEIGHTS = (3.0, 1.0, 2.0)
 LEAF, FAN, LEVELS = 48, 192, 4     # 48 * 192 ** 4 documents a source before a leaf grows
 EPS = 1e-9
+REPEATS = 1 << 16      # numbers that one row of repeats is spread into at once
+KEYS = ["id__", "source__", "size__"]
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(source, n, source_size, target) from rows (source, size).
+    """(source, n, source_size, target) from rows (source, size[, m]): ``size`` words, in ``m`` documents where that is given.
 
     Sources in code point order, null last, take the weights in turn and share ``share`` of all words. A target stops at
     ``most`` times its source; with sources in order of the level at which they fill up, whether one is full depends only on
     those before it, so the resharing until none is above is one running sum over the source table.
     """
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), (F.sum("m") if "m" in sized.columns else F.count(F.lit(1))).alias("n"))
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     rows = per.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn % len(weights) + 1).cast("int")))
     rows = rows.withColumn("cap", most * F.col("source_size"))
@@ -109,49 +113,85 @@ def _level(items: DataFrame, level: int, seed: str) -> DataFrame:
         "source", "node", F.col("s.carry").alias("carry"), F.col("s.out").alias("out"))
 
 
-def mix_units(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix",
-              weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """One row for each (doc_id, source, size): how often it stands in the input (``m``) and the copies each gets.
-
-    Columns: doc_id, source, size, m, source_size, target, copies.
-    """
+def _plan(docs: DataFrame, id_col: str, text: str, source: str, seed: str, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """One row for each (doc_id, source, size), a written table: ``m`` rows in the input, of which ``ups`` get ``low`` + 1 copies and the others ``low``."""
     rows = base_columns(docs, id_col, source, text).toDF("doc_id", "source", "text")
     units = (rows.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"))
              .groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m")))
     units = written(units, "mix-units")
-    targets = written(source_targets(units.select("source", (F.col("size") * F.col("m")).alias("size")), weights, share, most), "mix-targets")
+    targets = written(source_targets(units.select("source", (F.col("size") * F.col("m")).alias("size"), "m"), weights, share, most), "mix-targets")
     t = targets.withColumnRenamed("source", "t_source")
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    drawn = (units.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
-             .withColumn("share", copies).withColumn("o", F.xxhash64("doc_id", "size", F.lit(seed))))
+    # the numbers of repeats in two steps, so that no row holds a long list
+    numbered = (units.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / REPEATS))))
+                .withColumn("no", F.explode(F.sequence(F.col("run") * REPEATS + 1, F.least(F.col("m"), (F.col("run") + 1) * REPEATS)))))
+    drawn = (numbered.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+             .withColumn("share", copies).withColumn("o", F.xxhash64("doc_id", "size", "no", F.lit(seed))))
     leaves = F.greatest(F.ceil(F.col("n") / LEAF), F.lit(1))
     items = drawn.select("source", F.pmod(F.xxhash64("o", F.lit("leaf")), leaves).alias("node"),
-                         F.struct("o", F.col("doc_id").alias("id"), "size", "m",
+                         F.struct("o", F.col("doc_id").alias("id"), "size", F.lit(1).cast("long").alias("m"),
                                   (F.col("share") - F.floor(F.col("share") + EPS)).alias("p")).alias("item"))
     level = written(_level(items, 0, seed), "mix-leaves")
+    levels = [level]
     decided = [level.select("source", F.explode("out").alias("d"))]
     for k in range(1, LEVELS + 1):
         items = level.where("carry is not null").select("source", F.floor(F.col("node") / FAN).alias("node"), F.col("carry").alias("item"))
         level = written(_level(items, k, seed), f"mix-level{k}")
+        levels.append(level)
         decided.append(level.select("source", F.explode("out").alias("d")))
     last = level.where("carry is not null").select("source", F.struct("carry.id", "carry.size", "carry.m",
                                                                     (F.col("carry.p") >= 0.5).cast("int").alias("up")).alias("d"))
     ups = decided[0]
     for d in [*decided[1:], last]:
         ups = ups.unionByName(d)
-    return (ups.select("source", F.col("d.id").alias("doc_id"), F.col("d.size").alias("size"), F.col("d.m").alias("m"), F.col("d.up").alias("up"))
-            .join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
-            .select("doc_id", "source", "size", "m", "source_size", "target",
-                    (F.floor(copies + EPS) + F.when(F.col("size") > 0, F.col("up")).otherwise(0)).cast("long").alias("copies")))
-
-
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix") -> DataFrame:
-    """The mixture itself: each row of ``docs`` as often as its copies say (0 to 2), all columns kept."""
-    plan = written(mix_units(docs, id_col, text, source, seed).select(
-        F.col("doc_id").alias("mix_id__"), F.col("source").alias("mix_source__"), F.col("size").alias("mix_size__"), F.col("copies").alias("mix_copies__")), "mix-plan")
-    sized = docs.withColumn("mix_n__", word_count(F.col(f"`{text}`")))
-    same = (F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("mix_id__")) & F.col(f"`{source}`").eqNullSafe(F.col("mix_source__"))
-            & (F.col("mix_n__") == F.col("mix_size__")))
-    return (sized.join(plan.where("mix_copies__ > 0"), same)
-            .withColumn("mix_copies__", F.explode(F.sequence(F.lit(1), F.col("mix_copies__"))))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    plan = written(ups.groupBy("source", F.col("d.id").alias("doc_id"), F.col("d.size").alias("size"))
+                   .agg(F.count(F.lit(1)).alias("m"), F.sum(F.when(F.col("d.size") > 0, F.col("d.up")).otherwise(0)).alias("ups"))
+                   .join(t, F.col("source").eqNullSafe(F.col("t_source")))
+                   .select("doc_id", "source", "size", "m", "source_size", "target", F.floor(copies + EPS).cast("long").alias("low"), "ups"), "mix-plan")
+    drop_written(units, targets, *levels)
+    return plan
+
+
+def mix_units(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix",
+              weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """Rows (doc_id, source, size, m, source_size, target, copies): ``m`` rows of the input that get ``copies`` copies each.
+
+    A (doc_id, source, size) that repeats may have two such rows, one for each number of copies.
+    """
+    both = F.array(F.struct((F.col("m") - F.col("ups")).alias("m"), F.col("low").alias("copies")), F.struct(F.col("ups").alias("m"), (F.col("low") + 1).alias("copies")))
+    plan = _plan(docs, id_col, text, source, seed, weights, share, most).withColumn("part", F.explode(both)).where("part.m > 0")
+    return plan.select("doc_id", "source", "size", "part.m", "source_size", "target", "part.copies")
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix",
+                weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The mixture itself: each row of ``docs`` as often as its copies say, all columns kept.
+
+    Texts are not shuffled: for each number of copies a filter of the keys that get as many tells a scan what to copy. Only rows
+    that the filters leave open, and repeats of which some are copied once more than others, are joined with the plan.
+    """
+    plan = _plan(docs, id_col, text, source, seed, weights, share, most)
+    plan = plan.select(F.col("doc_id").alias("id__"), F.col("source").alias("source__"), F.col("size").alias("size__"), "m", "low", "ups")
+    mixed = F.col("ups").between(1, F.col("m") - 1)
+    top = plan.agg(F.max(F.col("low") + (F.col("ups") > 0).cast("int"))).first()[0] or 0
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id__"),
+                       F.col(f"`{source}`").alias("source__"), word_count(F.col(f"`{text}`")).alias("size__"))
+    uneven = KeyFilter(plan.where(mixed), KEYS)
+    marked, tests = uneven.mark(base, "open__").withColumn("copies__", F.lit(0)), []
+    for level in range(1, top + 1):
+        tests.append(KeyTest(plan.where(~mixed).where(F.col("low") + (F.col("ups") > 0).cast("int") >= level), plan, KEYS))
+        marked = tests[-1].mark(marked, "in__").withColumn("open__", F.col("open__") | (F.col("in__") < 0)).withColumn("copies__", F.col("copies__") + F.col("in__")).drop("in__")
+    repeat = lambda df, n: df.withColumn("no__", F.explode(F.sequence(F.lit(1), n.cast("int")))).select("row.*")
+    out = repeat(marked.where("not open__ and copies__ > 0"), F.col("copies__"))
+    if not uneven.count and not any(t.open for t in tests):
+        return out
+    named = plan.select(*[F.col(k).alias(f"{k}_plan") for k in KEYS], mixed.alias("mixed"), "low", "ups")
+    found = marked.where("open__").join(named, same_key(KEYS, "_plan"))
+    plain = found.where("not mixed").withColumn("copies", F.col("low") + (F.col("ups") > 0).cast("int")).where("copies > 0")
+    out = out.unionByName(repeat(plain, F.col("copies")))
+    if uneven.count:
+        repeats = found.where("mixed").select("row", *KEYS, "low", "ups", text_digest(F.col("row").getField(text)).alias("digest__"), F.xxhash64("row").alias("hash__"))
+        ranked = ordered_prefix(repeats, KEYS, [F.col("digest__"), F.col("hash__")], row_number="rank__")
+        ranked = ranked.withColumn("copies", F.col("low") + (F.col("rank__") <= F.col("ups")).cast("int")).where("copies > 0")
+        out = out.unionByName(repeat(ranked, F.col("copies")))
+    return out

@@ -166,6 +166,35 @@ def test_mixture_is_near_its_targets_and_repeats(spark):
     assert mixing.mix_sources(docs).count() == sum(r["copies"] for r in got)
 
 
+def test_mixture_of_many_equal_rows(spark):
+    rows = [(None, "w " * 10, "s")] * 1000 + [(None, "w " * 3, "t")] * 1000 + [(i, "w " * 5, "u") for i in range(400)]
+    docs = docs_of(spark, rows)
+    got = mixing.mix_units(docs).collect()
+    assert sum(r["m"] for r in got) == len(rows)
+    for s in "stu":
+        mine = [r for r in got if r["source"] == s]
+        taken = sum(r["m"] * r["copies"] * r["size"] for r in mine)
+        assert abs(taken - mine[0]["target"]) <= mine[0]["size"] and {r["copies"] for r in mine} <= {0, 1, 2}
+    want = collections.Counter()
+    for r in got:
+        want[r["doc_id"], r["source"]] += r["m"] * r["copies"]
+    have = collections.Counter((r["doc_id"], r["source"]) for r in mixing.mix_sources(docs).collect())
+    assert have == +want
+
+
+def test_mixture_with_filters_that_tell_little(spark, monkeypatch):
+    from featherloom.llm import bits
+
+    monkeypatch.setattr(bits, "bitmap_size", lambda rows, most: 64)
+    rng = random.Random(5)
+    docs = docs_of(spark, [(i // 2, "w " * rng.randrange(0, 9), "xyz"[i % 3] if i % 7 else None) for i in range(600)])
+    want = collections.Counter()
+    for r in mixing.mix_units(docs).collect():
+        want[r["doc_id"], r["source"], r["size"]] += r["m"] * r["copies"]
+    have = collections.Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in mixing.mix_sources(docs).collect())
+    assert have == +want
+
+
 def test_mixture_edges(spark):
     docs = docs_of(spark)
     got = mixing.mix_units(docs).collect()
@@ -203,6 +232,16 @@ def test_toxicity_on_held_out_documents(spark):
     assert sum(n >= 0.7 for n in neg) <= 0.05 * len(neg)
 
 
+def test_toxicity_learns_one_row_of_an_id(spark):
+    rows = [(i, "awful dreadful words" if i % 4 == 0 else "kind quiet words", "s") for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id bigint, toxic int")
+    once = toxicity.score_toxicity(docs_of(spark, rows), labels).select("doc_id", "score").distinct().collect()
+    again = toxicity.score_toxicity(docs_of(spark, rows + [rows[7]] * 500 + [rows[8]] * 500), labels)
+    assert again.count() == 1200
+    # the prior and the drawn ids do not follow the repeats
+    assert {r["doc_id"]: round(r["score"], 9) for r in once} == {r["doc_id"]: round(r["score"], 9) for r in again.select("doc_id", "score").distinct().collect()}
+
+
 def test_toxicity_edges(spark):
     docs = docs_of(spark)
     labels = spark.createDataFrame([(5, 1), (5, 0), (2, 0), (None, 1), (7, None)], "doc_id bigint, toxic int")
@@ -526,6 +565,26 @@ def test_checksums_context_and_masks(spark):
 
 # -- the pipeline and the registry
 
+@pytest.mark.parametrize("slots", [None, 64])
+def test_keep_one_leaves_one_row_of_each_class(spark, monkeypatch, slots):
+    from featherloom.llm import bits
+
+    if slots:
+        monkeypatch.setattr(bits, "bitmap_size", lambda rows, most: slots)
+    texts = [t for t in near_copies() if t]
+    rows = [(i // 2 if i % 5 == 0 else i, t, "s") for i, t in enumerate(texts)] + [(3, texts[3], "s")] * 3 + [(None, texts[4], "t"), (None, None, "t"), (9, "", "s"), (9, "", "s")]
+    docs = docs_of(spark, rows)
+    by = {}
+    for r in minhash.duplicate_classes(docs).collect():
+        by.setdefault(r["class"], []).append((r["doc_id"], bytes(r["digest"]) if r["digest"] is not None else None))
+    digest = lambda t: None if t is None else hashlib.md5(t.encode()).digest()
+    want = collections.Counter(min(v, key=lambda x: (x[0] is None, x[0] or 0, x[1])) for c, v in by.items() if c is not None) + collections.Counter(by.get(None, []))
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert collections.Counter((r["doc_id"], digest(r["text"])) for r in kept.collect()) == want
+    assert minhash.keep_one(docs.where("false")).count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
 

@@ -11,8 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from featherloom.llm.bpe import Tokenizer
-from featherloom.llm.common import text_digest, written
-from featherloom.llm.minhash import duplicate_classes
+from featherloom.llm.common import written
+from featherloom.llm.minhash import keep_one
 from featherloom.llm.mixing import mix_sources
 from featherloom.llm.pii import mask_pii
 from featherloom.llm.toxicity import score_toxicity
@@ -31,17 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows are told apart by id and text, so that each group keeps exactly one row where ids repeat or are null.
     """
-    groups = duplicate_classes(docs, k=5, threshold=(80, 100), bands=32, rows=5).where("class is not null")
-    texts = written(groups.groupBy("class", "doc_id", "digest").agg(F.count(F.lit(1)).alias("c")), "pipeline-texts")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("first")
-    ranked = texts.join(texts.groupBy("class").agg(first, F.sum("c").alias("rows")).where("rows > 1").drop("rows"), "class")
-    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
-    # all but single rows that stay: of equal rows that stay one is put back
-    gone = written(ranked.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"), stays.alias("stays"), "c").where("not stays or c > 1"), "pipeline-gone")
-    rows = docs.select(*COLUMNS).withColumn("digest", text_digest(F.col("text")))
-    same_row = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest"))
-    back = (rows.join(gone.where("stays"), same_row).groupBy("gone_id", "gone_digest").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*"))
-    return rows.join(gone, same_row, "left_anti").select(*COLUMNS).unionByName(back.select(*COLUMNS))
+    return keep_one(docs.select(*COLUMNS), k=5, threshold=(80, 100), bands=32, rows=5)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,16 +13,18 @@ as others. No rows give no rows. Coins hash ids and numbers, so reruns agree wha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from featherloom.llm.bits import KeyFilter, KeyTest, same_key
 from featherloom.llm.common import base_columns, drop_written, text_digest, word_count, written
 from featherloom.llm.pii import let
 from featherloom.operators.ranking import ordered_prefix
+from featherloom.session import input_bytes
 
 WEIGHTS = (3.0, 1.0, 2.0)
 LEAF, FAN, LEVELS = 48, 192, 4     # 48 * 192 ** 4 documents a source before a leaf grows
 EPS = 1e-9
+SOURCE_BYTES = 4 << 20     # of the source table that one task puts in order
 REPEATS = 1 << 16      # numbers that one row of repeats is spread into at once
 KEYS = ["id__", "source__", "size__"]
 
@@ -32,22 +34,24 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
     Sources in code point order, null last, take the weights in turn and share ``share`` of all words. A target stops at
     ``most`` times its source; with sources in order of the level at which they fill up, whether one is full depends only on
-    those before it, so the resharing until none is above is one running sum over the source table.
+    those before it, so the resharing until none is above is one running sum over the source table. Both orders of the sources
+    are dealt in ranges, so that a source column of hosts meets no single task. The result is a written table.
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), (F.sum("m") if "m" in sized.columns else F.count(F.lit(1))).alias("n"))
-    turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    rows = per.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn % len(weights) + 1).cast("int")))
-    rows = rows.withColumn("cap", most * F.col("source_size"))
-    all_rows = Window.partitionBy()
-    fill = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    left = share * F.sum("source_size").over(all_rows) - F.coalesce(F.sum("cap").over(fill), F.lit(0.0))
-    level = left / (F.sum("w").over(all_rows) - F.coalesce(F.sum("w").over(fill), F.lit(0.0)))
-    rows = rows.withColumn("full", F.col("cap") / F.col("w") < level).withColumn("all_size", F.sum("source_size").over(all_rows))
-    full_cap = F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).over(all_rows)
-    open_w = F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("w"))).over(all_rows)
-    rate = (share * F.col("all_size") - full_cap) / open_w
-    target = F.when(F.col("full"), F.col("cap")).otherwise(F.least(F.col("w") * rate, F.col("cap")))
-    return rows.select("source", "n", "source_size", target.cast("double").alias("target"))
+    per, turns = written(per, "mix-sources"), F.array(*[F.lit(float(w)) for w in weights])
+    slices = 1 + input_bytes(per) // SOURCE_BYTES
+    rows = ordered_prefix(per, [], [F.col("source").asc_nulls_last()], row_number="turn", slices=slices)
+    rows = rows.withColumn("w", F.element_at(turns, ((F.col("turn") - 1) % len(weights) + 1).cast("int"))).withColumn("cap", most * F.col("source_size"))
+    rows = ordered_prefix(rows, [], [F.col("cap") / F.col("w"), F.col("source").asc_nulls_last()], row_number=None, sums={"caps": "cap", "ws": "w"}, slices=slices)
+    level = (share / most * F.col("caps_total") - F.col("caps") + F.col("cap")) / (F.col("ws_total") - F.col("ws") + F.col("w"))
+    rows = written(rows.withColumn("full", F.col("cap") / F.col("w") < level).select("source", "n", "source_size", "w", "cap", "full"), "mix-levels")
+    words, full_cap, open_w = rows.agg(F.sum("source_size"), F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)),
+                                       F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("w")))).first()
+    rate = (share * (words or 0) - (full_cap or 0.0)) / open_w if open_w else 0.0
+    target = F.when(F.col("full"), F.col("cap")).otherwise(F.least(F.col("w") * F.lit(rate), F.col("cap")))
+    out = written(rows.select("source", "n", "source_size", target.cast("double").alias("target")), "mix-targets")
+    drop_written(per, rows)
+    return out
 
 
 def _coin(*of: Column) -> Column:
@@ -119,7 +123,7 @@ def _plan(docs: DataFrame, id_col: str, text: str, source: str, seed: str, weigh
     units = (rows.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"))
              .groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m")))
     units = written(units, "mix-units")
-    targets = written(source_targets(units.select("source", (F.col("size") * F.col("m")).alias("size"), "m"), weights, share, most), "mix-targets")
+    targets = source_targets(units.select("source", (F.col("size") * F.col("m")).alias("size"), "m"), weights, share, most)
     t = targets.withColumnRenamed("source", "t_source")
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # the numbers of repeats in two steps, so that no row holds a long list

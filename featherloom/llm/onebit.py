@@ -5,7 +5,7 @@ the vector with its own sign vector is kept as correction. The inner product of
 estimates the cosine, and its error has a known scale, sqrt((1 - f * f) / f * f / (dim - 1)). A block's vectors whose estimate
 plus ``bound`` of these errors does not reach the k-th best cosine known so far are left; the others are compared exactly, in the
 same task. The index is a table of blocks (ids, codes, corrections, vectors); queries come in blocks too, and every block of
-queries meets every block of the index.
+queries meets every block of the index: both sides are cut into shares of a fixed size, and a share of each meet under one key of a join.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without id; vectors of another
 length than the query's are no candidates. Rows of one id count once, with the largest cosine of any of them, on either side. With fewer than k candidates, all are returned. No
@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from featherloom.llm.common import written
 from featherloom.llm.vectors import block_rows, by_dim, unit, usable_rows
+from featherloom.session import input_bytes
+
+TILE_BYTES = 64 << 20     # of either side in one tile
 
 
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
@@ -69,6 +72,12 @@ def blocks(rows: DataFrame, codes: bool) -> DataFrame:
     return rows.mapInArrow(pack, "d int, ids binary, raw binary, codes binary, f binary")
 
 
+def _shares(index: DataFrame, asked: DataFrame) -> tuple[int, int]:
+    """Shares of the index and of the queries, about ``TILE_BYTES`` each; at least a tile for each core, whatever the size."""
+    least = index.sparkSession.sparkContext.defaultParallelism
+    return max(least, -(-input_bytes(index) // TILE_BYTES)), max(1, -(-input_bytes(asked) // TILE_BYTES))
+
+
 def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = 5, bound: float = 4.0) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest cosine for each query, itself left out, ties to the smaller id."""
     ready = lambda df: usable_rows(df, id_col, vector).where("vec_id is not null")
@@ -110,7 +119,14 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector:
             part = rows_[lo : lo + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
-    pairs = index.crossJoin(asked.select(F.col("d").alias("qd"), F.col("ids").alias("qid"), F.col("raw").alias("q")))
+    # a tile is a share of the index and a share of the queries: both sides are dealt by tile, so that neither has to fit into a task
+    share = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    wide, deep = _shares(index, asked)
+    left = index.withColumn("ti", share(wide)).withColumn("tq", each(deep)).withColumn("tile", F.col("ti") * deep + F.col("tq"))
+    right = asked.withColumn("tq", share(deep)).withColumn("ti", each(wide)).select(
+        (F.col("ti") * deep + F.col("tq")).alias("tile"), F.col("d").alias("qd"), F.col("ids").alias("qid"), F.col("raw").alias("q"))
+    pairs = left.drop("ti", "tq").join(right, "tile").drop("tile")
     found = written(pairs.mapInArrow(search, "query_id bigint, vec_id bigint, score double"), "onebit-found")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

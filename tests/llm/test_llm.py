@@ -132,8 +132,10 @@ def test_shared_counts():
 
 # -- mixing
 
-def test_targets_follow_the_resharing_rule(spark):
-    sizes = {"a": 10, "b": 1000, "c": 40, "d": 7, None: 300, "e": 0}
+@pytest.mark.parametrize("sizes, at_once", [({"a": 10, "b": 1000, "c": 40, "d": 7, None: 300, "e": 0}, 1 << 22),
+                                            ({None: 90} | {f"host{i}": i * i * i % 997 * (1 + 40 * (i % 9 == 0)) for i in range(400)}, 500)])
+def test_targets_follow_the_resharing_rule(spark, monkeypatch, sizes, at_once):
+    monkeypatch.setattr(mixing, "SOURCE_BYTES", at_once)
     rows = [(s, n) for s, n in sizes.items()]
     got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(rows, "source string, size bigint")).collect()}
     order_ = sorted([s for s in sizes if s is not None]) + [None]
@@ -400,7 +402,9 @@ def test_nearest_recall_and_scores(spark):
 
 # -- BPE
 
-def test_nearest_of_repeated_ids(spark):
+@pytest.mark.parametrize("tile", [1 << 26, 1 << 10])
+def test_nearest_of_repeated_ids(spark, monkeypatch, tile):
+    monkeypatch.setattr(onebit, "TILE_BYTES", tile)
     rng = np.random.default_rng(4)
     rows = [(int(i), rng.standard_normal(8).tolist()) for i in rng.integers(0, 60, 300)] + [(3, None)]
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")

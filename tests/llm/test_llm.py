@@ -627,5 +627,5 @@ def test_pipeline_edges(spark):
 
 
 def test_one_query_for_each_operator():
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 14))
     assert base64 and set(queries.CHECKS) <= set(queries.QUERIES)

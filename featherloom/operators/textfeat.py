@@ -7,7 +7,7 @@ distinct terms of a slice meet the vocabulary.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 from dataclasses import dataclass
 
@@ -22,7 +22,7 @@ from featherloom.operators.columns import with_row
 from featherloom.operators.encode import frequency_codes
 from featherloom.operators.filters import keep_words
 from featherloom.operators.relations import one_per_key
-from featherloom.session import stored
+from featherloom.session import input_bytes, stored
 
 # fixed values: Unicode scripts counted by the census
 SCRIPTS = (
@@ -63,15 +63,40 @@ def bag_of_words(df: DataFrame, key: str, words: Column, vocabulary: DataFrame)
     return counts.join(listed, "word").select(key, "idx", "n")
 
 
+SLICE_BYTES = 4 << 20     # stored bytes of a partition whose texts become arrays of tokens
+
+
+def _looked_up(df: DataFrame, key: str, words: Column, table: DataFrame) -> DataFrame:
+    """(key, _lists, _found): the word lists of all rows of a key, and the map from their words to the values of ``table`` (word, value),
+    which lists a word once. Only a key's distinct words meet the table; a text moves once, whole."""
+    parts = _slice_parts(df)
+    lists = df.repartition(parts, key).select(key, words.alias("_ws")).groupBy(key).agg(F.collect_list(F.struct("_ws")).alias("_lists"))
+    distinct = lists.select(key, F.explode(F.array_distinct(F.flatten(F.filter("_lists._ws", lambda x: x.isNotNull())))).alias("word"))
+    found = distinct.join(table.select("word", "value"), "word").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "value"))).alias("_found"))
+    return lists.join(found.hint("shuffle_hash"), key, "left")
+
+
+def _slice_parts(df: DataFrame) -> int:
+    """Partitions of a bounded share of the input, a few megabytes as it is stored; where its size is not known, as many as shuffles have."""
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df)
+    return max(least, math.ceil(size / SLICE_BYTES)) if size < 1 << 48 else least
+
+
+def _in_order(lists: Column, place: Callable[[Column], Column]) -> Column:
+    """One list of all lists of a key: by position, then by value, as rows of the same key are merged."""
+    placed = F.flatten(F.transform(F.filter(lists, lambda x: x["_ws"].isNotNull()), lambda x: F.transform(x["_ws"], lambda w, i: F.named_struct(F.lit("pos"), i, F.lit("v"), place(w)))))
+    merged = F.transform(F.array_sort(placed), lambda x: x["v"])
+    return F.when(F.size(lists) == 1, F.transform(F.coalesce(F.get(lists, F.lit(0))["_ws"], F.array().cast("array<string>")), place)).otherwise(merged)
+
+
 def map_tokens_by_join(df: DataFrame, key: str, text: str, table: DataFrame, word: str, canonical: str) -> DataFrame:
     """Replace tokens through a table of any size, keeping their order; a null text stays null. Of a word listed twice the
     smaller replacement counts."""
-    placed = df.select(key, F.posexplode(tokens(text)).alias("pos", "_w"))
-    names = one_per_key(table.select(F.col(word).alias("_w"), F.col(canonical).alias("_c")), ["_w"], "_c")
-    mapped = placed.join(names, "_w", "left").select(key, "pos", F.coalesce("_c", "_w").alias("w"))
-    joined = mapped.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("xs")).select(
-        key, F.array_join(F.transform("xs", lambda x: x["w"]), " ").alias("mapped"))
-    return df.select(key, text).join(joined, key, "left").select(key, F.when(F.col(text).isNotNull(), F.coalesce("mapped", F.lit(""))).alias(text))
+    names = one_per_key(table.select(F.col(word).alias("word"), F.col(canonical).alias("value")), ["word"], "value").where("value is not null")
+    looked = _looked_up(df.select(key, text), key, tokens(text), names)
+    mapped = F.array_join(_in_order(F.col("_lists"), lambda w: F.coalesce(F.col("_found")[w], w)), " ")
+    whole = looked.select(key, F.explode("_lists._ws").alias("_ws"), F.when(F.col(key).isNull(), F.lit("")).otherwise(mapped).alias("_mapped"))
+    return whole.select(key, F.when(F.col("_ws").isNotNull(), F.col("_mapped")).alias(text))
 
 
 # fixed value: characters that separate tokens; ! and ? stay part of the text
@@ -97,12 +122,12 @@ def fit_token_index(df: DataFrame, words: Column, cap: int | None = None) -> Dat
 
 def id_sequences(df: DataFrame, key: str, words: Column, index: DataFrame, length: int, side: str = "pre") -> DataFrame:
     """Token ids in order, unknown words dropped, padded and cut to ``length``."""
-    placed = df.select(key, F.posexplode(words).alias("pos", "word"))
-    known = placed.join(index.select("word", "code"), "word")
-    listed = known.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "code"))).alias("xs"))
-    ids = F.coalesce(F.transform("xs", lambda x: x["code"]), F.array().cast("array<bigint>"))
-    return df.select(key).join(listed, key, "left").select(
-        key, fit_length(ids, length, F.lit(0).cast("long"), side).alias("ids"))
+    looked = _looked_up(df, key, words, index.select("word", F.col("code").alias("value")))
+    codes = F.filter(_in_order(F.col("_lists"), lambda w: F.col("_found")[w]), lambda x: x.isNotNull())
+    none = F.array().cast("array<bigint>")
+    ids = F.when(F.col(key).isNull(), none).otherwise(F.coalesce(codes, none))
+    each = looked.select(key, ids.alias("_ids"), F.explode("_lists").alias("_l"))
+    return each.select(key, fit_length(F.col("_ids"), length, F.lit(0).cast("long"), side).alias("ids"))
 
 
 # -- n-grams and TF-IDF ------------------------------------------------------------------------

@@ -14,7 +14,7 @@ from featherloom.functions import arrays, textrules as tr
 from featherloom.functions.hashing import key_hash
 from featherloom.operators import boost, cbow, folds, learn, linear, relations, textfeat
 from featherloom.plans.flow import apply_column, fit_flow, run_flow
-from featherloom.session import scratch_path
+from featherloom.session import scratch_path, stored
 from featherloom.sources import scan, sinks
 from featherloom.streaming import chunks
 
@@ -189,10 +189,10 @@ FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumbe
 
 
 def _learning_rows(t):
-    """One row per order with summed line features, the label, and a fold."""
+    """One row per order with summed line features, the label, and a fold; written once, since every fit and its statistics read it."""
     lines = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(*[F.round(F.sum(F.col(c).cast("double")), 4).alias(c) for c in FEATURES])
     orders = t.orders.select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").cast("double").alias("y"))
-    return lines.join(orders, "id").withColumn("fold", folds.shuffled_fold("id", 3))
+    return stored(lines.join(orders, "id").withColumn("fold", folds.shuffled_fold("id", 3)), "features")
 
 
 FOLD = f"({h27("'0|' || {0}::VARCHAR")} % 3)::INTEGER"

@@ -95,6 +95,16 @@ def test_common_neighbours_with_a_hub(spark):
     assert sorted(map(tuple, match.common_neighbours(df, "a", "b").collect())) == want
 
 
+def test_common_neighbours_make_no_row_of_two_neighbours_of_a_hub(spark, monkeypatch):
+    names = []
+    kept = match.stored
+    monkeypatch.setattr(match, "stored", lambda df, name="stage": names.append((name, out := kept(df, name))) or out)
+    edges = [(i, 1000 + (i * 7 + j) % 9) for i in range(300) for j in range(5)]
+    assert match.common_neighbours(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").where("shared > 0").count() == 0
+    lists = dict(names)["lists"].collect()
+    assert {len(r["vs"]) for r in lists} == {5} and all(r["u"] < 1000 for r in lists)      # hubs have no list; a member gets what stands after it
+
+
 def test_contained_texts_with_a_full_filter(spark):
     texts = spark.createDataFrame([(f"needle number {i}",) for i in range(30)], "t string")
     corpus = spark.createDataFrame([(i, f"hay needle number {i * 3} hay") for i in range(10)], "id int, c string")

@@ -235,7 +235,11 @@ cells as (select doc_id as id, term, w from rows join kept using (term) where do
 
 
 def _text_rows(t):
-    return textfeat.fit_transform_tfidf(t.documents, "doc_id", "text", n=(1, 2), min_df=3, max_df=0.9, sublinear=True)[1]
+    return _text_model(t)[1]
+
+
+def _text_model(t):
+    return textfeat.fit_transform_tfidf(t.documents, "doc_id", "text", n=(1, 2), min_df=3, max_df=0.9, sublinear=True)
 
 
 def _labelled(t):
@@ -262,7 +266,8 @@ select 'valid' as part, doc_id, label_name, l.fold, round(p, 7) as p from labell
 union all select 'test', id, label_name, null, round(avg(p), 7) from scores join models using (m) where id not in (select doc_id from labels) group by all""")
 def _(t):
     test = t.documents.select("doc_id").join(t.labels, "doc_id", "left_anti")
-    valid, mean = linear.ratio_scaled_logistic(_text_rows(t), _labelled(t), test, "doc_id", ["quality", "toxic"], 3, steps=STEPS)
+    model, rows = _text_model(t)
+    valid, mean = linear.ratio_scaled_logistic(rows, _labelled(t), test, "doc_id", ["quality", "toxic"], 3, steps=STEPS, counts=model.vocabulary)
     named = lambda part, df: df.select(F.lit(part).alias("part"), "doc_id", "label_name", F.col("fold") if part == "valid" else F.lit(None).cast("int").alias("fold"), r("p", 7).alias("p"))
     return named("valid", valid).unionByName(named("test", mean))
 

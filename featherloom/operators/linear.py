@@ -29,18 +29,47 @@ class Task:
     penalty: float = 0.0
 
 
-def number_terms(rows: DataFrame, most_terms: int) -> DataFrame:
-    """(term, code) of the ``most_terms`` terms in most rows, ties by the smaller term; codes from 0 in that order."""
-    top = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.col("df").desc(), "term").limit(most_terms)
+def number_terms(rows: DataFrame, most_terms: int, counts: DataFrame | None = None) -> DataFrame:
+    """(term, code) of the ``most_terms`` terms in most rows, ties by the smaller term; codes from 0 in that order. ``counts`` (term, df) spares the count."""
+    counts = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")) if counts is None else counts.select("term", "df")
+    top = counts.orderBy(F.col("df").desc(), "term").limit(most_terms)
     return rows.sparkSession.createDataFrame([(r["term"], i) for i, r in enumerate(top.collect())], f"term {dict(rows.dtypes)['term']}, code int")     # most_terms rows
 
 
+def _runs(rows: DataFrame, key: str, value: str, kind: str, codes: DataFrame | None = None) -> DataFrame:
+    """(key, ``value``, ws): neighbouring rows (key, term, w) of a key as one row, so that a document moves as a few rows; null keys are left out.
+
+    With ``codes`` (term, code) the values are codes, and other terms are left out.
+    """
+    terms = None if codes is None else [r["term"] for r in codes.orderBy("code").collect()]        # most_terms values
+    held = None if codes is None else rows.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches):
+        listed = None
+        for batch in batches:
+            names, values, ws = (batch.column(c) for c in (key, "term", "w"))
+            if held is not None:
+                listed = pa.array(held.value, values.type) if listed is None else listed
+                values = pc.index_in(values, value_set=listed)
+                known = pc.is_valid(values)
+                names, values, ws = names.filter(known), values.filter(known), ws.filter(known)
+            number = names.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.append(True, np.diff(number) != 0)) if len(number) else np.zeros(0, np.int64)
+            ends = pa.array(np.append(starts, len(number)), pa.int32())
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(starts)), pa.ListArray.from_arrays(ends, values), pa.ListArray.from_arrays(ends, ws)], [key, value, "ws"])
+
+    return rows.where(F.col(key).isNotNull()).select(key, "term", F.col("w").cast("double").alias("w")).mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, {value} array<{kind}>, ws array<double>")
+
+
 def pack_rows(rows: DataFrame, codes: DataFrame, documents: DataFrame, key: str) -> DataFrame:
     """``documents`` with their (codes, ws) from rows (key, term, w); a document without any kept term has empty arrays."""
-    packed = rows.join(F.broadcast(codes), "term").groupBy(key).agg(F.collect_list(F.struct("code", "w")).alias("_xs"))       # most_terms rows
-    empty = F.array().cast("array<struct<code:int,w:double>>")
-    full = documents.join(packed, key, "left").withColumn("_xs", F.coalesce("_xs", empty))
-    return full.select(*documents.columns, F.col("_xs.code").alias("codes"), F.col("_xs.w").alias("ws"))
+    return _packed(_runs(rows, key, "codes", "int", codes), documents, key)
+
+
+def _packed(runs: DataFrame, documents: DataFrame, key: str) -> DataFrame:
+    whole = runs.groupBy(key).agg(F.collect_list(F.struct("codes", "ws")).alias("_xs"))       # the runs of a document
+    full = documents.join(whole, key, "left")
+    return full.select(*documents.columns, F.coalesce(F.flatten("_xs.codes"), F.array().cast("array<int>")).alias("codes"), F.coalesce(F.flatten("_xs.ws"), F.array().cast("array<double>")).alias("ws"))
 
 
 def _cells(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,9 +162,12 @@ def oof_logistic(rows: DataFrame, documents: DataFrame, key: str, labels: Sequen
     """
     tasks = [Task(name, k, c) for name in labels for c in penalties for k in range(folds)]
     base = documents.select(key, F.col(fold).cast("int").alias(fold), *labels)
-    codes = number_terms(rows.join(base.select(key), key, "left_semi"), most_terms)
+    kind = dict(rows.dtypes)["term"]
+    runs = stored(_runs(rows, key, "terms", kind).join(base.select(key), key, "left_semi"), "runs")      # rows are made once, and a document meets the labels whole
+    mine = runs.select(key, F.explode(F.arrays_zip(F.col("terms").alias("term"), F.col("ws").alias("w"))).alias("e")).select(key, F.col("e.term").alias("term"), F.col("e.w").alias("w"))
+    codes = number_terms(mine.select("term"), most_terms)
     terms = codes.count()
-    packed = stored(pack_rows(rows, codes, base, key), "packed")
+    packed = stored(pack_rows(mine, codes, base, key), "packed")
     ps = predict_logistic(packed, *fit_logistic(packed, tasks, terms, fold, steps, rate), [key, fold, *labels])
     own = [F.struct(F.lit(name).alias("label_name"), F.col(name).cast("int").alias("truth"), F.lit(float(c)).alias("penalty"),
                     F.get("ps", F.lit((i * len(penalties) + j) * folds) + F.col(fold)).alias("p")) for i, name in enumerate(labels) for j, c in enumerate(penalties)]
@@ -156,15 +188,26 @@ def drawn(points: Sequence[float], draws: int, seed: int) -> list[float]:
     return sorted(points, key=lambda x: hashlib.sha256(repr((seed, float(x))).encode()).digest())[:draws]
 
 
-def fold_ratios(rows: DataFrame, documents: DataFrame, key: str, tasks: Sequence[Task], fold: str, codes: DataFrame, terms: int) -> np.ndarray:
-    """Log-count ratios (terms x models), each from the rows that its model may see; one aggregate for all."""
+def fold_ratios(packed: DataFrame, tasks: Sequence[Task], fold: str, terms: int) -> np.ndarray:
+    """Log-count ratios (terms x models), each from the documents that its model may see; one scan of the packed rows for all."""
     sees = [F.col(t.label).isNotNull() & (F.col(fold) != t.fold) for t in tasks]
     yes = [s & (F.col(t.label) == 1) for s, t in zip(sees, tasks, strict=True)]
     no = [s & (F.col(t.label) != 1) for s, t in zip(sees, tasks, strict=True)]
-    flags = [*yes, *no]
-    sizes = np.array(documents.agg(*[F.count_if(f) for f in flags]).first(), float)
-    sums = rows.join(F.broadcast(codes), "term").join(documents, key).groupBy("code").agg(F.array(*[F.sum(F.when(f, F.col("w")).otherwise(0.0)) for f in flags]).alias("s"))   # most_terms rows
-    held = np.zeros((terms, len(flags)))
+    flags, n = [*yes, *no], 2 * len(tasks)
+    sizes = np.array(packed.agg(*[F.count_if(f) for f in flags]).first(), float)
+
+    def add(batches):
+        total = np.zeros((terms, n))
+        for batch in batches:
+            row, code, w = _cells(batch)
+            for i in range(n):
+                total[:, i] += np.bincount(code, weights=w * batch.column(f"_f{i}").to_numpy()[row], minlength=terms)
+        touched = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(touched, pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(total[touched].ravel()), n).cast(pa.list_(pa.float64()))], ["code", "s"])
+
+    flagged = packed.select("codes", "ws", *[F.when(f, 1.0).otherwise(0.0).alias(f"_f{i}") for i, f in enumerate(flags)])
+    sums = flagged.mapInArrow(add, "code int, s array<double>").groupBy("code").agg(F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(n)]).alias("s"))
+    held = np.zeros((terms, n))
     for r in sums.collect():        # a row for each term
         held[r["code"]] = r["s"]
     share = (1 + held) / (1 + sizes)
@@ -172,22 +215,24 @@ def fold_ratios(rows: DataFrame, documents: DataFrame, key: str, tasks: Sequence
 
 
 def ratio_scaled_logistic(rows: DataFrame, train: DataFrame, test: DataFrame, key: str, labels: Sequence[str], folds: int, fold: str = "fold", penalty: float = 0.001,
-                          most_terms: int = 20_000, steps: int = 20, rate: float = 0.5) -> tuple[DataFrame, DataFrame]:
+                          most_terms: int = 20_000, steps: int = 20, rate: float = 0.5, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Naive-Bayes scaled logistic regression from rows (key, term, w): (key, label_name, truth, fold, p) out of fold, and for ``test`` (key, label_name, p), the mean over folds.
 
     The vocabulary is that of all rows; the ratio of a label and fold comes from its training folds only, and scales the terms of its model.
+    ``counts`` (term, df), if it is known already, says in how many of the rows a term is, and spares a pass over them.
     """
     tasks = [Task(name, k, penalty) for name in labels for k in range(folds)]
     base = train.select(key, F.col(fold).cast("int").alias(fold), *labels)
-    codes = number_terms(rows, most_terms)
+    codes = number_terms(rows, most_terms, counts)
     terms = codes.count()
-    scale = fold_ratios(rows, base, key, tasks, fold, codes, terms)
-    packed = stored(pack_rows(rows, codes, base, key), "packed")
+    runs = stored(_runs(rows, key, "codes", "int", codes), "runs")       # rows are made once, for both sides
+    packed = stored(_packed(runs, base, key), "packed")
+    scale = fold_ratios(packed, tasks, fold, terms)
     fitted = fit_logistic(packed, tasks, terms, fold, steps, rate, scale)
     seen = predict_logistic(packed, *fitted, [key, fold, *labels], scale)
     own = [F.struct(F.lit(name).alias("label_name"), F.col(name).cast("int").alias("truth"), F.get("ps", F.lit(i * folds) + F.col(fold)).alias("p")) for i, name in enumerate(labels)]
     valid = seen.select(key, fold, F.explode(F.array(*own)).alias("e")).select(key, "e.label_name", "e.truth", fold, "e.p")
-    new = predict_logistic(pack_rows(rows, codes, test.select(key), key), *fitted, [key], scale)
+    new = predict_logistic(_packed(runs, test.select(key), key), *fitted, [key], scale)
     mean = lambda i: sum([F.get("ps", F.lit(i * folds + k)) for k in range(1, folds)], F.get("ps", F.lit(i * folds))) / folds
     each = [F.struct(F.lit(name).alias("label_name"), mean(i).alias("p")) for i, name in enumerate(labels)]
     return valid, new.select(key, F.explode(F.array(*each)).alias("e")).select(key, "e.label_name", "e.p")

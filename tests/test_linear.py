@@ -99,3 +99,23 @@ def test_nothing_to_learn_from(spark):
     for k in range(3):
         p = steps(np.zeros((90, 1)), a, np.arange(90) % 3 != k, 2, 2.0, 0.0)
         assert all(abs(got[i] - p[i]) < 1e-12 for i in range(k, 90, 3))
+
+
+def test_rows_are_made_once(spark):
+    x, a, b = data(6)
+    rows, docs = frames(spark, x, a, b)
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    counted = rows.repartition(3, "id").sortWithinPartitions("id").mapInArrow(count, rows.schema)
+    linear.oof_logistic(counted, docs, "id", ["a"], 3, steps=2).collect()
+    assert made.value == rows.count()
+    df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    plain, given = (linear.ratio_scaled_logistic(rows if c is None else counted, docs.where("id < 60"), docs.where("id >= 60"), "id", ["a"], 3, steps=3, most_terms=9, counts=c) for c in (None, df))
+    for x, y in zip(plain, given, strict=True):
+        assert {r["id"]: round(r["p"], 9) for r in x.collect()} == {r["id"]: round(r["p"], 9) for r in y.collect()}
+    assert made.value == 2 * rows.count()

@@ -234,12 +234,8 @@ cells as (select doc_id as id, term, w from rows join kept using (term) where do
 {_steps_sql([(m, name, fold, 0.001) for m, (name, fold) in enumerate(DOCUMENT_TASKS)], STEPS, 2.0)}"""
 
 
-def _text_rows(t):
-    return _text_model(t)[1]
-
-
-def _text_model(t):
-    return textfeat.fit_transform_tfidf(t.documents, "doc_id", "text", n=(1, 2), min_df=3, max_df=0.9, sublinear=True)
+def _text_model(t, only=None):
+    return textfeat.fit_transform_tfidf(t.documents, "doc_id", "text", n=(1, 2), min_df=3, max_df=0.9, sublinear=True, only=only)
 
 
 def _labelled(t):
@@ -248,7 +244,8 @@ def _labelled(t):
 
 @query("mlf_3_text_logistic", f"with {TEXT_STEPS} select doc_id, label_name, truth, l.fold, round(p, 7) as p from labelled l join models using (label_name, fold) join scores on scores.m = models.m and id = doc_id")
 def _(t):
-    scored = linear.oof_logistic(_text_rows(t), _labelled(t), "doc_id", ["quality", "toxic"], 3, penalties=[0.001], steps=STEPS)
+    rows = _text_model(t, only=t.labels)[1]
+    scored = linear.oof_logistic(rows, _labelled(t), "doc_id", ["quality", "toxic"], 3, penalties=[0.001], steps=STEPS)
     return scored.select("doc_id", "label_name", "truth", "fold", r("p", 7).alias("p"))
 
 

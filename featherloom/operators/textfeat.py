@@ -321,10 +321,11 @@ def fit_tfidf(df: DataFrame, key: str, text: str, *, analyzer: str = "word", n:
 
 
 def fit_transform_tfidf(df: DataFrame, key: str, text: str, *, analyzer: str = "word", n: tuple[int, int] = (1, 1), min_df: int = 1, max_df: float = 1.0,
-                        max_features: int | None = None, sublinear: bool = False, binary: bool = False) -> tuple[TfidfModel, DataFrame]:
-    """Fit and transform the same rows."""
+                        max_features: int | None = None, sublinear: bool = False, binary: bool = False, only: DataFrame | None = None) -> tuple[TfidfModel, DataFrame]:
+    """Fit and transform the same rows; ``only`` is a table of the keys whose rows are wanted, the others are fitted on and not transformed."""
     model, known, slices = _fitted(df, key, text, analyzer, n, min_df, max_df, max_features, sublinear, binary)
-    return model, model.transform(df, key, text, known, slices)
+    wanted = df if only is None else df.select(key, text).join(only.select(key), key, "left_semi")
+    return model, model.transform(wanted, key, text, known, slices)
 
 
 def union_terms(parts: Mapping[str, DataFrame], key: str) -> DataFrame:

@@ -65,3 +65,10 @@ def test_no_shuffle_carries_a_row_for_each_document_and_term(spark):
     assert rows.count() == 2000 * 15 and terms.count() <= 8 * 15
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "Window" not in plan      # before, every (document, term) was shuffled to the vocabulary and back
+
+
+def test_only_wanted_keys_are_transformed_with_the_weights_of_all(spark):
+    df = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 7}x" for j in range(1, 6))) for i in range(30)], "id bigint, text string")
+    only = spark.createDataFrame([(i,) for i in (1, 4, 4, 9, 99)], "id bigint")
+    of = lambda **k: {(r["id"], r["term"], round(r["w"], 9)) for r in textfeat.fit_transform_tfidf(df, "id", "text", n=(1, 2), min_df=2, sublinear=True, **k)[1].collect()}
+    assert of(only=only) == {r for r in of() if r[0] in (1, 4, 9)}

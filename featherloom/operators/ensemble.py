@@ -7,13 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from featherloom.operators.evaluate import model_pairs
-from featherloom.operators.ranking import ordered_prefix
+from featherloom.operators.ranking import ordered_prefix, slices_by_rows
 from featherloom.operators.relations import null_safe
 
 
 def rank_average(df: DataFrame, model: str, key: str, score: str) -> DataFrame:
     """Mean over models of ``(rank - 1) / (n - 1)``; equal scores are ordered by key."""
-    ranked = ordered_prefix(df.select(model, key, score), [model], [F.col(score), F.col(key)], size="n")
+    rows = df.select(model, key, score)
+    ranked = ordered_prefix(rows, [model], [F.col(score), F.col(key)], size="n", slices=slices_by_rows(rows))
     return ranked.groupBy(key).agg(
         F.avg((F.col("row_num") - 1) / F.nullif(F.col("n") - 1, F.lit(0))).alias("score"))
 

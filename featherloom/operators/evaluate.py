@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.ml.evaluation import Evaluator
 
-from featherloom.operators.ranking import ordered_prefix
+from featherloom.operators.ranking import ordered_prefix, slices_by_rows
 
 
 def normalized_gini(df: DataFrame, group: Sequence[str], truth: str, score: str, key: str,
@@ -22,7 +22,7 @@ def normalized_gini(df: DataFrame, group: Sequence[str], truth: str, score: str,
     group = list(group)
     rows = df.select(*group, F.col(truth).cast("double").alias("a"), F.col(score).alias("s"),
                      F.col(key).alias("k"))
-    ranked = ordered_prefix(rows, group, [F.col("s").desc(), F.col("k")])
+    ranked = ordered_prefix(rows, group, [F.col("s").desc(), F.col("k")], slices=slices_by_rows(rows))
     actual = ranked.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.sum("a").alias("a_sum"),
         F.sum(F.col("a") * F.col("row_num")).alias("ar"))

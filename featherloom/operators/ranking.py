@@ -16,9 +16,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from featherloom.operators.relations import null_safe
-from featherloom.session import durable, slices_of
+from featherloom.session import durable, slices_of, stored
 
-SLICE = "_slice"
+SLICE, PLACE = "_slice", "_place"
 
 
 def ordered_prefix(df: DataFrame, group: Sequence[str], order: Sequence[Column], *,
@@ -30,40 +30,51 @@ def ordered_prefix(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     ``size`` names a column for the number of rows of the group; every sum ``x`` also gets its group
     total as ``x_total``. Both come from the slice totals, without another pass.
     ``order`` should be total (end with a unique key) when ``row_number`` is wanted. A null group is
-    a group of its own. The slice id is only stable once written, so the sliced rows are checkpointed.
+    a group of its own. The slice id is only stable once written, so the sliced rows are checkpointed,
+    each with its place in the sorted slice: row numbers need no second shuffle, and a task of the
+    running sums holds one slice.
     """
     sums = dict(sums or {})
     group = list(group)
     slices = slices or slices_of(df)
     for name, source in sums.items():
         df = df.withColumn(f"_in_{name}", F.col(source) if isinstance(source, str) else source)
+    keys = [*[F.col(c) for c in group], *order]
     laid = durable(
-        df.repartitionByRange(slices, *[F.col(c) for c in group], *order)
-        .withColumn(SLICE, F.spark_partition_id())
+        df.repartitionByRange(slices, *keys).sortWithinPartitions(*keys)
+        .withColumn(PLACE, F.monotonically_increasing_id())     # the slice, and 33 bits for the place inside it
+        .withColumn(SLICE, F.shiftright(PLACE, 33).cast("int"))
     )
     totals = laid.groupBy(*group, SLICE).agg(
-        F.count(F.lit(1)).alias("_rows"),
+        F.count(F.lit(1)).alias("_rows"), F.min(PLACE).alias("_first"),
         *[F.sum(f"_in_{name}").alias(f"_tot_{name}") for name in sums],
     )
     before = Window.partitionBy(*group).orderBy(SLICE).rowsBetween(
         Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)  # one row per slice
-    offsets = totals.select(
-        *group, SLICE,
+    offsets = stored(totals.select(     # its size is known, so that a small one is broadcast and the rows stay where they are
+        *group, SLICE, "_first",
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_off_rows"),
         *([F.sum("_rows").over(whole).alias(size)] if size else []),
         *[F.sum(f"_tot_{name}").over(whole).alias(f"{name}_total") for name in sums],
         *[F.coalesce(F.sum(f"_tot_{name}").over(before), F.lit(0)).alias(f"_off_{name}")
           for name in sums],
-    )
-    inside = Window.partitionBy(*group, SLICE).orderBy(*order)
-    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = null_safe(laid, offsets, [*group, SLICE])
+    ), "offsets")
+    running = Window.partitionBy(*group, SLICE).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = null_safe(laid.repartitionById(laid.rdd.getNumPartitions(), F.col(SLICE)) if sums else laid, offsets, [*group, SLICE])
     if row_number:
-        out = out.withColumn(row_number, F.row_number().over(inside) + F.col("_off_rows"))
+        out = out.withColumn(row_number, F.col(PLACE) - F.col("_first") + 1 + F.col("_off_rows"))
     for name in sums:
         out = out.withColumn(name, F.sum(f"_in_{name}").over(running) + F.col(f"_off_{name}"))
-    return out.drop(SLICE, "_off_rows", *[f"_in_{n}" for n in sums], *[f"_off_{n}" for n in sums])
+    return out.drop(SLICE, PLACE, "_first", "_off_rows", *[f"_in_{n}" for n in sums], *[f"_off_{n}" for n in sums])
+
+
+SLICE_ROWS = 1 << 20
+
+
+def slices_by_rows(df: DataFrame) -> int:
+    """Slices of a bounded number of rows, for rows that are cheap to count: what a scan is estimated at says little once rows are exploded."""
+    return max(slices_of(df), -(-df.count() // SLICE_ROWS))
 
 
 def hashed_rank(df: DataFrame, group: Sequence[str], hash_col: str, tie: Sequence[str], *,

@@ -22,6 +22,18 @@ def test_ordered_prefix_equals_window(spark):
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, ours.collect()))
 
 
+def test_ordered_prefix_numbers_sorted_slices(spark, monkeypatch):
+    """Rows are numbered where they were sorted; running sums get one slice a task, which no planner joins again."""
+    df = hot(spark)
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    order = [F.col("p"), F.col("id")]
+    assert "Window" not in plan(ranking.ordered_prefix(df, ["g"], order, row_number="r"))
+    summed = plan(ranking.ordered_prefix(df, ["g"], order, row_number=None, sums={"s": "y"}, slices=9))
+    assert "Window" in summed and "REPARTITION_BY_NUM" in summed and "ENSURE_REQUIREMENTS" not in summed.split("Window")[1].split("BroadcastExchange")[0]
+    monkeypatch.setattr(ranking, "SLICE_ROWS", 100)
+    assert ranking.slices_by_rows(df.select(F.explode(F.array("id", "id")).alias("id"))) == 60
+
+
 def test_hashed_rank_equals_window(spark):
     df = hot(spark).withColumn("h", key_hash("id"))
     plain = df.select("id", (F.row_number().over(Window.partitionBy("g").orderBy("h", "id")) - 1).alias("r"))

@@ -195,8 +195,8 @@ def canonical_by_substring(text: Column | str, table: Sequence[tuple[str, str]])
 
 
 def fill_empty(text: Column | str, strict: bool = False, value: str = "NA") -> Column:
-    t = _col(text)
-    return F.when((t if strict else F.regexp_replace(t, r"\s+", "")) == "", value).otherwise(t)
+    # bound once: a branch of a condition is no common subexpression, and a chain before it would run twice
+    return let(_col(text), lambda t: F.when(t == "" if strict else ~t.rlike(r"\S"), value).otherwise(t))
 
 
 def ascii_punctuation(text: Column | str) -> Column:

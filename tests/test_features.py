@@ -2,7 +2,10 @@
 
 from types import SimpleNamespace
 
+from pyspark.sql import functions as F
+
 from featherloom.catalog import flows
+from featherloom.functions import textrules as tr
 
 
 def test_learning_rows_are_written_once(spark):
@@ -12,3 +15,11 @@ def test_learning_rows_are_written_once(spark):
     rows = flows._learning_rows(SimpleNamespace(lineitem=lines, orders=orders))
     assert {(r["id"], r["y"], r["l_quantity"], r["l_linenumber"]) for r in rows.collect()} == {(1, 1.0, 3.0, 3.0), (2, 0.0, 5.0, 1.0)}
     assert "Aggregate" not in rows._jdf.queryExecution().optimizedPlan().toString()      # before, each of some six readers aggregated the lines anew
+
+
+def test_fill_empty_evaluates_its_text_once(spark):
+    """What stands before the step runs once a row; before, it ran once for the test and once for the value."""
+    df = spark.createDataFrame([("a  b",), (" \t",), ("",), (None,)], "t string")
+    out = df.select(tr.chain("t", [lambda c: F.regexp_replace(c, "once", "x"), tr.fill_empty]).alias("o"), tr.fill_empty("t", strict=True).alias("s"))
+    assert [tuple(r) for r in out.collect()] == [("a  b", "a  b"), ("NA", " \t"), ("NA", "NA"), (None, None)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("once") == 1

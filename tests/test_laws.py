@@ -34,6 +34,19 @@ def test_ordered_prefix_numbers_sorted_slices(spark, monkeypatch):
     assert ranking.slices_by_rows(df.select(F.explode(F.array("id", "id")).alias("id"))) == 60
 
 
+def test_substring_scan_passes_short_pieces_once_a_task(spark, monkeypatch):
+    """A short text in every document is one row a task; before, it was one row a document, and the text was hashed anew for each length."""
+    corpus = spark.createDataFrame([(i, f"ab {i} ab abc the quick brown fox jumps over {i}") for i in range(200)], "id bigint, c string").repartition(2)
+    texts = spark.createDataFrame([("ab",), ("abc",), ("the quick br",), ("quick brown fox jumps over 7",), ("quick brown fox jumps over x",)], "t string")
+    rows, write = [], match.stored
+    monkeypatch.setattr(match, "stored", lambda df, name: (made := write(df, name), rows.append(made.where("length(piece) < 12").count()))[0])
+    found = match.contained_in_any(texts, "t", corpus, "id", "c")
+    assert {r["t"] for r in found.collect()} == {"ab", "abc", "the quick br", "quick brown fox jumps over 7"}
+    assert 2 <= rows[0] <= 4
+    text = "\U0001f600bc" * 9
+    assert [h.tolist() for n in (3, 40) for h in (match._Pieces(text).hashes(n, 3),)] == [match._piece_hashes("\U0001f600bc", 3).tolist() * 9, []]
+
+
 def test_hashed_rank_equals_window(spark):
     df = hot(spark).withColumn("h", key_hash("id"))
     plain = df.select("id", (F.row_number().over(Window.partitionBy("g").orderBy("h", "id")) - 1).alias("r"))

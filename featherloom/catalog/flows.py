@@ -295,13 +295,13 @@ s{r + 1} as materialized (select m, id, y, fold, {", ".join(b)}, f + coalesce(v,
     return ", ".join(out)
 
 
-def _boosted(t):
-    return boost.fit_boosted(_learning_rows(t), "id", "y", FEATURES, "fold", 3, rounds=ROUNDS, depth=DEPTH, bins=BINS)
+def _boosted(rows):
+    return boost.fit_boosted(rows, "id", "y", FEATURES, "fold", 3, rounds=ROUNDS, depth=DEPTH, bins=BINS)
 
 
 @query("mlf_4_oof_gbt", f"with {_boost_sql()} select id, y, fold, round(1 / (1 + exp(-f)), 9) as p from s{ROUNDS} where m = fold")
 def _(t):
-    return _boosted(t)[1].withColumn("p", r("p"))
+    return _boosted(_learning_rows(t))[1].withColumn("p", r("p"))
 
 
 PENALTIES = [0.0, 0.001, 0.01, 0.1, 1.0, 10.0]
@@ -323,17 +323,16 @@ auc as (select penalty, fold, (sum(rk) filter (y = 1) - count(*) filter (y = 1)
 select penalty, round(avg(2 * auc - 1), 7) as gini from auc group by penalty"""
 
 
-def _dense_rows(t):
-    """Standardised features as rows (id, term, w), and the rows themselves."""
-    feats = _learning_rows(t)
+def _dense_rows(feats):
+    """Standardised features as packed rows (id, terms, ws), and the rows themselves."""
     stats = feats.agg(*[F.avg(c).alias(f"m_{c}") for c in FEATURES], *[F.stddev_pop(c).alias(f"s_{c}") for c in FEATURES])
     scaled = lambda c: F.coalesce((F.col(c) - F.col(f"m_{c}")) / F.nullif(F.col(f"s_{c}"), F.lit(0.0)), F.lit(0.0)) / 2.0
     wide = feats.crossJoin(F.broadcast(stats)).select("id", *[scaled(c).alias(c) for c in FEATURES])      # one row of statistics
-    return wide.unpivot(["id"], FEATURES, "term", "w"), feats
+    return wide.select("id", F.array(*[F.lit(c) for c in FEATURES]).alias("terms"), F.array(*FEATURES).alias("ws")), feats
 
 
 def _grid(t, **options):
-    return linear.search_logistic(*_dense_rows(t), "id", "y", 3, penalties=PENALTIES, steps=STEPS, **options).withColumn("gini", r("gini", 7))
+    return linear.search_logistic(*_dense_rows(_learning_rows(t)), "id", "y", 3, penalties=PENALTIES, steps=STEPS, **options).withColumn("gini", r("gini", 7))
 
 
 @query("mlf_6_tuned_logistic", f"with {_grid_sql(PENALTIES)}")
@@ -383,8 +382,9 @@ select models, round((sum(rk) filter (y = 1) - count(*) filter (y = 1) * (count(
 base as materialized (select s.id, s.y, s.fold, 1 / (1 + exp(-s.f)) as boosted, u.p as logistic, v.p as shrunk from s{ROUNDS} s join scores u on u.id = s.id and u.m = s.fold join scores v on v.id = s.id and v.m = 3 + s.fold where s.m = s.fold),
 {_stack_sql()}""")
 def _(t):
-    boosted = _boosted(t)[1].select("id", "y", "fold", F.col("p").alias("boosted"))
-    cells, feats = _dense_rows(t)
+    rows = _learning_rows(t)
+    boosted = _boosted(rows)[1].select("id", "y", "fold", F.col("p").alias("boosted"))
+    cells, feats = _dense_rows(rows)
     linear_ones = linear.oof_logistic(cells, feats, "id", ["y"], 3, penalties=[0.001, 1.0], steps=STEPS)
     wide = linear_ones.groupBy("id").agg(*[F.max(F.when(F.col("penalty") == c, F.col("p"))).alias(name) for name, c in (("logistic", 0.001), ("shrunk", 1.0))])
     return learn.search_subsets(boosted.join(wide, "id"), list(BASE), "y", 3, ridge=RIDGE).select("models", r("auc", 5).alias("auc"))
@@ -409,8 +409,9 @@ losses as (select variant, avg(-ln(case when y = 1 then p else 1 - p end)) as lo
 rises as (select variant, round(loss - (select loss from losses where variant = -1), 9) as loss from losses where variant >= 0)
 select ([{", ".join(f"'{f}'" for f in FEATURES)}])[variant + 1] as feature, loss, round(greatest(loss, 0) / sum(greatest(loss, 0)) over (), 6) as share from rises""")
 def _(t):
-    made, _ = _boosted(t)
-    found = boost.permutation_importance(made, _learning_rows(t), "id", "y", "fold", key_hash(F.lit("deal"), F.col("id")))
+    rows = _learning_rows(t)
+    made, _ = _boosted(rows)
+    found = boost.permutation_importance(made, rows, "id", "y", "fold", key_hash(F.lit("deal"), F.col("id")))
     return found.withColumn("share", r("share", 6))
 
 

@@ -1,7 +1,7 @@
 """Boosted trees by histograms, for all folds at once.
 
-Features are cut into bins of equal width. In every round each row has a gradient and a hessian for each fold's model; one grouped
-aggregate gives their sums by (model, node, feature, bin), for all models together, and running sums over the bins give the gain of
+Features are cut into bins of equal width. In every round each row has a gradient and a hessian for each fold's model; tasks add them up
+by (model, node, feature, bin) in numpy, for all models together, one grouped sum joins these, and running sums over the bins give the gain of
 every split. Gradients and hessians are whole multiples of 2 ** -20, so sums are exact in any order and reruns, and other engines, get the same trees.
 Only the best split of each node and the value of each leaf come to the driver: (models x nodes) rows. Rows are written once a round.
 """
@@ -11,6 +11,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from featherloom.session import stored
@@ -70,18 +73,54 @@ class Boosted:
         return binned.select(*keep, (sum(p[1:], p[0]) / len(p)).alias("p"))
 
 
-def _signals(folds: int, fold: str, label: str, trees: Sequence[Tree], depth: int, training: bool = True) -> Column:
-    """(model, node, g, h) of a row for each model, or only for those whose training rows it is among."""
-    def one(m: int) -> Column:
-        p = 1 / (1 + F.exp(-F.get("margins", F.lit(m))))
-        whole = lambda x: F.round(x * float(GRAIN)).cast("long")
-        return F.struct(F.lit(m).alias("model"), trees[m].node(F.col("bins"), depth).alias("node"), whole(p - F.col(label)).alias("g"), whole(p * (1 - p)).alias("h"))
+def _whole(x: np.ndarray) -> np.ndarray:
+    """Halves away from 0, as Spark and SQL round, in units of the grain."""
+    size = np.abs(x * float(GRAIN))
+    low = np.floor(size)
+    return np.copysign(low + (size - low >= 0.5), x)
 
-    return F.filter(F.array(*[one(m) for m in range(folds)]), lambda s: s["model"] != F.col(fold))
+
+def histograms(rows: DataFrame, label: str, fold: str, trees: Sequence[Tree], level: int, features: int, bins: int) -> DataFrame:
+    """(model, node, feature, bin, g, h, n) of the rows that each model may see, by their node of level ``level``.
+
+    A task adds up its rows in numpy: folds x nodes x features x bins cells, however many rows. Sums below 2 ** 53 are exact in doubles, so each
+    batch is added to whole numbers. A null label has no gradient.
+    """
+    nodes = 2**level
+
+    def add(batches):
+        shape = (len(trees), nodes * features * bins)
+        g, h, n, known = (np.zeros(shape, np.int64) for _ in range(4))
+        for batch in batches:
+            cut = pc.list_flatten(batch.column("bins")).to_numpy().reshape(-1, features)
+            margins = pc.list_flatten(batch.column("margins")).to_numpy().reshape(-1, len(trees))
+            y = batch.column(label).to_numpy(zero_copy_only=False)
+            for m, tree in enumerate(trees):
+                sees = np.flatnonzero(pc.fill_null(pc.not_equal(batch.column(fold), m), False).to_numpy(zero_copy_only=False))
+                mine, p = cut[sees], 1 / (1 + np.exp(-margins[sees, m]))
+                node = np.zeros(len(sees), np.int64)
+                for depth in range(level):
+                    here = node + 2**depth - 1
+                    node = node * 2 + (mine[np.arange(len(sees)), np.array(tree.feature)[here]] > np.array(tree.last_left)[here])
+                slope = p - y[sees]
+                has = ~np.isnan(slope)
+                sums = (_whole(np.where(has, slope, 0.0)), _whole(p * (1 - p)), None, has)
+                for f in range(features):
+                    cell = (node * features + f) * bins + mine[:, f]
+                    for total, w in zip((g, h, n, known), sums, strict=True):
+                        total[m] += np.bincount(cell, weights=w, minlength=shape[1]).astype(np.int64)
+        m, cell = np.nonzero(n)
+        at = lambda x: pa.array(x, pa.int32())
+        yield pa.RecordBatch.from_arrays([at(m), at(cell // (features * bins)), at(cell // bins % features), at(cell % bins), pa.array(g[m, cell], mask=known[m, cell] == 0),
+                                          pa.array(h[m, cell]), pa.array(n[m, cell])], ["model", "node", "feature", "bin", "g", "h", "n"])
+
+    made = rows.select("bins", "margins", F.col(label).cast("double").alias(label), F.col(fold).cast("long").alias(fold)).mapInArrow(
+        add, "model int, node int, feature int, bin int, g bigint, h bigint, n bigint")
+    return made.groupBy("model", "node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in "ghn"])
 
 
 def best_splits(hist: DataFrame, reg: float) -> DataFrame:
-    """(model, node, feature, last_left) of the highest gain above 0 from rows (model, node, feature, bin, g, h, n); ties to the smaller feature, then bin.
+    """(model, node, feature, last_left, and the sums gl and hl of its left side) of the highest gain above 0 from rows (model, node, feature, bin, g, h, n); ties to the smaller feature, then bin.
 
     A group of the windows is one feature of one node: as many rows as bins.
     """
@@ -92,8 +131,8 @@ def best_splits(hist: DataFrame, reg: float) -> DataFrame:
     c = F.col
     gain = part(c("gl"), c("hl")) + part(c("g") - c("gl"), c("h") - c("hl")) - part(c("g"), c("h"))
     open_ones = sums.withColumn("gain", gain).where((c("nl") < c("n")) & (c("gain") > 0))
-    best = F.min_by(F.struct("feature", F.col("bin").alias("last_left")), F.struct((-c("gain")).alias("lost"), "feature", "bin")).alias("s")
-    return open_ones.groupBy("model", "node").agg(best).select("model", "node", "s.feature", "s.last_left")
+    best = F.min_by(F.struct("feature", F.col("bin").alias("last_left"), "gl", "hl"), F.struct((-c("gain")).alias("lost"), "feature", "bin")).alias("s")
+    return open_ones.groupBy("model", "node").agg(best).select("model", "node", "s.*")
 
 
 def fit_boosted(rows: DataFrame, key: str, label: str, features: Sequence[str], fold: str, folds: int, rounds: int = 10, depth: int = 2, bins: int = 32,
@@ -110,18 +149,29 @@ def fit_boosted(rows: DataFrame, key: str, label: str, features: Sequence[str],
     for r in range(rounds):
         now = stored(now, "boost")
         trees = [Tree() for _ in range(folds)]
-        cells = lambda level: now.select("bins", F.explode(_signals(folds, fold, label, trees, level)).alias("s"))  # noqa: E731, B023
-        for level in range(depth):
-            long = cells(level).select("s.*", F.posexplode("bins").alias("feature", "bin"))
-            hist = long.groupBy("model", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("n"))
-            found = {(s["model"], s["node"]): (s["feature"], s["last_left"]) for s in best_splits(hist, reg).collect()}       # folds x 2 ** level rows
+        found, whole = {}, []
+        for level in range(max(depth, 1)):
+            hist = histograms(now, label, fold, trees, level, len(features), bins)
+            if level >= depth - 1:         # the last level's sums also give the leaves
+                hist = stored(hist, "histograms")
+                whole = hist.where("feature = 0").groupBy("model", "node").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()      # folds x 2 ** level rows
+            if level == depth:
+                break
+            found = {(s["model"], s["node"]): s for s in best_splits(hist, reg).collect()}       # folds x 2 ** level rows
             for m, tree in enumerate(trees):
                 for node in range(2**level):
-                    f, last = found.get((m, node), (0, bins))
-                    tree.feature.append(f)
-                    tree.last_left.append(last)
-        leaf = cells(depth).select("s.*").groupBy("model", "node").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()         # folds x 2 ** depth rows
-        value = {(s["model"], s["node"]): -rate * s["g"] / (s["h"] + reg * GRAIN) for s in leaf}
+                    split = found.get((m, node))
+                    tree.feature.append(split["feature"] if split else 0)
+                    tree.last_left.append(split["last_left"] if split else bins)
+        value = {}
+        leaf = lambda g, h: -rate * g / (h + reg * GRAIN)
+        for s in whole:
+            at, split = (s["model"], s["node"]), found.get((s["model"], s["node"]))
+            g, h = s["g"] or 0, s["h"] or 0
+            left = (split["gl"], split["hl"]) if split else (g, h)
+            value[at[0], at[1] * 2 if depth else 0] = leaf(*left)
+            if split:
+                value[at[0], at[1] * 2 + 1] = leaf(g - left[0], h - left[1])
         for m, tree in enumerate(trees):
             tree.value = [value.get((m, n), 0.0) for n in range(2**depth)]
             made.models[m].append(tree)

@@ -66,6 +66,26 @@ def pack_rows(rows: DataFrame, codes: DataFrame, documents: DataFrame, key: str)
     return _packed(_runs(rows, key, "codes", "int", codes), documents, key)
 
 
+def _coded(runs: DataFrame, key: str, codes: DataFrame) -> DataFrame:
+    """(key, codes, ws) of packed rows (key, terms, ws), without terms that ``codes`` (term, code) does not list."""
+    held = runs.sparkSession.sparkContext.broadcast([r["term"] for r in codes.orderBy("code").collect()])       # most_terms values
+
+    def look_up(batches):
+        listed = None
+        for batch in batches:
+            lists = batch.column("terms")
+            flat = pc.list_flatten(lists)
+            listed = pa.array(held.value, flat.type) if listed is None else listed
+            code = pc.index_in(flat, value_set=listed)
+            known = pc.is_valid(code)
+            row = pc.list_parent_indices(lists).filter(known).to_numpy()
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=batch.num_rows))), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(ends, code.filter(known)),
+                                              pa.ListArray.from_arrays(ends, pc.list_flatten(batch.column("ws")).filter(known))], [key, "codes", "ws"])
+
+    return runs.select(key, "terms", "ws").mapInArrow(look_up, f"`{key}` {dict(runs.dtypes)[key]}, codes array<int>, ws array<double>")
+
+
 def _packed(runs: DataFrame, documents: DataFrame, key: str) -> DataFrame:
     whole = runs.groupBy(key).agg(F.collect_list(F.struct("codes", "ws")).alias("_xs"))       # the runs of a document
     full = documents.join(whole, key, "left")
@@ -156,18 +176,20 @@ def predict_logistic(packed: DataFrame, weights: np.ndarray, bias: np.ndarray, k
 
 def oof_logistic(rows: DataFrame, documents: DataFrame, key: str, labels: Sequence[str], folds: int, fold: str = "fold", penalties: Sequence[float] = (0.0,),
                  most_terms: int = 20_000, steps: int = 20, rate: float = 2.0) -> DataFrame:
-    """(key, label_name, truth, fold, penalty, p): out-of-fold probabilities of every label and penalty from rows (key, term, w).
+    """(key, label_name, truth, fold, penalty, p): out-of-fold probabilities of every label and penalty from rows (key, term, w), or packed ones (key, terms, ws).
 
     ``documents`` holds key, labels and fold; its rows without a kept term are answered by the bias. labels x folds x penalties models are fitted together.
     """
     tasks = [Task(name, k, c) for name in labels for c in penalties for k in range(folds)]
     base = documents.select(key, F.col(fold).cast("int").alias(fold), *labels)
-    kind = dict(rows.dtypes)["term"]
-    runs = stored(_runs(rows, key, "terms", kind).join(base.select(key), key, "left_semi"), "runs")      # rows are made once, and a document meets the labels whole
-    mine = runs.select(key, F.explode(F.arrays_zip(F.col("terms").alias("term"), F.col("ws").alias("w"))).alias("e")).select(key, F.col("e.term").alias("term"), F.col("e.w").alias("w"))
-    codes = number_terms(mine.select("term"), most_terms)
+    if "terms" in rows.columns:
+        whole = rows.where(F.col(key).isNotNull()).select(key, "terms", F.col("ws").cast("array<double>").alias("ws"))
+    else:
+        whole = _runs(rows, key, "terms", dict(rows.dtypes)["term"])
+    runs = stored(whole.join(base.select(key), key, "left_semi"), "runs")      # rows are made once, and a document meets the labels whole
+    codes = number_terms(runs.select(F.explode("terms").alias("term")), most_terms)
     terms = codes.count()
-    packed = stored(pack_rows(mine, codes, base, key), "packed")
+    packed = stored(_packed(_coded(runs, key, codes), base, key), "packed")
     ps = predict_logistic(packed, *fit_logistic(packed, tasks, terms, fold, steps, rate), [key, fold, *labels])
     own = [F.struct(F.lit(name).alias("label_name"), F.col(name).cast("int").alias("truth"), F.lit(float(c)).alias("penalty"),
                     F.get("ps", F.lit((i * len(penalties) + j) * folds) + F.col(fold)).alias("p")) for i, name in enumerate(labels) for j, c in enumerate(penalties)]

@@ -82,3 +82,25 @@ def test_importance_finds_the_features_that_matter(spark):
     got = {r["feature"]: (r["loss"], r["share"]) for r in boost.permutation_importance(made, df, "id", "y", "fold", F.xxhash64("id")).collect()}
     assert got["same"] == (0.0, 0.0) and got["a"][1] > got["b"][1] > 0
     assert sum(s for _, s in got.values()) == pytest.approx(1.0)
+
+
+def test_histograms_are_added_up_in_tasks(spark):
+    """A row is no row for each model and feature; null labels have no gradient, null folds are in no model, halves round away from 0."""
+    half = 1.5 / boost.GRAIN
+    rows = [(0, 0.0, [1, 0], [0.0, 1.0]), (1, 1.0, [1, 2], [0.0, -1.0]), (1, None, [0, 2], [0.0, 0.0]), (None, 1.0, [0, 0], [0.0, 0.0]), (1, 0.5 - half, [0, 2], [0.0, 0.0]), (1, 0.5 + half, [3, 1], [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "fold int, y double, bins array<int>, margins array<double>").repartition(3)
+    trees = [boost.Tree([1], [0]), boost.Tree([0], [0])]
+    made = boost.histograms(df, "y", "fold", trees, 1, 2, 4)
+    want = {}
+    for fold, y, cut, f in rows:
+        for m in range(2):
+            if fold is None or fold == m:
+                continue
+            p = 1 / (1 + math.exp(-f[m]))
+            node = int(cut[trees[m].feature[0]] > trees[m].last_left[0])
+            away = lambda x: math.copysign(math.floor(abs(x) * boost.GRAIN + 0.5), x)
+            for j, b in enumerate(cut):
+                g, h, n = want.get((m, node, j, b), (None, 0, 0))
+                want[m, node, j, b] = (g if y is None else (g or 0) + away(p - y), h + away(p * (1 - p)), n + 1)
+    assert {tuple(r)[:4]: tuple(r)[4:] for r in made.collect()} == want
+    assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()

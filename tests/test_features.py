@@ -4,7 +4,7 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from featherloom.catalog import flows
+from featherloom.catalog import QUERIES, flows
 from featherloom.functions import textrules as tr
 
 
@@ -23,3 +23,15 @@ def test_fill_empty_evaluates_its_text_once(spark):
     out = df.select(tr.chain("t", [lambda c: F.regexp_replace(c, "once", "x"), tr.fill_empty]).alias("o"), tr.fill_empty("t", strict=True).alias("s"))
     assert [tuple(r) for r in out.collect()] == [("a  b", "a  b"), ("NA", " \t"), ("NA", "NA"), (None, None)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("once") == 1
+
+
+def test_stacked_models_make_learning_rows_once(spark, monkeypatch):
+    """Boosting and the linear models share the rows, and these stay packed; before, they were aggregated twice and unpivoted."""
+    feats = spark.createDataFrame([(1, 1.0, 0, 2.0, 3.0, 0.1, 0.2, 1.0), (2, 0.0, 1, 5.0, 6.0, 0.0, 0.1, 2.0)], ["id", "y", "fold", *flows.FEATURES])
+    packed, _ = flows._dense_rows(feats)
+    assert packed.columns == ["id", "terms", "ws"] and packed.count() == 2
+    made = []
+    monkeypatch.setattr(flows, "_learning_rows", lambda t: made.append(t) or feats)
+    monkeypatch.setattr(flows.boost, "fit_boosted", lambda rows, *a, **k: (None, rows.select("id", "y", "fold", F.lit(0.5).alias("p"))))
+    monkeypatch.setattr(flows.learn, "search_subsets", lambda df, *a, **k: df.select(F.lit("x").alias("models"), F.col("shrunk").alias("auc")))
+    assert QUERIES["mlf_5_stacked_models"](spark, "/none").count() == 2 and len(made) == 1

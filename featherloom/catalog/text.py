@@ -327,9 +327,9 @@ vocab as (select word, row_number() over (order by count(*) desc, word) as idx f
 
 @query("agg_24_bag_of_words", f"with {BAG} select doc_id, idx, count(*) as n from words join vocab using (word) group by all")
 def _(t):
-    words = tr.tokens(F.lower("text"))
-    vocab = encode.frequency_codes(docs(t).select(F.explode(words).alias("word")), "word").where("n > 15")
-    return textfeat.bag_of_words(docs(t), "doc_id", words, vocab)
+    counts = textfeat.word_counts(t.documents, "doc_id", F.lower("text"))
+    vocab = encode.frequency_codes(counts, "word", n="n").where("n > 15")
+    return textfeat.bag_of_words(counts, "doc_id", None, vocab)
 
 
 IDX = f"""toks as (select doc_id, unnest(x) as word, generate_subscripts(x, 1) as i from (select doc_id,

@@ -121,9 +121,9 @@ def sorted_codes(df: DataFrame, col: str, start: int = 0) -> DataFrame:
         col, (F.col("_rn") - 1 + start).cast("long").alias("code"))
 
 
-def frequency_codes(df: DataFrame, col: str, start: int = 1) -> DataFrame:
-    """(value, n, code): values numbered by falling count, then by value."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+def frequency_codes(df: DataFrame, col: str, start: int = 1, n: str | None = None) -> DataFrame:
+    """(value, n, code): values numbered by falling count, then by value. Where rows stand for several, ``n`` names their number."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg((F.sum(n) if n else F.count(F.lit(1))).alias("n"))
     return ordered_prefix(counts, [], [F.col("n").desc(), F.col(col)], row_number="_rn").select(
         col, "n", (F.col("_rn") - 1 + start).cast("long").alias("code"))
 

@@ -56,10 +56,38 @@ def word_frequency(df: DataFrame, words: Column, threshold: int, stop_words: Seq
     return kept.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > threshold)
 
 
-def bag_of_words(df: DataFrame, key: str, words: Column, vocabulary: DataFrame) -> DataFrame:
-    """(key, idx, n) for the words of a vocabulary table (word, code)."""
+def word_counts(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """(word, n, keys, ns) of the blank-separated words of a text, as ``tokens`` cuts them: a row for each word of a slice, with the keys that have it
+    and how often; written once for whoever reads it.
+
+    A text moves once, whole, into a slice of bounded size; a task cuts and counts a slice in numpy, and only a slice's distinct words are rows.
+    """
+    parts = _slice_parts(df)
+    dealt = df.select(key, text.alias("_text")).withColumn("_s", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).repartition(parts, "_s")
+
+    def count(table: pa.Table) -> pa.Table:
+        lists = pc.ascii_split_whitespace(table.column("_text").combine_chunks())
+        words = pc.list_flatten(lists)
+        full = pc.not_equal(words, "")        # before and behind outer blanks
+        row = pc.list_parent_indices(lists).filter(full).to_numpy()
+        ends = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=len(lists)))), pa.int32())
+        cut = pa.table([table.column(key), pa.ListArray.from_arrays(ends, words.filter(full))], [key, "_units"])
+        (keys, owner, word, n, listed), = _counted(cut, key, "word", (1, 1))
+        order = np.argsort(word, kind="stable")
+        ends = pa.array(np.append(0, np.cumsum(np.bincount(word, minlength=len(listed)))), pa.int32())
+        totals = np.bincount(word, weights=n, minlength=len(listed)).astype(np.int64)
+        return pa.table([listed, pa.array(totals), pa.ListArray.from_arrays(ends, keys.take(pa.array(owner[order]))), pa.ListArray.from_arrays(ends, pa.array(n[order]))], ["word", "n", "keys", "ns"])
+
+    return stored(dealt.groupBy("_s").applyInArrow(count, f"word string, n bigint, keys array<{dict(df.dtypes)[key]}>, ns array<bigint>"), "word-counts")
+
+
+def bag_of_words(df: DataFrame, key: str, words: Column | None, vocabulary: DataFrame) -> DataFrame:
+    """(key, idx, n) for the words of a vocabulary table (word, code). Without ``words``, ``df`` holds the ``word_counts``."""
+    listed = stored(vocabulary.select("word", F.col("code").alias("idx")), "vocabulary")      # its size is known: a small one is broadcast, and counts stay where they are
+    if words is None:
+        pairs = F.inline(F.arrays_zip(F.col("keys").alias(key), F.col("ns").alias("n"))).alias(key, "n")
+        return df.join(listed, "word").select("idx", pairs).select(key, "idx", "n")
     counts = df.select(key, F.explode(words).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-    listed = vocabulary.select("word", F.col("code").alias("idx"))
     return counts.join(listed, "word").select(key, "idx", "n")
 
 

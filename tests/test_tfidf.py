@@ -5,8 +5,9 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from featherloom.operators import textfeat
+from featherloom.operators import encode, textfeat
 
 ROWS = [(1, "the cat sat on the mat \U0001d538\U0001d539\U0001d538"), (2, "The  dog\tsat"), (2, "dog and the cat"), (None, "cat mat"), (4, ""), (5, None), (6, "x"), (7, "the the the"), (8, "ab\x85cd \U0001d538b the mat")]
 
@@ -72,3 +73,20 @@ def test_only_wanted_keys_are_transformed_with_the_weights_of_all(spark):
     only = spark.createDataFrame([(i,) for i in (1, 4, 4, 9, 99)], "id bigint")
     of = lambda **k: {(r["id"], r["term"], round(r["w"], 9)) for r in textfeat.fit_transform_tfidf(df, "id", "text", n=(1, 2), min_df=2, sublinear=True, **k)[1].collect()}
     assert of(only=only) == {r for r in of() if r[0] in (1, 4, 9)}
+
+
+def test_word_counts_are_those_of_the_tokens(spark):
+    """Equal to one row a word, with null texts, null and repeated keys, and every character that may part words."""
+    odd = "".join(f"a{chr(c)}B" for c in [*range(1, 48), 0x85, 0xA0, 0x2003, 0x3000])
+    rows = [(1, " the cat the "), (2, None), (2, "the"), (None, "cat cat"), (None, "cat"), (3, ""), (3, " \t"), (2, "the ü"), (4, odd)]
+    df = spark.createDataFrame(rows, "id bigint, t string").repartition(3)
+    plain = df.select("id", F.explode(textfeat.tokens(F.lower("t"))).alias("word")).groupBy("id", "word").count()
+    made = textfeat.word_counts(df, "id", F.lower("t"))
+    pairs = [(k, r["word"], n) for r in made.collect() for k, n in zip(r["keys"], r["ns"], strict=True)]
+    assert Counter(pairs) == Counter(tuple(r) for r in plain.collect())
+    codes = encode.frequency_codes(made, "word", n="n")
+    assert {tuple(r) for r in codes.collect()} == {tuple(r) for r in encode.frequency_codes(df.select(F.explode(textfeat.tokens(F.lower("t"))).alias("word")), "word").collect()}
+    bag = textfeat.bag_of_words(made, "id", None, codes)
+    assert {tuple(r) for r in bag.collect()} == {tuple(r) for r in textfeat.bag_of_words(df, "id", textfeat.tokens(F.lower("t")), codes).collect()}
+    assert "explode" not in bag._jdf.queryExecution().optimizedPlan().toString()       # before, each word of each text was a row, twice
+    assert textfeat.word_counts(df.where("false"), "id", F.lower("t")).count() == 0

@@ -61,7 +61,7 @@ def ordered_prefix(df: DataFrame, group: Sequence[str], order: Sequence[Column],
           for name in sums],
     ), "offsets")
     running = Window.partitionBy(*group, SLICE).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = null_safe(laid.repartitionById(laid.rdd.getNumPartitions(), F.col(SLICE)) if sums else laid, offsets, [*group, SLICE])
+    out = null_safe(laid.repartitionById(max(laid.rdd.getNumPartitions(), 1), F.col(SLICE)) if sums else laid, offsets, [*group, SLICE])
     if row_number:
         out = out.withColumn(row_number, F.col(PLACE) - F.col("_first") + 1 + F.col("_off_rows"))
     for name in sums:

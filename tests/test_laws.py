@@ -30,6 +30,7 @@ def test_ordered_prefix_numbers_sorted_slices(spark, monkeypatch):
     assert "Window" not in plan(ranking.ordered_prefix(df, ["g"], order, row_number="r"))
     summed = plan(ranking.ordered_prefix(df, ["g"], order, row_number=None, sums={"s": "y"}, slices=9))
     assert "Window" in summed and "REPARTITION_BY_NUM" in summed and "ENSURE_REQUIREMENTS" not in summed.split("Window")[1].split("BroadcastExchange")[0]
+    assert ranking.ordered_prefix(df.where("false"), ["g"], order, sums={"s": "y"}).count() == 0
     monkeypatch.setattr(ranking, "SLICE_ROWS", 100)
     assert ranking.slices_by_rows(df.select(F.explode(F.array("id", "id")).alias("id"))) == 60
 

@@ -1,7 +1,7 @@
 """Token counts, vocabularies, bag of words, sequences and n-gram TF-IDF in long form.
 
 For TF-IDF the compact text is shuffled by document key into slices of bounded size, which a task counts in numpy; only the
-distinct terms of a slice meet the vocabulary.
+distinct terms of a slice meet the vocabulary. They move in buckets by a hash, sorted and compressed, a row for each slice and bucket.
 """
 
 from __future__ import annotations
@@ -192,7 +192,8 @@ def n_grams(text: Column | str, analyzer: str, n: int) -> Column:
     return F.regexp_extract_all(source, F.lit(pattern), F.lit(1))
 
 
-SLICE_TEXT = {"word": 32 << 20, "char": 8 << 20, "token_char": 8 << 20}     # bytes of text that a task counts at once
+SLICE_TEXT = {"word": 8 << 20, "char": 4 << 20, "token_char": 4 << 20}        # bytes of text that a task counts at once
+BUCKET_TEXT = {"word": 16 << 20, "char": 64 << 20, "token_char": 64 << 20}    # bytes of text whose distinct terms are a bucket, which a task holds
 _BLANKS = np.array([9, 10, 11, 12, 13, 32], np.uint32)
 
 
@@ -205,30 +206,41 @@ def _slices(df: DataFrame, key: str, text: str, analyzer: str, n: int) -> DataFr
     return dealt.repartition(n, "_s").select("_s", key, units.alias("_units"))
 
 
-def _slice_count(df: DataFrame, text: str, analyzer: str) -> int:
-    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(math.ceil(size / SLICE_TEXT[analyzer]), df.sparkSession.sparkContext.defaultParallelism)
+def _sizes(df: DataFrame, text: str, analyzer: str) -> tuple[int, int, int]:
+    """(slices, buckets of terms, rows) of a frame: one scan."""
+    size, rows = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), F.count(F.lit(1))).first()
+    slices = max(math.ceil(size / SLICE_TEXT[analyzer]), df.sparkSession.sparkContext.defaultParallelism)
+    return slices, max(math.ceil(size / BUCKET_TEXT[analyzer]), min(slices, df.sparkSession.sparkContext.defaultParallelism)), rows
 
 
 def _codes(units: pa.Array, analyzer: str) -> tuple[np.ndarray, np.ndarray, pa.Array | None]:
     """(row, code, words) of all units in order; the code of a character is its code point, and blanks are -1 for ``token_char``."""
     if analyzer == "word":
         coded = pc.list_flatten(units).dictionary_encode()
-        return pc.list_parent_indices(units).to_numpy(), coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        order = pc.array_sort_indices(coded.dictionary).to_numpy().astype(np.int64)
+        return pc.list_parent_indices(units).to_numpy(), _ranks(order)[coded.indices.to_numpy()], coded.dictionary.take(pa.array(order))
     texts = units.to_pylist()
     row = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     return row, np.where(np.isin(points, _BLANKS), -1, points.astype(np.int64)) if analyzer == "token_char" else points.astype(np.int64), None
 
 
+def _ranks(order: np.ndarray) -> np.ndarray:
+    """The place of each item in an order."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order))
+    return out
+
+
 def _numbered(values: np.ndarray) -> tuple[np.ndarray, int]:
-    """Equal values as equal numbers from 0, and how many there are."""
+    """Equal values as equal numbers from 0, in their order, and how many there are."""
     coded = pa.array(values).dictionary_encode()
-    return coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+    return _ranks(np.argsort(coded.dictionary.to_numpy()))[coded.indices.to_numpy()], len(coded.dictionary)
 
 
 def _counted(table: pa.Table, key: str, analyzer: str, sizes: tuple[int, int]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
-    """(distinct keys, key number, term number, count, terms) of the n-grams of a slice, for each n of the closed range ``sizes``."""
+    """(distinct keys, key number, term number, count, terms) of the n-grams of a slice, for each n of the closed range ``sizes``;
+    the terms in the order of their units."""
     units = table.column("_units").combine_chunks()
     keys = table.column(key).combine_chunks().dictionary_encode(null_encoding="encode")
     row, code, words = _codes(units, analyzer)
@@ -275,19 +287,150 @@ def term_counts(df: DataFrame, key: str, text: str, analyzer: str = "word", n: t
         found = [pa.table([keys.take(pa.array(owner)), terms.take(pa.array(term)), pa.array(tf)], [key, "term", "tf"]) for keys, owner, term, tf, terms in _counted(table, key, analyzer, n)]
         return pa.concat_tables(found)
 
-    return _slices(df, key, text, analyzer, _slice_count(df, text, analyzer)).groupBy("_s").applyInArrow(count, _term_schema(df, key, "tf bigint"))
+    return _slices(df, key, text, analyzer, _sizes(df, text, analyzer)[0]).groupBy("_s").applyInArrow(count, _term_schema(df, key, "tf bigint"))
+
+
+# -- packed terms: what slices and buckets of terms send to one another, as compressed bytes
+
+_SEPARATOR = 0xFF     # stands in no UTF-8
+_TURN = np.uint64(0x9E3779B97F4A7C15)
+_HASHED = 1 << 20     # bytes of terms that are hashed at a time
+
+
+def _pressed(values: bytes | np.ndarray) -> bytes:
+    data = values if isinstance(values, bytes) else values.tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _opened(value: bytes) -> bytes:
+    return pa.decompress(value[8:], int.from_bytes(value[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _bytes_of(terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ends from 0 on, bytes) of terms without nulls."""
+    buffers = terms.buffers()
+    ends = np.frombuffer(buffers[1], np.int32)[terms.offset : terms.offset + len(terms) + 1] if len(terms) else np.zeros(1, np.int32)
+    data = np.frombuffer(buffers[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    return ends.astype(np.int64) - ends[0], data
+
+
+def _terms_packed(terms: pa.Array) -> bytes:
+    """Terms one after the other, each with a separator behind it."""
+    ends, data = _bytes_of(terms)
+    return _pressed(np.insert(data, ends[1:], _SEPARATOR))
 
 
-def slice_terms(df: DataFrame, key: str, text: str, analyzer: str, n: tuple[int, int], slices: int) -> DataFrame:
-    """(_s, term, df, tf): the distinct terms of each slice, with the keys and the occurrences that it has of them."""
+def _terms_unpacked(value: bytes) -> pa.Array:
+    data = np.frombuffer(_opened(value), np.uint8)
+    at = np.flatnonzero(data == _SEPARATOR)
+    ends = np.append(0, at - np.arange(len(at))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(np.delete(data, at)))
+
+
+def _numbers_unpacked(value: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(_opened(value), kind)
+
+
+def _bucket(terms: pa.Array, buckets: int) -> np.ndarray:
+    """The bucket of each term, by a hash of its bytes only."""
+    ends, data = _bytes_of(terms)
+    sums = np.zeros(len(terms), np.uint64)
+    for lo in range(0, len(data), _HASHED):
+        part = data[lo : lo + _HASHED]
+        first, last = np.searchsorted(ends, lo, "right") - 1, np.searchsorted(ends, lo + len(part), "left")
+        starts = np.maximum(ends[first:last], lo) - lo                # terms that have bytes here, or none at all
+        place = np.arange(lo, lo + len(part)) - np.repeat(ends[first:last], np.diff(np.append(starts, len(part))))
+        with np.errstate(over="ignore"):
+            mixed = (part.astype(np.uint64) + np.uint64(1)) * ((place.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * _TURN)
+            mixed ^= mixed >> np.uint64(29)
+            totals = np.append(np.uint64(0), np.cumsum(mixed * np.uint64(0xBF58476D1CE4E5B9), dtype=np.uint64))
+            sums[first:last] += totals[np.append(starts[1:], len(part))] - totals[starts]
+    sums ^= sums >> np.uint64(32)
+    with np.errstate(over="ignore"):
+        return ((sums * _TURN) >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def _dealt(terms: pa.Array, buckets: int, **numbers: np.ndarray) -> Iterator[tuple[int, pa.Array, dict[str, np.ndarray]]]:
+    """(bucket, its terms, their numbers) of each bucket that has terms, in the order in which the terms come."""
+    bucket = _bucket(terms, buckets)
+    order = np.argsort(bucket, kind="stable")
+    terms, bucket, numbers = terms.take(pa.array(order)), bucket[order], {c: x[order] for c, x in numbers.items()}
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for lo, hi in zip(starts, np.append(starts[1:], len(bucket))):
+        yield int(bucket[lo]), terms.slice(lo, hi - lo), {c: x[lo:hi] for c, x in numbers.items()}
+
+
+def slice_terms(df: DataFrame, key: str, text: str, analyzer: str, n: tuple[int, int], slices: int, buckets: int | None = None) -> DataFrame:
+    """(_s, _b, terms, dfs, tfs): the distinct terms of each slice by bucket, with the keys and the occurrences that it has of them, packed."""
+    buckets = buckets or slices
+
     def count(table: pa.Table) -> pa.Table:
-        number, found = table.column("_s")[0].as_py(), []
-        for _, _, term, tf, terms in _counted(table, key, analyzer, n):
-            found.append(pa.table([pa.array(np.full(len(terms), number), pa.int32()), terms, pa.array(np.bincount(term, minlength=len(terms))),
-                                   pa.array(np.bincount(term, weights=tf, minlength=len(terms)).astype(np.int64))], ["_s", "term", "df", "tf"]))
-        return pa.concat_tables(found)
+        parts = [(terms, np.bincount(term, minlength=len(terms)), np.bincount(term, weights=tf, minlength=len(terms))) for _, _, term, tf, terms in _counted(table, key, analyzer, n)]
+        terms, dfs, tfs = pa.concat_arrays([p[0] for p in parts]), *(np.concatenate([p[i] for p in parts]).astype("<u4") for i in (1, 2))
+        del parts
+        rows = [(b, _terms_packed(some), _pressed(x["df"]), _pressed(x["tf"])) for b, some, x in _dealt(terms, buckets, df=dfs, tf=tfs)]
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array(np.full(len(rows), table.column("_s")[0].as_py()), pa.int32()), *[pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]], ["_s", "_b", "terms", "dfs", "tfs"])
+
+    return _slices(df, key, text, analyzer, slices).groupBy("_s").applyInArrow(count, "_s int, _b int, terms binary, dfs binary, tfs binary")
+
 
-    return _slices(df, key, text, analyzer, slices).groupBy("_s").applyInArrow(count, "_s int, term string, df bigint, tf bigint")
+KNOWN = "_s int, _b int, terms binary, idf binary, dfs binary, tfs binary"      # packed terms that a slice (or, at -1, the vocabulary) has in a bucket
+
+
+def _known(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+    return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["_s", "_b", "terms", "idf", "dfs", "tfs"])
+
+
+def _bucket_terms(table: pa.Table) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """(ends of the rows, terms of all rows as numbers of distinct ones) of packed terms."""
+    lists = [_terms_unpacked(x) for x in table.column("terms").to_pylist()]
+    return np.append(0, np.cumsum([len(x) for x in lists])), pa.concat_arrays(lists).dictionary_encode()
+
+
+def _vocabulary(known: DataFrame) -> DataFrame:
+    """(term, df, corpus_tf, idf) of the vocabulary's rows."""
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for terms, idf, dfs, tfs in zip(*(batch.column(c).to_pylist() for c in ("terms", "idf", "dfs", "tfs")), strict=True):
+                yield pa.RecordBatch.from_arrays([_terms_unpacked(terms), *[pa.array(_numbers_unpacked(x, kind)) for x, kind in ((dfs, "<i8"), (tfs, "<i8"), (idf, "<f8"))]], ["term", "df", "corpus_tf", "idf"])
+
+    return known.where("_s = -1").select("terms", "idf", "dfs", "tfs").mapInArrow(unpack, "term string, df bigint, corpus_tf bigint, idf double")
+
+
+def bucketed(rows: DataFrame, value: str, buckets: int) -> DataFrame:
+    """(_b, terms, numbers): rows (term, value) packed by bucket in the tasks that make them."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            found = [(b, _terms_packed(some), _pressed(x["x"])) for b, some, x in _dealt(table.column("term").combine_chunks(), buckets, x=table.column("x").to_numpy().astype("<f8"))]
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["_b", "terms", "numbers"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= 1 << 20:
+                yield packed(held)
+                held, n = [], 0
+        if n:
+            yield packed(held)
+
+    return rows.where("term is not null").select("term", F.col(value).cast("double").alias("x")).mapInArrow(pack, "_b int, terms binary, numbers binary")
+
+
+def _met(packed: DataFrame, listed: DataFrame, schema: str, found: Callable[[pa.Table, np.ndarray, pa.Array, np.ndarray], pa.Table]) -> DataFrame:
+    """Packed rows (_s, _b, terms, ...) and ``bucketed`` ones, bucket by bucket: ``found`` gets the former, their ends, the place of each of their
+    terms among the latter (null for none), and the numbers of those."""
+    def meet(table: pa.Table, other: pa.Table) -> pa.Table:
+        ends, terms = _bucket_terms(table) if table.num_rows else (np.zeros(1, int), pa.array([], pa.string()).dictionary_encode())
+        values = [_terms_unpacked(x) for x in other.column("terms").to_pylist()]
+        numbers = [_numbers_unpacked(x, "<f8") for x in other.column("numbers").to_pylist()]
+        place = pc.index_in(terms.dictionary, value_set=pa.concat_arrays(values) if values else pa.array([], pa.string()))
+        return found(table, ends, place.take(terms.indices), np.concatenate(numbers) if numbers else np.zeros(0))
+
+    return packed.groupBy("_b").cogroup(listed.groupBy("_b")).applyInArrow(meet, schema)
 
 
 @dataclass(frozen=True)
@@ -300,45 +443,101 @@ class TfidfModel:
     sublinear: bool
     binary: bool
 
+    def weigher(self, key: str) -> Callable[[pa.Table, pa.Table], Iterator[tuple[pa.Array, np.ndarray, np.ndarray, pa.Array, np.ndarray]]]:
+        """For a task, from a slice and what it knows: (distinct keys, key number, term number, terms, weight) of its kept terms, for each n; rows have length 1."""
+        analyzer, n, sublinear, binary = self.analyzer, self.n, self.sublinear, self.binary
+
+        def weights(table: pa.Table, known: pa.Table) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, pa.Array, np.ndarray]]:
+            lists = [_terms_unpacked(x) for x in known.column("terms").to_pylist()]
+            listed = pa.concat_arrays(lists) if lists else pa.array([], pa.string())
+            idf = np.concatenate([np.zeros(0), *[_numbers_unpacked(x, "<f8") for x in known.column("idf").to_pylist()]])
+            found = []
+            for keys, owner, term, tf, terms in _counted(table, key, analyzer, n):
+                place = pc.index_in(terms, value_set=listed).fill_null(-1).to_numpy().astype(np.int64)
+                here = place[term] >= 0
+                owner, term, tf = owner[here], term[here], np.ones(here.sum()) if binary else tf[here].astype(float)
+                kept = np.flatnonzero(place >= 0)
+                number = np.full(len(place), -1)
+                number[kept] = np.arange(len(kept))
+                found.append((keys, owner, number[term], terms.take(pa.array(kept)), (1 + np.log(tf) if sublinear else tf) * idf[place[term]]))
+            squares = sum(np.bincount(owner, weights=w * w, minlength=len(keys)) for keys, owner, _, _, w in found)
+            for keys, owner, term, terms, w in found:
+                yield keys, owner, term, terms, w / np.sqrt(squares[owner])
+
+        return weights
+
+    def fit_slices(self, df: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
+        """(known, slices): what the slices of another frame have of this vocabulary."""
+        slices, buckets, _ = _sizes(df, text, self.analyzer)
+
+        def found(table: pa.Table, ends: np.ndarray, place: pa.Array, idf: np.ndarray) -> pa.Table:
+            rows = []
+            for i, (s, b, terms) in enumerate(zip(*(table.column(c).to_pylist() for c in ("_s", "_b", "terms")), strict=True)):
+                own = place.slice(ends[i], ends[i + 1] - ends[i])
+                here = pc.is_valid(own)
+                rows.append((s, b, _terms_packed(_terms_unpacked(terms).filter(here)), _pressed(idf[own.filter(here).to_numpy()]), None, None))
+            return _known(rows)
+
+        return _met(slice_terms(df, key, text, self.analyzer, self.n, slices, buckets), bucketed(self.vocabulary, "idf", buckets), KNOWN, found), slices
+
     def transform(self, df: DataFrame, key: str, text: str, known: DataFrame | None = None, slices: int | None = None) -> DataFrame:
         """(key, term, w) with L2-normalised rows.
 
         The vocabulary meets the distinct terms of each slice, not the counts of each document, and what a slice knows comes back to
-        it; the counts are then made anew from the slice's text and never shuffled. ``known`` (_s, term, idf) is that of ``df`` in ``slices``.
+        it; the counts are then made anew from the slice's text and never shuffled. ``known`` is what the ``slices`` of ``df`` know.
         """
-        slices = slices or _slice_count(df, text, self.analyzer)
         if known is None:
-            known = slice_terms(df, key, text, self.analyzer, self.n, slices).join(self.vocabulary.select("term", "idf"), "term").select("_s", "term", "idf")
-        analyzer, n, sublinear, binary = self.analyzer, self.n, self.sublinear, self.binary
+            known, slices = self.fit_slices(df, key, text)
+        weights = self.weigher(key)
 
         def weigh(table: pa.Table, known: pa.Table) -> pa.Table:
-            idf, listed, found = known.column("idf").to_numpy(), known.column("term").combine_chunks(), []
-            for keys, owner, term, tf, terms in _counted(table, key, analyzer, n):
-                place = pc.index_in(terms, value_set=listed).fill_null(-1).to_numpy()
-                here = place[term] >= 0
-                owner, term, tf = owner[here], term[here], np.ones(here.sum()) if binary else tf[here].astype(float)
-                found.append((keys, owner, terms.take(pa.array(term)), (1 + np.log(tf) if sublinear else tf) * idf[place[term]]))
-            squares = sum(np.bincount(owner, weights=w * w, minlength=len(keys)) for keys, owner, _, w in found)
-            return pa.concat_tables([pa.table([keys.take(pa.array(owner)), terms, pa.array(w / np.sqrt(squares[owner]))], [key, "term", "w"]) for keys, owner, terms, w in found])
+            return pa.concat_tables([pa.table([keys.take(pa.array(owner)), terms.take(pa.array(term)), pa.array(w)], [key, "term", "w"]) for keys, owner, term, terms, w in weights(table, known)])
 
-        return _slices(df, key, text, analyzer, slices).groupBy("_s").cogroup(known.groupBy("_s")).applyInArrow(weigh, _term_schema(df, key, "w double"))
+        sent = known.where("_s >= 0").select("_s", "terms", "idf")
+        return _slices(df, key, text, self.analyzer, slices).groupBy("_s").cogroup(sent.groupBy("_s")).applyInArrow(weigh, _term_schema(df, key, "w double"))
 
 
 def _fitted(df: DataFrame, key: str, text: str, analyzer: str, n: tuple[int, int], min_df: int, max_df: float, max_features: int | None, sublinear: bool, binary: bool) -> tuple[TfidfModel, DataFrame, int]:
-    """The model, the slices' share of its vocabulary (_s, term, idf), and the number of slices. One shuffle by term serves both."""
-    slices = _slice_count(df, text, analyzer)
-    by_term = slice_terms(df, key, text, analyzer, n, slices).repartition(2 * slices, "term")
-    w = Window.partitionBy("term")      # a row for each slice that has the term
-    total = df.agg(F.count(F.lit(1)).cast("double").alias("_docs"))
-    terms = by_term.select("_s", "term", F.sum("df").over(w).alias("df"), F.sum("tf").over(w).alias("corpus_tf"), (F.min("_s").over(w) == F.col("_s")).alias("_head"))
-    idf = F.ln((1 + F.col("_docs")) / (1 + F.col("df"))) + 1
-    kept = with_row(terms, total).where((F.col("df") >= min_df) & (F.col("df") <= F.col("_docs") * max_df)).withColumn("idf", idf).drop("_docs")
-    known = stored(kept, "slice-terms")
-    vocabulary = known.where("_head").select("term", "df", "corpus_tf", "idf")
+    """The model, the slices' share of its vocabulary, and the number of slices. A bucket answers each slice with the terms of its own that are kept."""
+    slices, buckets, docs = _sizes(df, text, analyzer)
+
+    def merge(table: pa.Table) -> pa.Table:
+        ends, terms = _bucket_terms(table)
+        at, size = terms.indices.to_numpy(), len(terms.dictionary)
+        totals = [np.bincount(at, weights=np.concatenate([_numbers_unpacked(x, "<u4") for x in table.column(c).to_pylist()]), minlength=size).astype("<i8") for c in ("dfs", "tfs")]
+        idf = np.log((1.0 + docs) / (1.0 + totals[0])) + 1
+        keep = (totals[0] >= min_df) & (totals[0] <= docs * max_df)
+        b, rows = table.column("_b")[0].as_py(), []
+        if keep.any():
+            rows.append((-1, b, _terms_packed(terms.dictionary.filter(pa.array(keep))), _pressed(idf[keep]), *[_pressed(x[keep]) for x in totals]))
+        for i, s in enumerate(table.column("_s").to_pylist()):
+            own = at[ends[i] : ends[i + 1]]
+            own = own[keep[own]]
+            if len(own):
+                rows.append((s, b, _terms_packed(terms.dictionary.take(pa.array(own))), _pressed(idf[own]), None, None if max_features is None else _pressed(totals[1][own])))
+        return _known(rows)
+
+    known = stored(slice_terms(df, key, text, analyzer, n, slices, buckets).groupBy("_b").applyInArrow(merge, KNOWN), "slice-terms")
+    vocabulary = _vocabulary(known)
     if max_features is not None:
         vocabulary = stored(top_terms(vocabulary, max_features), "vocabulary")
-        known = known.join(vocabulary.select("term"), "term", "left_semi")
-    return TfidfModel(vocabulary, analyzer, n, sublinear, binary), known.select("_s", "term", "idf"), slices
+        last = vocabulary.orderBy("corpus_tf", F.col("term").desc()).first()
+        known = known.where("_s >= 0").mapInArrow(_leading(*(last["corpus_tf"], last["term"]) if last else (1 << 62, "")), KNOWN)
+    return TfidfModel(vocabulary, analyzer, n, sublinear, binary), known, slices
+
+
+def _leading(least: int, last: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packed terms of a corpus frequency above ``least``, or equal to it and no later than ``last``."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for s, b, packed, idf, tfs in zip(*(batch.column(c).to_pylist() for c in ("_s", "_b", "terms", "idf", "tfs")), strict=True):
+                terms, tf = _terms_unpacked(packed), _numbers_unpacked(tfs, "<i8")
+                keep = (tf > least) | ((tf == least) & pc.less_equal(terms, last).to_numpy(zero_copy_only=False))
+                rows.append((s, b, _terms_packed(terms.filter(pa.array(keep))), _pressed(_numbers_unpacked(idf, "<f8")[keep]), None, None))
+            yield from _known(rows).to_batches()
+
+    return cut
 
 
 def fit_tfidf(df: DataFrame, key: str, text: str, *, analyzer: str = "word", n: tuple[int, int] = (1, 1),

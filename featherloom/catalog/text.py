@@ -441,6 +441,6 @@ def _(t):
 
 @query("mlf_2_scaled_rows", f"with {WORD_TFIDF}, {RATIO} select doc_id, count(*) as n, round(sum(w * r), 5) + 0.0 as total from rows join ratio using (term) group by doc_id")
 def _(t):
-    _, rows = textfeat.fit_transform_tfidf(docs(t), "doc_id", "text", n=(1, 2), min_df=3, max_df=0.9, sublinear=True)
+    _, rows = textfeat.fit_transform_tfidf(docs(t), "doc_id", "text", n=(1, 2), min_df=3, max_df=0.9, sublinear=True, sliced=True)
     scaled = textfeat.scale_by_ratio(rows, textfeat.log_count_ratio(rows, t.labels, "doc_id", "toxic"), "doc_id")
     return scaled.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), r(F.sum("w"), 5).alias("total"))

@@ -427,7 +427,10 @@ def _met(packed: DataFrame, listed: DataFrame, schema: str, found: Callable[[pa.
         ends, terms = _bucket_terms(table) if table.num_rows else (np.zeros(1, int), pa.array([], pa.string()).dictionary_encode())
         values = [_terms_unpacked(x) for x in other.column("terms").to_pylist()]
         numbers = [_numbers_unpacked(x, "<f8") for x in other.column("numbers").to_pylist()]
-        place = pc.index_in(terms.dictionary, value_set=pa.concat_arrays(values) if values else pa.array([], pa.string()))
+        listed = pa.concat_arrays(values) if values else pa.array([], pa.string())
+        if pc.count_distinct(listed).as_py() < len(listed):
+            raise ValueError("a term is listed twice")
+        place = pc.index_in(terms.dictionary, value_set=listed)
         return found(table, ends, place.take(terms.indices), np.concatenate(numbers) if numbers else np.zeros(0))
 
     return packed.groupBy("_b").cogroup(listed.groupBy("_b")).applyInArrow(meet, schema)
@@ -497,8 +500,8 @@ class TfidfModel:
         return _slices(df, key, text, self.analyzer, slices).groupBy("_s").cogroup(sent.groupBy("_s")).applyInArrow(weigh, _term_schema(df, key, "w double"))
 
 
-def _fitted(df: DataFrame, key: str, text: str, analyzer: str, n: tuple[int, int], min_df: int, max_df: float, max_features: int | None, sublinear: bool, binary: bool) -> tuple[TfidfModel, DataFrame, int]:
-    """The model, the slices' share of its vocabulary, and the number of slices. A bucket answers each slice with the terms of its own that are kept."""
+def _fitted(df: DataFrame, key: str, text: str, analyzer: str, n: tuple[int, int], min_df: int, max_df: float, max_features: int | None, sublinear: bool, binary: bool) -> tuple[TfidfModel, DataFrame, int, int]:
+    """The model, the slices' share of its vocabulary, and the numbers of slices and buckets. A bucket answers each slice with the terms of its own that are kept."""
     slices, buckets, docs = _sizes(df, text, analyzer)
 
     def merge(table: pa.Table) -> pa.Table:
@@ -523,7 +526,7 @@ def _fitted(df: DataFrame, key: str, text: str, analyzer: str, n: tuple[int, int
         vocabulary = stored(top_terms(vocabulary, max_features), "vocabulary")
         last = vocabulary.orderBy("corpus_tf", F.col("term").desc()).first()
         known = known.where("_s >= 0").mapInArrow(_leading(*(last["corpus_tf"], last["term"]) if last else (1 << 62, "")), KNOWN)
-    return TfidfModel(vocabulary, analyzer, n, sublinear, binary), known, slices
+    return TfidfModel(vocabulary, analyzer, n, sublinear, binary), known, slices, buckets
 
 
 def _leading(least: int, last: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -547,12 +550,40 @@ def fit_tfidf(df: DataFrame, key: str, text: str, *, analyzer: str = "word", n:
     return _fitted(df, key, text, analyzer, n, min_df, max_df, max_features, sublinear, binary)[0]
 
 
+@dataclass(frozen=True)
+class Sliced:
+    """TF-IDF rows (key, term, w) that are not made: the texts, what their slices know, and how to weigh them."""
+
+    model: TfidfModel
+    texts: DataFrame
+    key: str
+    text: str
+    known: DataFrame
+    slices: int
+    buckets: int
+
+    def rows(self) -> DataFrame:
+        return self.model.transform(self.texts, self.key, self.text, self.known, self.slices)
+
+    def dealt(self) -> DataFrame:
+        return _slices(self.texts, self.key, self.text, self.model.analyzer, self.slices)
+
+    def meets(self, other: DataFrame, key: str) -> bool:
+        """Whether equal keys of ``other`` are dealt to the same slice, which a hash of equal types says."""
+        kind = dict(self.texts.dtypes)[self.key]
+        return key == self.key and dict(other.dtypes)[key] == kind and kind in ("bigint", "int", "string")
+
+
 def fit_transform_tfidf(df: DataFrame, key: str, text: str, *, analyzer: str = "word", n: tuple[int, int] = (1, 1), min_df: int = 1, max_df: float = 1.0,
-                        max_features: int | None = None, sublinear: bool = False, binary: bool = False, only: DataFrame | None = None) -> tuple[TfidfModel, DataFrame]:
-    """Fit and transform the same rows; ``only`` is a table of the keys whose rows are wanted, the others are fitted on and not transformed."""
-    model, known, slices = _fitted(df, key, text, analyzer, n, min_df, max_df, max_features, sublinear, binary)
+                        max_features: int | None = None, sublinear: bool = False, binary: bool = False, only: DataFrame | None = None, sliced: bool = False) -> tuple[TfidfModel, DataFrame | Sliced]:
+    """Fit and transform the same rows; ``only`` is a table of the keys whose rows are wanted, the others are fitted on and not transformed.
+
+    With ``sliced`` the rows stay in their slices, for operators that take them so.
+    """
+    model, known, slices, buckets = _fitted(df, key, text, analyzer, n, min_df, max_df, max_features, sublinear, binary)
     wanted = df if only is None else df.select(key, text).join(only.select(key), key, "left_semi")
-    return model, model.transform(wanted, key, text, known, slices)
+    made = Sliced(model, wanted, key, text, known, slices, buckets)
+    return model, made if sliced else made.rows()
 
 
 def union_terms(parts: Mapping[str, DataFrame], key: str) -> DataFrame:
@@ -566,18 +597,76 @@ def top_terms(terms: DataFrame, k: int) -> DataFrame:
     return terms.orderBy(F.col("corpus_tf").desc(), F.col("term")).limit(k)
 
 
-def log_count_ratio(rows: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
-    """(term, r) with ``r = ln(((1 + sum x+) / (1 + n+)) / ((1 + sum x-) / (1 + n-)))``."""
+def log_count_ratio(rows: DataFrame | Sliced, labels: DataFrame, key: str, label: str) -> DataFrame:
+    """(term, r) with ``r = ln(((1 + sum x+) / (1 + n+)) / ((1 + sum x-) / (1 + n-)))``. Where rows are ``Sliced``, labels go to the slices, and sums of terms come back."""
     y = F.col(label) == 1
     sizes = labels.agg(F.count_if(y).alias("_np"), F.count_if(~y).alias("_nn"))
-    sums = rows.join(labels.select(key, label), key).groupBy("term").agg(
-        F.sum(F.when(y, F.col("w")).otherwise(0.0)).alias("p"), F.sum(F.when(~y, F.col("w")).otherwise(0.0)).alias("q"))
+    if isinstance(rows, Sliced) and rows.meets(labels, key):
+        sums = _label_sums(rows, labels, label)
+    else:
+        plain = rows.rows() if isinstance(rows, Sliced) else rows
+        sums = plain.join(labels.select(key, label), key).groupBy("term").agg(
+            F.sum(F.when(y, F.col("w")).otherwise(0.0)).alias("p"), F.sum(F.when(~y, F.col("w")).otherwise(0.0)).alias("q"))
     return with_row(sums, sizes).select("term", F.ln(
         ((1 + F.col("p")) / (1 + F.col("_np"))) / ((1 + F.col("q")) / (1 + F.col("_nn")))).alias("r"))
 
 
-def scale_by_ratio(rows: DataFrame, ratio: DataFrame, key: str) -> DataFrame:
-    return rows.join(ratio, "term").select(key, "term", (F.col("w") * F.col("r")).alias("w"))
+def _label_sums(rows: Sliced, labels: DataFrame, label: str) -> DataFrame:
+    """(term, p, q): the weights of each term in documents with the label 1, and with another, once for each row of a document's labels."""
+    key, kind, buckets, weights = rows.key, dict(rows.texts.dtypes)[rows.key], rows.buckets, rows.model.weigher(rows.key)
+    y = F.col(label) == 1
+    owned = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_if(y).cast("double").alias("yes"), F.count_if(~y).cast("double").alias("no"))
+    owned = owned.select(F.pmod(F.xxhash64(key), F.lit(rows.slices)).cast("int").alias("_s"), F.col(key).alias("_key"), "yes", "no")
+    sent = rows.known.where("_s >= 0").select("_s", "terms", "idf").unionByName(owned, allowMissingColumns=True)
+
+    def add(table: pa.Table, sent: pa.Table) -> pa.Table:
+        owned = sent.filter(pc.is_valid(sent.column("_key")))
+        names = owned.column("_key").combine_chunks()
+        table = table.filter(pc.is_in(table.column(key), value_set=names))      # the others add nothing
+        found = []
+        for keys, owner, term, terms, w in weights(table, sent.filter(pc.is_valid(sent.column("terms")))):
+            at = pc.index_in(keys, value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
+            p, q = (np.bincount(term, weights=w * owned.column(c).to_numpy()[at][owner], minlength=len(terms)) for c in ("yes", "no"))
+            some = np.bincount(term, minlength=len(terms)) > 0
+            found += [(b, _terms_packed(mine), _pressed(x["p"]), _pressed(x["q"])) for b, mine, x in _dealt(terms.filter(pa.array(some)), buckets, p=p[some], q=q[some])]
+        return pa.table([pa.array([f[i] for f in found], pa.binary() if i else pa.int32()) for i in range(4)], ["_b", "terms", "p", "q"])
+
+    def total(table: pa.Table) -> pa.Table:
+        _, terms = _bucket_terms(table)
+        sums = [np.bincount(terms.indices.to_numpy(), weights=np.concatenate([_numbers_unpacked(x, "<f8") for x in table.column(c).to_pylist()]), minlength=len(terms.dictionary)) for c in ("p", "q")]
+        return pa.table([terms.dictionary, *[pa.array(x) for x in sums]], ["term", "p", "q"])
+
+    added = rows.dealt().groupBy("_s").cogroup(sent.groupBy("_s")).applyInArrow(add, "_b int, terms binary, p binary, q binary")
+    return added.groupBy("_b").applyInArrow(total, "term string, p double, q double")
+
+
+def scale_by_ratio(rows: DataFrame | Sliced, ratio: DataFrame, key: str) -> DataFrame:
+    """(key, term, w): rows times the ratio (term, r) of their term, without terms that have none. For ``Sliced`` rows, the ratio lists a term once."""
+    if not isinstance(rows, Sliced):
+        return rows.join(ratio, "term").select(key, "term", (F.col("w") * F.col("r")).alias("w"))
+    weights = rows.model.weigher(rows.key)
+
+    def found(table: pa.Table, ends: np.ndarray, place: pa.Array, r: np.ndarray) -> pa.Table:
+        at, sent = place.fill_null(-1).to_numpy(), []
+        for i, (s, terms, idf) in enumerate(zip(*(table.column(c).to_pylist() for c in ("_s", "terms", "idf")), strict=True)):
+            own = at[ends[i] : ends[i + 1]]
+            sent.append((s, terms, idf, _pressed((own >= 0).astype(np.uint8)), _pressed(r[own[own >= 0]])))
+        return pa.table([pa.array([x[i] for x in sent], pa.binary() if i else pa.int32()) for i in range(5)], ["_s", "terms", "idf", "has", "r"])
+
+    scaled = _met(rows.known.where("_s >= 0").select("_s", "_b", "terms", "idf"), bucketed(ratio, "r", rows.buckets), "_s int, terms binary, idf binary, has binary, r binary", found)
+
+    def weigh(table: pa.Table, known: pa.Table) -> pa.Table:
+        lists = [_terms_unpacked(t).filter(pa.array(_numbers_unpacked(h, "u1") > 0)) for t, h in zip(known.column("terms").to_pylist(), known.column("has").to_pylist(), strict=True)]
+        listed = pa.concat_arrays(lists) if lists else pa.array([], pa.string())
+        r, made = np.concatenate([np.zeros(0), *[_numbers_unpacked(x, "<f8") for x in known.column("r").to_pylist()]]), []
+        for keys, owner, term, terms, w in weights(table, known):
+            place = pc.index_in(terms, value_set=listed).fill_null(-1).to_numpy()
+            here = place[term] >= 0
+            owner, term, w = owner[here], term[here], w[here]
+            made.append(pa.table([keys.take(pa.array(owner)), terms.take(pa.array(term)), pa.array(w * r[place[term]])], [key, "term", "w"]))
+        return pa.concat_tables(made)
+
+    return rows.dealt().groupBy("_s").cogroup(scaled.groupBy("_s")).applyInArrow(weigh, _term_schema(rows.texts, key, "w double"))
 
 
 def group_terms(terms: DataFrame, key: str, term: str, categories: DataFrame, norms: DataFrame,

@@ -247,14 +247,15 @@ def ratio_scaled_logistic(rows: DataFrame, train: DataFrame, test: DataFrame, ke
     base = train.select(key, F.col(fold).cast("int").alias(fold), *labels)
     codes = number_terms(rows, most_terms, counts)
     terms = codes.count()
-    runs = stored(_runs(rows, key, "codes", "int", codes), "runs")       # rows are made once, for both sides
-    packed = stored(_packed(runs, base, key), "packed")
+    both = base.withColumn("_new", F.lit(False)).unionByName(test.select(key).withColumn("_new", F.lit(True)), allowMissingColumns=True)
+    whole = stored(_packed(_runs(rows, key, "codes", "int", codes), both, key), "packed")       # rows are made and moved once, for both sides
+    packed = whole.where("not _new")
     scale = fold_ratios(packed, tasks, fold, terms)
     fitted = fit_logistic(packed, tasks, terms, fold, steps, rate, scale)
     seen = predict_logistic(packed, *fitted, [key, fold, *labels], scale)
     own = [F.struct(F.lit(name).alias("label_name"), F.col(name).cast("int").alias("truth"), F.get("ps", F.lit(i * folds) + F.col(fold)).alias("p")) for i, name in enumerate(labels)]
     valid = seen.select(key, fold, F.explode(F.array(*own)).alias("e")).select(key, "e.label_name", "e.truth", fold, "e.p")
-    new = predict_logistic(_packed(runs, test.select(key), key), *fitted, [key], scale)
+    new = predict_logistic(whole.where("_new"), *fitted, [key], scale)
     mean = lambda i: sum([F.get("ps", F.lit(i * folds + k)) for k in range(1, folds)], F.get("ps", F.lit(i * folds))) / folds
     each = [F.struct(F.lit(name).alias("label_name"), mean(i).alias("p")) for i, name in enumerate(labels)]
     return valid, new.select(key, F.explode(F.array(*each)).alias("e")).select(key, "e.label_name", "e.p")

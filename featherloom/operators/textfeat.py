@@ -194,6 +194,7 @@ def n_grams(text: Column | str, analyzer: str, n: int) -> Column:
 
 SLICE_TEXT = {"word": 8 << 20, "char": 4 << 20, "token_char": 4 << 20}        # bytes of text that a task counts at once
 BUCKET_TEXT = {"word": 16 << 20, "char": 64 << 20, "token_char": 64 << 20}    # bytes of text whose distinct terms are a bucket, which a task holds
+FINER = 2      # where operators work in slices, a task holds more than the weights, so slices are as many times smaller
 _BLANKS = np.array([9, 10, 11, 12, 13, 32], np.uint32)
 
 
@@ -500,9 +501,10 @@ class TfidfModel:
         return _slices(df, key, text, self.analyzer, slices).groupBy("_s").cogroup(sent.groupBy("_s")).applyInArrow(weigh, _term_schema(df, key, "w double"))
 
 
-def _fitted(df: DataFrame, key: str, text: str, analyzer: str, n: tuple[int, int], min_df: int, max_df: float, max_features: int | None, sublinear: bool, binary: bool) -> tuple[TfidfModel, DataFrame, int, int]:
+def _fitted(df: DataFrame, key: str, text: str, analyzer: str, n: tuple[int, int], min_df: int, max_df: float, max_features: int | None, sublinear: bool, binary: bool, finer: int = 1) -> tuple[TfidfModel, DataFrame, int, int]:
     """The model, the slices' share of its vocabulary, and the numbers of slices and buckets. A bucket answers each slice with the terms of its own that are kept."""
     slices, buckets, docs = _sizes(df, text, analyzer)
+    slices, buckets = slices * finer, buckets * finer
 
     def merge(table: pa.Table) -> pa.Table:
         ends, terms = _bucket_terms(table)
@@ -580,7 +582,7 @@ def fit_transform_tfidf(df: DataFrame, key: str, text: str, *, analyzer: str = "
 
     With ``sliced`` the rows stay in their slices, for operators that take them so.
     """
-    model, known, slices, buckets = _fitted(df, key, text, analyzer, n, min_df, max_df, max_features, sublinear, binary)
+    model, known, slices, buckets = _fitted(df, key, text, analyzer, n, min_df, max_df, max_features, sublinear, binary, FINER if sliced else 1)
     wanted = df if only is None else df.select(key, text).join(only.select(key), key, "left_semi")
     made = Sliced(model, wanted, key, text, known, slices, buckets)
     return model, made if sliced else made.rows()
